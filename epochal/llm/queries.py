@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from epochal.llm import minhash, toxicity
+from epochal.llm import decontamination, fertility, minhash, packing, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +22,23 @@ def op10_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op9_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.quality(_table(spark, sf_dir, "documents"))
+
+
+def op4_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op2_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op9_tokeniser_fertility": op9_tokeniser_fertility,
+    "op4_cgk_decontamination": op4_cgk_decontamination,
+    "op2_lexical_packing": op2_lexical_packing,
     "op10_string_kernel_toxicity": op10_string_kernel_toxicity,
 }
 
