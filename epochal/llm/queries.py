@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from epochal.llm import decontamination, fertility, minhash, packing, toxicity
+from epochal.llm import decontamination, fertility, language, minhash, packing, sharding, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,11 +34,27 @@ def op2_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op5_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language.identify(docs, language.train(docs))
+
+
+def op6_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op8_consistent_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op9_tokeniser_fertility": op9_tokeniser_fertility,
     "op4_cgk_decontamination": op4_cgk_decontamination,
     "op2_lexical_packing": op2_lexical_packing,
+    "op5_language_bitmask": op5_language_bitmask,
+    "op6_warc_capture_index": op6_warc_capture_index,
+    "op8_consistent_hash_ring": op8_consistent_hash_ring,
     "op10_string_kernel_toxicity": op10_string_kernel_toxicity,
 }
 
