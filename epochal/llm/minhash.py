@@ -7,9 +7,9 @@
 3. Bands of the signature are bucket keys.  A bucket never emits all its pairs: its members are linked
    to a hub.  Candidates whose signatures agree too little are dropped (the margin is five standard
    deviations), the rest is confirmed on full sets.
-4. Buckets whose members are in different components after that are worked again: first with other hubs,
-   one for each band, then - when what is left is in proportion to the members - every remaining
-   outsider against every member of another component.  So no link that a bucket holds is lost.
+4. Texts that share buckets, directly or through others, form a cluster.  Where a cluster holds several
+   components after that, every text outside its largest component meets every other text of the cluster
+   in blocks of bounded size, on full sets.  So no link that a bucket holds is lost.
 5. Components come from alternating large-star and small-star steps.
 
 Defined results: a null or wordless text has an empty set and is linked with nothing; equal doc_ids are
@@ -30,8 +30,8 @@ from epochal.llm import textops as X
 from epochal.llm.components import components
 from epochal.llm.work import Work
 
-PERMUTATIONS, ROWS = 128, 4
-"""32 bands of 4: a pair at a similarity of 0.8 is missed with a chance of 5e-8."""
+PERMUTATIONS, ROWS = 160, 5
+"""32 bands of 5: a pair at a similarity of 0.8 is missed with a chance of 3e-6."""
 MARGIN = 0.18
 """How far below the limit two signatures may agree and still be confirmed on full sets (5 deviations)."""
 
@@ -120,16 +120,48 @@ def _agreeing(pairs: DataFrame, representatives: DataFrame, least: float) -> Dat
     return pairs.join(of("u"), "u").join(of("v"), "v").mapInArrow(work, "u long, v long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, work: Work) -> DataFrame:
-    """Pairs with 100 * intersection >= percent * union, on full sets made anew from the texts of candidates only."""
+_BITS = 25
+
+
+def _filter_of(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of 2**_BITS bits (4 MB, whatever the input) over doc_ids, made by a partial aggregate."""
+    bit = lambda seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << _BITS))
+    bits = ids.select(F.explode(F.array(bit(1), bit(2), bit(3))).alias("bit"))
+    cells = bits.select(F.expr("bit div 64").alias("cell"), F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("mask")).groupBy("cell").agg(F.bit_or("mask").alias("mask")).toPandas()
+    out = np.zeros((1 << _BITS) // 64, dtype=np.int64)
+    out[cells["cell"].to_numpy(dtype=np.int64)] = cells["mask"].to_numpy(dtype=np.int64)
+    return out
+
+
+def _full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(doc_id, members): whole shingle sets, made anew from the texts of (at least) the given documents.
+
+    Texts are not shuffled: a filter of fixed size tells which are wanted.  Where it holds very many ids
+    it lets more texts through, which the joins that follow drop.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(_filter_of(ids))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
         for batch in batches:
+            wanted = np.ones(batch.num_rows, dtype=bool)
+            for c in ("h1", "h2", "h3"):
+                at = batch.column(c).to_numpy(zero_copy_only=False)
+                wanted &= (bits[at // 64] >> (at % 64)) & 1 > 0
+            batch = batch.filter(pa.array(wanted))
             ids = batch.column("doc_id")
             for first, last, values, begin in _sets(batch.column("text"), width):
                 cut = [values[begin[i] : begin[i + 1]].tobytes() for i in range(last - first)]
                 yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), pa.array(cut, pa.binary())], ["doc_id", "members"])
 
+    bit = lambda seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << _BITS))
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
+    return texts.select("doc_id", "text", bit(1).alias("h1"), bit(2).alias("h2"), bit(3).alias("h3")).mapInArrow(sets, "doc_id long, members binary")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs with 100 * intersection >= percent * union."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -139,50 +171,89 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, work
                 keep.append(100 * both >= percent * (len(a) + len(b) - both))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    ids = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    full = work.cut(texts.join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, members binary"), "sets")
-    of = lambda c: full.select(F.col("doc_id").alias(c), F.col("members").alias(f"of_{c}"))
-    return pairs.join(of("u"), "u").join(of("v"), "v").mapInArrow(compare, "u long, v long").distinct()
+    of = lambda c: sets.select(F.col("doc_id").alias(c), F.col("members").alias(f"of_{c}"))
+    return pairs.join(of("u"), "u").join(of("v"), "v").mapInArrow(compare, "u long, v long")
+
+
+def _links_between(block: pa.Table, percent: int) -> pa.Table:
+    """Of one block (some outsiders, some members): links that join components, at most one fewer than components."""
+    role, ids, component = (block.column(c).to_numpy() for c in ("role", "doc_id", "component"))
+    sets = [np.frombuffer(x, np.uint64) for x in block.column("members").to_pylist()]
+    size = np.array([len(x) for x in sets])
+    base, outside = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+    u, v = [], []
+    if len(base) and len(outside):
+        vocabulary = np.unique(np.concatenate([sets[i] for i in base]))
+        at = np.searchsorted(vocabulary, np.concatenate([sets[i] for i in base]))
+        begin = np.concatenate([[0], np.cumsum(size[base])[:-1]])
+        root = {int(c): int(c) for c in np.unique(component)}
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        for o in outside:
+            mark = np.zeros(len(vocabulary), dtype=np.int32)
+            found = np.searchsorted(vocabulary, sets[o])
+            found[found == len(vocabulary)] = 0
+            mark[found[vocabulary[found] == sets[o]]] = 1
+            both = np.add.reduceat(mark[at], begin)
+            for b in base[(100 * both >= percent * (size[base] + size[o] - both)) & (ids[base] != ids[o])]:
+                x, y = top(int(component[o])), top(int(component[b]))
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    u.append(ids[o])
+                    v.append(ids[b])
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+
+BLOCK = 400_000
+"""Shingles on either side of a block in which sets are compared."""
+
+
+def _rest(cluster: DataFrame, sets: DataFrame, percent: int, work: Work) -> DataFrame:
+    """Links between components within clusters(cluster, doc_id, component, n_shingles), compared exactly in blocks.
+
+    A cluster's largest component needs no comparison within itself; every other member (an outsider) meets
+    every member.  Outsiders and members are dealt into blocks of bounded size, so neither side of a large
+    cluster is gathered in one task, and a block returns no more links than it holds components.
+    """
+    parts = cluster.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size"))
+    facts = parts.groupBy("cluster").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"), F.sum("size").alias("size"), F.max(F.struct("n", "component", "size")).alias("most"))
+    facts = facts.where("parts > 1 and n > 2").select("cluster", F.col("most.component").alias("main"), F.ceil(F.col("size") / BLOCK).cast("int").alias("rows"), F.ceil((F.col("size") - F.col("most.size")) / BLOCK).cast("int").alias("columns"))
+    facts = work.cut(facts, "facts")
+    opened = work.cut(cluster.join(facts, "cluster"), "opened")
+    deal = lambda n, seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col(n)).cast("int")
+    to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    base = opened.select("cluster", "doc_id", "component", F.lit(0).alias("role"), deal("rows", 1).alias("r"), to("columns").alias("c"))
+    outside = opened.where("component <> main").select("cluster", "doc_id", "component", F.lit(1).alias("role"), to("rows").alias("r"), deal("columns", 2).alias("c"))
+    blocks = base.unionByName(outside).join(sets, "doc_id")
+    return blocks.groupBy("cluster", "r", "c").applyInArrow(lambda block: _links_between(block, percent), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, permutations: int = PERMUTATIONS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every document (see the module's text)."""
-    spark = docs.sparkSession
-    work = Work(spark, "minhash")
+    work = Work(docs.sparkSession, "minhash")
     signed = work.cut(signatures(docs, width, permutations), "signed")
     of_set = work.cut(signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("representative")), "copies")
-    representatives = work.cut(signed.where("n_shingles > 0").join(of_set.select(F.col("representative").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "signature"), "representatives")
+    representatives = work.cut(signed.where("n_shingles > 0").join(of_set.select(F.col("representative").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n_shingles", "signature"), "representatives")
     buckets = work.cut(_buckets(representatives, rows), "buckets")
-    shared = work.cut(buckets.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("top")).where("n > 1 and hub <> top").select("bucket", "hub"), "shared")
-    members = work.cut(buckets.join(shared, "bucket"), "members")
+    hubs = work.cut(buckets.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top")).where("hub <> top").select("bucket", "hub"), "hubs")
+    shared = work.cut(buckets.join(hubs, "bucket").where("doc_id <> hub").select(F.col("hub").alias("u"), F.col("doc_id").alias("v")).distinct(), "shared")
     work.drop_table(buckets)
-    links = None
-    component = None
-
-    def grow(pairs: DataFrame) -> None:
-        nonlocal links, component
-        pairs = work.cut(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
-        found = work.cut(_confirmed(_agreeing(pairs, representatives, percent / 100 - MARGIN), docs, width, percent, work), "confirmed")
-        links = found if links is None else links.unionByName(found)
-        component = work.cut(components(links, work), "components")
-
-    def placed() -> DataFrame:
-        """Members with their component, of the buckets that still hold more than one."""
-        own = members.join(component.select(F.col("u").alias("doc_id"), "component"), "doc_id", "left").select("bucket", "band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        own = work.cut(own, "placed")
-        order = F.struct(F.xxhash64("doc_id", "band"), "doc_id", "component")
-        several = own.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).where("low <> high and n > 2")
-        several = work.cut(several.select("bucket", F.col("first.doc_id").alias("hub"), F.col("first.component").alias("at")), "several")
-        return work.cut(own.join(several, "bucket"), "open")
-
-    grow(members.where("doc_id <> hub").select(F.col("hub").alias("u"), F.col("doc_id").alias("v")))
-    unsettled = placed()
-    grow(unsettled.where("component <> at").select(F.col("hub").alias("u"), F.col("doc_id").alias("v")))
-    unsettled = placed()
-    outside = unsettled.where("component <> at")
-    rest = outside.select("bucket", F.col("doc_id").alias("u"), F.col("component").alias("c")).join(unsettled.select("bucket", F.col("doc_id").alias("v"), F.col("component").alias("d")), "bucket").where("c <> d")
-    grow(rest.select("u", "v"))
+
+    likely = work.cut(_agreeing(shared, representatives, percent / 100 - MARGIN), "likely")
+    ends = shared.select(F.col("u").alias("doc_id")).unionByName(shared.select(F.col("v").alias("doc_id"))).distinct()
+    sets = work.cut(_full_sets(docs, ends, width), "sets").dropDuplicates(["doc_id"])
+    sure = work.cut(_confirmed(likely, sets, percent), "sure")
+    component = components(sure, work)
+
+    cluster = components(shared, work).select(F.col("u").alias("doc_id"), F.col("component").alias("cluster"))
+    placed = cluster.join(component.select(F.col("u").alias("doc_id"), "component"), "doc_id", "left").join(representatives.select("doc_id", "n_shingles").dropDuplicates(["doc_id"]), "doc_id")
+    placed = work.cut(placed.select("cluster", "doc_id", F.coalesce("component", "doc_id").alias("component"), "n_shingles"), "placed")
+    more = work.cut(_rest(placed, sets, percent, work), "more")
+    component = components(sure.unionByName(more), work)
 
     labelled = component.select(F.col("u").alias("representative"), "component")
     whole = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(of_set, ["set_a", "set_b"], "left").join(labelled, "representative", "left")
