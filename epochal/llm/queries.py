@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from epochal.llm import decontamination, fertility, language, minhash, packing, sharding, toxicity, warc
+from epochal.llm import crf, decontamination, fertility, language, minhash, packing, pseudo_likelihood, sharding, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,14 @@ def op8_consistent_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
 
+def op3_crf_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf.extract(_table(spark, sf_dir, "pages"))
+
+
+def op1_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood.pseudo_likelihood(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op9_tokeniser_fertility": op9_tokeniser_fertility,
@@ -55,6 +63,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_bitmask": op5_language_bitmask,
     "op6_warc_capture_index": op6_warc_capture_index,
     "op8_consistent_hash_ring": op8_consistent_hash_ring,
+    "op3_crf_main_text": op3_crf_main_text,
+    "op1_masked_pseudo_likelihood": op1_masked_pseudo_likelihood,
     "op10_string_kernel_toxicity": op10_string_kernel_toxicity,
 }
 
