@@ -1,13 +1,581 @@
-"""One entry per operator: the query and, where SQL can express it, its oracle."""
+"""One entry per operator: the query over the driver's tables and, where SQL can express it, its oracle.
+
+Queries end in ``_final``: whole numbers as long, doubles rounded to six places.  Oracles are written on
+their own, in DuckDB's dialect, from the operators' definitions.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from epochal.functions import text as T
+from epochal.functions.dist import t_two_sided, z_of
+from epochal.operators import arrays, behavior, circ, decode, design, group, metrics, prep, robust
+from epochal.sources.adapters import behaviour, epochs, samples, table
+
+Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "diag_lda_auc"
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
+
+
+def _final(df: DataFrame) -> DataFrame:
+    whole, real = {"tinyint", "smallint", "int", "bigint"}, {"float", "double"}
+    return df.select(*[F.col(c).cast("long").alias(c) if t in whole else (F.round(F.col(c).cast("double"), 6) + F.lit(0.0)).alias(c) if t in real else F.col(c) for c, t in df.dtypes])
+
 
+def _entry(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[name] = lambda spark, sf_dir: _final(f(spark, sf_dir))
+        if sql is not None:
+            _ORACLES[name] = sql
+        return f
 
-def queries() -> dict:
-    return {}
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
+
+
+_S = "s AS (SELECT vec_id AS trial_id, label AS event_code, i AS t_idx, CAST(embedding[i] AS DOUBLE) AS value FROM embeddings, generate_series(1, 64) AS g(i))"
+_KEY = "(vec_id * 1103515245 + 12345) % 2147483648, vec_id"
+_R = lambda e, name: f"ROUND({e}, 6) + 0.0 AS {name}"
+
+
+# first level ---------------------------------------------------------------------------------------------
+
+
+def _two_classes(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
+    trials = epochs(spark, sf_dir).where("event_code in (0, 1)").withColumn("class", F.col("event_code"))
+    return design.folds(design.balance(trials, "class"), k)
+
+
+@_entry(
+    FLAGSHIP,
+    f"""
+WITH b AS (SELECT vec_id, label, embedding, row_number() OVER (PARTITION BY label ORDER BY {_KEY}) AS r, count(*) OVER (PARTITION BY label) AS n FROM embeddings WHERE label IN (0, 1)),
+m AS (SELECT min(n) AS n FROM b),
+f AS (SELECT b.vec_id, b.label, b.embedding, CAST((SELECT min(k) FROM generate_series(1, 5) AS g(k) WHERE b.r <= ROUND(CAST(k * m.n AS DOUBLE) / 5)) AS BIGINT) AS fold FROM b, m WHERE b.r <= m.n),
+x AS (SELECT vec_id, label, fold, i AS chan, CAST(embedding[i] AS DOUBLE) AS v FROM f, generate_series(1, 64) AS g(i)),
+t AS (SELECT k AS fold, chan, avg(v) FILTER (label = 0) AS m0, avg(v) FILTER (label = 1) AS m1,
+  (var_pop(v) FILTER (label = 0) * count(*) FILTER (label = 0) + var_pop(v) FILTER (label = 1) * count(*) FILTER (label = 1)) / (count(*) - 2) AS s
+  FROM x, generate_series(1, 5) AS g(k) WHERE x.fold <> k GROUP BY k, chan),
+sc AS (SELECT x.fold, x.vec_id, x.label, ROUND(sum((m1 - m0) / s * (v - (m0 + m1) / 2.0)), 7) AS score FROM x JOIN t ON x.fold = t.fold AND x.chan = t.chan GROUP BY ALL),
+rk AS (SELECT *, rank() OVER (PARTITION BY fold ORDER BY score) + (count(*) OVER (PARTITION BY fold, score) - 1) / 2.0 AS r FROM sc)
+SELECT fold, ROUND((sum(r) FILTER (label = 1) - CAST(count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) AS DOUBLE) / 2.0) / CAST(count(*) FILTER (label = 1) * count(*) FILTER (label = 0) AS DOUBLE), 6) + 0.0 AS auc
+FROM rk GROUP BY fold""",
+)
+def _(spark, d):
+    return decode.diagonal_auc(_two_classes(spark, d), 5)
+
+
+@_entry("erp_per_code", f"WITH {_S} SELECT event_code, t_idx, {_R('avg(value)', 'value')}, count(*) AS n FROM s GROUP BY 1, 2")
+def _(spark, d):
+    return prep.erp(samples(spark, d), ["event_code"])
+
+
+@_entry("erp_per_class", f"WITH {_S} SELECT CASE WHEN event_code IN (3, 4, 5) THEN 2 WHEN event_code IN (0, 1, 2) THEN 1 ELSE 0 END AS class, t_idx, {_R('avg(value)', 'value')}, count(*) AS n FROM s GROUP BY 1, 2")
+def _(spark, d):
+    return prep.erp(design.label_classes(samples(spark, d), {1: [0, 1, 2], 2: [3, 4, 5]}), ["class"])
+
+
+def _baseline_query(method: str, expression: str) -> None:
+    sql = f"WITH {_S}, p AS (SELECT trial_id, event_code, t_idx, value * value + 0.01 AS x FROM s), b AS (SELECT *, avg(CASE WHEN t_idx BETWEEN 1 AND 16 THEN x END) OVER (PARTITION BY trial_id) AS m FROM p) SELECT trial_id, event_code, t_idx, {_R(expression, 'value')} FROM b"
+
+    @_entry(f"baseline_{method}", sql)
+    def _(spark, d):
+        return prep.baseline(samples(spark, d).withColumn("value", F.col("value") * F.col("value") + 0.01), 1, 16, method)
+
+
+for _m, _e in {"absolute": "x - m", "relative": "x / m", "relchange": "(x - m) / m", "vssum": "(x - m) / (x + m)", "db": "10 * log10(x / m)"}.items():
+    _baseline_query(_m, _e)
+
+
+@_entry(
+    "bins_repeated_codes",
+    f"""WITH {_S}, o AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS k FROM embeddings),
+spec(class, event_code, place, repeats, nth) AS (VALUES (1, 0, 0, 1, 0), (1, 1, 1, 1, 0), (2, 2, 0, 2, 0), (2, 2, 1, 2, 1), (2, 3, 2, 1, 0)),
+dealt AS (SELECT o.vec_id, class, place, k // repeats AS bin FROM o JOIN spec ON o.label = spec.event_code AND k % repeats = nth),
+n AS (SELECT class, min(c) AS n_bins FROM (SELECT class, place, count(*) AS c FROM dealt GROUP BY 1, 2) GROUP BY 1)
+SELECT dealt.class, bin, t_idx, count(*) AS n_trials, {_R('avg(value)', 'value')} FROM dealt JOIN n ON dealt.class = n.class AND bin < n_bins JOIN s ON s.trial_id = dealt.vec_id GROUP BY 1, 2, 3""",
+)
+def _(spark, d):
+    return design.bins(samples(spark, d), {1: [0, 1], 2: [2, 2, 3]})
+
+
+@_entry("balance_events", f"WITH o AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY {_KEY}) AS k FROM embeddings) SELECT vec_id AS trial_id, label AS event_code, k FROM o WHERE k <= (SELECT min(c) FROM (SELECT count(*) AS c FROM embeddings GROUP BY label))")
+def _(spark, d):
+    return design.balance(epochs(spark, d).drop("x"))
+
+
+@_entry("restrict_training", f"WITH c AS (SELECT vec_id, label, label % 3 AS class FROM embeddings), o AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY {_KEY}) AS k FROM c) SELECT vec_id AS trial_id, label AS event_code, class FROM o WHERE k <= 100 // 3")
+def _(spark, d):
+    return design.restrict_training(epochs(spark, d).drop("x").withColumn("class", F.col("event_code") % 3), 100, 3)
+
+
+@_entry(
+    "kfold_assignment",
+    f"WITH o AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY {_KEY}) AS r, count(*) OVER (PARTITION BY label) AS n FROM embeddings) SELECT vec_id AS trial_id, label AS event_code, (SELECT min(k) FROM generate_series(1, 5) AS g(k) WHERE r <= ROUND(CAST(k * n AS DOUBLE) / 5)) AS fold FROM o",
+)
+def _(spark, d):
+    return design.folds(epochs(spark, d).drop("x"), 5, "event_code")
+
+
+@_entry("fold_count", "WITH p AS (SELECT CASE WHEN label IN (1, 2) THEN 'common' WHEN label IN (0, 1, 2) THEN 'train' WHEN label IN (1, 2, 3) THEN 'test' END AS part FROM embeddings) SELECT least(10, min(c)) AS n_folds FROM (SELECT count(*) AS c FROM p WHERE part IS NOT NULL GROUP BY part)")
+def _(spark, d):
+    return design.smallest_subset(epochs(spark, d), [0, 1, 2], [1, 2, 3], 10)
+
+
+# scores -----------------------------------------------------------------------------------------------
+
+
+@_entry(
+    "auc_quality_by_length",
+    """WITH x AS (SELECT d.source, l.quality AS label, CAST(d.n_chars AS DOUBLE) AS score FROM documents d JOIN labels l USING (doc_id)),
+r AS (SELECT *, rank() OVER (PARTITION BY source ORDER BY score) + (count(*) OVER (PARTITION BY source, score) - 1) / 2.0 AS r FROM x),
+g AS (SELECT source, CAST(sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS p, CAST(sum(CASE WHEN label = 1 THEN 0 ELSE 1 END) AS DOUBLE) AS n, sum(CASE WHEN label = 1 THEN r ELSE 0 END) AS s FROM r GROUP BY source)
+SELECT source, CASE WHEN p > 0 AND n > 0 THEN ROUND((s - p * (p + 1) / 2.0) / (p * n), 6) + 0.0 END AS auc FROM g""",
+)
+def _(spark, d):
+    scored = table(spark, d, "documents").select("doc_id", "source", F.col("n_chars").cast("double").alias("score")).join(table(spark, d, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
+    return metrics.auc(scored, ["source"])
+
+
+_CENTROIDS = f"""{_S}, c AS (SELECT event_code AS class, t_idx, avg(value) AS m FROM s GROUP BY 1, 2),
+sc AS (SELECT s.trial_id, s.event_code AS label, c.class, ROUND(-sum((value - m) * (value - m)), 7) AS score FROM s JOIN c USING (t_idx) WHERE s.event_code < 4 AND c.class < 4 GROUP BY 1, 2, 3)"""
+
+
+def _centroid_scores(spark: SparkSession, d: str) -> DataFrame:
+    s = samples(spark, d)
+    c = s.groupBy(F.col("event_code").alias("class"), "t_idx").agg(F.avg("value").alias("m"))
+    joined = s.where("event_code < 4").join(F.broadcast(c.where("class < 4")), "t_idx")  # four classes' means
+    return joined.groupBy("trial_id", F.col("event_code").alias("label"), "class").agg(F.round(-F.sum((F.col("value") - F.col("m")) * (F.col("value") - F.col("m"))), 7).alias("score"))
+
+
+@_entry(
+    "auc_multiclass",
+    f"""WITH {_CENTROIDS}, p AS (SELECT sc.*, o AS other FROM sc, generate_series(0, 3) AS g(o) WHERE o <> class AND (label = class OR label = o)),
+r AS (SELECT *, rank() OVER (PARTITION BY class, other ORDER BY score) + (count(*) OVER (PARTITION BY class, other, score) - 1) / 2.0 AS r FROM p),
+a AS (SELECT class, other, CAST(count(*) FILTER (label = class) AS DOUBLE) AS p, CAST(count(*) FILTER (label <> class) AS DOUBLE) AS n, sum(r) FILTER (label = class) AS s FROM r GROUP BY 1, 2)
+SELECT 'all' AS set, {_R('avg((s - p * (p + 1) / 2.0) / (p * n))', 'auc')}, count(*) AS n_pairs FROM a""",
+)
+def _(spark, d):
+    return metrics.auc_multiclass(_centroid_scores(spark, d).withColumn("set", F.lit("all")), [0, 1, 2, 3], ["set"])
+
+
+_ASSIGNED = f"{_CENTROIDS}, a AS (SELECT trial_id, label, arg_min(class, (-score, class)) AS assigned FROM sc GROUP BY 1, 2)"
+
+
+@_entry("confusion_matrix", f"WITH {_ASSIGNED} SELECT label, assigned, count(*) AS n FROM a GROUP BY 1, 2")
+def _(spark, d):
+    return metrics.confusion(metrics.assigned_class(_centroid_scores(spark, d)))
+
+
+@_entry("balanced_accuracy", f"WITH {_ASSIGNED}, r AS (SELECT label, avg(CASE WHEN label = assigned THEN 1.0 ELSE 0.0 END) AS x FROM a GROUP BY 1) SELECT {_R('avg(x)', 'balanced_accuracy')} FROM r")
+def _(spark, d):
+    return metrics.balanced_accuracy(metrics.assigned_class(_centroid_scores(spark, d)))
+
+
+def _detected(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("lang", F.col("quality").alias("label"), F.when(F.col("n_chars") > 800, 1).otherwise(2).alias("assigned"))
+
+
+@_entry(
+    "signal_detection",
+    f"""WITH x AS (SELECT lang, quality AS label, CASE WHEN n_chars > 800 THEN 1 ELSE 2 END AS y FROM documents JOIN labels USING (doc_id)),
+c AS (SELECT lang, CAST(count(*) FILTER (label = 1 AND y = 1) AS DOUBLE) AS h, CAST(count(*) FILTER (label = 1 AND y <> 1) AS DOUBLE) AS m, CAST(count(*) FILTER (label <> 1 AND y = 1) AS DOUBLE) AS f, CAST(count(*) FILTER (label <> 1 AND y <> 1) AS DOUBLE) AS r FROM x GROUP BY 1)
+SELECT lang, {_R('h / (h + m)', 'hr')}, {_R('f / (f + r)', 'far')}, {_R('m / (h + m)', 'mr')}, {_R('r / (f + r)', 'cr')}, {_R('h / (h + m) - f / (f + r)', 'hr_far')} FROM c""",
+)
+def _(spark, d):
+    return metrics.detection(_detected(spark, d), ["lang"]).select("lang", "hr", "far", "mr", "cr", "hr_far")
+
+
+@_entry("d_prime")
+def _(spark, d):
+    return metrics.detection(_detected(spark, d), ["lang"]).select("lang", (z_of("hr_corrected") - z_of("far_corrected")).alias("d_prime"))
+
+
+# preparation ------------------------------------------------------------------------------------------
+
+
+@_entry("subtract_evoked", f"WITH {_S} SELECT trial_id, event_code, t_idx, {_R('value - avg(value) OVER (PARTITION BY event_code, t_idx)', 'value')} FROM s")
+def _(spark, d):
+    return prep.subtract_evoked(samples(spark, d))
+
+
+@_entry("subtract_conditions", f"WITH {_S}, k AS (SELECT vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings WHERE label IN (0, 1)), j AS (SELECT s.*, k FROM s JOIN k ON s.trial_id = k.vec_id) SELECT a.k, a.t_idx, {_R('a.value - b.value', 'value')} FROM j a JOIN j b ON a.k = b.k AND a.t_idx = b.t_idx WHERE a.event_code = 0 AND b.event_code = 1")
+def _(spark, d):
+    return prep.subtract_pairs(samples(spark, d), 0, 1)
+
+
+@_entry("average_timebin", f"WITH {_S} SELECT trial_id, (t_idx - 1) // 4 + 1 AS bin, {_R('avg(value)', 'value')} FROM s GROUP BY 1, 2 HAVING count(*) = 4")
+def _(spark, d):
+    return prep.average_timebin(samples(spark, d), 4, ["trial_id"])
+
+
+@_entry("select_time", f"WITH {_S} SELECT trial_id, event_code, t_idx, {_R('value', 'value')} FROM s WHERE t_idx > 10 AND t_idx < 20")
+def _(spark, d):
+    return prep.select_time(samples(spark, d), 10, 20)
+
+
+@_entry("detrend_linear", f"WITH {_S}, c AS (SELECT *, regr_slope(value, t_idx) OVER w AS b, regr_intercept(value, t_idx) OVER w AS a FROM s WINDOW w AS (PARTITION BY trial_id)) SELECT trial_id, t_idx, ROUND(value - a - b * t_idx, 5) + 0.0 AS value FROM c")
+def _(spark, d):
+    return prep.detrend(samples(spark, d)).select("trial_id", "t_idx", F.round("value", 5).alias("value"))
+
+
+@_entry("smooth_boxcar", f"WITH {_S} SELECT trial_id, event_code, t_idx, {_R('avg(value) OVER (PARTITION BY trial_id ORDER BY t_idx ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)', 'value')} FROM s")
+def _(spark, d):
+    return prep.smooth(samples(spark, d), 5, ["trial_id"])
+
+
+@_entry("nearest_sample", "WITH a AS (SELECT DISTINCT p_size AS t FROM part), q(target) AS (VALUES (7.5), (0.0), (1000.0), (12.2)) SELECT CAST(target AS DOUBLE) AS target, (SELECT arg_min(t, (abs(t - target), t)) FROM a) AS nearest FROM q")
+def _(spark, d):
+    targets = spark.createDataFrame([(7.5,), (0.0,), (1000.0,), (12.2,)], "target double")
+    return prep.nearest(table(spark, d, "part").select(F.col("p_size").alias("t")).distinct(), targets)
+
+
+@_entry("flatline_runs", f"WITH {_S}, d AS (SELECT *, COALESCE(abs(value - lag(value) OVER (PARTITION BY trial_id ORDER BY t_idx)) < 0.1, false) AS still FROM s), i AS (SELECT *, t_idx - row_number() OVER (PARTITION BY trial_id, still ORDER BY t_idx) AS g FROM d) SELECT trial_id, min(t_idx) AS first, max(t_idx) AS last, count(*) AS steps FROM i WHERE still GROUP BY trial_id, g HAVING count(*) >= 2")
+def _(spark, d):
+    return prep.flatlines(samples(spark, d), ["trial_id"], 2, 0.1)
+
+
+@_entry("step_artifacts", f"WITH {_S}, d AS (SELECT trial_id, CASE WHEN count(*) OVER a = 8 AND count(*) OVER b = 8 THEN abs(avg(value) OVER b - avg(value) OVER a) END AS st FROM s WINDOW a AS (PARTITION BY trial_id ORDER BY t_idx ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING), b AS (PARTITION BY trial_id ORDER BY t_idx ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)) SELECT trial_id, {_R('max(st)', 'largest')} FROM d GROUP BY 1 HAVING max(st) > 0.13")
+def _(spark, d):
+    return prep.step_artifacts(samples(spark, d), ["trial_id"], 8, 0.13)
+
+
+@_entry("artifact_z", f"WITH {_S}, m AS (SELECT t_idx, avg(value) AS m, stddev_pop(value) AS sd FROM s GROUP BY 1) SELECT trial_id, {_R('sum((value - m) / sd)', 'z_sum')} FROM s JOIN m USING (t_idx) GROUP BY 1")
+def _(spark, d):
+    return prep.artifact_z(samples(spark, d))
+
+
+# behaviour --------------------------------------------------------------------------------------------
+
+_B = "e AS (SELECT user_id AS subject, event_type AS event, CAST(ROUND(epoch_us(ts) / 1000.0) AS BIGINT) AS time_ms, value, event_id FROM events)"
+
+
+def _response_query(name: str, last: bool) -> None:
+    pick = "DESC" if last else "ASC"
+    sql = f"""WITH {_B}, j AS (SELECT s.event_id, s.subject, s.time_ms, r.time_ms AS response_ms, r.event_id AS response_id, row_number() OVER (PARTITION BY s.event_id ORDER BY r.time_ms {pick}, r.event_id {pick}) AS k
+FROM e s LEFT JOIN e r ON s.subject = r.subject AND r.event = 'click' AND r.time_ms BETWEEN s.time_ms + 60000 AND s.time_ms + 7200000 WHERE s.event = 'view')
+SELECT event_id, subject, time_ms, response_ms, response_id, response_ms - time_ms AS rt_ms FROM j WHERE k = 1"""
+
+    @_entry(name, sql)
+    def _(spark, d):
+        e = behaviour(spark, d)
+        return behavior.add_responses(e.where("event = 'view'").select("event_id", "subject", "time_ms"), e.where("event = 'click'"), 60_000, 7_200_000, last)
+
+
+_response_query("responses_first", False)
+_response_query("responses_last", True)
+
+
+@_entry("epochs_around_errors", f"WITH {_B} SELECT s.event_id AS error_id, r.event_id AS event_id, r.time_ms - s.time_ms AS offset_ms FROM e s JOIN e r ON s.subject = r.subject AND r.time_ms - s.time_ms BETWEEN -1800000 AND 3600000 WHERE s.event = 'error'")
+def _(spark, d):
+    e = behaviour(spark, d)
+    return prep.cut_epochs(e.where("event = 'error'").select(F.col("event_id").alias("error_id"), "subject", "time_ms"), e.select("event_id", "subject", "time_ms"), -1_800_000, 3_600_000, 3_600_000).select("error_id", "event_id", "offset_ms")
+
+
+@_entry("reject_intervals", f"WITH {_B} SELECT event_id FROM e WHERE NOT EXISTS (SELECT 1 FROM e b WHERE b.event = 'error' AND b.subject = e.subject AND e.time_ms BETWEEN b.time_ms - 3600000 AND b.time_ms + 3600000)")
+def _(spark, d):
+    e = behaviour(spark, d)
+    bad = e.where("event = 'error'").select("subject", (F.col("time_ms") - 3_600_000).alias("start_ms"), (F.col("time_ms") + 3_600_000).alias("stop_ms"))
+    return prep.reject_intervals(e.select("event_id", "subject", "time_ms"), bad, 7_200_000).select("event_id")
+
+
+@_entry("join_adjacent_events", f"WITH {_B}, n AS (SELECT *, COALESCE(CAST(event <> lag(event) OVER w AS INT), 1) AS new FROM e WINDOW w AS (PARTITION BY subject ORDER BY time_ms, event_id)), r AS (SELECT *, sum(new) OVER (PARTITION BY subject ORDER BY time_ms, event_id ROWS UNBOUNDED PRECEDING) AS run FROM n) SELECT subject, CAST(run AS BIGINT) AS run, min(event) AS event, min(time_ms) AS first, count(*) AS n FROM r GROUP BY subject, run")
+def _(spark, d):
+    return behavior.join_adjacent(behaviour(spark, d), "subject", ["time_ms", "event_id"])
+
+
+@_entry("duration_to_next", f"WITH {_B} SELECT event_id, lead(time_ms) OVER (PARTITION BY subject ORDER BY time_ms, event_id) - time_ms AS duration_ms FROM e")
+def _(spark, d):
+    return behavior.duration_to_next(behaviour(spark, d), "subject", ["time_ms", "event_id"]).select("event_id", "duration_ms")
+
+
+@_entry("role_runs", "WITH n AS (SELECT *, COALESCE(CAST(role <> lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS INT), 1) AS new FROM conversations), r AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS run FROM n) SELECT conv_id, CAST(run AS BIGINT) AS run, min(role) AS event, min(turn) AS first, count(*) AS n FROM r GROUP BY conv_id, run")
+def _(spark, d):
+    return behavior.join_adjacent(table(spark, d, "conversations"), "conv_id", ["turn"], "role")
+
+
+# group level ------------------------------------------------------------------------------------------
+
+_HOURS = "h AS (SELECT user_id AS subject, hour(ts) + 1 AS sample, avg(value) AS value FROM events GROUP BY 1, 2)"
+
+
+def _by_hour(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").groupBy(F.col("user_id").alias("subject"), (F.hour(F.col("ts").cast("timestamp")) + 1).alias("sample")).agg(F.avg("value").alias("value"))
+
+
+@_entry("group_mean_se", f"WITH {_HOURS} SELECT sample, {_R('avg(value)', 'mean')}, {_R('stddev_samp(value) / sqrt(count(*))', 'se')}, count(*) AS n FROM h GROUP BY 1")
+def _(spark, d):
+    return group.mean_se(_by_hour(spark, d), ["sample"])
+
+
+@_entry("one_sample_t", f"WITH {_HOURS} SELECT sample, {_R('avg(value)', 'mean')}, count(*) - 1 AS df, {_R('(avg(value) - 50) / (stddev_samp(value) / sqrt(count(*)))', 't')} FROM h GROUP BY 1")
+def _(spark, d):
+    return group.one_sample_t(_by_hour(spark, d), ["sample"], 50.0)
+
+
+@_entry("one_sample_p")
+def _(spark, d):
+    return group.one_sample_t(_by_hour(spark, d), ["sample"], 50.0).withColumn("p", t_two_sided("t", F.col("df").cast("double")))
+
+
+_SUPP = "q AS (SELECT l_suppkey AS subject, l_returnflag AS cond, avg(l_discount) AS value FROM lineitem GROUP BY 1, 2)"
+
+
+def _by_supplier(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("subject"), F.col("l_returnflag").alias("cond")).agg(F.avg("l_discount").alias("value"))
+
+
+@_entry("paired_t", f"WITH {_SUPP}, p AS (SELECT a.value - b.value AS value FROM q a JOIN q b ON a.subject = b.subject WHERE a.cond = 'A' AND b.cond = 'N') SELECT 'A-N' AS cond, {_R('avg(value)', 'mean')}, count(*) - 1 AS df, {_R('avg(value) / (stddev_samp(value) / sqrt(count(*)))', 't')} FROM p")
+def _(spark, d):
+    q = _by_supplier(spark, d)
+    return group.one_sample_t(group.paired(q.where("cond = 'A'"), q.where("cond = 'N'"), ["subject"]).withColumn("cond", F.lit("A-N")), ["cond"])
+
+
+def _unpaired(name: str, equal: bool) -> None:
+    if equal:
+        se, df = "sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1.0 / n1 + 1.0 / n2))", "CAST(n1 + n2 - 2 AS DOUBLE)"
+    else:
+        se, df = "sqrt(v1 / n1 + v2 / n2)", "pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1))"
+    sql = f"WITH g AS (SELECT l_linestatus AS s, avg(l_quantity) FILTER (l_returnflag = 'A') AS m1, var_samp(l_quantity) FILTER (l_returnflag = 'A') AS v1, count(*) FILTER (l_returnflag = 'A') AS n1, avg(l_quantity) FILTER (l_returnflag = 'R') AS m2, var_samp(l_quantity) FILTER (l_returnflag = 'R') AS v2, count(*) FILTER (l_returnflag = 'R') AS n2 FROM lineitem GROUP BY 1) SELECT s, {_R(f'(m1 - m2) / {se}', 't')}, {_R(df, 'df')} FROM g"
+
+    @_entry(name, sql)
+    def _(spark, d):
+        return group.two_sample_t(table(spark, d, "lineitem").withColumnRenamed("l_linestatus", "s"), ["s"], "l_returnflag", "A", "R", equal, "l_quantity")
+
+
+_unpaired("two_sample_t_pooled", True)
+_unpaired("two_sample_t_welch", False)
+
+
+def _fdr_query(name: str, dependent: bool) -> None:
+    harmonic = "sum(1.0 / r) OVER ()" if dependent else "1.0"
+    sql = f"""WITH p AS (SELECT l_partkey AS key, ROUND(exp(-abs(avg(l_quantity) - 25.5) * sqrt(count(*)) / 3.0), 9) AS p FROM lineitem GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY p, key) AS r, count(*) OVER () AS m FROM p),
+c AS (SELECT *, r * CAST(0.05 AS DOUBLE) / (m * {harmonic}) AS bound FROM r), k AS (SELECT *, max(CASE WHEN p <= bound THEN p END) OVER () AS crit FROM c)
+SELECT 'parts' AS family, key, {_R('p', 'p')}, r AS rank, {_R('crit', 'crit')}, COALESCE(p <= crit, false) AS h FROM k"""
+
+    @_entry(name, sql)
+    def _(spark, d):
+        p = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("key")).agg(F.round(F.exp(-F.abs(F.avg("l_quantity") - 25.5) * F.sqrt(F.count(F.lit(1))) / 3.0), 9).alias("p"))
+        return group.fdr(p.select(F.lit("parts").alias("family"), "key", "p"), ["family"], 0.05, dependent)
+
+
+_fdr_query("fdr_bh", False)
+_fdr_query("fdr_by", True)
+
+_RUNS = """x AS (SELECT *, CASE WHEN t > {th} THEN 1 WHEN t < -{th} THEN -1 ELSE 0 END AS sign FROM ts),
+i AS (SELECT *, sample - row_number() OVER (PARTITION BY {by}sign ORDER BY sample) AS g FROM x WHERE sign <> 0)"""
+
+
+@_entry("clusters_1d", f"WITH {_HOURS}, ts AS (SELECT sample, (avg(value) - 50) / (stddev_samp(value) / sqrt(count(*))) AS t FROM h GROUP BY 1), {_RUNS.format(th=0.5, by='')} SELECT sign, min(sample) AS first, max(sample) AS last, count(*) AS size, {_R('sum(abs(t))', 'mass')}, arg_max(sample, (abs(ROUND(t, 9)), -sample)) AS peak_t FROM i GROUP BY sign, g")
+def _(spark, d):
+    return group.runs_over(group.one_sample_t(_by_hour(spark, d), ["sample"], 50.0), [], "sample", "t", 0.5)
+
+
+@_entry(
+    "cluster_permutation",
+    f"""WITH {_HOURS}, f AS (SELECT rep, subject, sample, CASE WHEN rep = 0 OR floor((((rep * 7919 + subject * 104729) * 1103515245 + 12345) % 2147483648) / 65536.0) % 2 = 0 THEN 1.0 ELSE -1.0 END * (value - 50) AS value FROM h, generate_series(0, 50) AS g(rep)),
+ts AS (SELECT rep, sample, CASE WHEN count(*) > 1 AND stddev_samp(value) > 0 THEN avg(value) / (stddev_samp(value) / sqrt(count(*))) END AS t FROM f GROUP BY 1, 2), {_RUNS.format(th=1.0, by='rep, ')},
+c AS (SELECT rep, sum(abs(t)) AS mass FROM i GROUP BY rep, sign, g) SELECT rep, ROUND(COALESCE(max(mass), 0.0), 6) + 0.0 AS mass FROM generate_series(0, 50) AS g(rep) LEFT JOIN c USING (rep) GROUP BY rep""",
+)
+def _(spark, d):
+    return group.permutation_masses(_by_hour(spark, d).withColumn("value", F.col("value") - 50), 50, 1.0)
+
+
+@_entry("permutation_p")
+def _(spark, d):
+    return group.permutation_p(group.permutation_masses(_by_hour(spark, d).withColumn("value", F.col("value") - 50), 50, 1.0))
+
+
+_MATRIX = "m AS (SELECT l_linenumber AS \"row\", p_size % 7 + 1 AS col, avg(l_discount) AS value FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"
+
+
+def _matrix(spark: SparkSession, d: str) -> DataFrame:
+    joined = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return joined.groupBy(F.col("l_linenumber").alias("row"), (F.col("p_size") % 7 + 1).alias("col")).agg(F.avg("l_discount").alias("value"))
+
+
+@_entry("symmetrise", f"WITH {_MATRIX} SELECT a.\"row\", a.col, {_R('(a.value + b.value) / 2.0', 'value')} FROM m a JOIN m b ON a.\"row\" = b.col AND a.col = b.\"row\"")
+def _(spark, d):
+    return group.symmetrise(_matrix(spark, d), [])
+
+
+for _h, _c in (("avtrain", '"row"'), ("avtest", "col")):
+    _entry(f"reduce_{_h}", f"WITH {_MATRIX} SELECT {_c} AS t, {_R('avg(value)', 'value')} FROM m GROUP BY 1")(lambda spark, d, how=_h: group.reduce_matrix(_matrix(spark, d), [], how))
+_entry("reduce_diag", f"WITH {_MATRIX} SELECT \"row\" AS t, {_R('value', 'value')} FROM m WHERE \"row\" = col")(lambda spark, d: group.reduce_matrix(_matrix(spark, d), [], "diag"))
+
+
+@_entry("latency_onset", f"WITH {_HOURS}, p AS (SELECT *, max(value) OVER (PARTITION BY subject) AS peak FROM h) SELECT subject, {_R('max(peak)', 'peak')}, min(sample) AS onset_t FROM p WHERE value >= peak * 0.5 GROUP BY 1")
+def _(spark, d):
+    return group.onset(_by_hour(spark, d).withColumnRenamed("sample", "t"), ["subject"])
+
+
+@_entry("latency_jackknife", f"WITH {_HOURS} SELECT subject, sample AS t, ROUND((sum(value) OVER (PARTITION BY sample) - value) / nullif(count(*) OVER (PARTITION BY sample) - 1, 0), 4) + 0.0 AS value FROM h")
+def _(spark, d):
+    return group.jackknife(_by_hour(spark, d).withColumnRenamed("sample", "t")).select("subject", "t", F.round("value", 4).alias("value"))
+
+
+for _k, _x, _y in (("pearson", "l_quantity", "l_extendedprice"), ("spearman", "rx", "ry")):
+    _entry(
+        f"correlate_{_k}",
+        f"WITH q AS (SELECT *, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_returnflag, l_extendedprice) - 1) / 2.0 AS ry FROM lineitem), c AS (SELECT l_returnflag, corr({_x}, {_y}) AS r FROM q GROUP BY 1) SELECT l_returnflag, {_R('r', 'r')}, {_R('0.5 * ln((1 + r) / (1 - r))', 'fisher_z')} FROM c",
+    )(lambda spark, d, kind=_k: group.correlate(table(spark, d, "lineitem"), ["l_returnflag"], "l_quantity", "l_extendedprice", kind))
+
+
+# arrays -------------------------------------------------------------------------------------------------
+
+
+@_entry("nt_demean", f"WITH {_S} SELECT trial_id, event_code, t_idx, {_R('value - avg(value) OVER (PARTITION BY trial_id)', 'value')} FROM s")
+def _(spark, d):
+    return arrays.weighted_demean(samples(spark, d), ["trial_id"])
+
+
+@_entry("nt_normcol", f"WITH {_S} SELECT trial_id, event_code, t_idx, {_R('value / sqrt(avg(value * value) OVER (PARTITION BY trial_id))', 'value')} FROM s")
+def _(spark, d):
+    return arrays.normalise(samples(spark, d), ["trial_id"])
+
+
+@_entry("nt_multishift", f"WITH {_S}, l AS (SELECT *, lead(value, 0) OVER w AS lag0, lead(value, 3) OVER w AS lag3 FROM s WINDOW w AS (PARTITION BY trial_id ORDER BY t_idx)) SELECT trial_id, event_code, t_idx, {_R('value', 'value')}, {_R('lag0', 'lag0')}, {_R('lag3', 'lag3')} FROM l WHERE lag3 IS NOT NULL")
+def _(spark, d):
+    return arrays.lags(samples(spark, d), [0, 3], ["trial_id"])
+
+
+@_entry("nt_cov", f"WITH {_S} SELECT a.t_idx AS i, b.t_idx AS j, {_R('sum(a.value * b.value)', 'sum')}, count(*) AS n FROM s a JOIN s b ON a.trial_id = b.trial_id AND a.t_idx <= b.t_idx GROUP BY 1, 2")
+def _(spark, d):
+    return arrays.cross_products(epochs(spark, d))
+
+
+@_entry("nt_lagged_cov", f"WITH {_S}, l AS (SELECT value, lead(value, 1) OVER w AS a, lead(value, 4) OVER w AS b FROM s WINDOW w AS (PARTITION BY trial_id ORDER BY t_idx)) SELECT 1 AS lag, {_R('sum(value * a)', 'sum')} FROM l WHERE b IS NOT NULL UNION ALL SELECT 4, {_R('sum(value * b)', 'sum')} FROM l WHERE b IS NOT NULL")
+def _(spark, d):
+    return arrays.lagged_products(samples(spark, d), [1, 4], ["trial_id"])
+
+
+@_entry("nt_split", f"WITH {_S}, c AS (SELECT trial_id, t_idx, ROUND(sum(value * value) OVER l - sum(value) OVER l * sum(value) OVER l / count(*) OVER l + sum(value * value) OVER r - sum(value) OVER r * sum(value) OVER r / count(value) OVER r, 9) AS cost FROM s WINDOW l AS (PARTITION BY trial_id ORDER BY t_idx ROWS UNBOUNDED PRECEDING), r AS (PARTITION BY trial_id ORDER BY t_idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) SELECT trial_id, arg_min(t_idx, (cost, t_idx)) AS split_t, {_R('min(cost)', 'cost')} FROM c WHERE cost IS NOT NULL AND NOT isnan(cost) GROUP BY 1")
+def _(spark, d):
+    return arrays.best_split(samples(spark, d), ["trial_id"])
+
+
+@_entry("nt_dsample_mmx", f"WITH {_S} SELECT trial_id, (t_idx - 1) // 8 AS bin, {_R('arg_min(value, t_idx)', 'value')}, {_R('min(value)', 'low')}, {_R('max(value)', 'high')} FROM s GROUP BY 1, 2")
+def _(spark, d):
+    return arrays.downsample(samples(spark, d), 8, ["trial_id"])
+
+
+@_entry("nt_bad_channels", f"WITH {_S}, c AS (SELECT median(abs(value)) AS c FROM s) SELECT t_idx, {_R('avg(CASE WHEN abs(value) > 1.5 * c THEN 1.0 ELSE 0.0 END)', 'share')} FROM s, c GROUP BY 1 HAVING avg(CASE WHEN abs(value) > 1.5 * c THEN 1.0 ELSE 0.0 END) > 0.3")
+def _(spark, d):
+    return arrays.bad_channels(samples(spark, d), 0.3, 1.5)
+
+
+@_entry("nt_unique", "SELECT p_brand, p_size, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY 1, 2")
+def _(spark, d):
+    return arrays.unique_rows(table(spark, d, "part"), ["p_brand", "p_size"], "p_partkey")
+
+
+@_entry("nt_proximity", "WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS trial_id, ROUND(list_sum(list_transform(generate_series(1, 64), lambda i: (CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE)) * (CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE)))), 6) AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, trial_id) AS rank FROM p) SELECT * FROM r WHERE rank <= 5")
+def _(spark, d):
+    e = epochs(spark, d).select("trial_id", "x")
+    return arrays.neighbours(e, e.where("trial_id % 100 = 0"), 5)
+
+
+# circular and robust statistics ----------------------------------------------------------------------------
+
+_ANG = "a AS (SELECT o_orderpriority AS g, 2 * pi() * dayofyear(o_orderdate) / 366.0 AS alpha, o_totalprice AS x FROM orders), m AS (SELECT g, CAST(count(*) AS DOUBLE) AS n, sum(cos(alpha)) AS c, sum(sin(alpha)) AS s FROM a GROUP BY 1)"
+
+
+def _angles(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select(F.col("o_orderpriority").alias("g"), (2 * F.pi() * F.dayofyear("o_orderdate") / F.lit(366.0)).alias("alpha"), F.col("o_totalprice").alias("x"))
+
+
+@_entry("circ_describe", f"WITH {_ANG}, r AS (SELECT *, sqrt(c * c + s * s) / n AS r FROM m) SELECT g, n, {_R('atan2(s, c)', 'mu')}, {_R('r', 'r')}, {_R('1 - r', 'var')}, {_R('sqrt(2 * (1 - r))', 'std')}, {_R('sqrt(-2 * ln(r))', 'std0')} FROM r")
+def _(spark, d):
+    return circ.describe(_angles(spark, d), ["g"])
+
+
+@_entry("circ_rayleigh", f"WITH {_ANG}, r AS (SELECT *, sqrt(c * c + s * s) AS r FROM m) SELECT g, {_R('r * r / n', 'z')}, {_R('exp(sqrt(1 + 4 * n + 4 * (n * n - r * r)) - (1 + 2 * n))', 'p')} FROM r")
+def _(spark, d):
+    return circ.rayleigh(_angles(spark, d), ["g"])
+
+
+@_entry("circ_vtest", f"WITH {_ANG} SELECT g, {_R('c * cos(1.0) + s * sin(1.0)', 'v')}, {_R('(c * cos(1.0) + s * sin(1.0)) * sqrt(2 / n)', 'u')} FROM m")
+def _(spark, d):
+    return circ.v_test(_angles(spark, d), ["g"], 1.0)
+
+
+@_entry("circ_wwtest", f"WITH {_ANG}, t AS (SELECT count(*) AS g, sum(n) AS n, sum(sqrt(c * c + s * s)) AS sr, sqrt(sum(c) * sum(c) + sum(s) * sum(s)) AS ar FROM m), k AS (SELECT *, sr / n AS w FROM t), b AS (SELECT *, CASE WHEN w < 0.53 THEN 2 * w + pow(w, 3) + 5 * pow(w, 5) / 6 WHEN w < 0.85 THEN -0.4 + 1.39 * w + 0.43 / (1 - w) ELSE 1 / (pow(w, 3) - 4 * w * w + 3 * w) END AS kappa FROM k) SELECT {_R('(1 + 3 / (8 * kappa)) * (n - g) * (sr - ar) / ((g - 1) * (n - sr))', 'f')}, g - 1 AS df1, n - g AS df2 FROM b")
+def _(spark, d):
+    return circ.watson_williams(_angles(spark, d), "g")
+
+
+@_entry("circ_corrcl", f"WITH {_ANG}, c AS (SELECT g, corr(x, sin(alpha)) AS rs, corr(x, cos(alpha)) AS rc, corr(sin(alpha), cos(alpha)) AS cs FROM a GROUP BY 1) SELECT g, {_R('sqrt((rc * rc + rs * rs - 2 * rc * rs * cs) / (1 - cs * cs))', 'rho')} FROM c")
+def _(spark, d):
+    return circ.linear_correlation(_angles(spark, d), ["g"])
+
+
+@_entry("robust_mad", f"WITH a AS (SELECT l_returnflag AS g, median(l_extendedprice) AS md FROM lineitem GROUP BY 1), dv AS (SELECT l_returnflag AS g, l_extendedprice AS value, md, abs(l_extendedprice - md) AS dev FROM lineitem JOIN a ON l_returnflag = g), m AS (SELECT g, median(dev) AS mad FROM dv GROUP BY 1) SELECT g, {_R('max(md)', 'median')}, {_R('max(mad)', 'mad')}, count(*) FILTER (dev * 0.6745 > 2.2414 * mad) AS n_out FROM dv JOIN m USING (g) GROUP BY g")
+def _(spark, d):
+    out = robust.mad_rule(table(spark, d, "lineitem").select(F.col("l_returnflag").alias("g"), F.col("l_extendedprice").alias("value")), ["g"])
+    return out.groupBy("g").agg(F.max("median").alias("median"), F.max("mad").alias("mad"), F.sum(F.col("outlier").cast("long")).alias("n_out"))
+
+
+@_entry("robust_ideal_fourths", f"WITH r AS (SELECT l_returnflag AS g, l_extendedprice AS v, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) AS i, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem), j AS (SELECT *, floor(n / 4.0 + 5 / 12.0) AS j, n / 4.0 + 5 / 12.0 - floor(n / 4.0 + 5 / 12.0) AS f FROM r) SELECT g, {_R('(1 - max(f)) * max(CASE WHEN i = j THEN v END) + max(f) * max(CASE WHEN i = j + 1 THEN v END)', 'low')}, {_R('(1 - max(f)) * max(CASE WHEN i = n - j + 1 THEN v END) + max(f) * max(CASE WHEN i = n - j THEN v END)', 'high')} FROM j GROUP BY g")
+def _(spark, d):
+    return robust.ideal_fourths(table(spark, d, "lineitem").select(F.col("l_returnflag").alias("g"), F.col("l_extendedprice").alias("value")), ["g"])
+
+
+@_entry("robust_bendcorr")
+def _(spark, d):
+    return robust.bend_correlation(table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("n_regionkey", F.col("s_acctbal").alias("x"), F.col("s_suppkey").cast("double").alias("y")), ["n_regionkey"], "x", "y").where("df > 5")
+
+
+# names, sets and jobs -------------------------------------------------------------------------------------
+
+
+@_entry("grouptrain_pairs", "SELECT a.n_name AS train, b.n_name AS test FROM nation a, nation b WHERE a.n_nationkey <> b.n_nationkey")
+def _(spark, d):
+    n = table(spark, d, "nation")  # a dimension of 25 rows
+    return n.select(F.col("n_nationkey").alias("a"), F.col("n_name").alias("train")).join(F.broadcast(n.select(F.col("n_nationkey").alias("b"), F.col("n_name").alias("test"))), F.col("a") != F.col("b")).select("train", "test")
+
+
+@_entry("missing_results", "SELECT n_name FROM nation WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 9000)")
+def _(spark, d):
+    return table(spark, d, "nation").join(table(spark, d, "supplier").where("s_acctbal > 9000"), F.col("n_nationkey") == F.col("s_nationkey"), "left_anti").select("n_name")
+
+
+@_entry("underscored_names", "SELECT p_partkey, replace(p_type, ' ', '_') AS name, (p_size - 1) % 24 + 1 AS slot FROM part")
+def _(spark, d):
+    return table(spark, d, "part").select("p_partkey", T.underscored("p_type").alias("name"), T.mod_from_one(F.col("p_size"), 24).alias("slot"))
+
+
+@_entry("cube_by_region", f"SELECT r_name, c_mktsegment, count(*) AS n, {_R('avg(c_acctbal)', 'mean')} FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY CUBE (r_name, c_mktsegment)")
+def _(spark, d):
+    dims = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return table(spark, d, "customer").join(F.broadcast(dims), F.col("c_nationkey") == F.col("n_nationkey")).cube("r_name", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.avg("c_acctbal").alias("mean"))
+
+
+# matrix models (tested against numpy) ---------------------------------------------------------------------
+
+
+def _matrix_query(name: str, f: Query) -> None:
+    _entry(name)(f)
+
+
+_matrix_query("lda_linear", lambda spark, d: metrics.auc(decode.decode_folds(_two_classes(spark, d)).where("class = 1"), ["fold"]))
+_matrix_query("lda_whitened", lambda spark, d: metrics.auc(decode.decode_folds(_two_classes(spark, d), "diaglinear", True).where("class = 1"), ["fold"]))
+_matrix_query("lda_quadratic", lambda spark, d: metrics.auc(decode.decode_folds(_two_classes(spark, d), "diagquadratic").where("class = 1"), ["fold"]))
+_matrix_query("weights_and_patterns", lambda spark, d: decode.weights_and_patterns(_two_classes(spark, d).withColumn("subject", F.lit("s1"))))
+_matrix_query("forward_model", lambda spark, d: decode.forward_model(design.folds(epochs(spark, d).where("event_code < 10").withColumn("class", F.col("event_code")), 5), 10))
+_matrix_query("oversample_adasyn", lambda spark, d: decode.oversample(epochs(spark, d).where("event_code < 3").withColumn("class", F.col("event_code")).withColumn("subject", F.lit("s1"))).groupBy("class").agg(F.count(F.lit(1)).alias("n")))
+_matrix_query("tfr_hann_power", lambda spark, d: arrays.spectral_power(epochs(spark, d), 64.0, [4.0, 8.0, 16.0]))
+_matrix_query("robust_detrend", lambda spark, d: arrays.robust_detrend(epochs(spark, d), 1).select("trial_id", F.posexplode("x").alias("t_idx", "value")))
+_matrix_query("principal_components", lambda spark, d: arrays.apply_filters(epochs(spark, d), arrays.principal(arrays.covariance(epochs(spark, d))[0])[1][:, :3]).select("trial_id", F.posexplode("x").alias("component", "value")))
+_matrix_query("grid_clusters", lambda spark, d: group.grid_clusters(_matrix(spark, d).withColumn("value", F.col("value") - 0.05).withColumn("cond", F.lit("discount")), 0.0005))
