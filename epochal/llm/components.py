@@ -43,4 +43,4 @@ def components(edges: DataFrame, work: Work, most_rounds: int = 60) -> DataFrame
         before = after
     else:
         raise RuntimeError(f"links still change after {most_rounds} rounds")
-    return now.select("u", F.col("v").alias("component"))
+    return now.select("u", F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("u"), F.col("v").alias("component")).distinct())
