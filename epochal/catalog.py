@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from epochal.functions import text as T
 from epochal.functions.dist import t_two_sided, z_of
 from epochal.operators import arrays, behavior, circ, decode, design, group, metrics, prep, robust
+from epochal.plans.levels import FirstLevel, GroupLevel, first_level, group_level
 from epochal.sources.adapters import behaviour, epochs, samples, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -562,6 +563,128 @@ def _(spark, d):
     return table(spark, d, "customer").join(F.broadcast(dims), F.col("c_nationkey") == F.col("n_nationkey")).cube("r_name", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.avg("c_acctbal").alias("mean"))
 
 
+# more of the group level, arrays and angles ------------------------------------------------------------------
+
+
+@_entry("time_limits", f"WITH {_HOURS}, x AS (SELECT DISTINCT sample AS t FROM h), e AS (SELECT arg_min(t, (abs(t - 3.4), t)) AS lo, arg_min(t, (abs(t - 9.5), t)) AS hi FROM x) SELECT subject, sample AS t, {_R('value', 'value')} FROM h, e WHERE sample BETWEEN lo AND hi")
+def _(spark, d):
+    return group.snap_limits(_by_hour(spark, d).withColumnRenamed("sample", "t"), 3.4, 9.5).select("subject", "t", "value")
+
+
+@_entry("select_subjects", "SELECT c_custkey, c_name AS subject FROM customer WHERE NOT (contains(c_name, '1') OR contains(c_name, '7'))")
+def _(spark, d):
+    return group.select_subjects(table(spark, d, "customer").select("c_custkey", F.col("c_name").alias("subject")), ["1", "7"], invert=True)
+
+
+@_entry("concat_stats", f"WITH {_SUPP}, p AS (SELECT 'A-N' AS cond, a.subject, a.value - b.value AS value FROM q a JOIN q b USING (subject) WHERE a.cond = 'A' AND b.cond = 'N'), u AS (SELECT cond, subject, value FROM p UNION ALL SELECT cond, subject, value FROM q) SELECT subject, {_R('value', 'value')}, cond, CAST(contains(cond, '-') AS BIGINT) AS place FROM u")
+def _(spark, d):
+    q = _by_supplier(spark, d)
+    difference = group.paired(q.where("cond = 'A'"), q.where("cond = 'N'"), ["subject"]).withColumn("cond", F.lit("A-N"))
+    return group.concat_stats([difference, q])
+
+
+@_entry("average_stats", f"WITH {_SUPP} SELECT subject, {_R('avg(value)', 'value')} FROM q GROUP BY 1")
+def _(spark, d):
+    return _by_supplier(spark, d).groupBy("subject").agg(F.avg("value").alias("value"))
+
+
+@_entry("randomisation_p", "WITH v AS (SELECT l_suppkey AS subject, l_linenumber - 1 AS rep, avg(l_tax) AS value FROM lineitem GROUP BY 1, 2) SELECT a.subject, ROUND(avg(CASE WHEN a.value >= b.value THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS p FROM v a JOIN v b ON a.subject = b.subject AND b.rep = 0 WHERE a.rep > 0 GROUP BY 1")
+def _(spark, d):
+    v = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("subject"), (F.col("l_linenumber") - 1).alias("rep")).agg(F.avg("l_tax").alias("value"))
+    return group.randomisation_p(v, ["subject"])
+
+
+@_entry("job_expansion", "SELECT r_name, n_name, f AS fold FROM region, nation, generate_series(1, 3) AS g(f)")
+def _(spark, d):
+    jobs = table(spark, d, "region").select("r_name").join(F.broadcast(table(spark, d, "nation").select("n_name")), how="cross")  # dimensions of 5 and 25 rows
+    return jobs.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(3))))
+
+
+@_entry("weighted_mean", f"SELECT l_returnflag, {_R('sum(l_extendedprice * l_quantity) / nullif(sum(l_quantity), 0)', 'value')} FROM lineitem GROUP BY 1")
+def _(spark, d):
+    return arrays.weighted_mean(table(spark, d, "lineitem").withColumnRenamed("l_extendedprice", "value"), ["l_returnflag"], "l_quantity")
+
+
+@_entry("nt_growmask", f"WITH {_S} SELECT trial_id, t_idx, max(CASE WHEN abs(value) > 0.25 THEN 1 ELSE 0 END) OVER (PARTITION BY trial_id ORDER BY t_idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) > 0 AS mask FROM s")
+def _(spark, d):
+    return arrays.grow_mask(samples(spark, d).withColumn("mask", F.abs("value") > 0.25), 2, ["trial_id"]).select("trial_id", "t_idx", "mask")
+
+
+@_entry("nt_xcov", f"WITH {_S} SELECT a.t_idx AS i, b.t_idx AS j, {_R('sum(a.value * b.value)', 'sum')} FROM s a JOIN s b ON a.trial_id = b.trial_id WHERE a.t_idx <= 8 AND b.t_idx > 56 GROUP BY 1, 2")
+def _(spark, d):
+    s = samples(spark, d)
+    return arrays.cross_covariance(s.where("t_idx <= 8"), s.where("t_idx > 56"), "trial_id")
+
+
+@_entry("nt_unfold", f"WITH {_S} SELECT trial_id, len(list(value ORDER BY t_idx)) AS n, {_R('list(value ORDER BY t_idx)[5]', 'fifth')} FROM s WHERE t_idx % 2 = 1 GROUP BY 1")
+def _(spark, d):
+    return arrays.unfold(samples(spark, d).where("t_idx % 2 = 1"), ["trial_id"]).select("trial_id", F.size("x").alias("n"), F.col("x")[4].alias("fifth"))
+
+
+@_entry("smooth_grid", f"WITH {_MATRIX} SELECT a.\"row\", a.col, {_R('avg(b.value)', 'value')} FROM m a JOIN m b ON abs(a.\"row\" - b.\"row\") <= 1 AND abs(a.col - b.col) <= 1 GROUP BY 1, 2")
+def _(spark, d):
+    return arrays.smooth_grid(_matrix(spark, d), 1, 1)
+
+
+@_entry("quality_windows", "WITH w AS (SELECT time_bucket(INTERVAL 20 MINUTES, ts, TIMESTAMP '1970-01-01') - k * INTERVAL 20 MINUTES AS start, event_type FROM events, generate_series(0, 2) AS g(k)) SELECT epoch_us(start) // 1000000 AS start, event_type, count(*) AS n FROM w GROUP BY 1, 2")
+def _(spark, d):
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return e.groupBy(F.window("ts", "1 hour", "20 minutes"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.unix_timestamp("window.start").alias("start"), "event_type", "n")
+
+
+@_entry("event_sessions", "WITH g AS (SELECT user_id, ts, COALESCE(CAST(ts - lag(ts) OVER w >= INTERVAL 6 HOURS AS INT), 1) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, epoch_us(min(ts)) AS start, count(*) AS n FROM r GROUP BY user_id, k")
+def _(spark, d):
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return e.groupBy(F.session_window("ts", "6 hours"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.unix_micros("session_window.start").alias("start"), "n")
+
+
+@_entry("circ_moment", f"WITH {_ANG}, p AS (SELECT g, count(*) AS n, sum(cos(2 * alpha)) AS c, sum(sin(2 * alpha)) AS s FROM a GROUP BY 1) SELECT g, {_R('sqrt(c * c + s * s) / n', 'rho')}, {_R('atan2(s, c)', 'mu')} FROM p")
+def _(spark, d):
+    return circ.moment(_angles(spark, d), ["g"], 2)
+
+
+@_entry("circ_shape", f"WITH {_ANG} SELECT a.g, {_R('avg(sin(2 * (alpha - atan2(s, c))))', 'skewness')}, {_R('avg(cos(2 * (alpha - atan2(s, c))))', 'kurtosis')} FROM a JOIN m USING (g) GROUP BY 1")
+def _(spark, d):
+    return circ.shape(_angles(spark, d), ["g"])
+
+
+@_entry("circ_samplecdf", f"WITH {_ANG}, b AS (SELECT g, CAST(floor((alpha - 2 * pi() * floor(alpha / (2 * pi()))) / (2 * pi()) * 12 + 1e-12) AS BIGINT) + 1 AS bin, count(*) AS k FROM a GROUP BY 1, 2), x AS (SELECT g, bin FROM (SELECT DISTINCT g FROM a), generate_series(1, 12) AS s(bin)) SELECT x.g, x.bin, ROUND(sum(COALESCE(k, 0)) OVER (PARTITION BY x.g ORDER BY x.bin) / sum(COALESCE(k, 0)) OVER (PARTITION BY x.g), 6) + 0.0 AS cdf FROM x LEFT JOIN b ON x.g = b.g AND x.bin = b.bin")
+def _(spark, d):
+    return circ.sample_cdf(_angles(spark, d), ["g"], 12)
+
+
+@_entry("circ_corrcc", "WITH a AS (SELECT 2 * pi() * dayofyear(o_orderdate) / 366.0 AS alpha, 2 * pi() * (o_custkey % 360) / 360.0 AS beta FROM orders), m AS (SELECT atan2(sum(sin(alpha)), sum(cos(alpha))) AS ma, atan2(sum(sin(beta)), sum(cos(beta))) AS mb FROM a) SELECT ROUND(sum(sin(alpha - ma) * sin(beta - mb)) / sqrt(sum(sin(alpha - ma) * sin(alpha - ma)) * sum(sin(beta - mb) * sin(beta - mb))), 6) + 0.0 AS rho FROM a, m")
+def _(spark, d):
+    pairs = table(spark, d, "orders").select((2 * F.pi() * F.dayofyear("o_orderdate") / F.lit(366.0)).alias("alpha"), (2 * F.pi() * (F.col("o_custkey") % 360) / F.lit(360.0)).alias("beta"))
+    return circ.angular_correlation(pairs)
+
+
+@_entry("robust_carling")
+def _(spark, d):
+    out = robust.carling(table(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_extendedprice").alias("value")), ["flag"])
+    return out.groupBy("flag").agg(F.sum(F.col("outlier").cast("long")).alias("n_out"))
+
+
+@_entry("rank_statistics")
+def _(spark, d):
+    return group.rank_statistics(table(spark, d, "events").select(F.col("user_id").alias("subject"), "value", F.hour(F.col("ts").cast("timestamp")).cast("double").alias("hour")), ["subject"], "value", "hour")
+
+
+@_entry("first_level_plan")
+def _(spark, d):
+    return first_level(epochs(spark, d), FirstLevel({1: [0, 1], 2: [2, 3]}, folds=5, method="diagLinear"))
+
+
+@_entry("group_level_plan")
+def _(spark, d):
+    return group_level(_by_hour(spark, d), GroupLevel(chance=50.0, correction="fdr_bh"))
+
+
+@_entry("group_cluster_plan")
+def _(spark, d):
+    return group_level(_by_hour(spark, d), GroupLevel(chance=50.0, correction="cluster", threshold=0.5, replicates=100))
+
+
 # matrix models (tested against numpy) ---------------------------------------------------------------------
 
 

@@ -82,6 +82,36 @@ def neighbours(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def weighted_mean(data: DataFrame, by: list[str], weight: str, value: str = "value") -> DataFrame:
+    """Weighted means; null where the weights sum to 0."""
+    return data.groupBy(*by).agg((F.sum(F.col(value) * F.col(weight)) / F.nullif(F.sum(weight), F.lit(0.0))).alias(value))
+
+
+def grow_mask(data: DataFrame, n: int, by: list[str], mask: str = "mask", t: str = "t_idx") -> DataFrame:
+    """A sample is masked when one at most n away is."""
+    w = Window.partitionBy(*by).orderBy(t).rowsBetween(-n, n)
+    return data.withColumn(mask, F.max(F.col(mask).cast("int")).over(w) > 0)
+
+
+def cross_covariance(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """(i, j, sum): products of two channel sets' samples with equal keys."""
+    a = left.select(key, F.col("t_idx").alias("i"), F.col("value").alias("a"))
+    b = right.select(key, F.col("t_idx").alias("j"), F.col("value").alias("b"))
+    return a.join(b, key).groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("sum"))
+
+
+def unfold(long: DataFrame, by: list[str], t: str = "t_idx", value: str = "value") -> DataFrame:
+    """Series as arrays in order of t."""
+    return long.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(t, value))), lambda p: p[value]).alias("x"))
+
+
+def smooth_grid(matrix: DataFrame, rows: int, columns: int) -> DataFrame:
+    """Mean of the cells at most so many rows and columns away; each cell goes to its neighbours."""
+    spread = matrix.withColumn("dr", F.explode(F.sequence(F.lit(-rows), F.lit(rows)))).withColumn("dc", F.explode(F.sequence(F.lit(-columns), F.lit(columns))))
+    moved = spread.groupBy((F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col")).agg(F.avg("value").alias("smooth"))
+    return matrix.select("row", "col").join(moved, ["row", "col"]).withColumnRenamed("smooth", "value")
+
+
 # spatial filters: moments are made by Spark, the small eigenproblem on the driver -------------------------
 
 

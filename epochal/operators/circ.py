@@ -62,3 +62,27 @@ def angular_correlation(pairs: DataFrame, a: str = "alpha", b: str = "beta") ->
     mean = pairs.agg(F.atan2(F.sum(F.sin(a)), F.sum(F.cos(a))).alias("ma"), F.atan2(F.sum(F.sin(b)), F.sum(F.cos(b))).alias("mb"))
     x, y = F.sin(F.col(a) - F.col("ma")), F.sin(F.col(b) - F.col("mb"))
     return pairs.join(F.broadcast(mean), how="cross").agg((F.sum(x * y) / F.sqrt(F.sum(x * x) * F.sum(y * y))).alias("rho"))
+
+
+def moment(angles: DataFrame, by: list[str], p: int, a: str = "alpha") -> DataFrame:
+    """Length and direction of the p-th trigonometric moment."""
+    m = moments(angles.withColumn("_pa", F.col(a) * p), by, "_pa")
+    return m.select(*by, (F.sqrt(F.col("c") * F.col("c") + F.col("s") * F.col("s")) / F.col("n")).alias("rho"), F.atan2("s", "c").alias("mu"))
+
+
+def shape(angles: DataFrame, by: list[str], a: str = "alpha") -> DataFrame:
+    """Circular skewness and kurtosis: mean sine and cosine of twice the deviation from the mean direction."""
+    mean = moments(angles, by, a).select(*by, F.atan2("s", "c").alias("_mu"))
+    d = F.col(a) - F.col("_mu")
+    return angles.join(mean, by).groupBy(*by).agg(F.avg(F.sin(2 * d)).alias("skewness"), F.avg(F.cos(2 * d)).alias("kurtosis"))
+
+
+def sample_cdf(angles: DataFrame, by: list[str], n: int, a: str = "alpha") -> DataFrame:
+    """(by, bin, cdf): share of angles up to the end of each of n equal arcs of [0, 2 pi)."""
+    from pyspark.sql import Window
+
+    turn = 2 * F.pi()
+    own = angles.withColumn("bin", F.floor(F.pmod(F.col(a), turn) / turn * n + F.lit(1e-12)).cast("long") + 1).groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("k"))
+    grid = own.select(*by).distinct().withColumn("bin", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long"))))
+    w = Window.partitionBy(*by).orderBy("bin")
+    return grid.join(own, [*by, "bin"], "left").withColumn("cdf", F.sum(F.coalesce("k", F.lit(0))).over(w) / F.sum(F.coalesce("k", F.lit(0))).over(Window.partitionBy(*by))).select(*by, "bin", "cdf")

@@ -151,3 +151,54 @@ def correlate(pairs: DataFrame, by: list[str], x: str, y: str, kind: str = "pear
         pairs = pairs.withColumn("_x", average_rank(x, by)).withColumn("_y", average_rank(y, by))
         x, y = "_x", "_y"
     return pairs.groupBy(*by).agg(F.corr(x, y).alias("r")).withColumn("fisher_z", F.when(F.abs("r") < 1, 0.5 * F.log((1 + F.col("r")) / (1 - F.col("r")))))
+
+
+def snap_limits(data: DataFrame, low: float, high: float, t: str = "t") -> DataFrame:
+    """Both ends move to the nearest value of the axis, then count as inside."""
+    near = lambda x: F.min_by(t, F.struct(F.abs(F.col(t) - x), F.col(t)))
+    ends = data.select(t).distinct().agg(near(low).alias("_low"), near(high).alias("_high"))  # one row
+    return data.join(F.broadcast(ends), F.col(t).between(F.col("_low"), F.col("_high"))).drop("_low", "_high")
+
+
+def select_subjects(data: DataFrame, patterns: list[str], invert: bool = False, subject: str = "subject") -> DataFrame:
+    """Subjects whose name contains one of the patterns (inverted: none of them); no pattern keeps all."""
+    if not patterns:
+        return data
+    hit = F.lit(False)
+    for p in patterns:
+        hit = hit | F.col(subject).contains(p)
+    return data.where(~hit if invert else hit)
+
+
+def concat_stats(tables: list[DataFrame]) -> DataFrame:
+    """Union over the columns that all have, differences (names with ``-``) last by ``place``."""
+    common = [c for c in tables[0].columns if all(c in t.columns for t in tables)]
+    out = tables[0].select(*common)
+    for t in tables[1:]:
+        out = out.unionByName(t.select(*common))
+    return out.withColumn("place", F.col("cond").contains("-").cast("int"))
+
+
+def randomisation_p(values: DataFrame, by: list[str]) -> DataFrame:
+    """Share of permutations (rep > 0) with a value of at least the observed one (rep 0)."""
+    observed = values.where("rep = 0").select(*by, F.col("value").alias("observed"))
+    return values.where("rep > 0").join(observed, by).groupBy(*by).agg(F.avg((F.col("value") >= F.col("observed")).cast("double")).alias("p"))
+
+
+def rank_statistics(pairs: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
+    """Per group Kendall's tau-b, the Hodges-Lehmann location and Qn scale of x; a group is one subject's trials."""
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        a, b = own[x].to_numpy(float), own[y].to_numpy(float)
+        i, j = np.triu_indices(len(a), 1)
+        dx, dy = np.sign(a[i] - a[j]), np.sign(b[i] - b[j])
+        scale = np.sqrt((dx != 0).sum() * (dy != 0).sum())
+        h = len(a) // 2 + 1
+        gaps = np.sort(np.abs(a[i] - a[j]))
+        n = len(a)
+        qn = 2.2219 * gaps[h * (h - 1) // 2 - 1] * (n / (n + 1.4) if n % 2 else n / (n + 3.8)) if n > 9 else float("nan")
+        walsh = np.concatenate([(a[i] + a[j]) / 2, a])
+        return own[by].iloc[:1].assign(tau=float((dx * dy).sum() / scale) if scale else None, location=float(np.median(walsh)), qn=None if np.isnan(qn) else qn)
+
+    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
+    return pairs.groupBy(*by).applyInPandas(run, ", ".join(f"{b} {kinds[b]}" for b in by) + ", tau double, location double, qn double")
