@@ -33,7 +33,7 @@ from epochal.llm import textops as X
 
 ORDER, SPAN, DECAY = 4, 6, 0.6
 WIDTH, OVERLAP = 28, 12
-SAMPLE, POSITIVE, NEGATIVE, LANDMARKS = 4000, 2000, 16000, 300
+SAMPLE, POSITIVE, NEGATIVE, LANDMARKS = 4000, 2000, 16000, 400
 THRESHOLD = 0.3
 
 _GAPS = [g for last in range(ORDER - 1, SPAN + 1) for g in (c + (last,) for c in combinations(range(1, last), ORDER - 2))]
@@ -43,7 +43,7 @@ _CODE[97:123] = np.arange(1, 27)
 _CODE[65:91] = np.arange(1, 27)
 for _digit, _letter in zip(b"013457@", b"oieasta", strict=True):  # digits that stand for letters
     _CODE[_digit] = _letter - 96
-_CODE[0xC4:0xF5] = 27
+_CODE[0xC2:0xF5] = 27
 _CODE[0x80:0xC0] = 28 + np.arange(64) % 3
 for _last, _letter in zip(range(0xA0, 0xC0), b"aaaaaaaceeeeiiiidnooooo/ouuuuyty", strict=True):  # U+00E0.. as their base letters
     if _letter > 96:
@@ -126,29 +126,29 @@ def _features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return key // _CELLS, key % _CELLS, np.bincount(at, weights=value)
 
 
-def fit_table(words: list[bytes], label: np.ndarray, weight: np.ndarray, landmarks: int = LANDMARKS, c: float = 300.0) -> np.ndarray:
+def fit_table(words: list[bytes], label: np.ndarray, weight: np.ndarray, landmarks: int = LANDMARKS, c: float = 1000.0) -> np.ndarray:
     """The machine trained on words (label 1 or -1), as weights of subsequences."""
     random = np.random.default_rng(11)
     positive, negative = np.flatnonzero(label > 0), np.flatnonzero(label < 0)
     # half of the landmarks from either class, the heaviest positive words first
     chosen = np.concatenate([positive[np.argsort(-weight[positive], kind="stable")][: landmarks // 2], random.permutation(negative)[: landmarks - min(len(positive), landmarks // 2)]])
-    word, cell, value = _features(words)
-    of_landmark = np.isin(word, chosen)
-    cells = np.unique(cell[of_landmark])
-    place = np.full(len(words), -1)
-    place[chosen] = np.arange(len(chosen))
-    marks = np.zeros((len(cells), len(chosen)), dtype=np.float64)
-    np.add.at(marks, (np.searchsorted(cells, cell[of_landmark]), place[word[of_landmark]]), value[of_landmark])
-    shared = np.isin(cell, cells)
-    word, at, value = word[shared], np.searchsorted(cells, cell[shared]), value[shared]
+    place, cell, value = _features([words[i] for i in chosen])
+    cells = np.unique(cell)
+    marks = np.zeros((len(cells), len(chosen)), dtype=np.float32)
+    np.add.at(marks, (np.searchsorted(cells, cell), place), value)
     kernel = np.zeros((len(words), len(chosen)))
-    for lo in range(0, len(word), 200_000):
-        np.add.at(kernel, word[lo : lo + 200_000], value[lo : lo + 200_000, None] * marks[at[lo : lo + 200_000]])
+    for lo in range(0, len(words), 500):  # memory for a few words' features only
+        word, cell, value = _features(words[lo : lo + 500])
+        at = np.minimum(np.searchsorted(cells, cell), len(cells) - 1)
+        shared = cells[at] == cell
+        part = np.zeros((min(500, len(words) - lo), len(cells)), dtype=np.float32)
+        part[word[shared], at[shared]] = value[shared]
+        kernel[lo : lo + 500] = part @ marks
     values, vectors = np.linalg.eigh(kernel[chosen])
     good = values > 1e-8 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
     z = np.hstack([kernel @ root, np.ones((len(words), 1))])
-    share = np.where(label > 0, 0.5 / max(1, len(positive)), 0.5 / max(1, len(negative))) * c
+    share = np.where(label > 0, 0.5 * weight / weight[positive].sum(), 0.5 / max(1, len(negative))) * c  # a well supported word counts for more
     u = np.zeros(z.shape[1])
     for _ in range(30):  # Newton steps of the squared hinge loss
         margin = 1 - label * (z @ u)
@@ -218,7 +218,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     counts = counts.groupBy("word", F.xxhash64("prior"), "y").agg(F.lit(1).alias("one")).groupBy("word").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean"))
     ratio = F.log((F.col("toxic") + 0.5) / (F.col("clean") + 0.5)) * F.sqrt(F.col("toxic"))
     share = chosen.agg(F.avg("y")).first()[0] or 0.0
-    support = int(np.ceil(np.log(0.003) / np.log(min(0.5, max(share, 0.01)))))  # places that by chance are all in toxic rows for 3 words in 1000
+    support = int(np.ceil(np.log(0.0005) / np.log(min(0.5, max(share, 0.01)))))  # places that by chance are all in toxic rows for 1 word in 2000
     positive = counts.where(f"toxic >= {support} and toxic > 8 * clean").orderBy(ratio.desc(), "word").limit(POSITIVE).toPandas()
     often = counts.where("clean > 0 and toxic <= 2 * clean").orderBy(F.col("clean").desc(), "word").limit(NEGATIVE // 4)
     rare = counts.where("clean > 0 and toxic <= 2 * clean").orderBy(F.xxhash64("word"), "word").limit(NEGATIVE - NEGATIVE // 4)
