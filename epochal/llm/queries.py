@@ -68,4 +68,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_string_kernel_toxicity": op10_string_kernel_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLES: dict[str, str] = {
+    "op6_warc_capture_index": """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT payload_digest, max(page_id) AS top FROM p GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to FROM p JOIN m USING (payload_digest)""",
+    "op7_minhash_near_dedup": f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 1, least(len(w), 1)))) AS i FROM d),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS g FROM i),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT u, v FROM p JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * k >= 80 * (a.n + b.n - k)),
+e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, e.v FROM r JOIN e ON r.y = e.u),
+c AS (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY 1)
+SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, c.doc_id = component_id AS kept FROM c LEFT JOIN n ON n.doc_id = c.doc_id""",
+}
+"""Where SQL can say the result and is fast enough on whole tables; the others have brute-force tests in tests/llm."""
