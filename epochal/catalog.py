@@ -685,6 +685,56 @@ def _(spark, d):
     return group_level(_by_hour(spark, d), GroupLevel(chance=50.0, correction="cluster", threshold=0.5, replicates=100))
 
 
+@_entry("circ_omnibus", f"WITH {_ANG}, v AS (SELECT g, ROUND(alpha - 2 * pi() * floor(alpha / (2 * pi())), 9) AS v, count(*) AS k FROM a GROUP BY 1, 2), h AS (SELECT x.g, x.v, sum(CASE WHEN (y.v - x.v) - 2 * pi() * floor((y.v - x.v) / (2 * pi())) > 1e-8 AND (y.v - x.v) - 2 * pi() * floor((y.v - x.v) / (2 * pi())) < pi() - 1e-8 THEN y.k ELSE 0 END) AS i, sum(y.k) AS n FROM v x JOIN v y ON x.g = y.g GROUP BY 1, 2), l AS (SELECT g, CAST(max(n) AS BIGINT) AS n, CAST(min(least(i, n - i)) AS BIGINT) AS m FROM h GROUP BY 1), b AS (SELECT *, pi() * sqrt(n) / (2.0 * (n - 2 * m)) AS b FROM l) SELECT g, n, m, {_R('sqrt(2 * pi()) / b * exp(-pi() * pi() / (8 * b * b))', 'p')} FROM b")
+def _(spark, d):
+    return circ.omnibus(_angles(spark, d), ["g"])
+
+
+@_entry("first_peak", f"WITH {_MATRIX} SELECT 'all' AS cond, \"row\", col, {_R('value', 'value')} FROM m ORDER BY ROUND(value, 9) DESC, col, \"row\" LIMIT 1")
+def _(spark, d):
+    return group.first_peak(_matrix(spark, d).withColumn("cond", F.lit("all")), ["cond"])
+
+
+@_entry("pair_differences", f"WITH b AS (SELECT c_nationkey AS k, avg(c_acctbal) AS v FROM customer GROUP BY 1) SELECT x.k AS i, y.k AS j, {_R('x.v - y.v', 'value')} FROM b x JOIN b y ON x.k > y.k")
+def _(spark, d):
+    means = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.avg("c_acctbal").alias("v"))
+    return group.pair_differences(means, "k", "v")
+
+
+@_entry("nearest_level", "WITH l AS (SELECT arg_min(l_tax, (abs(ROUND(l_tax, 2) - 0.05), l_tax)) AS x FROM (SELECT DISTINCT l_tax FROM lineitem)) SELECT l_orderkey, l_linenumber FROM lineitem, l WHERE l_tax = x")
+def _(spark, d):
+    return group.nearest_level(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_tax"), 0.05, "l_tax").select("l_orderkey", "l_linenumber")
+
+
+@_entry("confidence_correlation", f"WITH c AS (SELECT l_returnflag AS cond, l_suppkey AS subject, corr(l_quantity, l_tax) AS r FROM lineitem GROUP BY 1, 2), z AS (SELECT cond, 0.5 * ln((1 + r) / (1 - r)) AS z FROM c WHERE abs(r) < 1) SELECT cond, {_R('avg(z)', 'mean')}, count(*) - 1 AS df, {_R('avg(z) / (stddev_samp(z) / sqrt(count(*)))', 't')} FROM z GROUP BY 1")
+def _(spark, d):
+    r = group.correlate(table(spark, d, "lineitem").select(F.col("l_returnflag").alias("cond"), F.col("l_suppkey").alias("subject"), "l_quantity", "l_tax"), ["cond", "subject"], "l_quantity", "l_tax")
+    return group.one_sample_t(r.where("fisher_z is not null"), ["cond"], 0.0, "fisher_z")
+
+
+@_entry("codes_in_both", "SELECT p_brand FROM part WHERE p_size < 10 INTERSECT SELECT p_brand FROM part WHERE p_size > 40")
+def _(spark, d):
+    p = table(spark, d, "part")
+    return p.where("p_size < 10").select("p_brand").intersect(p.where("p_size > 40").select("p_brand"))
+
+
+@_entry("codes_in_one", "SELECT p_type FROM part WHERE p_size < 10 EXCEPT SELECT p_type FROM part WHERE p_size > 48")
+def _(spark, d):
+    p = table(spark, d, "part")
+    return p.where("p_size < 10").select("p_type").subtract(p.where("p_size > 48").select("p_type"))
+
+
+@_entry("text_to_number", "SELECT c_custkey, CAST(regexp_extract(c_name, '([0-9]+)$', 1) AS DOUBLE) AS number, c_mktsegment || '_' || c_nationkey AS code FROM customer")
+def _(spark, d):
+    return table(spark, d, "customer").select("c_custkey", F.regexp_extract("c_name", "([0-9]+)$", 1).try_cast("double").alias("number"), F.concat_ws("_", "c_mktsegment", "c_nationkey").alias("code"))
+
+
+@_entry("rollup_by_region", f"SELECT r_name, n_name, count(*) AS n, {_R('avg(s_acctbal)', 'mean')} FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)")
+def _(spark, d):
+    dims = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return table(spark, d, "supplier").join(F.broadcast(dims), F.col("s_nationkey") == F.col("n_nationkey")).rollup("r_name", "n_name").agg(F.count(F.lit(1)).alias("n"), F.avg("s_acctbal").alias("mean"))
+
+
 # matrix models (tested against numpy) ---------------------------------------------------------------------
 
 

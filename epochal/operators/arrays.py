@@ -70,16 +70,26 @@ def unique_rows(data: DataFrame, columns: list[str], key: str) -> DataFrame:
     return data.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first"))
 
 
+QUERY_BLOCK = 20_000
+"""Queries that are broadcast at once."""
+
+
 def neighbours(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, trial_id, distance): the k nearest of all points to each query, itself excluded.
 
-    ``queries`` is a stated, broadcastable set; each partition keeps its k best before the shuffle.
+    ``queries`` is a stated set.  It is counted first and broadcast in blocks of at most about QUERY_BLOCK
+    rows; more queries mean more passes over the points, not a larger broadcast.
     """
-    own = F.broadcast(queries.select(F.col("trial_id").alias("query_id"), F.col("x").alias("q")))
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     d = F.aggregate(F.zip_with("x", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    pairs = points.join(own, F.col("trial_id") != F.col("query_id")).select("query_id", "trial_id", F.round(d, 6).alias("distance"))
     order = Window.partitionBy("query_id").orderBy("distance", "trial_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    out = None
+    for n in range(blocks):
+        own = queries.where(F.pmod(F.xxhash64("trial_id"), F.lit(blocks)) == n).select(F.col("trial_id").alias("query_id"), F.col("x").alias("q"))
+        pairs = points.join(F.broadcast(own), F.col("trial_id") != F.col("query_id")).select("query_id", "trial_id", F.round(d, 6).alias("distance"))
+        best = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)  # Spark keeps k rows a group before the shuffle
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def weighted_mean(data: DataFrame, by: list[str], weight: str, value: str = "value") -> DataFrame:

@@ -86,3 +86,17 @@ def sample_cdf(angles: DataFrame, by: list[str], n: int, a: str = "alpha") -> Da
     grid = own.select(*by).distinct().withColumn("bin", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long"))))
     w = Window.partitionBy(*by).orderBy("bin")
     return grid.join(own, [*by, "bin"], "left").withColumn("cdf", F.sum(F.coalesce("k", F.lit(0))).over(w) / F.sum(F.coalesce("k", F.lit(0))).over(Window.partitionBy(*by))).select(*by, "bin", "cdf")
+
+
+def omnibus(angles: DataFrame, by: list[str], a: str = "alpha") -> DataFrame:
+    """(by, n, m, p): least count in a half circle (arcs begin at the angles) and its chance for large n.
+
+    Angles are first counted by value, so the arcs are made over distinct values only.
+    """
+    value = angles.groupBy(*by, F.round(F.pmod(F.col(a), 2 * F.pi()), 9).alias("v")).agg(F.count(F.lit(1)).alias("k"))
+    other = value.select(*by, F.col("v").alias("w"), F.col("k").alias("j"))
+    after = F.pmod(F.col("w") - F.col("v"), 2 * F.pi())
+    half = value.join(other, by).groupBy(*by, "v").agg(F.sum(F.when((after > 1e-8) & (after < F.pi() - 1e-8), F.col("j")).otherwise(0)).alias("inside"), F.sum("j").alias("n"))
+    least = half.groupBy(*by).agg(F.max("n").alias("n"), F.min(F.least("inside", F.col("n") - F.col("inside"))).alias("m"))
+    big = F.pi() * F.sqrt("n") / (2.0 * (F.col("n") - 2 * F.col("m")))
+    return least.withColumn("p", F.sqrt(2 * F.pi()) / big * F.exp(-F.pi() * F.pi() / (8 * big * big)))

@@ -202,3 +202,21 @@ def rank_statistics(pairs: DataFrame, by: list[str], x: str, y: str) -> DataFram
 
     kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
     return pairs.groupBy(*by).applyInPandas(run, ", ".join(f"{b} {kinds[b]}" for b in by) + ", tau double, location double, qn double")
+
+
+def first_peak(matrix: DataFrame, by: list[str]) -> DataFrame:
+    """(by, row, col, value) of the largest cell; of ties the first in column order."""
+    best = F.max_by(F.struct("row", "col", "value"), F.struct(F.round("value", 9), -F.col("col"), -F.col("row")))
+    return matrix.groupBy(*by).agg(best.alias("b")).select(*by, "b.row", "b.col", "b.value")
+
+
+def pair_differences(data: DataFrame, key: str, value: str) -> DataFrame:
+    """All differences below the diagonal of a small table of means: (i, j, value), i > j."""
+    other = F.broadcast(data.select(F.col(key).alias("j"), F.col(value).alias("_v")))  # one mean for each unit of a dimension
+    return data.select(F.col(key).alias("i"), F.col(value)).join(other, F.col("i") > F.col("j")).select("i", "j", (F.col(value) - F.col("_v")).alias("value"))
+
+
+def nearest_level(data: DataFrame, wanted: float, column: str) -> DataFrame:
+    """Rows at the level that equals ``wanted`` in two decimals, else at the nearest one (the lower of two)."""
+    level = data.select(column).distinct().agg(F.min_by(column, F.struct(F.abs(F.round(column, 2) - round(wanted, 2)), F.col(column))).alias("_level"))  # one row
+    return data.join(F.broadcast(level), F.col(column) == F.col("_level")).drop("_level")
