@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from epochal import catalog
 
-HEADLINE = ["diag_lda_auc", "erp_per_code", "baseline_db", "bins_repeated_codes", "auc_multiclass", "responses_first", "epochs_around_errors", "cluster_permutation", "nt_cov", "nt_split", "correlate_spearman", "fdr_by", "circ_describe", "robust_mad", "cube_by_region", "lda_linear"]
+HEADLINE = ["diag_lda_auc", "erp_per_code", "baseline_db", "bins_repeated_codes", "auc_multiclass", "responses_first", "epochs_around_errors", "cluster_permutation", "array_cov", "array_split", "correlate_spearman", "fdr_by", "circ_describe", "robust_mad", "cube_by_region", "lda_linear"]
 
 
 def main() -> None:

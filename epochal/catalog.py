@@ -437,52 +437,52 @@ for _k, _x, _y in (("pearson", "l_quantity", "l_extendedprice"), ("spearman", "r
 # arrays -------------------------------------------------------------------------------------------------
 
 
-@_entry("nt_demean", f"WITH {_S} SELECT trial_id, event_code, t_idx, {_R('value - avg(value) OVER (PARTITION BY trial_id)', 'value')} FROM s")
+@_entry("array_demean", f"WITH {_S} SELECT trial_id, event_code, t_idx, {_R('value - avg(value) OVER (PARTITION BY trial_id)', 'value')} FROM s")
 def _(spark, d):
     return arrays.weighted_demean(samples(spark, d), ["trial_id"])
 
 
-@_entry("nt_normcol", f"WITH {_S} SELECT trial_id, event_code, t_idx, {_R('value / sqrt(avg(value * value) OVER (PARTITION BY trial_id))', 'value')} FROM s")
+@_entry("array_normcol", f"WITH {_S} SELECT trial_id, event_code, t_idx, {_R('value / sqrt(avg(value * value) OVER (PARTITION BY trial_id))', 'value')} FROM s")
 def _(spark, d):
     return arrays.normalise(samples(spark, d), ["trial_id"])
 
 
-@_entry("nt_multishift", f"WITH {_S}, l AS (SELECT *, lead(value, 0) OVER w AS lag0, lead(value, 3) OVER w AS lag3 FROM s WINDOW w AS (PARTITION BY trial_id ORDER BY t_idx)) SELECT trial_id, event_code, t_idx, {_R('value', 'value')}, {_R('lag0', 'lag0')}, {_R('lag3', 'lag3')} FROM l WHERE lag3 IS NOT NULL")
+@_entry("array_multishift", f"WITH {_S}, l AS (SELECT *, lead(value, 0) OVER w AS lag0, lead(value, 3) OVER w AS lag3 FROM s WINDOW w AS (PARTITION BY trial_id ORDER BY t_idx)) SELECT trial_id, event_code, t_idx, {_R('value', 'value')}, {_R('lag0', 'lag0')}, {_R('lag3', 'lag3')} FROM l WHERE lag3 IS NOT NULL")
 def _(spark, d):
     return arrays.lags(samples(spark, d), [0, 3], ["trial_id"])
 
 
-@_entry("nt_cov", f"WITH {_S} SELECT a.t_idx AS i, b.t_idx AS j, {_R('sum(a.value * b.value)', 'sum')}, count(*) AS n FROM s a JOIN s b ON a.trial_id = b.trial_id AND a.t_idx <= b.t_idx GROUP BY 1, 2")
+@_entry("array_cov", f"WITH {_S} SELECT a.t_idx AS i, b.t_idx AS j, {_R('sum(a.value * b.value)', 'sum')}, count(*) AS n FROM s a JOIN s b ON a.trial_id = b.trial_id AND a.t_idx <= b.t_idx GROUP BY 1, 2")
 def _(spark, d):
     return arrays.cross_products(epochs(spark, d))
 
 
-@_entry("nt_lagged_cov", f"WITH {_S}, l AS (SELECT value, lead(value, 1) OVER w AS a, lead(value, 4) OVER w AS b FROM s WINDOW w AS (PARTITION BY trial_id ORDER BY t_idx)) SELECT 1 AS lag, {_R('sum(value * a)', 'sum')} FROM l WHERE b IS NOT NULL UNION ALL SELECT 4, {_R('sum(value * b)', 'sum')} FROM l WHERE b IS NOT NULL")
+@_entry("array_lagged_cov", f"WITH {_S}, l AS (SELECT value, lead(value, 1) OVER w AS a, lead(value, 4) OVER w AS b FROM s WINDOW w AS (PARTITION BY trial_id ORDER BY t_idx)) SELECT 1 AS lag, {_R('sum(value * a)', 'sum')} FROM l WHERE b IS NOT NULL UNION ALL SELECT 4, {_R('sum(value * b)', 'sum')} FROM l WHERE b IS NOT NULL")
 def _(spark, d):
     return arrays.lagged_products(samples(spark, d), [1, 4], ["trial_id"])
 
 
-@_entry("nt_split", f"WITH {_S}, c AS (SELECT trial_id, t_idx, ROUND(sum(value * value) OVER l - sum(value) OVER l * sum(value) OVER l / count(*) OVER l + sum(value * value) OVER r - sum(value) OVER r * sum(value) OVER r / count(value) OVER r, 9) AS cost FROM s WINDOW l AS (PARTITION BY trial_id ORDER BY t_idx ROWS UNBOUNDED PRECEDING), r AS (PARTITION BY trial_id ORDER BY t_idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) SELECT trial_id, arg_min(t_idx, (cost, t_idx)) AS split_t, {_R('min(cost)', 'cost')} FROM c WHERE cost IS NOT NULL AND NOT isnan(cost) GROUP BY 1")
+@_entry("array_split", f"WITH {_S}, c AS (SELECT trial_id, t_idx, ROUND(sum(value * value) OVER l - sum(value) OVER l * sum(value) OVER l / count(*) OVER l + sum(value * value) OVER r - sum(value) OVER r * sum(value) OVER r / count(value) OVER r, 9) AS cost FROM s WINDOW l AS (PARTITION BY trial_id ORDER BY t_idx ROWS UNBOUNDED PRECEDING), r AS (PARTITION BY trial_id ORDER BY t_idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) SELECT trial_id, arg_min(t_idx, (cost, t_idx)) AS split_t, {_R('min(cost)', 'cost')} FROM c WHERE cost IS NOT NULL AND NOT isnan(cost) GROUP BY 1")
 def _(spark, d):
     return arrays.best_split(samples(spark, d), ["trial_id"])
 
 
-@_entry("nt_dsample_mmx", f"WITH {_S} SELECT trial_id, (t_idx - 1) // 8 AS bin, {_R('arg_min(value, t_idx)', 'value')}, {_R('min(value)', 'low')}, {_R('max(value)', 'high')} FROM s GROUP BY 1, 2")
+@_entry("array_dsample_mmx", f"WITH {_S} SELECT trial_id, (t_idx - 1) // 8 AS bin, {_R('arg_min(value, t_idx)', 'value')}, {_R('min(value)', 'low')}, {_R('max(value)', 'high')} FROM s GROUP BY 1, 2")
 def _(spark, d):
     return arrays.downsample(samples(spark, d), 8, ["trial_id"])
 
 
-@_entry("nt_bad_channels", f"WITH {_S}, c AS (SELECT median(abs(value)) AS c FROM s) SELECT t_idx, {_R('avg(CASE WHEN abs(value) > 1.5 * c THEN 1.0 ELSE 0.0 END)', 'share')} FROM s, c GROUP BY 1 HAVING avg(CASE WHEN abs(value) > 1.5 * c THEN 1.0 ELSE 0.0 END) > 0.3")
+@_entry("array_bad_channels", f"WITH {_S}, c AS (SELECT median(abs(value)) AS c FROM s) SELECT t_idx, {_R('avg(CASE WHEN abs(value) > 1.5 * c THEN 1.0 ELSE 0.0 END)', 'share')} FROM s, c GROUP BY 1 HAVING avg(CASE WHEN abs(value) > 1.5 * c THEN 1.0 ELSE 0.0 END) > 0.3")
 def _(spark, d):
     return arrays.bad_channels(samples(spark, d), 0.3, 1.5)
 
 
-@_entry("nt_unique", "SELECT p_brand, p_size, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY 1, 2")
+@_entry("array_unique", "SELECT p_brand, p_size, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY 1, 2")
 def _(spark, d):
     return arrays.unique_rows(table(spark, d, "part"), ["p_brand", "p_size"], "p_partkey")
 
 
-@_entry("nt_proximity", "WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS trial_id, ROUND(list_sum(list_transform(generate_series(1, 64), lambda i: (CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE)) * (CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE)))), 6) AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, trial_id) AS rank FROM p) SELECT * FROM r WHERE rank <= 5")
+@_entry("array_proximity", "WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS trial_id, ROUND(list_sum(list_transform(generate_series(1, 64), lambda i: (CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE)) * (CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE)))), 6) AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, trial_id) AS rank FROM p) SELECT * FROM r WHERE rank <= 5")
 def _(spark, d):
     e = epochs(spark, d).select("trial_id", "x")
     return arrays.neighbours(e, e.where("trial_id % 100 = 0"), 5)
@@ -605,18 +605,18 @@ def _(spark, d):
     return arrays.weighted_mean(table(spark, d, "lineitem").withColumnRenamed("l_extendedprice", "value"), ["l_returnflag"], "l_quantity")
 
 
-@_entry("nt_growmask", f"WITH {_S} SELECT trial_id, t_idx, max(CASE WHEN abs(value) > 0.25 THEN 1 ELSE 0 END) OVER (PARTITION BY trial_id ORDER BY t_idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) > 0 AS mask FROM s")
+@_entry("array_growmask", f"WITH {_S} SELECT trial_id, t_idx, max(CASE WHEN abs(value) > 0.25 THEN 1 ELSE 0 END) OVER (PARTITION BY trial_id ORDER BY t_idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) > 0 AS mask FROM s")
 def _(spark, d):
     return arrays.grow_mask(samples(spark, d).withColumn("mask", F.abs("value") > 0.25), 2, ["trial_id"]).select("trial_id", "t_idx", "mask")
 
 
-@_entry("nt_xcov", f"WITH {_S} SELECT a.t_idx AS i, b.t_idx AS j, {_R('sum(a.value * b.value)', 'sum')} FROM s a JOIN s b ON a.trial_id = b.trial_id WHERE a.t_idx <= 8 AND b.t_idx > 56 GROUP BY 1, 2")
+@_entry("array_xcov", f"WITH {_S} SELECT a.t_idx AS i, b.t_idx AS j, {_R('sum(a.value * b.value)', 'sum')} FROM s a JOIN s b ON a.trial_id = b.trial_id WHERE a.t_idx <= 8 AND b.t_idx > 56 GROUP BY 1, 2")
 def _(spark, d):
     s = samples(spark, d)
     return arrays.cross_covariance(s.where("t_idx <= 8"), s.where("t_idx > 56"), "trial_id")
 
 
-@_entry("nt_unfold", f"WITH {_S} SELECT trial_id, len(list(value ORDER BY t_idx)) AS n, {_R('list(value ORDER BY t_idx)[5]', 'fifth')} FROM s WHERE t_idx % 2 = 1 GROUP BY 1")
+@_entry("array_unfold", f"WITH {_S} SELECT trial_id, len(list(value ORDER BY t_idx)) AS n, {_R('list(value ORDER BY t_idx)[5]', 'fifth')} FROM s WHERE t_idx % 2 = 1 GROUP BY 1")
 def _(spark, d):
     return arrays.unfold(samples(spark, d).where("t_idx % 2 = 1"), ["trial_id"]).select("trial_id", F.size("x").alias("n"), F.col("x")[4].alias("fifth"))
 
