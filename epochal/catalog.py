@@ -193,7 +193,7 @@ def _detected(spark: SparkSession, d: str) -> DataFrame:
     "signal_detection",
     f"""WITH x AS (SELECT lang, quality AS label, CASE WHEN n_chars > 800 THEN 1 ELSE 2 END AS y FROM documents JOIN labels USING (doc_id)),
 c AS (SELECT lang, CAST(count(*) FILTER (label = 1 AND y = 1) AS DOUBLE) AS h, CAST(count(*) FILTER (label = 1 AND y <> 1) AS DOUBLE) AS m, CAST(count(*) FILTER (label <> 1 AND y = 1) AS DOUBLE) AS f, CAST(count(*) FILTER (label <> 1 AND y <> 1) AS DOUBLE) AS r FROM x GROUP BY 1)
-SELECT lang, {_R('h / (h + m)', 'hr')}, {_R('f / (f + r)', 'far')}, {_R('m / (h + m)', 'mr')}, {_R('r / (f + r)', 'cr')}, {_R('h / (h + m) - f / (f + r)', 'hr_far')} FROM c""",
+SELECT lang, {_R('h / nullif(h + m, 0)', 'hr')}, {_R('f / nullif(f + r, 0)', 'far')}, {_R('m / nullif(h + m, 0)', 'mr')}, {_R('r / nullif(f + r, 0)', 'cr')}, {_R('h / nullif(h + m, 0) - f / nullif(f + r, 0)', 'hr_far')} FROM c""",
 )
 def _(spark, d):
     return metrics.detection(_detected(spark, d), ["lang"]).select("lang", "hr", "far", "mr", "cr", "hr_far")

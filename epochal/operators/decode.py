@@ -18,7 +18,7 @@ def diagonal_scores(trials: DataFrame, folds: int) -> DataFrame:
     """(fold, trial_id, label, score) of a two-class diagonal discriminant; trials(trial_id, class 0/1, fold, x).
 
     Means and pooled variances are those of the other folds; all of it is sums by (fold, channel), from
-    which a fold's training part is the total less its own.
+    which a fold's training part is the total less its own; a constant channel has no weight.
     """
     long = trials.select("trial_id", "class", "fold", F.posexplode("x").alias("chan", "v"))
     held = long.groupBy("chan", "class", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
@@ -29,7 +29,7 @@ def diagonal_scores(trials: DataFrame, folds: int) -> DataFrame:
     within = (F.col("q0") - F.col("s0") * F.col("s0") / F.col("n0")) + (F.col("q1") - F.col("s1") * F.col("s1") / F.col("n1"))
     m0, m1 = F.col("s0") / F.col("n0"), F.col("s1") / F.col("n1")
     variance = within / (F.col("n0") + F.col("n1") - 2)
-    model = model.select("fold", "chan", ((m1 - m0) / variance).alias("w"), ((m0 + m1) / 2.0).alias("mid"))
+    model = model.select("fold", "chan", F.coalesce(F.try_divide(m1 - m0, variance), F.lit(0.0)).alias("w"), ((m0 + m1) / 2.0).alias("mid"))
     return long.join(F.broadcast(model), ["fold", "chan"]).groupBy("fold", "trial_id", F.col("class").alias("label")).agg(F.round(F.sum(F.col("w") * (F.col("v") - F.col("mid"))), 7).alias("score"))
 
 

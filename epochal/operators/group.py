@@ -30,11 +30,11 @@ def two_sample_t(data: DataFrame, by: list[str], group: str, first: str, second:
     n1, n2, v1, v2 = F.col("n1").cast("double"), F.col("n2").cast("double"), F.col("v1"), F.col("v2")
     if equal:
         df = n1 + n2 - 2
-        se = F.sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / df * (1 / n1 + 1 / n2))
+        se = F.sqrt(F.try_divide((n1 - 1) * v1 + (n2 - 1) * v2, df) * (F.try_divide(F.lit(1.0), n1) + F.try_divide(F.lit(1.0), n2)))
     else:
         se = F.sqrt(v1 / n1 + v2 / n2)
         df = F.pow(v1 / n1 + v2 / n2, F.lit(2.0)) / (F.pow(v1 / n1, F.lit(2.0)) / (n1 - 1) + F.pow(v2 / n2, F.lit(2.0)) / (n2 - 1))
-    return s.select(*by, ((F.col("m1") - F.col("m2")) / se).alias("t"), df.alias("df"))
+    return s.select(*by, F.try_divide(F.col("m1") - F.col("m2"), se).alias("t"), df.alias("df"))
 
 
 def fdr(p_values: DataFrame, family: list[str], q: float = 0.05, dependent: bool = True, key: str = "key") -> DataFrame:

@@ -52,12 +52,12 @@ def balanced_accuracy(assigned: DataFrame, by: list[str] | None = None) -> DataF
 
 
 def detection(assigned: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """hr, far, mr, cr, hr_far with label 1 as signal; and the cells corrected for d' (.5 to each if any is 0)."""
+    """hr, far, mr, cr, hr_far with label 1 as signal (null without such trials); and the cells corrected for d' (.5 to each if any is 0)."""
     by = by or []
     s, y = F.col("label") == 1, F.col("assigned") == 1
     count = lambda c: F.sum(c.cast("double"))
     cells = assigned.groupBy(*by).agg(count(s & y).alias("hit"), count(s & ~y).alias("miss"), count(~s & y).alias("fa"), count(~s & ~y).alias("rejected"))
     add = F.when(F.least("hit", "miss", "fa", "rejected") == 0, 0.5).otherwise(0.0)
-    rate = lambda a, b: F.col(a) / (F.col(a) + F.col(b))
+    rate = lambda a, b: F.try_divide(F.col(a), F.col(a) + F.col(b))
     out = cells.withColumns({"hr": rate("hit", "miss"), "far": rate("fa", "rejected"), "mr": rate("miss", "hit"), "cr": rate("rejected", "fa")}).withColumn("hr_far", F.col("hr") - F.col("far"))
-    return out.withColumns({"hr_corrected": (F.col("hit") + add) / (F.col("hit") + F.col("miss") + 2 * add), "far_corrected": (F.col("fa") + add) / (F.col("fa") + F.col("rejected") + 2 * add)})
+    return out.withColumns({"hr_corrected": F.try_divide(F.col("hit") + add, F.col("hit") + F.col("miss") + 2 * add), "far_corrected": F.try_divide(F.col("fa") + add, F.col("fa") + F.col("rejected") + 2 * add)})

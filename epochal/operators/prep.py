@@ -46,12 +46,12 @@ _METHODS = ("absolute", "relative", "relchange", "vssum", "db")
 
 
 def baseline(data: DataFrame, first: int, last: int, method: str = "absolute", by: list[str] = ["trial_id"], t: str = "t_idx", value: str = "value") -> DataFrame:  # noqa: B006
-    """Replaces values by their relation to the mean over first <= t <= last of their own series."""
+    """Replaces values by their relation to the mean over first <= t <= last of their own series (null where it would divide by 0)."""
     if method not in _METHODS:
         raise ValueError(f"unknown baseline method {method!r}")
     base = F.avg(F.when(F.col(t).between(first, last), F.col(value))).over(Window.partitionBy(*by))
     x = F.col(value)
-    return data.withColumn("base", base).withColumn(value, {"absolute": x - F.col("base"), "relative": x / F.col("base"), "relchange": (x - F.col("base")) / F.col("base"), "vssum": (x - F.col("base")) / (x + F.col("base")), "db": 10 * F.log10(x / F.col("base"))}[method]).drop("base")
+    return data.withColumn("base", base).withColumn(value, {"absolute": x - F.col("base"), "relative": F.try_divide(x, F.col("base")), "relchange": F.try_divide(x - F.col("base"), F.col("base")), "vssum": F.try_divide(x - F.col("base"), x + F.col("base")), "db": 10 * F.log10(F.try_divide(x, F.col("base")))}[method]).drop("base")
 
 
 def erp(data: DataFrame, by: list[str]) -> DataFrame:
@@ -112,7 +112,7 @@ def step_artifacts(data: DataFrame, by: list[str], half: int, threshold: float)
 def artifact_z(data: DataFrame) -> DataFrame:
     """(trial_id, z_sum): per channel z (mean and population SD over all trials), summed over the trial's channels."""
     stats = data.groupBy("t_idx").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
-    return data.join(F.broadcast(stats), "t_idx").groupBy("trial_id").agg(F.sum((F.col("value") - F.col("m")) / F.col("s")).alias("z_sum"))  # a row for each channel
+    return data.join(F.broadcast(stats), "t_idx").groupBy("trial_id").agg(F.sum(F.try_divide(F.col("value") - F.col("m"), F.col("s"))).alias("z_sum"))  # a row for each channel
 
 
 def cut_epochs(events: DataFrame, samples: DataFrame, before: int, after: int, bucket: int) -> DataFrame:
