@@ -42,7 +42,7 @@ def _universal(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sets(texts: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    for first, last, data, offsets in X.pieces(texts):
+    for first, last, data, offsets in X.pieces(texts, X.PIECE_BYTES // 2):
         data = X.lower_ascii(data)
         starts, ends, bounds = X.word_spans(data, offsets)
         runs, begin = X.shingle_hashes(X.span_hashes(data, starts, ends), bounds, width)
