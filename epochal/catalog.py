@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from epochal.functions import text as T
 from epochal.functions.dist import t_two_sided, z_of
-from epochal.operators import arrays, behavior, circ, decode, design, group, metrics, prep, robust
+from epochal.operators import arrays, behavior, circ, decode, design, group, metrics, prep, robust, signals
 from epochal.plans.levels import FirstLevel, GroupLevel, first_level, group_level
 from epochal.sources.adapters import behaviour, epochs, samples, table
 
@@ -735,6 +735,161 @@ def _(spark, d):
     return table(spark, d, "supplier").join(F.broadcast(dims), F.col("s_nationkey") == F.col("n_nationkey")).rollup("r_name", "n_name").agg(F.count(F.lit(1)).alias("n"), F.avg("s_acctbal").alias("mean"))
 
 
+# channels, samples and further circular statistics ---------------------------------------------------------
+
+
+@_entry("signal_rereference", f"WITH {_S} SELECT trial_id, t_idx, {_R('value - avg(value) OVER (PARTITION BY event_code, t_idx)', 'value')} FROM s")
+def _(spark, d):
+    return signals.rereference(samples(spark, d), ["event_code", "t_idx"]).drop("event_code")
+
+
+@_entry("signal_power", f"SELECT l_returnflag AS g, {_R('sum(l_tax * l_tax * l_quantity)', 'power')}, {_R('CAST(sum(l_quantity) AS DOUBLE)', 'weight')}, {_R('sqrt(sum(l_tax * l_tax * l_quantity) / sum(l_quantity))', 'rms')} FROM lineitem GROUP BY 1")
+def _(spark, d):
+    own = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("g"), F.col("l_tax").cast("double").alias("value"), F.col("l_quantity").cast("double").alias("w"))
+    return signals.power(own, ["g"], weight="w")
+
+
+@_entry("signal_fold", "SELECT o_orderkey, o_orderkey // 64 AS epoch, o_orderkey % 64 AS t FROM orders")
+def _(spark, d):
+    return signals.fold(table(spark, d, "orders").select("o_orderkey", F.col("o_orderkey").alias("i")), 64)
+
+
+@_entry("signal_statistics_at_scale", f"WITH {_S} SELECT trial_id, (t_idx - 1) // 16 AS bin, {_R('min(value)', 'least')}, {_R('max(value)', 'most')}, {_R('avg(value)', 'mean')}, {_R('stddev_samp(value)', 'sd')} FROM s GROUP BY 1, 2")
+def _(spark, d):
+    return signals.statistics_at_scale(samples(spark, d), 16, ["trial_id"])
+
+
+@_entry("statistics_by_dimension", f"WITH {_MATRIX} SELECT \"row\", col, {_R('min(value)', 'least')}, {_R('max(value)', 'most')}, {_R('avg(value)', 'mean')}, {_R('var_pop(value)', 'variance')} FROM m GROUP BY GROUPING SETS ((\"row\"), (col))")
+def _(spark, d):
+    return signals.statistics_by_dimension(_matrix(spark, d), ["row", "col"])
+
+
+@_entry("signal_sparse_filter", f"WITH {_S} SELECT trial_id, t_idx, {_R('value + 0.5 * coalesce(lag(value, 3) OVER w, 0) - 0.25 * coalesce(lag(value, 10) OVER w, 0)', 'value')} FROM s WINDOW w AS (PARTITION BY trial_id ORDER BY t_idx)")
+def _(spark, d):
+    return signals.sparse_filter(samples(spark, d), {0: 1.0, 3: 0.5, 10: -0.25}, ["trial_id"]).select("trial_id", "t_idx", "value")
+
+
+@_entry(
+    "signal_resample",
+    f"WITH {_S}, j AS (SELECT j, CAST(floor(j * 0.75) AS BIGINT) AS i, j * 0.75 - floor(j * 0.75) AS f FROM generate_series(0, 84) AS g(j)) SELECT a.trial_id, j, {_R('a.value + f * coalesce(b.value - a.value, 0)', 'value')} FROM j JOIN s a ON a.t_idx = i + 1 LEFT JOIN s b ON b.trial_id = a.trial_id AND b.t_idx = i + 2",
+)
+def _(spark, d):
+    return signals.resample_linear(samples(spark, d), 0.75, ["trial_id"])
+
+
+@_entry("outlier_trials", f"WITH {_S}, m AS (SELECT t_idx, avg(value) AS m FROM s GROUP BY 1), q AS (SELECT trial_id, sum((value - m) * (value - m)) AS q FROM s JOIN m USING (t_idx) GROUP BY 1) SELECT trial_id, {_R('q / (SELECT avg(q) FROM q)', 'deviation')}, q / (SELECT avg(q) FROM q) > 1.02 AS outlier FROM q")
+def _(spark, d):
+    return signals.outlier_trials(samples(spark, d), 1.02)
+
+
+@_entry("interpolate_channels", f"WITH {_S}, g AS (SELECT trial_id, t_idx AS chan, value FROM s), n AS (SELECT a AS chan, b AS near, abs(a - b) AS distance FROM generate_series(1, 64) x(a), generate_series(1, 64) y(b) WHERE abs(a - b) BETWEEN 1 AND 3) SELECT trial_id, chan, {_R('value', 'value')} FROM g WHERE chan NOT IN (7, 8, 30) UNION ALL SELECT trial_id, n.chan, {_R('sum(value / distance) / sum(1.0 / distance)', 'value')} FROM g JOIN n ON g.chan = near WHERE n.chan IN (7, 8, 30) AND near NOT IN (7, 8, 30) GROUP BY 1, 2")
+def _(spark, d):
+    line = spark.range(1, 65).select(F.col("id").alias("chan"), F.explode(F.sequence(F.col("id") - 3, F.col("id") + 3)).alias("near"))
+    neighbours = line.where("near between 1 and 64 and near <> chan").withColumn("distance", F.abs(F.col("chan") - F.col("near")))
+    return signals.interpolate_channels(samples(spark, d).withColumnRenamed("t_idx", "chan"), [7, 8, 30], neighbours, ["trial_id"])
+
+
+@_entry("morton_order", "SELECT p_partkey, CAST(sum((((p_size >> k) & 1) << (2 * k + 1)) + ((((p_partkey % 65536) >> k) & 1) << (2 * k))) AS BIGINT) AS place FROM part, (SELECT CAST(unnest(generate_series(0, 15)) AS INTEGER) AS k) GROUP BY 1")
+def _(spark, d):
+    return table(spark, d, "part").select("p_partkey", signals.morton(F.col("p_size"), F.col("p_partkey") % 65536).alias("place"))
+
+
+@_entry("peak_sign", f"WITH {_S} SELECT trial_id, {_R('sign(arg_max(value, (abs(value), -t_idx)))::DOUBLE', 'sign')} FROM s GROUP BY 1")
+def _(spark, d):
+    return signals.peak_sign(samples(spark, d), ["trial_id"])
+
+
+_XY = "q AS (SELECT a.vec_id AS g, i AS t, CAST(a.embedding[i] AS DOUBLE) AS x, CAST(a.embedding[65 - i] AS DOUBLE) AS y FROM embeddings a, generate_series(1, 64) AS g(i))"
+
+
+def _two_signals(spark: SparkSession, d: str) -> DataFrame:
+    mirrored = epochs(spark, d).select(F.col("trial_id").alias("g"), F.posexplode(F.arrays_zip("x", F.reverse("x").alias("y"))).alias("t", "v"))
+    return mirrored.select("g", (F.col("t") + 1).alias("t"), "v.x", "v.y")
+
+
+@_entry("signal_cross_correlation", f"WITH {_XY}, l AS (SELECT g, lag, x, lead(y, CAST(lag AS INTEGER)) OVER (PARTITION BY g, lag ORDER BY t) AS z FROM q, (VALUES (0), (1), (5)) v(lag)) SELECT g, lag, {_R('corr(x, z)', 'r')}, count(*) AS n FROM l WHERE z IS NOT NULL GROUP BY 1, 2")
+def _(spark, d):
+    return signals.cross_correlation(_two_signals(spark, d), [0, 1, 5], ["g"])
+
+
+@_entry("signal_relative_shift", f"WITH {_XY}, l AS (SELECT g, t, x, lead(y, 4) OVER (PARTITION BY g ORDER BY t) AS y FROM q) SELECT g, t, {_R('x', 'x')}, {_R('y', 'y')} FROM l WHERE y IS NOT NULL")
+def _(spark, d):
+    return signals.relative_shift(_two_signals(spark, d), 4, ["g"])
+
+
+@_entry("discriminability", f"WITH {_S} SELECT t_idx, {_R('abs(avg(value) FILTER (event_code = 0) - avg(value) FILTER (event_code = 1)) / sqrt((var_samp(value) FILTER (event_code = 0) + var_samp(value) FILTER (event_code = 1)) / 2)', 'd')} FROM s GROUP BY 1")
+def _(spark, d):
+    return signals.discriminability(samples(spark, d), ["t_idx"], "event_code", 0, 1)
+
+
+@_entry("trend_windows", f"WITH {_S}, w AS (SELECT trial_id, t_idx, regr_slope(value, t_idx) OVER w AS b, regr_r2(value, t_idx) OVER w AS r, count(*) OVER w AS n FROM s WINDOW w AS (PARTITION BY trial_id ORDER BY t_idx ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING)) SELECT trial_id, t_idx AS start, {_R('b', 'slope')}, {_R('r', 'r2')}, abs(b) >= 0.01 AND r >= 0.3 AS rejected FROM w WHERE n = 16 AND (t_idx - 1) % 8 = 0")
+def _(spark, d):
+    return signals.trends(samples(spark, d), 16, 8, 0.01, 0.3, ["trial_id"])
+
+
+@_entry("spatial_difference", f"WITH {_S} SELECT trial_id, {_R('abs(avg(value) FILTER (t_idx <= 8)) - abs(avg(value) FILTER (t_idx > 56))', 'difference')} FROM s GROUP BY 1")
+def _(spark, d):
+    return signals.spatial_difference(samples(spark, d).withColumnRenamed("t_idx", "chan"), list(range(1, 9)), list(range(57, 65)), ["trial_id"])
+
+
+@_entry("standard_scores", f"SELECT c_custkey, {_R('(c_acctbal - avg(c_acctbal) OVER w) / stddev_samp(c_acctbal) OVER w', 'z')} FROM customer WINDOW w AS (PARTITION BY c_nationkey)")
+def _(spark, d):
+    own = table(spark, d, "customer").select("c_custkey", "c_nationkey", F.col("c_acctbal").cast("double").alias("value"))
+    return signals.standardise(own, ["c_nationkey"]).select("c_custkey", "z")
+
+
+@_entry("explained_share", f"SELECT l_returnflag AS g, {_R('greatest(0, 1 - avg((l_extendedprice - 1000 * l_quantity) * (l_extendedprice - 1000 * l_quantity)) / var_pop(l_extendedprice))', 'r2')}, {_R('sqrt(avg((l_extendedprice - 1000 * l_quantity) * (l_extendedprice - 1000 * l_quantity)))', 'rmse')} FROM lineitem GROUP BY 1")
+def _(spark, d):
+    own = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("g"), F.col("l_extendedprice").cast("double").alias("y"), (F.col("l_quantity") * 1000.0).cast("double").alias("f"))
+    return signals.explained(own, ["g"], "y", "f")
+
+
+@_entry("joint_density", "WITH b AS (SELECT CASE WHEN l_quantity < 0 THEN 0 WHEN l_quantity >= 60 THEN 7 ELSE floor(l_quantity / 10) + 1 END AS bx, CASE WHEN l_extendedprice < 0 THEN 0 WHEN l_extendedprice >= 60000 THEN 7 ELSE floor(l_extendedprice / 10000) + 1 END AS y FROM lineitem) SELECT CAST(bx AS BIGINT) AS bx, CAST(y AS BIGINT) AS \"by\", count(*) AS n FROM b GROUP BY 1, 2")
+def _(spark, d):
+    own = table(spark, d, "lineitem").select(F.col("l_quantity").cast("double").alias("x"), F.col("l_extendedprice").cast("double").alias("y"))
+    return signals.joint_density(own, "x", "y", (0, 60), (0, 60000), 6)
+
+
+@_entry("circ_axial_mean", f"WITH {_ANG}, x AS (SELECT g, avg(cos(3 * alpha)) AS c, avg(sin(3 * alpha)) AS s FROM a GROUP BY 1) SELECT g, {_R('sqrt(c * c + s * s)', 'r')}, {_R('atan2(s, c) / 3', 'mu')} FROM x")
+def _(spark, d):
+    return circ.axial_mean(_angles(spark, d), ["g"], 3)
+
+
+_NARROW = "a AS (SELECT o_orderpriority AS g, dayofyear(o_orderdate) / 200.0 AS alpha FROM orders)"
+
+
+def _narrow_angles(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select(F.col("o_orderpriority").alias("g"), (F.dayofyear("o_orderdate") / F.lit(200.0)).alias("alpha"))
+
+
+_HALF = f"{_NARROW}, m AS (SELECT g, CAST(count(*) AS DOUBLE) AS n, sum(cos(alpha)) AS c, sum(sin(alpha)) AS s FROM a GROUP BY 1), l AS (SELECT *, sqrt(c * c + s * s) AS l, 3.841458820694124 AS x FROM m), h AS (SELECT g, atan2(s, c) AS mu, acos(CASE WHEN l / n >= 0.9 THEN sqrt(n * n - (n * n - l * l) * exp(x / n)) WHEN l / n > sqrt(x / 2 / n) THEN sqrt(2 * n * (2 * l * l - n * x) / (4 * n - x)) END / l) AS half FROM l)"
+
+
+@_entry("circ_confidence", f"WITH {_HALF} SELECT g, {_R('mu', 'mu')}, {_R('half', 'half')} FROM h")
+def _(spark, d):
+    return circ.confidence(_narrow_angles(spark, d), ["g"])
+
+
+@_entry("circ_mean_test", f"WITH {_HALF} SELECT g, {_R('mu', 'mu')}, abs(atan2(sin(0.9 - mu), cos(0.9 - mu))) > half AS rejected FROM h")
+def _(spark, d):
+    return circ.mean_test(_narrow_angles(spark, d), ["g"], 0.9)
+
+
+@_entry("circ_equal_concentration", f"WITH {_NARROW}, m AS (SELECT CAST(count(*) FILTER (g = '1-URGENT') AS DOUBLE) AS n1, CAST(count(*) FILTER (g = '5-LOW') AS DOUBLE) AS n2, sqrt(sum(cos(alpha)) FILTER (g = '1-URGENT') ** 2 + sum(sin(alpha)) FILTER (g = '1-URGENT') ** 2) AS l1, sqrt(sum(cos(alpha)) FILTER (g = '5-LOW') ** 2 + sum(sin(alpha)) FILTER (g = '5-LOW') ** 2) AS l2 FROM a), f AS (SELECT *, (n2 - 1) * (n1 - l1) / ((n1 - 1) * (n2 - l2)) AS f FROM m) SELECT {_R('CASE WHEN f > 1 THEN f ELSE 1 / f END', 'f')}, CASE WHEN f > 1 THEN n1 ELSE n2 END AS df1, CASE WHEN f > 1 THEN n2 ELSE n1 END AS df2 FROM f")
+def _(spark, d):
+    return circ.equal_concentration(_narrow_angles(spark, d), "g", "1-URGENT", "5-LOW")
+
+
+@_entry("circ_rao_spacing", f"WITH {_ANG}, o AS (SELECT g, ROUND(degrees(alpha - 2 * pi() * floor(alpha / (2 * pi()))), 9) AS v FROM a), l AS (SELECT g, count(*) OVER p AS n, coalesce(lead(v) OVER (PARTITION BY g ORDER BY v), 360 + min(v) OVER p) - v AS gap FROM o WINDOW p AS (PARTITION BY g)) SELECT g, max(n) AS n, {_R('sum(abs(gap - 360.0 / n)) / 2', 'u')} FROM l GROUP BY 1")
+def _(spark, d):
+    return circ.rao_spacing(_angles(spark, d), ["g"])
+
+
+@_entry("circ_kuiper", f"WITH {_ANG}, b AS (SELECT g, CAST(floor((alpha - 2 * pi() * floor(alpha / (2 * pi()))) / (2 * pi()) * 100 + 1e-12) AS BIGINT) + 1 AS bin FROM a WHERE g IN ('1-URGENT', '5-LOW')), c AS (SELECT k, count(*) FILTER (g = '1-URGENT' AND bin <= k) / CAST(count(*) FILTER (g = '1-URGENT') AS DOUBLE) - count(*) FILTER (g = '5-LOW' AND bin <= k) / CAST(count(*) FILTER (g = '5-LOW') AS DOUBLE) AS d FROM b, generate_series(1, 100) AS x(k) GROUP BY 1) SELECT {_R('(SELECT CAST(count(*) FILTER (g = \'1-URGENT\') * count(*) FILTER (g = \'5-LOW\') AS DOUBLE) FROM b) * (greatest(max(d), 0) + greatest(max(-d), 0))', 'k')} FROM c")
+def _(spark, d):
+    return circ.kuiper(_angles(spark, d), "g", "1-URGENT", "5-LOW")
+
+
 # matrix models (tested against numpy) ---------------------------------------------------------------------
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from epochal.functions.dist import normal_quantile
+
 
 def moments(angles: DataFrame, by: list[str], a: str = "alpha", weight: str | None = None) -> DataFrame:
     """n, c, s (sums of cosines and sines) per group: everything below derives from them."""
@@ -79,8 +82,6 @@ def shape(angles: DataFrame, by: list[str], a: str = "alpha") -> DataFrame:
 
 def sample_cdf(angles: DataFrame, by: list[str], n: int, a: str = "alpha") -> DataFrame:
     """(by, bin, cdf): share of angles up to the end of each of n equal arcs of [0, 2 pi)."""
-    from pyspark.sql import Window
-
     turn = 2 * F.pi()
     own = angles.withColumn("bin", F.floor(F.pmod(F.col(a), turn) / turn * n + F.lit(1e-12)).cast("long") + 1).groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("k"))
     grid = own.select(*by).distinct().withColumn("bin", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long"))))
@@ -100,3 +101,61 @@ def omnibus(angles: DataFrame, by: list[str], a: str = "alpha") -> DataFrame:
     least = half.groupBy(*by).agg(F.max("n").alias("n"), F.min(F.least("inside", F.col("n") - F.col("inside"))).alias("m"))
     big = F.pi() * F.sqrt("n") / (2.0 * (F.col("n") - 2 * F.col("m")))
     return least.withColumn("p", F.sqrt(2 * F.pi()) / big * F.exp(-F.pi() * F.pi() / (8 * big * big)))
+
+
+def axial_mean(angles: DataFrame, by: list[str], m: int, a: str = "alpha") -> DataFrame:
+    """(by, r, mu): resultant length and direction of m-fold symmetric angles."""
+    own = moments(angles.withColumn("_ma", F.col(a) * m), by, "_ma")
+    return own.select(*by, (F.sqrt(F.col("c") * F.col("c") + F.col("s") * F.col("s")) / F.col("n")).alias("r"), (F.atan2("s", "c") / m).alias("mu"))
+
+
+def confidence(angles: DataFrame, by: list[str], level: float = 0.05, a: str = "alpha") -> DataFrame:
+    """(by, mu, half): mean direction and half the width of its confidence interval; null where none can be given."""
+    chi2 = float(normal_quantile(np.array([1 - level / 2]))[0] ** 2)  # chi squared with one degree of freedom
+    m = moments(angles, by, a).withColumn("length", F.sqrt(F.col("c") * F.col("c") + F.col("s") * F.col("s")))
+    n, length = F.col("n"), F.col("length")
+    wide = F.sqrt(2 * n * (2 * length * length - n * chi2) / (4 * n - chi2))
+    narrow = F.sqrt(n * n - (n * n - length * length) * F.exp(chi2 / n))
+    t = F.when(length / n >= 0.9, narrow).when(length / n > F.sqrt(chi2 / 2 / n), wide)
+    return m.select(*by, F.atan2("s", "c").alias("mu"), F.acos(t / length).alias("half"))
+
+
+def mean_test(angles: DataFrame, by: list[str], direction: float, level: float = 0.05, a: str = "alpha") -> DataFrame:
+    """(by, mu, rejected): is the given direction outside the confidence interval of the mean?"""
+    c = confidence(angles, by, level, a)
+    away = F.abs(F.atan2(F.sin(F.lit(direction) - F.col("mu")), F.cos(F.lit(direction) - F.col("mu"))))
+    return c.select(*by, "mu", (away > F.col("half")).alias("rejected"))
+
+
+def equal_concentration(angles: DataFrame, group: str, first: object, second: object, a: str = "alpha") -> DataFrame:
+    """One row: F (1 at least) of two groups' spreads and its degrees of freedom, the wider group's first."""
+    of = lambda f, g: F.sum(F.when(F.col(group) == g, f(a)))
+    count = lambda g: F.sum(F.when(F.col(group) == g, 1.0))
+    m = angles.agg(count(first).alias("n1"), count(second).alias("n2"), of(F.cos, first).alias("c1"), of(F.sin, first).alias("s1"), of(F.cos, second).alias("c2"), of(F.sin, second).alias("s2"))
+    length = lambda k: F.sqrt(F.col(f"c{k}") * F.col(f"c{k}") + F.col(f"s{k}") * F.col(f"s{k}"))
+    m = m.withColumn("_f", (F.col("n2") - 1) * (F.col("n1") - length(1)) / ((F.col("n1") - 1) * (F.col("n2") - length(2))))
+    flip = F.col("_f") <= 1
+    return m.select(F.when(flip, 1 / F.col("_f")).otherwise(F.col("_f")).alias("f"), F.when(flip, F.col("n2")).otherwise(F.col("n1")).alias("df1"), F.when(flip, F.col("n1")).otherwise(F.col("n2")).alias("df2"))
+
+
+def rao_spacing(angles: DataFrame, by: list[str], a: str = "alpha") -> DataFrame:
+    """(by, n, u): half the sum of the gaps' distances from equal gaps, in degrees.
+
+    Equal angles are counted first, so the ordering runs over distinct values only; each further copy is a gap of 0.
+    """
+    turn = 2 * F.pi()
+    value = angles.groupBy(*by, F.round(F.degrees(F.pmod(F.col(a), turn)), 9).alias("v")).agg(F.count(F.lit(1)).alias("k"))
+    gap = F.lead("v").over(Window.partitionBy(*by).orderBy("v")) - F.col("v")
+    whole = Window.partitionBy(*by)
+    own = value.withColumns({"n": F.sum("k").over(whole), "gap": F.coalesce(gap, 360 - F.max("v").over(whole) + F.min("v").over(whole))})
+    even = 360.0 / F.col("n")
+    return own.groupBy(*by).agg(F.max("n").alias("n"), (F.sum(F.abs(F.col("gap") - even) + (F.col("k") - 1) * even) / 2).alias("u"))
+
+
+def kuiper(angles: DataFrame, group: str, first: object, second: object, resolution: int = 100, a: str = "alpha") -> DataFrame:
+    """One row: n * m times the sum of the largest differences, either way, of two groups' distributions on a grid."""
+    cdf = sample_cdf(angles.where(F.col(group).isin(first, second)), [group], resolution, a)
+    side = lambda g: F.max(F.when(F.col(group) == g, F.col("cdf")))
+    d = cdf.groupBy("bin").agg((side(first) - side(second)).alias("d")).agg(F.greatest(F.max("d"), F.lit(0.0)).alias("up"), F.greatest(F.max(-F.col("d")), F.lit(0.0)).alias("down"))
+    n = angles.agg(F.sum(F.when(F.col(group) == first, 1.0)).alias("n"), F.sum(F.when(F.col(group) == second, 1.0)).alias("m"))
+    return d.join(F.broadcast(n), how="cross").select((F.col("n") * F.col("m") * (F.col("up") + F.col("down"))).alias("k"))  # one row each
