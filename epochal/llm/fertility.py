@@ -1,13 +1,19 @@
 """Quality rules from tokeniser fertility.
 
 Public vocabularies read each text; measured are characters per token, the share of tokens that are
-pieces of a character only (byte fallback) and the entropy of the token counts.  Each script has bands;
-a text is rejected when it is outside its script's bands under every vocabulary: a text that one
-vocabulary fits is not junk.  The script is that of most letters.
+pieces of a character only (byte fallback) and the entropy of the token counts.  The script is that of most
+letters.  A text is rejected
+
+* when it is outside its script's wide BANDS under every vocabulary, or
+* when one measure under one vocabulary is an outlier among the documents of its script and language (``lang``,
+  where the table has it): more than FENCE quartile distances beyond the quartiles.  Quartiles are Spark
+  aggregates over all documents that pass the base, exact on values rounded to GRID decimals, so what an
+  aggregate holds is bounded by the grid.  A script and language of fewer than LEAST documents has no fences.
 
 Base measures (whole text, words ``[^\\x20\\x09-\\x0D]+``): n_words, word_chars, n_symbols, n_dup_lines,
 n_repeat_words; base_failed when n_words < 50 or 100 * n_repeat_words > 50 * n_words.  The vocabularies
-read only texts that pass the base, as nothing else could change the verdict.
+read only texts that pass the base, as nothing else could change the verdict; each is read once, and the
+measures wait in a table of the shared folder for the quartiles.
 
 Defined results: a null text counts as empty (0 words, base_failed, not kept); null and repeated doc_ids
 are carried through row by row; an empty table gives an empty table.
@@ -24,6 +30,7 @@ from pyspark.sql import functions as F
 
 from epochal.llm import textops as X
 from epochal.llm import tokens
+from epochal.llm.work import Work
 
 VOCABULARIES = ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken")
 
@@ -37,6 +44,8 @@ BANDS = {  # least and most characters per token, most byte fallback, least bits
     "east_asian": (0.2, 6.0, 1.0, 2.0),
     "none": (1.0, 14.0, 0.60, 2.0),
 }
+FENCE, LEAST, GRID = 2.5, 100, 3
+FLOORS = {"per_token": 0.05, "fallback": 0.01, "entropy": 0.1}  # least quartile distances: equal texts make no outliers
 
 _OF_BYTE = np.full(256, 6, dtype=np.int64)  # by the byte that opens a letter
 _OF_BYTE[65:91] = _OF_BYTE[97:123] = 0
@@ -123,36 +132,76 @@ def default_paths() -> tuple[str, ...]:
 
 
 def _judge(texts: pa.Array, paths: tuple[str, ...], rules: dict) -> Iterator[tuple[int, int, dict, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per piece: first, last + 1, base measures, base_failed, scripts, the first vocabulary's measures, kept."""
+    """Per piece: first, last + 1, base measures, base_failed, scripts, measures (vocabularies x 4 x texts), kept by the bands."""
     for first, last, data, offsets in X.pieces(texts):
         base = base_measures(data, offsets)
         failed = (base["n_words"] < 50) | (100 * base["n_repeat_words"] > 50 * base["n_words"])
         scripts = _scripts(data, offsets)
-        measured = np.full((4, last - first), np.nan)
+        measured = np.full((len(paths), 4, last - first), np.nan)
         kept = np.zeros(last - first, dtype=bool)
         raw = data.tobytes()
         for i in np.flatnonzero(~failed):
             own = [fertility(raw[offsets[i] : offsets[i + 1]], p) for p in paths]
-            measured[:, i] = own[0]
+            measured[:, :, i] = own
             kept[i] = any(within(SCRIPTS[scripts[i]], m, rules) for m in own)
         yield first, last, base, failed, scripts, measured, kept
 
 
 def verdicts(texts: pa.Array, paths: tuple[str, ...], bands: dict = BANDS) -> np.ndarray:
-    """kept, for each text."""
+    """Inside the bands, for each text; the fences need the whole table (``quality``, ``keep``)."""
     return np.concatenate([np.zeros(0, dtype=bool), *(piece[-1] for piece in _judge(texts, paths, bands))])
 
 
-def quality(docs: DataFrame, vocabularies: tuple[str, ...] | None = None, bands: dict | None = None) -> DataFrame:
-    """doc_id, the base measures, base_failed, script, the first vocabulary's measures and kept, per document."""
-    paths, rules = vocabularies or default_paths(), bands or BANDS
+def _measure(docs: DataFrame, columns: list[str], paths: tuple[str, ...], rules: dict) -> DataFrame:
+    """The given columns of every document, and its measures in ``_f``."""
+    kinds = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, script string, lang string, banded boolean"
+    kinds += "".join(f", {name}{k} double" for k in range(len(paths)) for name in FLOORS)
+    names = [kind.split()[0] for kind in kinds.split(", ")]
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    given = docs.select(*columns, F.struct(F.col("text").cast("string").alias("text"), lang.alias("lang")).alias("_f"))
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns) + ", _f struct<" + ", ".join(kind.replace(" ", ": ") for kind in kinds.split(", ")) + ">"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id")
-            for first, last, base, failed, scripts, measured, kept in _judge(batch.column("text"), paths, rules):
-                arrays = [ids.slice(first, last - first), *(pa.array(v) for v in base.values()), pa.array(failed), pa.array([SCRIPTS[k] for k in scripts]), *(pa.array(m, from_pandas=True) for m in measured[1:]), pa.array(kept)]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *base, "base_failed", "script", "chars_per_token", "fallback_share", "token_entropy", "kept"])
+            text, lang = batch.column("_f").flatten()
+            for first, last, base, failed, scripts, measured, kept in _judge(text, paths, rules):
+                n = last - first
+                arrays = [*(pa.array(v) for v in base.values()), pa.array(failed), pa.array([SCRIPTS[k] for k in scripts], pa.string()), lang.slice(first, n), pa.array(kept), *(pa.array(m, from_pandas=True) for own in measured for m in own[1:])]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, n) for c in columns), pa.StructArray.from_arrays(arrays, names)], [*columns, "_f"])
+
+    return given.mapInArrow(work, schema)
+
+
+def _fenced(measured: DataFrame, n_vocabularies: int) -> DataFrame:
+    """Adds ``_kept``: inside the bands, and no outlier of its script and language under any vocabulary."""
+    names = [f"{name}{k}" for k in range(n_vocabularies) for name in FLOORS]
+    quartiles = [F.percentile(F.round(F.col(f"_f.{x}"), GRID), F.array(F.lit(0.25), F.lit(0.75))).alias(x) for x in names]
+    own = measured.where("not _f.base_failed").groupBy(F.col("_f.script").alias("script"), F.col("_f.lang").alias("lang")).agg(F.count(F.lit(1)).alias("n"), *quartiles)
+    fences = own.where(F.col("n") >= LEAST).select(F.struct("script", "lang", *names).alias("_q"))
+    good = F.lit(True)
+    for x in names:
+        value, low, high = F.round(F.col(f"_f.{x}"), GRID), F.col(f"_q.{x}")[0], F.col(f"_q.{x}")[1]
+        reach = FENCE * F.greatest(high - low, F.lit(FLOORS[x.rstrip("0123456789")]))
+        if not x.startswith("fallback"):  # few pieces of characters are no fault
+            good = good & (value >= low - reach)
+        if not x.startswith("entropy"):
+            good = good & (value <= high + reach)
+    same = (F.col("_f.script") == F.col("_q.script")) & F.col("_f.lang").eqNullSafe(F.col("_q.lang"))
+    out = measured.join(F.broadcast(fences), same, "left")  # a row for each script and language
+    return out.withColumn("_kept", F.col("_f.banded") & (F.col("_q").isNull() | good)).drop("_q")
 
-    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, script string, chars_per_token double, fallback_share double, token_entropy double, kept boolean"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, schema)
+
+def quality(docs: DataFrame, vocabularies: tuple[str, ...] | None = None, bands: dict | None = None) -> DataFrame:
+    """doc_id, the base measures, base_failed, script, the first vocabulary's measures and kept, per document."""
+    paths = vocabularies or default_paths()
+    named = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    measured = Work(docs.sparkSession, "fertility").cut(_measure(named, ["doc_id"], paths, bands or BANDS), "measures")
+    base = [F.col(f"_f.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "script")]
+    return _fenced(measured, len(paths)).select("doc_id", *base, F.col("_f.per_token0").alias("chars_per_token"), F.col("_f.fallback0").alias("fallback_share"), F.col("_f.entropy0").alias("token_entropy"), F.col("_kept").alias("kept"))
+
+
+def keep(docs: DataFrame) -> DataFrame:
+    """The documents, with all their columns, that ``quality`` keeps."""
+    paths = default_paths()
+    measured = Work(docs.sparkSession, "fertility").cut(_measure(docs, docs.columns, paths, BANDS), "measures")
+    return _fenced(measured, len(paths)).where("_kept").select(*docs.columns)

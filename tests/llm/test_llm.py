@@ -193,6 +193,22 @@ def test_fertility_bands():
     assert fertility.verdicts(english, paths).tolist() == [True] and fertility.verdicts(noise, paths).tolist() == [False]
 
 
+def test_fertility_fences(spark):
+    """Junk of a language goes although its script's bands hold it, in the query and in the pipeline's stage."""
+    import corpus_pipeline
+
+    words = "the committee met on Monday to talk about a new bridge over river and its cost for house number of old town near northern harbour council water people small large paper".split()
+    good = [(i, " ".join(np.random.default_rng(i).choice(words, 120)), "en") for i in range(150)]
+    junk = [(1000 + i, re.sub(" ", "&&& ", good[i][1]).replace("e&&&", "e***"), "en") for i in range(8)]
+    few = [(2000 + i, junk[i][1], "xx") for i in range(8)]  # too few of a language for quartiles
+    docs = spark.createDataFrame(good + junk + few + [(None, junk[0][1], "en"), (5, good[5][1], "en")], "doc_id long, text string, lang string").repartition(5)
+    assert all(fertility.verdicts(pa.array([t for _, t, _ in junk]), fertility.default_paths()))
+    kept = sorted(r.doc_id for r in fertility.quality(docs).where("kept").collect())
+    assert kept == sorted([i for i, *_ in good + few] + [5])
+    left = corpus_pipeline.drop_junk(spark, docs, "")
+    assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == kept
+
+
 # 4: decontamination -----------------------------------------------------------------------------------------
 
 
