@@ -5,10 +5,12 @@ embeddings goes through tanh to a two-level softmax (CLASSES classes of words of
 in its class).  A document's score is the sum of its words' conditional log-probabilities.
 
 Words are those of the corpus: the most frequent KNOWN by counts over all documents, and for the rest
-RARE cells by hash.  Training is spread over the corpus: each task runs Adagrad over one in EVERY positions
+RARE cells by hash.  The network gives a rare word its cell's probability; times the word's share of its
+cell's count over all documents, that is a probability of the word's own.  Shares of the HELD most frequent
+rare words are broadcast, those of all others come by a join with the counts.  Training is spread over the corpus: each task runs Adagrad over one in EVERY positions
 of each of its documents, starting from common weights; the tasks' weights are averaged, in levels of at
 most FAN rows a group, and the next round starts from the average.  What is gathered - word counts and
-weights - follows the input; what reaches the driver (KNOWN words, one set of weights) does not.
+weights - follows the input; what reaches the driver (KNOWN and HELD words, one set of weights) does not.
 
 Defined results: a null, empty or wordless text has n_tokens 0, log_likelihood 0 and a null mean; null and
 repeated doc_ids are scored row by row; an empty table gives an empty table (nothing is trained).
@@ -31,7 +33,7 @@ SIDE, WIDTH, CLASSES, IN_CLASS, RARE = 2, 24, 64, 32, 256
 WORDS = CLASSES * IN_CLASS
 KNOWN = WORDS - RARE
 EVERY, ROUNDS, BATCH, RATE = 16, 2, 4096, 0.15
-BLOCK, FAN = 4096, 256
+BLOCK, FAN, HELD = 4096, 256, 1 << 18
 _SHAPES = {"embed": (2 * SIDE, WORDS + 1, WIDTH), "bias": (WIDTH,), "top": (WIDTH, CLASSES), "top_bias": (CLASSES,), "low": (CLASSES, WIDTH, IN_CLASS), "low_bias": (CLASSES, IN_CLASS)}
 _SIZE = sum(int(np.prod(s)) for s in _SHAPES.values())
 
@@ -51,8 +53,8 @@ def start() -> np.ndarray:
     return np.random.default_rng(1).normal(0, 0.05, _SIZE).astype(np.float32)
 
 
-def words_of(texts: pa.Array, known: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Per piece: first, last + 1, word numbers, bounds.  ``known`` are the frequent words' fingerprints, by rank."""
+def words_of(texts: pa.Array, known: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per piece: first, last + 1, word numbers, bounds, fingerprints.  ``known`` are the frequent words' fingerprints, by rank."""
     order = np.argsort(known, kind="stable")
     ranked = known[order]
     for first, last, data, offsets in X.pieces(texts):
@@ -63,7 +65,7 @@ def words_of(texts: pa.Array, known: np.ndarray) -> Iterator[tuple[int, int, np.
         if len(ranked):
             at = np.minimum(np.searchsorted(ranked, own), len(ranked) - 1)
             number = np.where(ranked[at] == own, order[at], number)
-        yield first, last, number, bounds
+        yield first, last, number, bounds, own
 
 
 def _contexts(numbers: np.ndarray, bounds: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -144,8 +146,8 @@ class Trainer:
         self.seen += len(target)
 
 
-def vocabulary(docs: DataFrame) -> np.ndarray:
-    """Fingerprints of the most frequent words, by counts over all documents (ties: smaller fingerprint)."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n): the fingerprint and count of every word of all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,10 +158,37 @@ def vocabulary(docs: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], ["word", "n"])
 
     counts = docs.select(F.col("text").cast("string")).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return Work(docs.sparkSession, "word-counts").cut(counts, "counts")
+
+
+def vocabulary(counts: DataFrame) -> np.ndarray:
+    """Fingerprints of the most frequent words (ties: smaller fingerprint)."""
     top = counts.orderBy(F.desc("n"), "word").limit(KNOWN).toPandas()
     return top["word"].to_numpy(dtype=np.int64).view(np.uint64)
 
 
+def shares(counts: DataFrame, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, DataFrame]:
+    """Of the rare words: log count of each cell, fingerprints and log counts of those held, (word, log_n) of the others."""
+    spark = counts.sparkSession
+    frequent = spark.createDataFrame([(int(w),) for w in known.view(np.int64)], "word long")
+    rare = counts.join(F.broadcast(frequent), "word", "left_anti")  # KNOWN rows
+    cells = np.ones(RARE)
+    for r in rare.groupBy(F.expr(f"word & {RARE - 1}").alias("cell")).agg(F.sum("n").alias("n")).collect():
+        cells[r["cell"]] = r["n"]
+    least, total = 1 << 16, 0
+    for n, words in sorted(rare.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).count().collect(), reverse=True):
+        total += words
+        if total > HELD:
+            least = n + 1
+            break
+        least = n
+    own = rare.where(F.least("n", F.lit(1 << 16)) >= least).toPandas()  # at most HELD
+    held = own["word"].to_numpy(dtype=np.int64).view(np.uint64)
+    order = np.argsort(held)
+    others = rare.where(F.least("n", F.lit(1 << 16)) < least)
+    return np.log(cells), held[order], np.log(own["n"].to_numpy(dtype=float))[order], others.where("n > 1").select("word", F.log("n").alias("log_n"))
+
+
 def train(docs: DataFrame, known: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     """Weights averaged over the tasks, ``rounds`` times."""
     spark, flat = docs.sparkSession, start()
@@ -173,7 +202,7 @@ def train(docs: DataFrame, known: np.ndarray, rounds: int = ROUNDS) -> np.ndarra
             begin, words = sent.value
             own, kept = Trainer(begin), []
             for batch in batches:
-                for _, _, numbers, bounds in words_of(batch.column("text"), words):
+                for _, _, numbers, bounds, _ in words_of(batch.column("text"), words):
                     at = np.arange(turn % EVERY, len(numbers), EVERY)
                     if len(at):
                         kept.append((_contexts(numbers, bounds, at), numbers[at]))
@@ -208,25 +237,39 @@ def _added(group: pa.Table) -> pa.Table:
     return pa.table({"block": first.column("block"), "part": first.column("part"), "seen": pa.array([sum(group.column("seen").to_pylist())]), "sums": pa.array([total.tobytes()], pa.binary())})
 
 
-def score(docs: DataFrame, known: np.ndarray, flat: np.ndarray) -> DataFrame:
+def score(docs: DataFrame, counts: DataFrame, known: np.ndarray, flat: np.ndarray) -> DataFrame:
     """doc_id, n_tokens, log_likelihood and mean_log_likelihood for every document."""
-    sent = docs.sparkSession.sparkContext.broadcast((flat, known))
+    cells, held, logs, others = shares(counts, known)
+    sent = docs.sparkSession.sparkContext.broadcast((flat, known, cells, held, logs))  # the model and HELD words
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, known = sent.value
-        weights = unpack(flat)
+        flat, known, cells, held, logs = sent.value
+        weights, row = unpack(flat), TaskContext.get().partitionId() << 36
         for batch in batches:
             ids = batch.column("doc_id")
-            for first, last, numbers, bounds in words_of(batch.column("text"), known):
+            for first, last, numbers, bounds, words in words_of(batch.column("text"), known):
                 value = log_probabilities(weights, _contexts(numbers, bounds, np.arange(len(numbers))), numbers)
+                rare = np.flatnonzero(numbers >= KNOWN)
+                value[rare] -= cells[numbers[rare] - KNOWN]
+                if len(held):
+                    at = np.minimum(np.searchsorted(held, words[rare]), len(held) - 1)
+                    found = held[at] == words[rare]
+                    value[rare[found]] += logs[at[found]]
+                    rare = rare[~found]
                 run, n = np.concatenate([[0.0], np.cumsum(value)]), np.diff(bounds)
-                total = run[bounds[1:]] - run[bounds[:-1]]
-                mean = np.where(n > 0, total / np.maximum(n, 1), np.nan)
-                yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), pa.array(n, pa.int64()), pa.array(total), pa.array(mean, from_pandas=True)], ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
+                lists = pa.LargeListArray.from_arrays(pa.array(np.searchsorted(rare, bounds)), pa.array(words[rare].view(np.int64))).cast(pa.list_(pa.int64()))
+                own = np.arange(row, row + last - first)
+                row += last - first
+                yield pa.RecordBatch.from_arrays([pa.array(own), ids.slice(first, last - first), pa.array(n, pa.int64()), pa.array(run[bounds[1:]] - run[bounds[:-1]]), lists], ["row", "doc_id", "n_tokens", "cells", "rare"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double")
+    scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "row long, doc_id long, n_tokens long, cells double, rare array<long>")
+    scored = Work(docs.sparkSession, "scores").cut(scored, "cells")
+    extra = scored.select("row", F.explode("rare").alias("word")).join(others, "word").groupBy("row").agg(F.sum("log_n").alias("extra"))
+    total = (F.col("cells") + F.coalesce("extra", F.lit(0.0))).alias("log_likelihood")
+    return scored.drop("rare").join(extra, "row", "left").select("doc_id", "n_tokens", total).withColumn("mean_log_likelihood", F.try_divide("log_likelihood", "n_tokens"))
 
 
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
-    known = vocabulary(docs)
-    return score(docs, known, train(docs, known))
+    counts = word_counts(docs)
+    known = vocabulary(counts)
+    return score(docs, counts, known, train(docs, known))

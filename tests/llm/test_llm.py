@@ -439,6 +439,21 @@ def test_pseudo_likelihood(spark, odd, empty):
     assert pseudo_likelihood.pseudo_likelihood(empty).count() == 0
 
 
+@pytest.mark.parametrize("held", [0, 1 << 18])
+def test_words_of_a_cell_have_their_own_probability(spark, monkeypatch, held):
+    monkeypatch.setattr(pseudo_likelihood, "HELD", held)
+    filler = " ".join(f"k{i}" for i in range(pseudo_likelihood.KNOWN))
+    names = [f"r{i}" for i in range(2000)]
+    data, offsets = X.buffers(pa.array([" ".join(names)], pa.string()))
+    starts, ends, _ = X.word_spans(data, offsets)
+    cell = X.span_hashes(data, starts, ends) % np.uint64(pseudo_likelihood.RARE)
+    one, two = (names[i] for i in np.flatnonzero(cell == cell[0])[:2])
+    rows = [(i, filler) for i in range(6)] + [(10, "k1 k2 " + one), (11, "k1 k2 " + two), (12, " ".join([one] * 3)), (10, "k1 k2 " + one)]
+    got = {r.doc_id: r for r in pseudo_likelihood.pseudo_likelihood(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[10].log_likelihood - got[11].log_likelihood == pytest.approx(np.log(5))
+    assert got[10].n_tokens == 3
+
+
 # the pipeline ----------------------------------------------------------------------------------------------
 
 
