@@ -7,8 +7,8 @@ in its class).  A document's score is the sum of its words' conditional log-prob
 Words are those of the corpus: the most frequent KNOWN by counts over all documents, and for the rest
 RARE cells by hash.  The network gives a rare word its cell's probability; times the word's share of its
 cell's count over all documents, that is a probability of the word's own.  Shares of the HELD most frequent
-rare words are broadcast, those of all others come by a join with the counts.  Training is spread over the corpus: each task runs Adagrad over one in EVERY positions
-of each of its documents, starting from common weights; the tasks' weights are averaged, in levels of at
+rare words are broadcast, those of all others come by a join with the counts.  Training is spread over the corpus: each task runs Adagrad over its documents' positions,
+every ROUNDS-th a round so that each position is a target once, starting from common weights; the tasks' weights are averaged, in levels of at
 most FAN rows a group, and the next round starts from the average.  What is gathered - word counts and
 weights - follows the input; what reaches the driver (KNOWN and HELD words, one set of weights) does not.
 
@@ -32,7 +32,7 @@ from epochal.llm.work import Work
 SIDE, WIDTH, CLASSES, IN_CLASS, RARE = 2, 24, 64, 32, 256
 WORDS = CLASSES * IN_CLASS
 KNOWN = WORDS - RARE
-EVERY, ROUNDS, BATCH, RATE = 16, 2, 4096, 0.15
+ROUNDS, BATCH, RATE = 2, 4096, 0.15
 BLOCK, FAN, HELD = 4096, 256, 1 << 18
 _SHAPES = {"embed": (2 * SIDE, WORDS + 1, WIDTH), "bias": (WIDTH,), "top": (WIDTH, CLASSES), "top_bias": (CLASSES,), "low": (CLASSES, WIDTH, IN_CLASS), "low_bias": (CLASSES, IN_CLASS)}
 _SIZE = sum(int(np.prod(s)) for s in _SHAPES.values())
@@ -127,7 +127,9 @@ def gradient(w: Weights, context: np.ndarray, target: np.ndarray) -> Weights:
     back *= 1 - hidden**2
     grads["bias"] = back.sum(axis=0)
     for k in range(2 * SIDE):
-        np.add.at(grads["embed"][k], context[:, k], back)
+        order = np.argsort(context[:, k], kind="stable")
+        word, at = np.unique(context[order, k], return_index=True)
+        grads["embed"][k][word] = np.add.reduceat(back[order], at, axis=0)
     return {name: g / n for name, g in grads.items()}
 
 
@@ -203,7 +205,7 @@ def train(docs: DataFrame, known: np.ndarray, rounds: int = ROUNDS) -> np.ndarra
             own, kept = Trainer(begin), []
             for batch in batches:
                 for _, _, numbers, bounds, _ in words_of(batch.column("text"), words):
-                    at = np.arange(turn % EVERY, len(numbers), EVERY)
+                    at = np.arange(turn, len(numbers), rounds)
                     if len(at):
                         kept.append((_contexts(numbers, bounds, at), numbers[at]))
                     if sum(len(t) for _, t in kept) >= BATCH:

@@ -439,6 +439,12 @@ def test_pseudo_likelihood(spark, odd, empty):
     assert pseudo_likelihood.pseudo_likelihood(empty).count() == 0
 
 
+def test_every_position_is_trained_on(spark):
+    docs = spark.createDataFrame([(i, f"w{i % 16}") for i in range(16 * 400)], "doc_id long, text string").coalesce(1)
+    got = [r.mean_log_likelihood for r in pseudo_likelihood.pseudo_likelihood(docs).where("doc_id < 16").collect()]
+    assert len(got) == 16 and min(got) > np.log(1 / pseudo_likelihood.WORDS) + 2
+
+
 @pytest.mark.parametrize("held", [0, 1 << 18])
 def test_words_of_a_cell_have_their_own_probability(spark, monkeypatch, held):
     monkeypatch.setattr(pseudo_likelihood, "HELD", held)
