@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from epochal.llm import decontamination, fertility, minhash, packing, toxicity
 from epochal.llm.work import Work
@@ -38,10 +39,15 @@ def drop_junk(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: that with the smallest id.  Null ids form no group."""
-    kept = minhash.near_duplicates(docs, width=5).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """One document of each group of near copies stays, that with the smallest id.  Null ids form no group.
+
+    Rows are told apart by id and text, so rows with one id and different texts are not taken for copies.
+    """
+    kept = minhash.near_duplicates(docs, width=5).where("first and doc_id is not null").select("doc_id", "text_key").distinct()
+    key = [F.col("doc_id").cast("long").alias("_i"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_t")]
+    named = docs.where("doc_id is not null").select(F.struct("*").alias("_d"), *key)
+    named = named.join(kept.select(F.col("doc_id").alias("_i"), F.col("text_key").alias("_t")), ["_i", "_t"], "left_semi").dropDuplicates(["_i", "_t"])
+    return named.select("_d.*").unionByName(docs.where("doc_id is null"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
