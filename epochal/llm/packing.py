@@ -4,10 +4,10 @@ Every document's ids are cut into whole windows, each a sequence of its own, and
 are dealt by their rarest ids (in a byte-pair vocabulary a larger id is a later, rarer merge), so texts
 with rare words in common are neighbours; runs of SHARD remainders in that order are the shards of a BM25
 inverted index (document frequencies and mean length are those of the whole corpus).  Each unused
-remainder in turn is a seed: its shard's index returns its unused neighbours, best first, which fill the
-seed's window; the last one is cut to fit and what is left of it returns to the shard.  Without
-neighbours that share a weighty id, the next unused remainder follows.  What a shard has not filled at its
-end goes on to the next shard of the task, so that only a task's last sequence has padding.
+remainder in turn is a seed: its shard's index returns its unused neighbours, best first by all ids that
+they share, which fill the seed's window; the last one is cut to fit and what is left of it returns to the
+shard.  What a shard has not filled at its end goes on to the next shard of the task, so that only a task's
+last sequence has padding.
 
 Defined results: a null or empty text has the closing id 0 only; null and repeated doc_ids are packed row by
 row; an empty table gives an empty table; a text with too many ids for memory is the only bound (one text
@@ -17,6 +17,7 @@ is tokenised at a time).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from zlib import crc32
 
 import numpy as np
@@ -29,17 +30,17 @@ from epochal.llm import textops as X
 from epochal.llm import tokens
 from epochal.llm.work import Work
 
-WINDOW, SHARD, QUERY_TERMS = 1024, 4096, 12
-VOCABULARY = "byte_bpe_50k.tiktoken"
+WINDOW, SHARD = 1024, 2048
+VOCABULARY, SPECIAL = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 K1, B = 1.2, 0.75
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _cut(docs: DataFrame, path: str, window: int) -> DataFrame:
+def _cut(docs: DataFrame, path: str, special: tuple[tuple[str, int], ...], window: int) -> DataFrame:
     """Whole windows (ids null) and remainders (their ids) of every document."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoder(path).encode_to_numpy
+        encode = partial(tokens.encoder(path, special).encode_to_numpy, allowed_special="all")
         task, sequences = TaskContext.get().partitionId(), 0
         for batch in batches:
             own = batch.column("doc_id").to_pylist()
@@ -83,47 +84,69 @@ def _frequencies(rests: DataFrame) -> DataFrame:
 
 
 class _Shard:
-    """An inverted index over some remainders; BM25 scores of all of them for a seed."""
+    """An inverted index over some remainders; BM25 scores of all of them for a seed's distinct ids."""
 
     def __init__(self, pieces: list[np.ndarray], idf: np.ndarray, mean: float) -> None:
-        self.idf, n = idf, len(pieces)
+        n = len(pieces)
         size = np.array([len(p) for p in pieces])
-        key = np.concatenate(pieces).astype(np.int64) * n + np.repeat(np.arange(n), size)
-        key, tf = np.unique(key, return_counts=True)
-        self.term, self.piece = key // n, key % n
-        length = K1 * (1 - B + B * size[self.piece] / mean)
-        self.weight = idf[self.term] * tf * (K1 + 1) / (tf + length)
+        key = np.sort(np.concatenate(pieces).astype(np.int64) * n + np.repeat(np.arange(n), size))
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        tf, key = np.diff(np.append(first, len(key))), key[first]
+        term, self.piece = key // n, key % n
+        self.weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[self.piece] / mean))
+        self.begin = np.searchsorted(term, np.arange(len(idf) + 1))
         self.n = n
+        # ids that many remainders have stand in a dense table, the others in lists
+        dense = np.diff(self.begin) > n // 16
+        self.place = np.cumsum(dense) - 1
+        self.place[~dense] = -1
+        self.table = np.zeros((int(dense.sum()), n), dtype=np.float32)
+        often = dense[term]
+        self.table[self.place[term[often]], self.piece[often]] = self.weight[often]
 
     def scores(self, ids: np.ndarray) -> np.ndarray:
-        own, tf = np.unique(ids, return_counts=True)
-        value = self.idf[own] * np.minimum(tf, 3)
-        own = own[np.argsort(-value, kind="stable")[:QUERY_TERMS]]
-        lo, hi = np.searchsorted(self.term, own), np.searchsorted(self.term, own, side="right")
-        at = np.concatenate([np.arange(a, b) for a, b in zip(lo, hi, strict=True)])
-        return np.bincount(self.piece[at], weights=self.weight[at], minlength=self.n)
+        own = np.unique(ids).astype(np.int64)
+        place = self.place[own]
+        wanted = np.zeros(len(self.table), dtype=np.float32)
+        wanted[place[place >= 0]] = 1
+        own = own[place < 0]
+        spans = [slice(a, b) for a, b in zip(self.begin[own].tolist(), self.begin[own + 1].tolist(), strict=True)]
+        common = wanted @ self.table
+        if not spans:
+            return common.astype(np.float64)
+        return common + np.bincount(np.concatenate([self.piece[s] for s in spans]), weights=np.concatenate([self.weight[s] for s in spans]), minlength=self.n)
+
+
+def _falling(values: np.ndarray, at_once: int = 24) -> Iterator[int]:
+    """Places by falling value, ties in order; only as many as asked for are sorted."""
+    least = np.partition(values, -at_once)[-at_once] if len(values) > at_once else -np.inf
+    top = np.flatnonzero(values > least)
+    yield from top[np.argsort(-values[top], kind="stable")].tolist()
+    rest = np.flatnonzero(values <= least)
+    yield from rest[np.argsort(-values[rest], kind="stable")].tolist()
 
 
 def pack_shard(rows: list[list], idf: np.ndarray, mean: float, window: int, last: bool) -> tuple[list[list[list]], list[list]]:
-    """Full windows made of [doc_id, start, ids, doc_tokens] rows, and the rows that are left (none if last)."""
-    shard = _Shard([r[2] for r in rows], idf, mean)
-    free = np.ones(len(rows), dtype=bool)
+    """Full windows made of [doc_id, start, ids, doc_tokens] rows, and the rows that are left (none if last).
+
+    A window takes its seed's neighbours in falling order of their scores until it is full; only when no
+    unused remainder shares an id with the seed does the order in which they stand decide.
+    """
     windows: list[list[list]] = []
     room_left = sum(len(r[2]) for r in rows)
-    seed = 0
+    free = np.zeros(0, dtype=bool)
     while room_left >= window or (last and room_left):
+        if 2 * free.sum() <= len(free):  # an index of what is still unused
+            rows = [r for r, f in zip(rows, free, strict=True) if f] if len(free) else rows
+            shard, free, seed = _Shard([r[2] for r in rows], idf, mean), np.ones(len(rows), dtype=bool), 0
         while not free[seed]:
             seed += 1
         mine, room, free[seed] = [rows[seed]], window - len(rows[seed][2]), False
         if room:
-            found = shard.scores(rows[seed][2])
-            found[~free] = 0
-            best = np.argsort(-found, kind="stable")[: min(64, len(found))]
-            for i in [*best[found[best] > 0].tolist(), *(np.flatnonzero(free)[: 2 * window].tolist())]:
-                if not room:
+            found = np.where(free, shard.scores(rows[seed][2]), -1.0)
+            for i in _falling(found):
+                if not room or found[i] < 0:
                     break
-                if not free[i]:
-                    continue
                 doc, start, ids, total = rows[i]
                 if len(ids) <= room:
                     mine.append(rows[i])
@@ -134,13 +157,18 @@ def pack_shard(rows: list[list], idf: np.ndarray, mean: float, window: int, last
                 room -= len(mine[-1][2])
         room_left -= window - room
         windows.append(mine)
-    return windows, [r for r, f in zip(rows, free, strict=True) if f]
+    return windows, [r for r, f in zip(rows, free, strict=True) if f] if len(free) else rows
+
 
+def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, special: dict[str, int] | None = None) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    ``path`` is a rank file, ``special`` the strings with an id of their own (default: those of SPECIAL).
+    """
     work = Work(docs.sparkSession, "packing")
-    cut = work.cut(_cut(docs, path or tokens.public_path(VOCABULARY), window), "cut")
+    if special is None:
+        special = {} if path else tokens.special_tokens(tokens.public_path(SPECIAL))
+    cut = work.cut(_cut(docs, path or tokens.public_path(VOCABULARY), tuple(special.items()), window), "cut")
     rests = cut.where("ids is not null")
     counts = _frequencies(rests).toPandas()  # a row for each id of the vocabulary at most
     n, mean = rests.agg(F.count(F.lit(1)), F.avg("length")).first()
@@ -170,6 +198,6 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> Data
         if held:
             yield written(pack_shard(held, idf, mean, window, last=True)[0])
 
-    dealt = rests.select("doc_id", "start", "length", "ids", "doc_tokens", "rarest", "rare").repartitionByRange("rarest", "rare", "doc_id").sortWithinPartitions("rarest", "rare", "doc_id", "start")
+    dealt = rests.select("doc_id", "start", "length", "ids", "doc_tokens", "rarest", "rare").repartitionByRange("rarest", "rare", "doc_id", F.xxhash64("ids")).sortWithinPartitions("rarest", "rare", "doc_id", "start")
     packed = dealt.select("doc_id", "start", "length", "ids", "doc_tokens").mapInArrow(fill, PIECES)
     return cut.where("ids is null").select(*packed.columns).unionByName(packed)
