@@ -7,14 +7,13 @@ from html import unescape
 
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset"
-    " h1 h2 h3 h4 h5 h6 header hgroup hr html iframe legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
+    " h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noscript object ol optgroup option p pre search section select summary svg table tbody td template textarea tfoot th thead tr ul canvas".split()
 )
-_SKIPPED = "script|style|noscript|template|title|textarea|svg|math|iframe|object|canvas"
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CLOSES_P = BLOCK_TAGS - {"button", "option", "optgroup", "select"}
 _SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_SKIPPED})\b[^>]*(?:/>|>.*?(?:</\1\s*>|\Z))|<(/?)([a-z][a-z0-9:-]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-z][a-z0-9:-]*+)([^>]*)>|<[!?/][^>]*(?:>|\Z)|<[a-z][^<>]*\Z",
+    r"<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(title)(?=[\s/>])[^>]*>[^<]*|<(/?)([a-z][a-z0-9:-]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-z][a-z0-9:-]*+)([^>]*)>|<[!?/][^>]*(?:>|\Z)|<[a-z][^<>]*\Z",
     re.S | re.I,
 )
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -25,7 +24,8 @@ def leaf_blocks(html: str) -> list[tuple[str, tuple[str, ...], int, int, str]]:
     """(text, ancestors, characters in links, characters, own tag) of each run of text between block boundaries.
 
     Ancestors are the open block tags and the words of their class, id and role attributes.  Unclosed
-    paragraphs, items and cells end where the next begins; stray end tags are ignored.
+    paragraphs, items and cells end where the next begins; stray end tags are ignored.  Only comments, scripts,
+    styles and the title are no text; what fallback elements (noscript, object, ...) hold are blocks like any other.
     """
     out: list[tuple[str, tuple[str, ...], int, int, str]] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
@@ -52,10 +52,10 @@ def leaf_blocks(html: str) -> list[tuple[str, tuple[str, ...], int, int, str]]:
         if m.start() > at:
             text(html[at : m.start()])
         at = m.end()
-        tag = m[3] or m[6]
+        tag = m[4] or m[7]
         if tag is None:
             continue
-        tag, closing, attributes = tag.lower(), (m[2] or m[5]) == "/", m[4] if m[3] else m[7]
+        tag, closing, attributes = tag.lower(), (m[3] or m[6]) == "/", m[5] if m[4] else m[8]
         if tag == "a":
             in_link = not closing
         elif tag == "br":

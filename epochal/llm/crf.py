@@ -36,8 +36,8 @@ _OTHER = {  # kind: (tags, names)
     "header": (["header", "div"], ["", "header", "masthead", "site header", "top bar", "logo", "branding"]),
     "footer": (["footer", "div"], ["", "footer", "site footer", "copyright", "legal", "bottom"]),
     "side": (["aside", "div"], ["", "sidebar", "side", "related", "widget", "recommended", "popular", "trending", "share", "social", "tags", "author"]),
-    "notice": (["div", "section", "dialog"], ["cookie notice", "notice", "cookie banner", "consent", "alert", "gdpr", "newsletter", "modal", "popup", "subscribe", "banner", "disclaimer", "message"]),
-    "advert": (["div", "aside", "section"], ["ad", "ads", "advert", "advertisement", "sponsored", "promo", "ad slot", "banner ad", "commercial"]),
+    "notice": (["div", "section", "dialog", "noscript"], ["cookie notice", "notice", "cookie banner", "consent", "alert", "gdpr", "newsletter", "modal", "popup", "subscribe", "banner", "disclaimer", "message"]),
+    "advert": (["div", "aside", "section", "iframe", "object"], ["ad", "ads", "advert", "advertisement", "sponsored", "promo", "ad slot", "banner ad", "commercial"]),
     "form": (["form", "fieldset"], ["", "search", "login", "signup", "contact"]),
     "comments": (["section", "div", "ol"], ["comments", "comment list", "discussion", "replies", "responses", "user comments", "disqus thread", "reader comments"]),
 }
@@ -87,7 +87,8 @@ def labelled_page(random: np.random.Generator) -> tuple[str, list[str]]:
         if kind == "menu":
             return named(tag, name, links(int(random.integers(2, 9))))
         if kind == "form":
-            return named(tag, name, f"<label>{_words(random, 2)}</label><input name=q><button>{random.choice(_CUES)}</button>")
+            field = "<input name=q>" if random.random() < 0.7 else f"<textarea>{_words(random, 3)}</textarea>"
+            return named(tag, name, f"<label>{_words(random, 2)}</label>{field}<button>{random.choice(_CUES)}</button>")
         if kind == "footer":
             return named(tag, name, random.choice(["&copy; ", "", "(c) "]) + _words(random, 2) + " &middot; " + text(False, 8))
         if kind == "comments":
@@ -114,6 +115,9 @@ def labelled_page(random: np.random.Generator) -> tuple[str, list[str]]:
                 parts.append(f"<blockquote>{text(True, 20)}</blockquote>")
             elif kind < 0.92:
                 parts.append(f"<table><tr><td>{text(True, 3)}</td><td>{text(True, 3)}</td></tr></table>")
+            elif kind < 0.94:
+                shown = str(random.choice(["svg", "canvas", "object", "template", "noscript"]))
+                parts.append(f"<{shown}>{_words(random, 3)}</{shown}>")
             else:
                 parts.append(other(str(random.choice(["advert", "side", "notice", "form"]))))
         inner = "".join(parts)
