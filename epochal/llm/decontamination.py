@@ -1,21 +1,25 @@
 """Benchmark decontamination by CGK embedding, bit sampling and exact edit verification.
 
-A document leaks an item when one of its windows of as many words as the item has is within
-floor(EDITS * words) word edits of it (ASCII lower case, words ``[^\\x20\\x09-\\x0D]+``).
-
-Each window is embedded by the random walk of Chakraborty, Goldenberg and Koucky: at every step the walk
-writes the word it stands on and a random bit of (step, word) says whether it moves on; so strings at a
-small edit distance become strings at a small Hamming distance.  REPEATS tables each sample SAMPLED
-coordinates of the embedding; windows and items that agree in one table are compared by an exact edit
-distance.  Windows are taken at every word, for every length that items have.  Before the walk a window
-must pass two tests that no match can fail: as an edit spoils at most r of an item's runs of r words, it
-holds enough runs (of up to 3 words) of items of its length; and all but d of its words occur in them.
-
-Items are held in blocks of at most BLOCK words, one broadcast for each block: a larger benchmark means
-more passes over the documents, not a larger broadcast.
+A document leaks an item when some run of its words is within floor(EDITS * n) word edits of the item's n
+words (ASCII lower case, words ``[^\\x20\\x09-\\x0D]+``): words may be changed, inserted or left out.
+
+Windows of as many words as the item has are embedded by the random walk of Chakraborty, Goldenberg and
+Koucky: at every step the walk writes the word it stands on and a random bit of (step, word) says whether it
+moves on; so strings at a small edit distance become strings at a small Hamming distance.  REPEATS tables each
+sample SAMPLED coordinates of the embedding; a window and an item that agree in one table are compared by an
+exact alignment whose ends are free within the window and as many words around it as edits are allowed.
+Windows are taken at every word, for every length that items have.  Before the walk a window must pass two
+tests that no leak can fail at its first word: with d edits, of whatever kind, the window holds all but d of
+the item's words in at most d + 1 stretches, so enough runs (of up to 3 words) of items of its length; and all
+but d of its words occur in them.
+
+Items are held in blocks of about BLOCK words, one broadcast for each block: a larger benchmark means more
+passes over the documents, not a larger broadcast.  Items of one text are held once.
 
 Defined results: null and empty texts and items leak nothing; an item of few words allows no edits below
-1/EDITS words; repeated items each report; repeated documents each report; null ids are carried through.
+1/EDITS words; repeated items each report, with null item_ids too; repeated documents each report; null
+doc_ids are carried through; a very long text is worked on alone, whole; empty tables give an empty table
+(``decontaminate``: all documents where the benchmark is empty).
 """
 
 from __future__ import annotations
@@ -38,10 +42,10 @@ _SLOTS = 1 << 19
 class Items:
     """The items of one block by length: word filter, embedded sample tables and words."""
 
-    def __init__(self, ids: list[int], texts: list[str | None], edits: float = EDITS) -> None:
+    def __init__(self, keys: list[int], texts: list[str | None], edits: float = EDITS) -> None:
         self.edits = edits
         by_length: dict[int, list[tuple[int, np.ndarray]]] = {}
-        for i, text in zip(ids, texts, strict=True):
+        for i, text in zip(keys, texts, strict=True):
             data, offsets = X.buffers(pa.array([text], pa.string()))
             data = X.lower_ascii(data)
             starts, ends, _ = X.word_spans(data, offsets)
@@ -61,7 +65,7 @@ class Items:
             bounds = np.arange(len(words) + 1) * length
             runs, _ = X.shingle_hashes(words.ravel(), bounds, self.run(length))
             self.runs[self.run(length)][k // 64, runs % np.uint64(_SLOTS)] |= bit
-            self.ids.append(np.array([i if i is not None else -1 for i, _ in own]))
+            self.ids.append(np.array([i for i, _ in own]))
             self.words.append(words)
             self.keys.append(sample_keys(embed(words)))
 
@@ -72,6 +76,11 @@ class Items:
         d = self.allowed(length)
         return min(3, -(-(length - d) // (d + 1)))
 
+    def need(self, length: int) -> int:
+        """Runs of the item that a window at a leak's first word holds: n - d of its words in at most d + 1 stretches."""
+        width, d = self.run(length), self.allowed(length)
+        return max(1, length - d - (d + 1) * (width - 1))
+
 
 def embed(strings: np.ndarray) -> np.ndarray:
     """The CGK walk of equally long strings (rows of 64-bit symbols), three steps for each symbol."""
@@ -101,18 +110,22 @@ def sample_keys(embedded: np.ndarray) -> np.ndarray:
     return out
 
 
-def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Edit distances of the rows of two equally wide arrays of symbols."""
-    n, length = a.shape
-    before = np.tile(np.arange(length + 1, dtype=np.int32), (n, 1))
-    for i in range(length):
-        now = np.empty_like(before)
-        now[:, 0] = i + 1
-        now[:, 1:] = np.minimum(before[:, 1:] + 1, before[:, :-1] + (a[:, i : i + 1] != b))
+_COST = 1 << 20
+
+
+def alignments(items: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per row the fewest edits between an item and any run of a span, and where the first such run begins."""
+    n, width = spans.shape
+    places = np.arange(width + 1, dtype=np.int64)
+    best = np.tile(places, (n, 1))  # edits * _COST + where the run begins
+    for i in range(items.shape[1]):
+        now = np.empty_like(best)
+        now[:, 0] = best[:, 0] + _COST
+        now[:, 1:] = np.minimum(best[:, 1:] + _COST, best[:, :-1] + _COST * (items[:, i : i + 1] != spans))
         # an insertion costs 1 for each place moved: a running minimum of (value - place)
-        places = np.arange(length + 1, dtype=np.int32)
-        before = np.minimum.accumulate(now - places, axis=1) + places
-    return before[:, -1]
+        best = np.minimum.accumulate(now - places * _COST, axis=1) + places * _COST
+    least = best.min(axis=1)
+    return least // _COST, least % _COST
 
 
 def leaks(texts: pa.Array, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -136,7 +149,7 @@ def leaks(texts: pa.Array, items: Items) -> tuple[np.ndarray, np.ndarray, np.nda
                     if items.run(length) != width:
                         continue
                     own = place[hit[(bits[hit] >> np.uint64(k)) & np.uint64(1) > 0]]
-                    need = max(1, length - width + 1 - width * items.allowed(length))
+                    need = items.need(length)
                     if len(own) < need:
                         continue
                     span = length - width  # the last run of enough ones must begin at most so far after the first
@@ -146,9 +159,9 @@ def leaks(texts: pa.Array, items: Items) -> tuple[np.ndarray, np.ndarray, np.nda
                     np.add.at(reach, np.maximum(least[near], 0), 1)
                     np.add.at(reach, most[near] + 1, -1)
                     at = np.flatnonzero(np.cumsum(reach[:-1])) if near.any() else own[:0]
-                    at = at[at + length <= bounds[1:][text[at]]]
+                    at = at[at + length - items.allowed(length) <= bounds[1:][text[at]]]
                     for lo in range(0, len(at), 20_000):
-                        found.extend(_matches(words, at[lo : lo + 20_000], text, first, items, group * 64 + k))
+                        found.extend(_matches(words, at[lo : lo + 20_000], text, bounds, first, items, group * 64 + k))
     if not found:
         none = np.zeros(0, dtype=np.int64)
         return none, none, none, none
@@ -159,11 +172,18 @@ def leaks(texts: pa.Array, items: Items) -> tuple[np.ndarray, np.ndarray, np.nda
     return text[best], item[best], start[best], edits[best]
 
 
-def _matches(words: np.ndarray, at: np.ndarray, text: np.ndarray, first: int, items: Items, k: int) -> Iterator[tuple[np.ndarray, ...]]:
+def _words_at(words: np.ndarray, at: np.ndarray, n: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """n words from each place on; 0 for those outside the place's own text (low, high)."""
+    place = at[:, None] + np.arange(n)
+    inside = (place >= low[:, None]) & (place < high[:, None])
+    return np.where(inside, words[np.clip(place, 0, len(words) - 1)], np.uint64(0))
+
+
+def _matches(words: np.ndarray, at: np.ndarray, text: np.ndarray, bounds: np.ndarray, first: int, items: Items, k: int) -> Iterator[tuple[np.ndarray, ...]]:
     if not len(at):
         return
-    length = items.lengths[k]
-    windows = words[at[:, None] + np.arange(length)]
+    length, edits_allowed = items.lengths[k], items.allowed(items.lengths[k])
+    windows = _words_at(words, at, length, bounds[text[at]], bounds[text[at] + 1])
     known = (items.known[k // 64][(windows % np.uint64(_SLOTS)).astype(np.int64)] >> np.uint64(k % 64)) & np.uint64(1)
     enough = known.sum(axis=1) >= length - items.allowed(length)
     at, windows = at[enough], windows[enough]
@@ -181,20 +201,27 @@ def _matches(words: np.ndarray, at: np.ndarray, text: np.ndarray, first: int, it
     pair = np.unique(np.concatenate(pairs))
     for lo in range(0, len(pair), 20_000):
         window, item = pair[lo : lo + 20_000] // items.keys[k].shape[1], pair[lo : lo + 20_000] % items.keys[k].shape[1]
-        edits = edit_distances(windows[window], items.words[k][item])
-        good = edits <= items.allowed(length)
-        place = at[window[good]]
+        place = at[window]
         own = text[place]
-        yield own + first, items.ids[k][item[good]], place - np.searchsorted(text, own), edits[good].astype(np.int64)
+        spans = _words_at(words, place - edits_allowed, length + 2 * edits_allowed, bounds[own], bounds[own + 1])
+        edits, begin = alignments(items.words[k][item], spans)
+        good = edits <= edits_allowed
+        start = np.maximum(place[good] - edits_allowed + begin[good] - bounds[own[good]], 0)
+        yield own[good] + first, items.ids[k][item[good]], start, edits[good]
+
+
+def _keyed(benchmark: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return benchmark.select(F.col("item_id").cast("long"), F.xxhash64(text).alias("item_key"), text.alias("text")).where("text is not null")
 
 
 def _blocks(benchmark: DataFrame, edits: float) -> Iterator[Items]:
-    """Blocks of items; the number of blocks follows the benchmark's size, a block's size does not."""
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null")
-    words = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-int(words) // (5 * BLOCK)))
+    """Blocks of items of different texts; their number follows the benchmark's size, a block's size does not."""
+    items = _keyed(benchmark).select("item_key", "text").distinct()
+    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = max(1, -(-int(chars) // (5 * BLOCK)))
     for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()
+        rows = sorted(tuple(r) for r in items.where(F.pmod("item_key", F.lit(n)) == k).collect())
         yield Items([r[0] for r in rows], [r[1] for r in rows], edits)
 
 
@@ -207,11 +234,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> D
         def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 text, item, start, edits = leaks(batch.column("text"), sent.value)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(text)), pa.array(item), pa.array(start), pa.array(edits)], ["doc_id", "item_id", "first_word", "n_edits"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(text)), pa.array(item), pa.array(start), pa.array(edits)], ["doc_id", "item_key", "first_word", "n_edits"])
 
-        own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, item_id long, first_word long, n_edits long")
+        own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, item_key long, first_word long, n_edits long")
         out = own if out is None else out.unionByName(own)
-    return out
+    return out.join(_keyed(benchmark).select("item_id", "item_key"), "item_key").select("doc_id", "item_id", "first_word", "n_edits")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
