@@ -5,13 +5,15 @@ cells names all languages that have it.  Per text, language l's hits h among n n
 the false positives of its own slice, (h - n f) / (1 - f) with f its fill to the power HASHES; the language
 with most is predicted.
 
-Learned from a bounded sample: of each of the (at most 64 most frequent) languages the SAMPLE documents
-that aren't held out with the smallest hashes of doc_id; n-grams with at least COMMON of a language's
-occurrences enter its slice, so at most 1 / COMMON do.  Counts are made on the executors.
+Learned from a bounded sample: of each language about SAMPLE documents that aren't held out, chosen by a hash
+of doc_id; n-grams with at least COMMON of a language's occurrences enter its slice, so at most 1 / COMMON do.
+Counts are made on the executors, and so are the filter's cells: as many 64-bit words a cell as the learned
+languages need come to the driver, 8 MB for each 64 languages.
 
 Defined results: ``und`` with score 0 for a null text or one without a letter; a text none of whose n-grams
 is known goes to the most frequent language with score 0; ties go to the language first in the alphabet;
-without labelled rows everything is ``und``.  score is the winner's share of the two largest counts.
+without labelled rows everything is ``und``.  Repeated rows are each predicted; an empty table gives an empty
+table; a text's length has no bound.  score is the winner's share of the two largest counts.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 
 from epochal.llm import textops as X
 from epochal.llm.toxicity import held_out
+from epochal.llm.work import Work
 
 N, HASHES, SAMPLE, COMMON, SLOTS = 4, 3, 1500, 2e-5, 1 << 20
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
@@ -71,57 +74,66 @@ def _slots(fingerprints: np.ndarray) -> list[np.ndarray]:
 
 
 class Filters:
-    def __init__(self, languages: list[str], known: list[np.ndarray]) -> None:
-        width = next(w for w in (8, 16, 32, 64) if len(languages) <= w)
-        self.languages, self.kind = languages, np.dtype(f"uint{width}")
-        self.cells = np.zeros(SLOTS, dtype=self.kind)
-        for k, own in enumerate(known):
-            for slot in _slots(own):
-                self.cells[slot] |= self.kind.type(1 << k)
-        fill = [((self.cells >> self.kind.type(k)) & self.kind.type(1)).mean() for k in range(len(languages))]
+    """Bit-sliced cells (SLOTS x words of 64 languages) and each language's rate of false positives."""
+
+    def __init__(self, languages: list[str], cells: np.ndarray) -> None:
+        self.languages, self.cells = languages, cells
+        fill = [self.bits(cells[:, k // 64], k).mean() for k in range(len(languages))]
         self.false = np.array(fill, dtype=float) ** HASHES
 
+    @staticmethod
+    def bits(words: np.ndarray, k: int) -> np.ndarray:
+        return (words >> np.uint64(k % 64)) & np.uint64(1)
+
     def counts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Corrected counts (texts x languages) and letters per text."""
         fingerprints, begin, letters = grams(data, offsets)
-        bits = reduce(np.bitwise_and, (self.cells[slot] for slot in _slots(fingerprints)))
+        slots = _slots(fingerprints)
         total, hits = np.diff(begin), np.empty((len(begin) - 1, len(self.languages)))
         for k in range(len(self.languages)):
-            run = np.concatenate([[0], np.cumsum((bits >> self.kind.type(k)) & self.kind.type(1), dtype=np.int64)])
+            if k % 64 == 0:
+                masks = reduce(np.bitwise_and, (self.cells[slot, k // 64] for slot in slots))
+            run = np.concatenate([[0], np.cumsum(self.bits(masks, k), dtype=np.int64)])
             hits[:, k] = run[begin[1:]] - run[begin[:-1]]
         return np.maximum(0, (hits - total[:, None] * self.false) / (1 - self.false)), letters
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Filters:
-    usable = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).where(~held_out()).select(F.col("doc_id").cast("long"), F.col("lang").cast("string"))
-    languages = [r[0] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()]
+    spark = docs.sparkSession
+    usable = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).where(~held_out()).select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"))
+    found = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()  # a row for each language
+    languages = [r["lang"] for r in found]
+    cells = np.zeros((SLOTS, max(1, -(-len(languages) // 64))), dtype=np.uint64)
     if not languages:
-        return Filters([], [])
-    part = [usable.where(F.col("lang") == x).orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(sample) for x in languages]
-    chosen = reduce(DataFrame.unionByName, part)
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text is not null").join(F.broadcast(chosen), "doc_id")  # at most 64 * sample ids
+        return Filters([], cells)
+    rates = spark.createDataFrame([(r["lang"], k, int(min(1.0, sample / r["count"]) * (1 << 30))) for k, r in enumerate(found)], "lang string, k long, rate long")
+    texts = usable.join(F.broadcast(rates), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) < F.col("rate")).select("k", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang = np.array(batch.column("lang").to_pylist(), dtype=object)
+            lang = batch.column("k").to_numpy()
             for first, last, data, offsets in X.pieces(batch.column("text")):
-                found, begin, _ = grams(data, offsets)
+                grams_of, begin, _ = grams(data, offsets)
                 of = np.repeat(lang[first:last], np.diff(begin))
-                for x in dict.fromkeys(lang[first:last].tolist()):
-                    own, n = np.unique(found[of == x], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([x] * len(own), pa.string()), pa.array(own.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
-
-    counts = texts.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counts = counts.persist()
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    common = counts.join(F.broadcast(totals), "lang").where(F.col("n") >= F.col("total") * COMMON).select("lang", "gram").toPandas()  # at most 64 / COMMON rows
-    counts.unpersist()
-    return Filters(languages, [common.loc[common["lang"] == x, "gram"].to_numpy(dtype=np.int64).view(np.uint64) for x in languages])
+                for k in np.unique(of):
+                    own, n = np.unique(grams_of[of == k], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), k)), pa.array(own.view(np.int64)), pa.array(n)], ["k", "gram", "n"])
+
+    counts = texts.mapInArrow(count, "k long, gram long, n long").groupBy("k", "gram").agg(F.sum("n").alias("n"))
+    counts = Work(spark, "language").cut(counts, "counts")
+    totals = counts.groupBy("k").agg(F.sum("n").alias("total"))
+    common = counts.join(F.broadcast(totals), "k").where(F.col("n") >= F.col("total") * COMMON)  # a row for each language
+    low, step = F.col("gram").bitwiseAND(F.lit(SLOTS - 1)), F.shiftrightunsigned("gram", 40).bitwiseOR(F.lit(1))
+    slots = [(low + F.lit(k) * step).bitwiseAND(F.lit(SLOTS - 1)) for k in range(HASHES)]
+    masks = common.select(F.explode(F.array(*slots)).alias("slot"), F.expr("k div 64").alias("word"), F.expr("shiftleft(1L, cast(k % 64 as int))").alias("mask"))
+    masks = masks.groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toArrow()  # the cells that are not empty
+    cells[masks.column("slot").to_numpy(), masks.column("word").to_numpy()] = masks.column("mask").to_numpy().view(np.uint64)
+    return Filters(languages, cells)
 
 
 def identify(docs: DataFrame, filters: Filters) -> DataFrame:
     """doc_id, held_out, lang_pred and score for every document."""
-    sent = docs.sparkSession.sparkContext.broadcast(filters)  # SLOTS cells of at most 8 bytes
+    sent = docs.sparkSession.sparkContext.broadcast(filters)  # SLOTS cells of 8 bytes for each 64 languages
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
