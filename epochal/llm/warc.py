@@ -9,8 +9,9 @@ block, the block (one range read) for the line, and the record is one more range
 
 Files go to the folder that all machines share, under names that only their partition decides; they are
 written under a name of their own and then moved, so a task that runs again leaves the same files.
-Payloads reach the writer through one shuffle on their digests; nothing of the archives passes the driver
-but the list of parts (as many rows as the index has partitions).
+Payloads that a revisit may touch (at least REVISIT bytes) reach the writer through one shuffle on their
+digests, the others are written where they are read; nothing of the archives passes the driver but the list
+of parts (as many rows as the index has partitions).  Records are read back in about READ bytes a task.
 
 Defined results: a null html is an empty payload; a null url has the key ``-``; equal rows are each written
 and each read back; of equal payloads at the same largest page_id each is a response; an empty table gives
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from epochal.llm.work import Work
 
-REVISIT, LINES, LEVEL = 1000, 1000, 4
+REVISIT, LINES, LEVEL, READ = 1000, 1000, 4, 4 << 20
 _LEAST = -(1 << 63)
 _DATE = "2024-01-01T00:00:00Z"
 _CDX = "url_key string, page_id long, file string, offset long, length long"
@@ -125,7 +126,9 @@ def write(pages: DataFrame, work: Work) -> DataFrame:
     digests = rows.select("page_id", F.sha1("body").alias("digest"), F.octet_length("body").alias("n"))
     shared = digests.where(f"n >= {REVISIT}").groupBy("digest").agg(F.max("page_id").alias("target"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("digest", "target")
     shared = work.cut(shared, "shared")
-    joined = rows.withColumn("digest", F.sha1("body")).join(shared.hint("shuffle_merge"), "digest", "left").select("page_id", "url", "body", F.expr("if(page_id = target, null, target)").alias("refers_to"))
+    large, small = rows.where(F.octet_length("body") >= REVISIT), rows.where(F.octet_length("body") < REVISIT)
+    large = large.withColumn("digest", F.sha1("body")).join(shared.hint("shuffle_merge"), "digest", "left").select("page_id", "url", "body", F.expr("if(page_id = target, null, target)").alias("refers_to"))
+    joined = large.unionByName(small.withColumn("refers_to", F.lit(None).cast("long")))
     root = f"{work.root}/archives"
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,8 +212,8 @@ def find(key: str, page_id: int | None, parts: list[tuple]) -> Iterator[tuple[st
         part += 1
 
 
-def lookup(wanted: DataFrame, parts: DataFrame) -> DataFrame:
-    """The records of wanted(page_id, url), read from the archives through the index; absent ones have no row."""
+def lookup(wanted: DataFrame, parts: DataFrame, tasks: int | None = None) -> DataFrame:
+    """The records of wanted(page_id, url), read from the archives through the index by so many tasks; absent ones have no row."""
     listed = sorted(((r.first_key.encode(), r.first_page), r.file, r.directory_length) for r in parts.collect())  # a row for each partition of the index
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,11 +230,13 @@ def lookup(wanted: DataFrame, parts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array([url_key(u) for u in batch.column("url").to_pylist()], pa.string())], ["page_id", "url_key"])
 
     keys = wanted.select(F.col("page_id").cast("long"), F.col("url").cast("string")).mapInArrow(keyed, "page_id long, url_key string").distinct()
-    near = keys.repartitionByRange("url_key", "page_id").sortWithinPartitions("url_key", "page_id")  # a block is read by few tasks, and once in each
+    near = keys.repartitionByRange(*([tasks] if tasks else []), "url_key", "page_id").sortWithinPartitions("url_key", "page_id")  # a block is read by few tasks, and once in each
     return near.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """Writes every page, indexes the archives and reads every record back through the index."""
     work = Work(pages.sparkSession, "warc")
-    return lookup(pages, index(write(pages, work), work))
+    captures = write(pages, work)
+    stored = captures.agg(F.sum("length")).first()[0] or 0
+    return lookup(pages, index(captures, work), max(1, -(-stored // READ)))
