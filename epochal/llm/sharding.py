@@ -12,8 +12,9 @@ Only counts decide, and they are kept by bins of the ring: a bin's documents are
 within blocks, blocks (at most BLOCKS) on the driver; the plan that the driver makes of these counts has
 a segment for each arc and each place where a shard fills up, whatever the number of documents.
 
-Defined results: a null text has size 1; a null doc_id is hashed as such; repeated rows are each placed;
-an empty table gives an empty table; other columns are ignored.
+Defined results: a null text has size 1; rows without a doc_id have no key and stand anywhere on the ring, each
+at a place of its own; repeated rows are each placed; an empty table gives an empty table; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -79,7 +80,9 @@ def shard(docs: DataFrame, shards: int = 16, slack: float = 0.0) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every document."""
     work = Work(docs.sparkSession, "sharding")
     body = F.coalesce(F.encode(F.col("text").cast("string"), "UTF-8"), F.lit(b""))
-    keyed = docs.select(F.col("doc_id").cast("long"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), (F.xxhash64(F.col("doc_id").cast("long")).bitwiseAND(F.lit((1 << 31) - 1))).alias("place"))
+    key = F.col("doc_id").cast("long")
+    place = F.xxhash64(F.coalesce(key, F.monotonically_increasing_id())).bitwiseAND(F.lit((1 << 31) - 1))  # written at once, so it stays
+    keyed = docs.select(key.alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), place.alias("place"))
     keyed = work.cut(keyed, "keyed")
     total = keyed.count()
     bins = 1 << max(8, int(np.ceil(np.log2(max(1, total) / PER_BIN))))
