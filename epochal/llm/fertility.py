@@ -12,11 +12,11 @@ letters.  A text is rejected
 
 Base measures (whole text, words ``[^\\x20\\x09-\\x0D]+``): n_words, word_chars, n_symbols, n_dup_lines,
 n_repeat_words; base_failed when n_words < 50 or 100 * n_repeat_words > 50 * n_words.  The vocabularies
-read only texts that pass the base, as nothing else could change the verdict; each is read once, and the
-measures wait in a table of the shared folder for the quartiles.
+read every text, once; the measures wait in a table of the shared folder for the quartiles.
 
-Defined results: a null text counts as empty (0 words, base_failed, not kept); null and repeated doc_ids
-are carried through row by row; an empty table gives an empty table.
+Defined results: a null text counts as empty (0 words, measures 0, base_failed, not kept); null and repeated
+doc_ids are carried through row by row; a very long text is read whole, alone in its piece; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -140,10 +140,10 @@ def _judge(texts: pa.Array, paths: tuple[str, ...], rules: dict) -> Iterator[tup
         measured = np.full((len(paths), 4, last - first), np.nan)
         kept = np.zeros(last - first, dtype=bool)
         raw = data.tobytes()
-        for i in np.flatnonzero(~failed):
+        for i in range(last - first):
             own = [fertility(raw[offsets[i] : offsets[i + 1]], p) for p in paths]
             measured[:, :, i] = own
-            kept[i] = any(within(SCRIPTS[scripts[i]], m, rules) for m in own)
+            kept[i] = not failed[i] and any(within(SCRIPTS[scripts[i]], m, rules) for m in own)
         yield first, last, base, failed, scripts, measured, kept
 
 
