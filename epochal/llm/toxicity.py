@@ -10,12 +10,14 @@ subsequences, the trained machine is one table: subsequence -> weight, of fixed
 is its highest word's, put on 0..1 by a logistic fitted on training documents.
 
 Training reads at most SAMPLE toxic and 3 * SAMPLE clean labelled rows (a documented bound: those with
-the smallest hashes of doc_id), and of their words at most POSITIVE and NEGATIVE; word counts are made on the executors.
+the smallest hashes of doc_id).  Words of all these rows are counted on the executors; the machine is fitted
+on the POSITIVE heaviest of toxic rows and on about NEGATIVE of clean ones, in one task.
 
 Defined results: a null, empty or wordless text gets the score of a document without toxic words; rows
-with a null doc_id are scored too (held_out false); labels of null, of other values than 0 and 1, or of
-absent documents are not learned from; with no label of one class every score is the share of label 1.
-Repeated rows are each scored.  Words beyond WIDTH bytes are read in overlapping windows.
+with a null doc_id are scored too (held_out false); labels of null, of other values than 0 and 1, that
+contradict each other, or of absent documents are not learned from; of rows with one doc_id one is; with no
+label of one class every score is the share of label 1.  Repeated rows are each scored; an empty table gives
+an empty table.  Words beyond WIDTH bytes are read in overlapping windows, so a text's length has no bound.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epochal.llm import textops as X
+from epochal.llm.work import Work
 
 ORDER, SPAN, DECAY = 4, 6, 0.6
 WIDTH, OVERLAP = 28, 12
@@ -136,25 +139,29 @@ def fit_table(words: list[bytes], label: np.ndarray, weight: np.ndarray, landmar
     cells = np.unique(cell)
     marks = np.zeros((len(cells), len(chosen)), dtype=np.float32)
     np.add.at(marks, (np.searchsorted(cells, cell), place), value)
-    kernel = np.zeros((len(words), len(chosen)))
-    for lo in range(0, len(words), 500):  # memory for a few words' features only
-        word, cell, value = _features(words[lo : lo + 500])
+    kernel = np.zeros((len(words), len(chosen)), dtype=np.float32)
+    for lo in range(0, len(words), 200):  # memory for a few words' features only
+        word, cell, value = _features(words[lo : lo + 200])
         at = np.minimum(np.searchsorted(cells, cell), len(cells) - 1)
         shared = cells[at] == cell
-        part = np.zeros((min(500, len(words) - lo), len(cells)), dtype=np.float32)
+        part = np.zeros((min(200, len(words) - lo), len(cells)), dtype=np.float32)
         part[word[shared], at[shared]] = value[shared]
-        kernel[lo : lo + 500] = part @ marks
-    values, vectors = np.linalg.eigh(kernel[chosen])
-    good = values > 1e-8 * values.max()
+        kernel[lo : lo + 200] = part @ marks
+    values, vectors = np.linalg.eigh(kernel[chosen].astype(np.float64))
+    good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
-    z = np.hstack([kernel @ root, np.ones((len(words), 1))])
-    share = np.where(label > 0, 0.5 * weight / weight[positive].sum(), 0.5 / max(1, len(negative))) * c  # a well supported word counts for more
+    z = np.hstack([kernel @ root.astype(np.float32), np.ones((len(words), 1), dtype=np.float32)])
+    share = np.where(label > 0, 0.5 * weight / weight[positive].sum(), 0.5 * weight / weight[negative].sum()) * c  # a well supported word counts for more
     u = np.zeros(z.shape[1])
     for _ in range(30):  # Newton steps of the squared hinge loss
-        margin = 1 - label * (z @ u)
-        active = margin > 0
-        za = z[active] * share[active, None]
-        step = np.linalg.solve(za.T @ z[active] + np.eye(len(u)), za.T @ label[active]) - u
+        active = np.flatnonzero(1 - label * (z @ u) > 0)
+        normal, aim = np.eye(len(u)), np.zeros(len(u))
+        for lo in range(0, len(active), 2000):
+            own = z[active[lo : lo + 2000]].astype(np.float64)
+            weighted = own * share[active[lo : lo + 2000], None]
+            normal += weighted.T @ own
+            aim += weighted.T @ label[active[lo : lo + 2000]]
+        step = np.linalg.solve(normal, aim) - u
         u += step
         if np.abs(step).max() < 1e-6:
             break
@@ -188,12 +195,31 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
+def _fitted(words: list[bytes], positive: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+    """The table of a machine whose positive words it holds for positive itself."""
+    for _ in range(2):  # words that are in toxic documents by chance have nothing in common: they drop out
+        table = fit_table(words, np.where(positive, 1.0, -1.0), heavy)
+        bad = np.flatnonzero(positive)
+        right = word_scores(*_bytes_of([words[i] for i in bad]), table) > 0
+        if right.all() or not right.any():
+            break
+        keep = np.ones(len(words), dtype=bool)
+        keep[bad[~right]] = False
+        words, positive, heavy = [w for w, k in zip(words, keep, strict=True) if k], positive[keep], heavy[keep]
+    return table
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fits a model on the labelled rows that aren't held out."""
-    usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).where(~held_out()).select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("y"))
+    work = Work(docs.sparkSession, "toxicity")
+    usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).where(~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+    usable = usable.agg(F.min("toxic").cast("int").alias("y"), F.max("toxic").cast("int").alias("most")).where("y = most").drop("most")
     part = lambda y, n: usable.where(F.col("y") == y).orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(n)
     chosen = part(1, sample).unionByName(part(0, 3 * sample))
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")  # at most 4 * sample ids
+    # of rows with one doc_id one is learned from, so the bound holds for rows too
+    texts = texts.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("row")).select("y", "row.text")
+    texts = work.cut(texts, "labelled")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,40 +240,63 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                         ["word", "prior", "y"],
                     )
 
-    counts = texts.select("text", "y").mapInArrow(words, "word binary, prior binary, y long").where(F.length("word") <= 64)
+    counts = texts.select("text", "y").mapInArrow(words, "word binary, prior binary, y long")
     counts = counts.groupBy("word", F.xxhash64("prior"), "y").agg(F.lit(1).alias("one")).groupBy("word").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean"))
-    ratio = F.log((F.col("toxic") + 0.5) / (F.col("clean") + 0.5)) * F.sqrt(F.col("toxic"))
-    share = chosen.agg(F.avg("y")).first()[0] or 0.0
-    support = int(np.ceil(np.log(0.0005) / np.log(min(0.5, max(share, 0.01)))))  # places that by chance are all in toxic rows for 1 word in 2000
-    positive = counts.where(f"toxic >= {support} and toxic > 8 * clean").orderBy(ratio.desc(), "word").limit(POSITIVE).toPandas()
-    often = counts.where("clean > 0 and toxic <= 2 * clean").orderBy(F.col("clean").desc(), "word").limit(NEGATIVE // 4)
-    rare = counts.where("clean > 0 and toxic <= 2 * clean").orderBy(F.xxhash64("word"), "word").limit(NEGATIVE - NEGATIVE // 4)
-    negative = often.unionByName(rare).toPandas().drop_duplicates("word")
-    if not len(positive) or not len(negative):
-        return Model(np.zeros(_CELLS, np.float32), 0.0, float(np.log((share + 1e-9) / (1 - share + 1e-9))), share)
-    bad, good = [bytes(w) for w in positive["word"]], [bytes(w) for w in negative["word"]]
-    heavy = (np.log((positive["toxic"] + 0.5) / (positive["clean"] + 0.5)) * np.sqrt(positive["toxic"])).to_numpy()
-    for _ in range(2):  # words that are in toxic documents by chance have nothing in common: they drop out
-        label = np.concatenate([np.ones(len(bad)), -np.ones(len(good))])
-        table = fit_table(bad + good, label, np.concatenate([heavy, np.ones(len(good))]))
-        keep = word_scores(*_bytes_of(bad), table) > 0
-        if keep.all() or not keep.any():
-            break
-        bad, heavy = [w for w, k in zip(bad, keep, strict=True) if k], heavy[keep]
+    counts = work.cut(counts, "counts")
+    share = texts.agg(F.avg("y")).first()[0] or 0.0
+    support = int(np.ceil(np.log(5e-5) / np.log(min(0.5, max(share, 0.01)))))  # places that by chance are all in toxic rows for 1 word in 20,000
+    weight = (F.log((F.col("toxic") + 0.5) / (F.col("clean") + 0.5)) * F.sqrt("toxic")).alias("weight")
+    positive = counts.where(f"toxic >= {support} and toxic > 8 * clean").select("word", F.lit(True).alias("positive"), weight).orderBy(F.desc("weight"), "word").limit(POSITIVE)
+    clean = counts.where("clean > 0 and toxic <= 2 * clean")
+    least, n = _least_count(clean, NEGATIVE // 4)
+    rest = clean.where(F.col("clean") < least)
+    rate = (NEGATIVE - n) / max(1, rest.count())  # of the rarer ones a share by hash, about as many as are wanted
+    negative = clean.where(F.col("clean") >= least).unionByName(rest.where(F.pmod(F.xxhash64("word", F.lit(5)), F.lit(1 << 30)) < rate * (1 << 30)))
+    chosen_words = work.cut(positive.unionByName(negative.select("word", F.lit(False).alias("positive"), F.sqrt("clean").alias("weight"))), "words")
+    table = np.zeros(_CELLS, dtype=np.float32)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        rows = pa.Table.from_batches(held).sort_by([("positive", "descending"), ("word", "ascending")])
+        own = rows.column("positive").to_numpy()
+        if own.any() and not own.all():
+            found = _fitted(rows.column("word").to_pylist(), own, rows.column("weight").to_numpy())
+            cells = np.flatnonzero(found)
+            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(found[cells])], ["cell", "weight"])
+
+    # about POSITIVE + NEGATIVE words: one task fits the machine, and the landmarks' subsequences come back
+    fitted = chosen_words.coalesce(1).mapInArrow(fit, "cell long, weight float").toArrow()
+    if not fitted.num_rows:
+        return Model(table, 0.0, float(np.log((share + 1e-9) / (1 - share + 1e-9))), share)
+    table[fitted.column("cell").to_numpy()] = fitted.column("weight").to_numpy()
+    sent = docs.sparkSession.sparkContext.broadcast(table)
 
     def highest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(highest_words(batch.column("text"), table)), batch.column("y")], ["x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(highest_words(batch.column("text"), sent.value)), batch.column("y")], ["x", "y"])
 
-    seen = texts.select("text", "y").mapInArrow(highest, "x double, y int").toPandas()
+    seen = texts.select("text", "y").mapInArrow(highest, "x double, y int").toArrow()  # a row for each row learned from
+    sent.destroy()
     # the classes as often as among all labels that may be learned from, not as in the sample
-    total = usable.groupBy("y").count().toPandas().set_index("y")["count"]
-    x, y = seen["x"].to_numpy(), seen["y"].to_numpy(dtype=float)
+    total = {r["y"]: r["count"] for r in usable.groupBy("y").count().collect()}
+    x, y = seen.column("x").to_numpy(), seen.column("y").to_numpy().astype(float)
     weight = np.where(y == 1, total.get(1, 1) / max(1, (y == 1).sum()), total.get(0, 1) / max(1, (y == 0).sum()))
     slope, shift = _logistic(x, y, weight / weight.mean())
     return Model(table, slope, shift, float(share))
 
 
+def _least_count(clean: DataFrame, most: int) -> tuple[int, int]:
+    """The smallest count such that at most so many words have it or more (counts beyond 2**16 as one), and how many have."""
+    least, n = (1 << 16) + 1, 0
+    for count, words in sorted(clean.groupBy(F.least("clean", F.lit(1 << 16)).alias("k")).count().collect(), reverse=True):  # at most 2**16 rows
+        if n + words > most:
+            break
+        least, n = count, n + words
+    return least, n
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     a = np.column_stack([x, np.ones(len(x))])
     u = np.zeros(2)
