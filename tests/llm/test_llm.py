@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import itertools
 import json
 import re
 import zlib
@@ -135,7 +136,6 @@ def test_packing_is_a_partition(spark, odd, empty):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     docs = odd.where("doc_id is not null").dropDuplicates(["doc_id"]).union(odd.where("doc_id = 5").limit(1).withColumn("doc_id", F.lit(99).cast("long")))
     pieces = packing.pack(docs).collect()
     texts = {r.doc_id: r.text for r in docs.collect()}
@@ -212,23 +212,57 @@ def test_fertility_fences(spark):
 # 4: decontamination -----------------------------------------------------------------------------------------
 
 
-def test_edit_distances():
-    def slow(a, b):
-        d = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            d, before = [i], d
-            for j, y in enumerate(b, 1):
-                d.append(min(before[j] + 1, d[-1] + 1, before[j - 1] + (x != y)))
-        return d[-1]
+def best_run(item, words):
+    """Fewest edits between the item and any run of the words, by the textbook recurrence."""
+    d = [0] * (len(words) + 1)
+    for i, x in enumerate(item, 1):
+        d, before = [i], d
+        for j, y in enumerate(words, 1):
+            d.append(min(before[j] + 1, d[-1] + 1, before[j - 1] + (x != y)))
+    return min(d)
 
+
+def test_alignments():
     r = np.random.default_rng(0)
-    a, b = r.integers(0, 4, (50, 12)).astype(np.uint64), r.integers(0, 4, (50, 12)).astype(np.uint64)
-    assert decontamination.edit_distances(a, b).tolist() == [slow(x, y) for x, y in zip(a.tolist(), b.tolist())]
+    a, b = r.integers(0, 4, (50, 12)).astype(np.uint64), r.integers(0, 4, (50, 17)).astype(np.uint64)
+    edits, begin = decontamination.alignments(a, b)
+    assert edits.tolist() == [best_run(x, y) for x, y in zip(a.tolist(), b.tolist())]
+    # the best run begins where it is said to: the rest of the span alone holds one as good
+    assert all(best_run(x, y[s:]) == e for x, y, s, e in zip(a.tolist(), b.tolist(), begin.tolist(), edits.tolist()))
+
+
+def edited(words, kinds, n, r):
+    """The words with n changed, inserted or left out."""
+    w = list(words)
+    for k in range(n):
+        at, kind = int(r.integers(1, len(w) - 1)), str(r.choice(kinds))
+        if kind == "change":
+            w[at] = f"edit{k}"
+        elif kind == "insert":
+            w.insert(at, f"edit{k}")
+        else:
+            del w[at]
+    return w
+
+
+@pytest.mark.parametrize("share", [0.05, 0.1, 0.15])
+@pytest.mark.parametrize("kinds", [["change"], ["insert"], ["leave out"], ["change", "insert", "leave out"]])
+def test_recall_of_leaks_against_brute_force(share, kinds):
+    """What all pairs by the textbook recurrence give, and at least 0.9 of it by the sketch, for every kind of edit."""
+    r = np.random.default_rng(int(100 * share))
+    items = [prose(1000 + i, 20 + i) for i in range(30)]
+    words = [edited(items[i % 30].split(), kinds, int(share * (20 + i % 30)), r) for i in range(90)]
+    texts = [" ".join([*prose(i, i % 3 * 10).split(), *w, *prose(500 + i, i % 2 * 20).split()]) for i, w in enumerate(words)] + [prose(3000 + i, 80) for i in range(20)]
+    text, item, _, edits = decontamination.leaks(pa.array(texts), decontamination.Items(list(range(30)), items))
+    found = {(t, i): e for t, i, e in zip(text.tolist(), item.tolist(), edits.tolist())}
+    expected = {(t, i): e for t in range(len(texts)) for i in range(30) if (e := best_run(items[i].split(), texts[t].split())) <= 0.2 * len(items[i].split())}
+    assert len(expected) >= 90 and all(found[k] >= expected[k] for k in found) and set(found) <= set(expected)
+    assert len(found) >= 0.9 * len(expected)
 
 
 def test_leaks(spark, odd, empty):
-    items = [(i, prose(1000 + i, 20 + i)) for i in range(25)] + [(None, None), (77, ""), (78, "one two three four five six")]
-    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    items = [(i, prose(1000 + i, 20 + i)) for i in range(25)] + [(None, None), (77, ""), (78, "one two three four five six"), (None, prose(1003, 23)), (3, prose(1003, 23))]
+    benchmark = spark.createDataFrame([(*i, "x") for i in items], "item_id long, text string, item_key string")
     r = np.random.default_rng(3)
     docs, expected = [], set()
     for i, text in items[:25]:
@@ -238,12 +272,15 @@ def test_leaks(spark, odd, empty):
         docs.append((i, prose(i, 30) + " " + "\n".join(w).upper() + " " + prose(50 + i, 30)))
         expected.add((i, i))
         docs.append((100 + i, prose(3000 + i, 80)))
-    found = {(x.doc_id, x.item_id) for x in decontamination.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), benchmark).collect()}
+    got = decontamination.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), benchmark).collect()
+    assert sorted(x.item_id is None for x in got if x.doc_id == 3) == [False, False, True]  # repeated items each report
+    found = {(x.doc_id, x.item_id) for x in got if x.item_id is not None}
     assert found <= expected and len(found) >= 0.95 * len(expected)
+    assert all(abs(x.first_word - 30) <= 2 for x in got)
     clean = decontamination.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), benchmark)
     assert {x.doc_id for x in clean.collect()} == {d[0] for d in docs} - {f[0] for f in found}
     assert decontamination.find_leaks(odd, benchmark).count() == 0 and decontamination.find_leaks(empty, benchmark).count() == 0
-    assert decontamination.decontaminate(odd, benchmark.limit(0)).count() == odd.count()
+    assert decontamination.decontaminate(odd, benchmark.limit(0)).count() == odd.count() and decontamination.find_leaks(odd, benchmark.limit(0)).count() == 0
 
 
 # 10: toxicity ----------------------------------------------------------------------------------------------
@@ -267,6 +304,37 @@ def test_toxicity_learns_stems_and_gaps(spark):
     assert own[0] > own[2] and own[1] > own[2] and own[3] == own[4] == 0
 
 
+def test_word_scores_enumerate_subsequences():
+    """The kernel machine's value of a word is the normalised sum over its own subsequences, one by one."""
+    table = np.random.default_rng(4).normal(size=toxicity._CELLS).astype(np.float32)
+    table[0] = 0
+    words = [b"idiot", b"an", b"w-o-r-d", b"lo.ser", b"abcabcab", b"xyzxyz12345"]
+    for word, got in zip(words, toxicity.word_scores(*toxicity._bytes_of(words), table)):
+        codes = [31] + [int(toxicity._CODE[b]) for b in word]
+        total, size = 0.0, 0.0
+        for at in itertools.combinations(range(len(codes)), toxicity.ORDER):
+            span = at[-1] - at[0]
+            if span <= toxicity.SPAN and all(codes[i] for i in at):
+                weight = toxicity.DECAY**span
+                total += weight * table[sum(codes[i] * 32 ** (toxicity.ORDER - 1 - k) for k, i in enumerate(at))]
+                size += weight**2
+        assert got == pytest.approx(total / np.sqrt(size) if size else 0, rel=1e-4, abs=1e-5)
+
+
+def test_common_words_raise_no_alarm(spark):
+    """With few labels a word of many clean documents that resembles an insult stays clean; contradicting labels teach nothing."""
+    docs, labels = [], []
+    for i in range(300):
+        w = prose(i, 40).split() + (["sting"] if i % 2 else [])
+        if i % 8 == 0:
+            w.insert(5, ["stupid", "moron", "scum"][i // 8 % 3])
+        docs.append((i, " ".join(w)))
+        labels += [(i, int(i % 8 == 0))] + ([(i, 1 - int(i % 8 == 0))] if i % 50 == 1 else [])
+    docs = spark.createDataFrame(docs + docs[:20], "doc_id long, text string")
+    rows = [x for x in toxicity.score(docs, toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))).collect() if x.held_out]
+    assert all((x.doc_id % 8 == 0) == bool(x.predicted) for x in rows)
+
+
 def test_toxicity_odd(spark, odd, empty):
     labels = spark.createDataFrame([(5, 1, 1), (6, 0, 0), (None, 1, 1), (7, 1, None), (8, 1, 5), (4444, 0, 1)], "doc_id long, quality int, toxic int")
     for some in (labels, labels.limit(0)):
@@ -291,6 +359,17 @@ def test_language(spark, odd, empty):
     assert language.identify(empty, language.train(empty)).count() == 0
 
 
+def test_more_languages_than_bits(spark):
+    """Seventy invented alphabets: every one is learned and predicted."""
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 70 * 12)]
+    docs = [(i, " ".join("".join(np.random.default_rng(i * 31 + k).choice(letters[i % 70 * 12 : i % 70 * 12 + 12], 6)) for k in range(40)), f"l{i % 70}") for i in range(70 * 12)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    filters = language.train(docs)
+    rows = language.identify(docs, filters).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert filters.cells.shape[1] == 2 and len(filters.languages) == 70
+    assert np.mean([x.lang == x.lang_pred for x in rows if x.held_out]) > 0.97
+
+
 # 8: sharding -----------------------------------------------------------------------------------------------
 
 
