@@ -1,24 +1,30 @@
 """Language-model scores by masked pseudo-likelihood.
 
 A window network predicts every word from the SIDE words on either side: the sum of position-wise
-embeddings goes through tanh to a two-level softmax (CLASSES classes of words of like frequency, then the word
-in its class).  A document's score is the sum of its words' conditional log-probabilities.
+embeddings goes through tanh to a two-level softmax (classes of words of like frequency, then the word in its
+class).  A document's score is the sum of its words' conditional log-probabilities.
 
-Words are those of the corpus: the most frequent KNOWN by counts over all documents, and for the rest
-RARE cells by hash.  The network gives a rare word its cell's probability; times the word's share of its
-cell's count over all documents, that is a probability of the word's own.  Shares of the HELD most frequent
-rare words are broadcast, those of all others come by a join with the counts.  Training is spread over the corpus: each task runs Adagrad over its documents' positions,
-every ROUNDS-th a round so that each position is a target once, starting from common weights; the tasks' weights are averaged, in levels of at
-most FAN rows a group, and the next round starts from the average.  What is gathered - word counts and
-weights - follows the input; what reaches the driver (KNOWN and HELD words, one set of weights) does not.
+Words are those of the corpus, by counts over all documents: those with LEAST occurrences or more, so that the
+vocabulary and the weights grow with the corpus, up to the MOST most frequent (a word more costs every position
+time).  The rest falls into RARE cells by ending (its last ENDING bytes), which the network knows like words: it
+gives a rare word its cell's probability in this context; times the word's share of its cell's count over all
+documents, that is a probability of the word's own.  Shares of the HELD most frequent rare words are broadcast,
+those of all others come by a join with the counts.
+
+Training is spread over the corpus: each task runs Adagrad over its documents' positions, every ROUNDS-th a
+round so that each position is a target once, starting from common weights; the tasks' weights are averaged,
+in levels of at most FAN rows a group, and the next round starts from the average.  So weights depend on how
+the table is dealt into tasks, as in any averaging of models; scores of one deal are the same in every run.
 
 Defined results: a null, empty or wordless text has n_tokens 0, log_likelihood 0 and a null mean; null and
-repeated doc_ids are scored row by row; an empty table gives an empty table (nothing is trained).
+repeated doc_ids are scored row by row; a very long text is worked on alone, whole; an empty table gives an
+empty table (nothing is trained).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,28 +35,54 @@ from pyspark.sql import functions as F
 from epochal.llm import textops as X
 from epochal.llm.work import Work
 
-SIDE, WIDTH, CLASSES, IN_CLASS, RARE = 2, 24, 64, 32, 256
-WORDS = CLASSES * IN_CLASS
-KNOWN = WORDS - RARE
-ROUNDS, BATCH, RATE = 2, 4096, 0.15
+SIDE, WIDTH, RARE, ENDING = 2, 24, 256, 3
+LEAST, MOST = 100, 3840
+ROUNDS, BATCH, RATE = 2, 16384, 0.15
 BLOCK, FAN, HELD = 4096, 256, 1 << 18
-_SHAPES = {"embed": (2 * SIDE, WORDS + 1, WIDTH), "bias": (WIDTH,), "top": (WIDTH, CLASSES), "top_bias": (CLASSES,), "low": (CLASSES, WIDTH, IN_CLASS), "low_bias": (CLASSES, IN_CLASS)}
-_SIZE = sum(int(np.prod(s)) for s in _SHAPES.values())
 
 Weights = dict[str, np.ndarray]
 
 
-def unpack(flat: np.ndarray) -> Weights:
-    out, at = {}, 0
-    for name, shape in _SHAPES.items():
-        n = int(np.prod(shape))
-        out[name] = flat[at : at + n].reshape(shape)
-        at += n
-    return out
+@dataclass(frozen=True)
+class Network:
+    """The shapes of a network of ``known`` words and RARE cells, and its weights as one row of numbers."""
+
+    known: int
+
+    @property
+    def side(self) -> int:
+        """Classes, and words in each."""
+        return int(np.ceil(np.sqrt(self.known + RARE)))
+
+    @property
+    def words(self) -> int:
+        return self.side**2
+
+    @property
+    def shapes(self) -> dict[str, tuple[int, ...]]:
+        n = self.side
+        return {"embed": (2 * SIDE, self.words + 1, WIDTH), "bias": (WIDTH,), "top": (WIDTH, n), "top_bias": (n,), "low": (n, WIDTH, n), "low_bias": (n, n)}
+
+    @property
+    def size(self) -> int:
+        return sum(int(np.prod(s)) for s in self.shapes.values())
+
+    def unpack(self, flat: np.ndarray) -> Weights:
+        out, at = {}, 0
+        for name, shape in self.shapes.items():
+            n = int(np.prod(shape))
+            out[name] = flat[at : at + n].reshape(shape)
+            at += n
+        return out
 
+    def start(self) -> np.ndarray:
+        return np.random.default_rng(1).normal(0, 0.05, self.size).astype(np.float32)
 
-def start() -> np.ndarray:
-    return np.random.default_rng(1).normal(0, 0.05, _SIZE).astype(np.float32)
+
+def fingerprints(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Of words: 56 bits of the whole word, and in the lowest 8 its cell, by its ending."""
+    cell = X.span_hashes(data, np.maximum(starts, ends - ENDING), ends) % np.uint64(RARE)
+    return (X.span_hashes(data, starts, ends) & ~np.uint64(RARE - 1)) | cell
 
 
 def words_of(texts: pa.Array, known: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -60,22 +92,22 @@ def words_of(texts: pa.Array, known: np.ndarray) -> Iterator[tuple[int, int, np.
     for first, last, data, offsets in X.pieces(texts):
         data = X.lower_ascii(data)
         starts, ends, bounds = X.word_spans(data, offsets)
-        own = X.span_hashes(data, starts, ends)
-        number = KNOWN + (own % np.uint64(RARE)).astype(np.int64)
+        own = fingerprints(data, starts, ends)
+        number = len(known) + (own % np.uint64(RARE)).astype(np.int64)
         if len(ranked):
             at = np.minimum(np.searchsorted(ranked, own), len(ranked) - 1)
             number = np.where(ranked[at] == own, order[at], number)
         yield first, last, number, bounds, own
 
 
-def _contexts(numbers: np.ndarray, bounds: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The words around the given positions (positions x 2 SIDE); WORDS stands for none."""
+def _contexts(numbers: np.ndarray, bounds: np.ndarray, at: np.ndarray, none: int) -> np.ndarray:
+    """The words around the given positions (positions x 2 SIDE); ``none`` stands where the text has no word."""
     text = np.searchsorted(bounds, at, side="right") - 1
+    low, high = bounds[text], bounds[text + 1]
     out = np.empty((len(at), 2 * SIDE), dtype=np.int64)
     for k, step in enumerate([d for d in range(-SIDE, SIDE + 1) if d]):
         place = at + step
-        inside = (place >= bounds[text]) & (place < bounds[text + 1])
-        out[:, k] = np.where(inside, numbers[np.clip(place, 0, len(numbers) - 1)], WORDS)
+        out[:, k] = np.where((place >= low) & (place < high), numbers[np.clip(place, 0, len(numbers) - 1)], none)
     return out
 
 
@@ -86,59 +118,76 @@ def _hidden(w: Weights, context: np.ndarray) -> np.ndarray:
     return np.tanh(total)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _log_of_chosen(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Log-probability of one entry of each row of a softmax."""
+    most = x.max(axis=1)
+    own = x[np.arange(len(x)), chosen] - most
+    x -= most[:, None]
+    return own - np.log(np.exp(x, out=x).sum(axis=1))
+
+
+def _error(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Softmax less one at the chosen entry of each row."""
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    x[np.arange(len(x)), chosen] -= 1
+    return x
+
+
+def _by_class(group: np.ndarray, classes: int) -> Iterator[tuple[int, np.ndarray]]:
+    group = group.astype(np.uint16)  # a radix sort
+    order = np.argsort(group, kind="stable")
+    ends = np.searchsorted(group[order], np.arange(classes + 1))
+    for g in np.flatnonzero(np.diff(ends)).tolist():
+        yield g, order[ends[g] : ends[g + 1]]
 
 
 def log_probabilities(w: Weights, context: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Log-probability of each target given its context."""
-    out = np.empty(len(target), dtype=np.float64)
-    for lo in range(0, len(target), 1 << 16):
-        own, hidden = target[lo : lo + (1 << 16)], _hidden(w, context[lo : lo + (1 << 16)])
-        group = own // IN_CLASS
-        value = _log_softmax(hidden @ w["top"] + w["top_bias"])[np.arange(len(own)), group].astype(np.float64)
-        order = np.argsort(group, kind="stable")
-        ends = np.searchsorted(group[order], np.arange(CLASSES + 1))
-        for g in np.flatnonzero(np.diff(ends)):
-            rows = order[ends[g] : ends[g + 1]]
-            value[rows] += _log_softmax(hidden[rows] @ w["low"][g] + w["low_bias"][g])[np.arange(len(rows)), own[rows] % IN_CLASS]
-        out[lo : lo + (1 << 16)] = value
+    out, n = np.empty(len(target), dtype=np.float64), w["top"].shape[1]
+    for lo in range(0, len(target), BATCH):
+        own, hidden = target[lo : lo + BATCH], _hidden(w, context[lo : lo + BATCH])
+        group, place = own // n, own % n
+        value = _log_of_chosen(hidden @ w["top"] + w["top_bias"], group).astype(np.float64)
+        for g, rows in _by_class(group, n):
+            value[rows] += _log_of_chosen(hidden[rows] @ w["low"][g] + w["low_bias"][g], place[rows])
+        out[lo : lo + BATCH] = value
     return out
 
 
 def gradient(w: Weights, context: np.ndarray, target: np.ndarray) -> Weights:
     """Of the mean negative log-probability."""
-    n = len(target)
-    hidden, group = _hidden(w, context), target // IN_CLASS
-    grads = {name: np.zeros(shape, dtype=np.float32) for name, shape in _SHAPES.items()}
-    error = np.exp(_log_softmax(hidden @ w["top"] + w["top_bias"]))
-    error[np.arange(n), group] -= 1
+    count, n = len(target), w["top"].shape[1]
+    hidden, group, place = _hidden(w, context), target // n, target % n
+    grads = {name: np.zeros(x.shape, dtype=np.float32) for name, x in w.items()}
+    error = _error(hidden @ w["top"] + w["top_bias"], group)
     grads["top"], grads["top_bias"] = hidden.T @ error, error.sum(axis=0)
     back = error @ w["top"].T
-    order = np.argsort(group, kind="stable")
-    ends = np.searchsorted(group[order], np.arange(CLASSES + 1))
-    for g in np.flatnonzero(np.diff(ends)):
-        rows = order[ends[g] : ends[g + 1]]
-        error = np.exp(_log_softmax(hidden[rows] @ w["low"][g] + w["low_bias"][g]))
-        error[np.arange(len(rows)), target[rows] % IN_CLASS] -= 1
-        grads["low"][g], grads["low_bias"][g] = hidden[rows].T @ error, error.sum(axis=0)
+    for g, rows in _by_class(group, n):
+        own = hidden[rows]
+        error = _error(own @ w["low"][g] + w["low_bias"][g], place[rows])
+        grads["low"][g], grads["low_bias"][g] = own.T @ error, error.sum(axis=0)
         back[rows] += error @ w["low"][g].T
     back *= 1 - hidden**2
     grads["bias"] = back.sum(axis=0)
     for k in range(2 * SIDE):
-        order = np.argsort(context[:, k], kind="stable")
-        word, at = np.unique(context[order, k], return_index=True)
-        grads["embed"][k][word] = np.add.reduceat(back[order], at, axis=0)
-    return {name: g / n for name, g in grads.items()}
+        word = context[:, k].astype(np.uint16)
+        order = np.argsort(word, kind="stable")
+        word = word[order]
+        at = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        grads["embed"][k][word[at]] = np.add.reduceat(back[order], at, axis=0)
+    for g in grads.values():
+        g /= count
+    return grads
 
 
 class Trainer:
     """Adagrad over the batches of one task."""
 
-    def __init__(self, flat: np.ndarray) -> None:
+    def __init__(self, network: Network, flat: np.ndarray) -> None:
         self.flat = flat.astype(np.float32).copy()
-        self.weights, self.squares, self.seen = unpack(self.flat), unpack(np.full(_SIZE, 1e-6, np.float32)), 0
+        self.weights, self.squares, self.seen = network.unpack(self.flat), network.unpack(np.full(network.size, 1e-6, np.float32)), 0
 
     def learn(self, context: np.ndarray, target: np.ndarray) -> None:
         for lo in range(0, len(target), BATCH):
@@ -156,24 +205,24 @@ def word_counts(docs: DataFrame) -> DataFrame:
             for _, _, data, offsets in X.pieces(batch.column("text"), 4 * X.PIECE_BYTES):
                 data = X.lower_ascii(data)
                 starts, ends, _ = X.word_spans(data, offsets)
-                word, n = np.unique(X.span_hashes(data, starts, ends), return_counts=True)
+                word, n = np.unique(fingerprints(data, starts, ends), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], ["word", "n"])
 
     counts = docs.select(F.col("text").cast("string")).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return Work(docs.sparkSession, "word-counts").cut(counts, "counts")
 
 
-def vocabulary(counts: DataFrame) -> np.ndarray:
-    """Fingerprints of the most frequent words (ties: smaller fingerprint)."""
-    top = counts.orderBy(F.desc("n"), "word").limit(KNOWN).toPandas()
-    return top["word"].to_numpy(dtype=np.int64).view(np.uint64)
+def vocabulary(counts: DataFrame, least: int | None = None) -> np.ndarray:
+    """Fingerprints of the words with ``least`` occurrences, the most frequent first (ties: smaller fingerprint), at most MOST."""
+    top = counts.where(F.col("n") >= (least or LEAST)).orderBy(F.desc("n"), "word").limit(MOST).toArrow()
+    return top.column("word").to_numpy().view(np.uint64)
 
 
 def shares(counts: DataFrame, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, DataFrame]:
     """Of the rare words: log count of each cell, fingerprints and log counts of those held, (word, log_n) of the others."""
     spark = counts.sparkSession
     frequent = spark.createDataFrame([(int(w),) for w in known.view(np.int64)], "word long")
-    rare = counts.join(F.broadcast(frequent), "word", "left_anti")  # KNOWN rows
+    rare = counts.join(F.broadcast(frequent), "word", "left_anti")  # MOST rows at most
     cells = np.ones(RARE)
     for r in rare.groupBy(F.expr(f"word & {RARE - 1}").alias("cell")).agg(F.sum("n").alias("n")).collect():
         cells[r["cell"]] = r["n"]
@@ -184,30 +233,31 @@ def shares(counts: DataFrame, known: np.ndarray) -> tuple[np.ndarray, np.ndarray
             least = n + 1
             break
         least = n
-    own = rare.where(F.least("n", F.lit(1 << 16)) >= least).toPandas()  # at most HELD
-    held = own["word"].to_numpy(dtype=np.int64).view(np.uint64)
+    own = rare.where(F.least("n", F.lit(1 << 16)) >= least).toArrow()  # at most HELD
+    held = own.column("word").to_numpy().view(np.uint64)
     order = np.argsort(held)
     others = rare.where(F.least("n", F.lit(1 << 16)) < least)
-    return np.log(cells), held[order], np.log(own["n"].to_numpy(dtype=float))[order], others.where("n > 1").select("word", F.log("n").alias("log_n"))
+    return np.log(cells), held[order], np.log(own.column("n").to_numpy().astype(float))[order], others.where("n > 1").select("word", F.log("n").alias("log_n"))
 
 
 def train(docs: DataFrame, known: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     """Weights averaged over the tasks, ``rounds`` times."""
-    spark, flat = docs.sparkSession, start()
+    spark, network = docs.sparkSession, Network(len(known))
+    flat = network.start()
     work = Work(spark, "language-model")
     texts = docs.select(F.col("text").cast("string"))
-    blocks = -(-_SIZE // BLOCK)
+    blocks = -(-network.size // BLOCK)
     for turn in range(rounds):
-        sent = spark.sparkContext.broadcast((flat, known))  # one set of weights and KNOWN words
+        sent = spark.sparkContext.broadcast((flat, known))  # one set of weights and the known words
 
         def learn(batches: Iterator[pa.RecordBatch], sent=sent, turn=turn) -> Iterator[pa.RecordBatch]:
             begin, words = sent.value
-            own, kept = Trainer(begin), []
+            own, kept = Trainer(network, begin), []
             for batch in batches:
                 for _, _, numbers, bounds, _ in words_of(batch.column("text"), words):
                     at = np.arange(turn, len(numbers), rounds)
                     if len(at):
-                        kept.append((_contexts(numbers, bounds, at), numbers[at]))
+                        kept.append((_contexts(numbers, bounds, at, network.words), numbers[at]))
                     if sum(len(t) for _, t in kept) >= BATCH:
                         own.learn(*(np.concatenate(x) for x in zip(*kept, strict=True)))
                         kept = []
@@ -215,7 +265,7 @@ def train(docs: DataFrame, known: np.ndarray, rounds: int = ROUNDS) -> np.ndarra
                 own.learn(*(np.concatenate(x) for x in zip(*kept, strict=True)))
             if own.seen:
                 part = TaskContext.get().partitionId()
-                scaled = np.pad(own.flat * np.float32(own.seen), (0, blocks * BLOCK - _SIZE))
+                scaled = np.pad(own.flat * np.float32(own.seen), (0, blocks * BLOCK - network.size))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(blocks, dtype=np.int32)), pa.array(np.full(blocks, part, dtype=np.int32)), pa.array(np.full(blocks, own.seen)), pa.array([x.tobytes() for x in scaled.reshape(blocks, BLOCK)], pa.binary())],
                     ["block", "part", "seen", "sums"],
@@ -229,7 +279,7 @@ def train(docs: DataFrame, known: np.ndarray, rounds: int = ROUNDS) -> np.ndarra
             most //= FAN
         rows = sorted(parts.collect(), key=lambda r: r["block"])  # one set of weights
         if rows:
-            flat = np.concatenate([np.frombuffer(bytes(r["sums"]), np.float32) / np.float32(r["seen"]) for r in rows])[:_SIZE]
+            flat = np.concatenate([np.frombuffer(bytes(r["sums"]), np.float32) / np.float32(r["seen"]) for r in rows])[: network.size]
     return flat
 
 
@@ -246,13 +296,14 @@ def score(docs: DataFrame, counts: DataFrame, known: np.ndarray, flat: np.ndarra
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, known, cells, held, logs = sent.value
-        weights, row = unpack(flat), TaskContext.get().partitionId() << 36
+        network = Network(len(known))
+        weights, row = network.unpack(flat), TaskContext.get().partitionId() << 36
         for batch in batches:
             ids = batch.column("doc_id")
             for first, last, numbers, bounds, words in words_of(batch.column("text"), known):
-                value = log_probabilities(weights, _contexts(numbers, bounds, np.arange(len(numbers))), numbers)
-                rare = np.flatnonzero(numbers >= KNOWN)
-                value[rare] -= cells[numbers[rare] - KNOWN]
+                value = log_probabilities(weights, _contexts(numbers, bounds, np.arange(len(numbers)), network.words), numbers)
+                rare = np.flatnonzero(numbers >= len(known))
+                value[rare] -= cells[numbers[rare] - len(known)]
                 if len(held):
                     at = np.minimum(np.searchsorted(held, words[rare]), len(held) - 1)
                     found = held[at] == words[rare]

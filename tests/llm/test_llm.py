@@ -489,12 +489,14 @@ def test_viterbi_is_the_best_path():
 
 def test_gradient_and_normalisation():
     r = np.random.default_rng(0)
-    flat = pseudo_likelihood.start().astype(np.float64)
-    w = pseudo_likelihood.unpack(flat)
-    context, target = r.integers(0, pseudo_likelihood.WORDS + 1, (20, 4)), r.integers(0, pseudo_likelihood.WORDS, 20)
+    network = pseudo_likelihood.Network(700)
+    flat = network.start().astype(np.float64)
+    w = network.unpack(flat)
+    context, target = r.integers(0, network.words + 1, (20, 4)), r.integers(0, network.words, 20)
     loss = lambda: -pseudo_likelihood.log_probabilities(w, context, target).mean()
     grads = pseudo_likelihood.gradient(w, context, target)
-    for name, at in (("embed", (0, context[3, 0], 2)), ("top", (1, 4)), ("low", (target[5] // 32, 3, target[5] % 32)), ("bias", (0,))):
+    n = network.side
+    for name, at in (("embed", (0, context[3, 0], 2)), ("top", (1, 4)), ("low", (target[5] // n, 3, target[5] % n)), ("bias", (0,))):
         before = w[name][at]
         w[name][at] = before + 1e-4
         up = loss()
@@ -502,10 +504,45 @@ def test_gradient_and_normalisation():
         down = loss()
         w[name][at] = before
         assert (up - down) / 2e-4 == pytest.approx(float(grads[name][at]), abs=1e-6)
-    every = np.arange(pseudo_likelihood.WORDS)
+    every = np.arange(network.words)
     assert np.exp(pseudo_likelihood.log_probabilities(w, np.repeat(context[:1], len(every), axis=0), every)).sum() == pytest.approx(1)
 
 
+def test_scores_recomputed_word_by_word(spark, monkeypatch):
+    """Every document's sum, from the trained weights and the counts, by the definition and one word at a time."""
+    monkeypatch.setattr(pseudo_likelihood, "LEAST", 5)
+    monkeypatch.setattr(pseudo_likelihood, "HELD", 3)
+    texts = [" ".join(np.random.default_rng(i).choice("the cat sat on a mat and saw some bird".split(), 12)) + f" rare{i} odd{i % 3}" for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts = pseudo_likelihood.word_counts(docs)
+    known = pseudo_likelihood.vocabulary(counts)
+    flat = pseudo_likelihood.train(docs, known)
+    network = pseudo_likelihood.Network(len(known))
+    w = {k: v.astype(np.float64) for k, v in network.unpack(flat).items()}
+    got = {r.doc_id: r for r in pseudo_likelihood.score(docs, counts, known, flat).collect()}
+
+    def mark(word):
+        data, _ = X.buffers(pa.array([word]))
+        return int(pseudo_likelihood.fingerprints(data, np.array([0]), np.array([len(data)]))[0])
+
+    often = collections.Counter(x for t in texts for x in t.split())
+    numbers = {x: known.tolist().index(mark(x)) if mark(x) in known.tolist() else len(known) + mark(x) % pseudo_likelihood.RARE for x in often}
+    assert sorted(x for x in often if numbers[x] < len(known)) == sorted(x for x, n in often.items() if n >= 5)
+    cell = collections.Counter()
+    for x, n in often.items():
+        cell[numbers[x]] += n
+    softmax = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    for i, text in enumerate(texts):
+        own, total = text.split(), 0.0
+        for at, word in enumerate(own):
+            around = [own[at + d] if 0 <= at + d < len(own) else None for d in (-2, -1, 1, 2)]
+            h = np.tanh(w["bias"] + sum(w["embed"][k][network.words if x is None else numbers[x]] for k, x in enumerate(around)))
+            g, place = divmod(numbers[word], network.side)
+            total += np.log(softmax(h @ w["top"] + w["top_bias"])[g] * softmax(h @ w["low"][g] + w["low_bias"][g])[place])
+            total += np.log(often[word] / cell[numbers[word]]) if numbers[word] >= len(known) else 0
+        assert got[i].log_likelihood == pytest.approx(total, rel=1e-4) and got[i].n_tokens == len(own)
+
+
 def test_pseudo_likelihood(spark, odd, empty):
     sentence = "the cat sat on the mat and the dog ran to the door"
     docs = spark.createDataFrame([(i, " ".join([sentence] * 40)) for i in range(60)] + [(1000, " ".join(np.random.default_rng(0).permutation((sentence + " ").split() * 40)))], "doc_id long, text string")
@@ -521,22 +558,24 @@ def test_pseudo_likelihood(spark, odd, empty):
 def test_every_position_is_trained_on(spark):
     docs = spark.createDataFrame([(i, f"w{i % 16}") for i in range(16 * 400)], "doc_id long, text string").coalesce(1)
     got = [r.mean_log_likelihood for r in pseudo_likelihood.pseudo_likelihood(docs).where("doc_id < 16").collect()]
-    assert len(got) == 16 and min(got) > np.log(1 / pseudo_likelihood.WORDS) + 2
+    assert len(got) == 16 and min(got) > np.log(1 / pseudo_likelihood.Network(16).words) + 1
+
+
+def test_vocabulary_grows_with_the_corpus(spark):
+    size = lambda n: len(pseudo_likelihood.vocabulary(pseudo_likelihood.word_counts(spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(1 + i % 300))) for i in range(n)], "doc_id long, text string"))))
+    few, many = size(600), size(6000)
+    assert 0 < few < many < 300
 
 
 @pytest.mark.parametrize("held", [0, 1 << 18])
 def test_words_of_a_cell_have_their_own_probability(spark, monkeypatch, held):
     monkeypatch.setattr(pseudo_likelihood, "HELD", held)
-    filler = " ".join(f"k{i}" for i in range(pseudo_likelihood.KNOWN))
-    names = [f"r{i}" for i in range(2000)]
-    data, offsets = X.buffers(pa.array([" ".join(names)], pa.string()))
-    starts, ends, _ = X.word_spans(data, offsets)
-    cell = X.span_hashes(data, starts, ends) % np.uint64(pseudo_likelihood.RARE)
-    one, two = (names[i] for i in np.flatnonzero(cell == cell[0])[:2])
-    rows = [(i, filler) for i in range(6)] + [(10, "k1 k2 " + one), (11, "k1 k2 " + two), (12, " ".join([one] * 3)), (10, "k1 k2 " + one)]
+    filler = " ".join(f"k{i}" for i in range(300))
+    one, two = "Aending", "Bending"  # one ending, so one cell
+    rows = [(i, filler) for i in range(100)] + [(1010, "k1 k2 " + one), (1011, "k1 k2 " + two), (1012, " ".join([one] * 3)), (1010, "k1 k2 " + one)]
     got = {r.doc_id: r for r in pseudo_likelihood.pseudo_likelihood(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[10].log_likelihood - got[11].log_likelihood == pytest.approx(np.log(5))
-    assert got[10].n_tokens == 3
+    assert got[1010].log_likelihood - got[1011].log_likelihood == pytest.approx(np.log(5))
+    assert got[1010].n_tokens == 3
 
 
 # the pipeline ----------------------------------------------------------------------------------------------
