@@ -6,49 +6,28 @@ their own, in DuckDB's dialect, from the operators' definitions.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epochal.functions import text as T
 from epochal.functions.dist import t_two_sided, z_of
 from epochal.operators import arrays, behavior, circ, decode, design, group, metrics, prep, robust, signals
+from epochal.registry import ANGLES, HOURS, KEY, MATRIX, ORACLES, QUERIES, SAMPLES, Query, entry, f_upper_sql, normal_sql, rounded, t_two_sided_sql
 from epochal.plans.levels import FirstLevel, GroupLevel, first_level, group_level
 from epochal.sources.adapters import behaviour, epochs, samples, table
 
-Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "diag_lda_auc"
-_QUERIES: dict[str, Query] = {}
-_ORACLES: dict[str, str] = {}
-
-
-def _final(df: DataFrame) -> DataFrame:
-    whole, real = {"tinyint", "smallint", "int", "bigint"}, {"float", "double"}
-    return df.select(*[F.col(c).cast("long").alias(c) if t in whole else (F.round(F.col(c).cast("double"), 6) + F.lit(0.0)).alias(c) if t in real else F.col(c) for c, t in df.dtypes])
-
-
-def _entry(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        _QUERIES[name] = lambda spark, sf_dir: _final(f(spark, sf_dir))
-        if sql is not None:
-            _ORACLES[name] = sql
-        return f
-
-    return add
+_entry, _R, _S, _KEY = entry, rounded, SAMPLES, KEY
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    return dict(ORACLES)
 
 
-_S = "s AS (SELECT vec_id AS trial_id, label AS event_code, i AS t_idx, CAST(embedding[i] AS DOUBLE) AS value FROM embeddings, generate_series(1, 64) AS g(i))"
-_KEY = "(vec_id * 1103515245 + 12345) % 2147483648, vec_id"
-_R = lambda e, name: f"ROUND({e}, 6) + 0.0 AS {name}"
 
 
 # first level ---------------------------------------------------------------------------------------------
@@ -309,7 +288,7 @@ def _(spark, d):
 
 # group level ------------------------------------------------------------------------------------------
 
-_HOURS = "h AS (SELECT user_id AS subject, hour(ts) + 1 AS sample, avg(value) AS value FROM events GROUP BY 1, 2)"
+_HOURS = HOURS
 
 
 def _by_hour(spark: SparkSession, d: str) -> DataFrame:
@@ -326,7 +305,7 @@ def _(spark, d):
     return group.one_sample_t(_by_hour(spark, d), ["sample"], 50.0)
 
 
-@_entry("one_sample_p")
+@_entry("one_sample_p", f"WITH {HOURS}, g AS (SELECT sample, avg(value) AS mean, count(*) - 1 AS df, (avg(value) - 50.0) / (stddev_samp(value) / sqrt(count(*))) AS t FROM h GROUP BY 1) SELECT sample, {_R('mean', 'mean')}, df, {_R('t', 't')}, {_R(t_two_sided_sql('t', 'df'), 'p')} FROM g")
 def _(spark, d):
     return group.one_sample_t(_by_hour(spark, d), ["sample"], 50.0).withColumn("p", t_two_sided("t", F.col("df").cast("double")))
 
@@ -399,7 +378,7 @@ def _(spark, d):
     return group.permutation_p(group.permutation_masses(_by_hour(spark, d).withColumn("value", F.col("value") - 50), 50, 1.0))
 
 
-_MATRIX = "m AS (SELECT l_linenumber AS \"row\", p_size % 7 + 1 AS col, avg(l_discount) AS value FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"
+_MATRIX = MATRIX
 
 
 def _matrix(spark: SparkSession, d: str) -> DataFrame:
@@ -490,7 +469,7 @@ def _(spark, d):
 
 # circular and robust statistics ----------------------------------------------------------------------------
 
-_ANG = "a AS (SELECT o_orderpriority AS g, 2 * pi() * dayofyear(o_orderdate) / 366.0 AS alpha, o_totalprice AS x FROM orders), m AS (SELECT g, CAST(count(*) AS DOUBLE) AS n, sum(cos(alpha)) AS c, sum(sin(alpha)) AS s FROM a GROUP BY 1)"
+_ANG = ANGLES
 
 
 def _angles(spark: SparkSession, d: str) -> DataFrame:
@@ -507,17 +486,17 @@ def _(spark, d):
     return circ.rayleigh(_angles(spark, d), ["g"])
 
 
-@_entry("circ_vtest", f"WITH {_ANG} SELECT g, {_R('c * cos(1.0) + s * sin(1.0)', 'v')}, {_R('(c * cos(1.0) + s * sin(1.0)) * sqrt(2 / n)', 'u')} FROM m")
+@_entry("circ_vtest", f"WITH {_ANG}, v AS (SELECT g, c * cos(1.0) + s * sin(1.0) AS v, (c * cos(1.0) + s * sin(1.0)) * sqrt(2 / n) AS u FROM m) SELECT g, {_R('v', 'v')}, {_R('u', 'u')}, {_R('1 - ' + normal_sql('u'), 'p')} FROM v")
 def _(spark, d):
     return circ.v_test(_angles(spark, d), ["g"], 1.0)
 
 
-@_entry("circ_wwtest", f"WITH {_ANG}, t AS (SELECT count(*) AS g, sum(n) AS n, sum(sqrt(c * c + s * s)) AS sr, sqrt(sum(c) * sum(c) + sum(s) * sum(s)) AS ar FROM m), k AS (SELECT *, sr / n AS w FROM t), b AS (SELECT *, CASE WHEN w < 0.53 THEN 2 * w + pow(w, 3) + 5 * pow(w, 5) / 6 WHEN w < 0.85 THEN -0.4 + 1.39 * w + 0.43 / (1 - w) ELSE 1 / (pow(w, 3) - 4 * w * w + 3 * w) END AS kappa FROM k) SELECT {_R('(1 + 3 / (8 * kappa)) * (n - g) * (sr - ar) / ((g - 1) * (n - sr))', 'f')}, g - 1 AS df1, n - g AS df2 FROM b")
+@_entry("circ_wwtest", f"WITH {_ANG}, t AS (SELECT count(*) AS g, sum(n) AS n, sum(sqrt(c * c + s * s)) AS sr, sqrt(sum(c) * sum(c) + sum(s) * sum(s)) AS ar FROM m), k AS (SELECT *, sr / n AS w FROM t), b AS (SELECT *, CASE WHEN w < 0.53 THEN 2 * w + pow(w, 3) + 5 * pow(w, 5) / 6 WHEN w < 0.85 THEN -0.4 + 1.39 * w + 0.43 / (1 - w) ELSE 1 / (pow(w, 3) - 4 * w * w + 3 * w) END AS kappa FROM k) , r AS (SELECT (1 + 3 / (8 * kappa)) * (n - g) * (sr - ar) / ((g - 1) * (n - sr)) AS f, g - 1 AS df1, n - g AS df2 FROM b) SELECT {_R('f', 'f')}, df1, df2, {_R(f_upper_sql('f', 'df1', 'df2'), 'p')} FROM r")
 def _(spark, d):
     return circ.watson_williams(_angles(spark, d), "g")
 
 
-@_entry("circ_corrcl", f"WITH {_ANG}, c AS (SELECT g, corr(x, sin(alpha)) AS rs, corr(x, cos(alpha)) AS rc, corr(sin(alpha), cos(alpha)) AS cs FROM a GROUP BY 1) SELECT g, {_R('sqrt((rc * rc + rs * rs - 2 * rc * rs * cs) / (1 - cs * cs))', 'rho')} FROM c")
+@_entry("circ_corrcl", f"WITH {_ANG}, c AS (SELECT g, corr(x, sin(alpha)) AS rs, corr(x, cos(alpha)) AS rc, corr(sin(alpha), cos(alpha)) AS cs, count(*) AS n FROM a GROUP BY 1), r AS (SELECT g, n, sqrt((rc * rc + rs * rs - 2 * rc * rs * cs) / (1 - cs * cs)) AS rho FROM c) SELECT g, {_R('rho', 'rho')}, {_R('exp(-n * rho * rho / 2)', 'p')} FROM r")
 def _(spark, d):
     return circ.linear_correlation(_angles(spark, d), ["g"])
 
@@ -653,7 +632,7 @@ def _(spark, d):
     return circ.sample_cdf(_angles(spark, d), ["g"], 12)
 
 
-@_entry("circ_corrcc", "WITH a AS (SELECT 2 * pi() * dayofyear(o_orderdate) / 366.0 AS alpha, 2 * pi() * (o_custkey % 360) / 360.0 AS beta FROM orders), m AS (SELECT atan2(sum(sin(alpha)), sum(cos(alpha))) AS ma, atan2(sum(sin(beta)), sum(cos(beta))) AS mb FROM a) SELECT ROUND(sum(sin(alpha - ma) * sin(beta - mb)) / sqrt(sum(sin(alpha - ma) * sin(alpha - ma)) * sum(sin(beta - mb) * sin(beta - mb))), 6) + 0.0 AS rho FROM a, m")
+@_entry("circ_corrcc", f"WITH a AS (SELECT 2 * pi() * dayofyear(o_orderdate) / 366.0 AS alpha, 2 * pi() * (o_custkey % 360) / 360.0 AS beta FROM orders), m AS (SELECT atan2(sum(sin(alpha)), sum(cos(alpha))) AS ma, atan2(sum(sin(beta)), sum(cos(beta))) AS mb FROM a), d AS (SELECT sin(alpha - ma) AS x, sin(beta - mb) AS y FROM a, m), q AS (SELECT sum(x * y) / sqrt(sum(x * x) * sum(y * y)) AS rho, abs(sqrt(sum(x * x) * sum(y * y) / sum(x * x * y * y)) * sum(x * y) / sqrt(sum(x * x) * sum(y * y))) AS ts FROM d) SELECT {_R('rho', 'rho')}, {_R('2 * (1 - ' + normal_sql('ts') + ')', 'p')} FROM q")
 def _(spark, d):
     pairs = table(spark, d, "orders").select((2 * F.pi() * F.dayofyear("o_orderdate") / F.lit(366.0)).alias("alpha"), (2 * F.pi() * (F.col("o_custkey") % 360) / F.lit(360.0)).alias("beta"))
     return circ.angular_correlation(pairs)
@@ -875,7 +854,7 @@ def _(spark, d):
     return circ.mean_test(_narrow_angles(spark, d), ["g"], 0.9)
 
 
-@_entry("circ_equal_concentration", f"WITH {_NARROW}, m AS (SELECT CAST(count(*) FILTER (g = '1-URGENT') AS DOUBLE) AS n1, CAST(count(*) FILTER (g = '5-LOW') AS DOUBLE) AS n2, sqrt(sum(cos(alpha)) FILTER (g = '1-URGENT') ** 2 + sum(sin(alpha)) FILTER (g = '1-URGENT') ** 2) AS l1, sqrt(sum(cos(alpha)) FILTER (g = '5-LOW') ** 2 + sum(sin(alpha)) FILTER (g = '5-LOW') ** 2) AS l2 FROM a), f AS (SELECT *, (n2 - 1) * (n1 - l1) / ((n1 - 1) * (n2 - l2)) AS f FROM m) SELECT {_R('CASE WHEN f > 1 THEN f ELSE 1 / f END', 'f')}, CASE WHEN f > 1 THEN n1 ELSE n2 END AS df1, CASE WHEN f > 1 THEN n2 ELSE n1 END AS df2 FROM f")
+@_entry("circ_equal_concentration", f"WITH {_NARROW}, m AS (SELECT CAST(count(*) FILTER (g = '1-URGENT') AS DOUBLE) AS n1, CAST(count(*) FILTER (g = '5-LOW') AS DOUBLE) AS n2, sqrt(sum(cos(alpha)) FILTER (g = '1-URGENT') ** 2 + sum(sin(alpha)) FILTER (g = '1-URGENT') ** 2) AS l1, sqrt(sum(cos(alpha)) FILTER (g = '5-LOW') ** 2 + sum(sin(alpha)) FILTER (g = '5-LOW') ** 2) AS l2 FROM a), f AS (SELECT *, (n2 - 1) * (n1 - l1) / ((n1 - 1) * (n2 - l2)) AS f FROM m) , r AS (SELECT CASE WHEN f > 1 THEN f ELSE 1 / f END AS f, CASE WHEN f > 1 THEN n1 ELSE n2 END AS df1, CASE WHEN f > 1 THEN n2 ELSE n1 END AS df2 FROM f) SELECT {_R('f', 'f')}, df1, df2, {_R('2 * ' + f_upper_sql('f', 'df1', 'df2'), 'p')} FROM r")
 def _(spark, d):
     return circ.equal_concentration(_narrow_angles(spark, d), "g", "1-URGENT", "5-LOW")
 
@@ -907,3 +886,6 @@ _matrix_query("tfr_hann_power", lambda spark, d: arrays.spectral_power(epochs(sp
 _matrix_query("robust_detrend", lambda spark, d: arrays.robust_detrend(epochs(spark, d), 1).select("trial_id", F.posexplode("x").alias("t_idx", "value")))
 _matrix_query("principal_components", lambda spark, d: arrays.apply_filters(epochs(spark, d), arrays.principal(arrays.covariance(epochs(spark, d))[0])[1][:, :3]).select("trial_id", F.posexplode("x").alias("component", "value")))
 _matrix_query("grid_clusters", lambda spark, d: group.grid_clusters(_matrix(spark, d).withColumn("value", F.col("value") - 0.05).withColumn("cond", F.lit("discount")), 0.0005))
+
+
+from epochal.queries import angles, arrays_more, design_more, statistics  # noqa: E402, F401  (they register themselves)

@@ -136,7 +136,21 @@ def z_of(p: pd.Series) -> pd.Series:
     return pd.Series(normal_quantile(p.to_numpy(float)))
 
 
-REGISTRY = {"t_two_sided": t_two_sided, "f_upper": f_upper, "chi2_upper": chi2_upper, "z_of": z_of}
+@F.pandas_udf(DoubleType())
+def normal_lower(x: pd.Series) -> pd.Series:
+    return pd.Series(normal_cdf(x.to_numpy(float)))
+
+
+@F.pandas_udf(DoubleType())
+def binomial_lower(k: pd.Series, n: pd.Series) -> pd.Series:
+    """Chance of at most k of n, each with a chance of one half."""
+    k, n = k.to_numpy(float), n.to_numpy(float)
+    inside = (k >= 0) & (k < n)
+    out = beta_cdf(np.full(len(k), 0.5), np.where(inside, n - k, 1.0), np.where(inside, k + 1, 1.0))
+    return pd.Series(np.where(k < 0, 0.0, np.where(k >= n, 1.0, out)))
+
+
+REGISTRY = {"normal_lower": normal_lower, "binomial_lower": binomial_lower, "t_two_sided": t_two_sided, "f_upper": f_upper, "chi2_upper": chi2_upper, "z_of": z_of}
 """The library's scalar UDFs by name."""
 
 
