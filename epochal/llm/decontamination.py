@@ -36,6 +36,8 @@ from epochal.llm import textops as X
 EDITS = 0.2
 SAMPLED, REPEATS, SEED = 2, 96, 5
 BLOCK = 1_000_000
+CELLS = 400_000
+"""Words of windows, or steps of walks, that are held at once."""
 _SLOTS = 1 << 19
 
 
@@ -160,8 +162,9 @@ def leaks(texts: pa.Array, items: Items) -> tuple[np.ndarray, np.ndarray, np.nda
                     np.add.at(reach, most[near] + 1, -1)
                     at = np.flatnonzero(np.cumsum(reach[:-1])) if near.any() else own[:0]
                     at = at[at + length - items.allowed(length) <= bounds[1:][text[at]]]
-                    for lo in range(0, len(at), 20_000):
-                        found.extend(_matches(words, at[lo : lo + 20_000], text, bounds, first, items, group * 64 + k))
+                    rows = max(1, CELLS // (3 * length))
+                    for lo in range(0, len(at), rows):
+                        found.extend(_matches(words, at[lo : lo + rows], text, bounds, first, items, group * 64 + k))
     if not found:
         none = np.zeros(0, dtype=np.int64)
         return none, none, none, none
@@ -199,8 +202,9 @@ def _matches(words: np.ndarray, at: np.ndarray, text: np.ndarray, bounds: np.nda
         nth = np.arange(len(which)) - np.repeat(np.cumsum((hi - lo)[hit]) - (hi - lo)[hit], (hi - lo)[hit])
         pairs.append(which * np.int64(len(of_items)) + order[lo[which] + nth])
     pair = np.unique(np.concatenate(pairs))
-    for lo in range(0, len(pair), 20_000):
-        window, item = pair[lo : lo + 20_000] // items.keys[k].shape[1], pair[lo : lo + 20_000] % items.keys[k].shape[1]
+    rows = max(1, CELLS // (length + 2 * edits_allowed))
+    for lo in range(0, len(pair), rows):
+        window, item = pair[lo : lo + rows] // items.keys[k].shape[1], pair[lo : lo + rows] % items.keys[k].shape[1]
         place = at[window]
         own = text[place]
         spans = _words_at(words, place - edits_allowed, length + 2 * edits_allowed, bounds[own], bounds[own + 1])

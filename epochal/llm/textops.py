@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 """Bytes of text that are worked on at once (a longer text is worked on alone)."""
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -69,6 +69,7 @@ def pieces(texts: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int
         end = min(n, max(end, at + 1))
         yield at, end, data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
         at = end
+    pa.default_memory_pool().release_unused()  # what this batch's arrays left behind
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:
