@@ -221,27 +221,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     texts = texts.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("row")).select("y", "row.text")
     texts = work.cut(texts, "labelled")
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             y = batch.column("y").to_numpy(zero_copy_only=False)
             for first, last, data, offsets in X.pieces(batch.column("text")):
-                lowered = X.lower_ascii(data)
-                starts, ends, which, bounds = _distinct_words(data, offsets)
+                data = X.lower_ascii(data)
+                starts, ends, bounds = X.word_spans(data, offsets)
+                word = X.span_hashes(data, starts, ends)
                 text = np.repeat(np.arange(last - first), np.diff(bounds))
-                own = y[first:last][text]
-                raw = lowered.tobytes()
-                words = [raw[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-                before = np.where(np.arange(len(which)) > bounds[:-1][text], np.roll(which, 1), -1)
-                for label in (0, 1):  # a word counts once for each word before it: copies of a text add nothing
-                    pair = np.unique(which[own == label].astype(np.int64) * (len(words) + 1) + before[own == label] + 1)
-                    word, prior = pair // (len(words) + 1), pair % (len(words) + 1) - 1
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([words[i] for i in word], pa.binary()), pa.array([words[i] if i >= 0 else b"" for i in prior], pa.binary()), pa.array(np.full(len(word), label))],
-                        ["word", "prior", "y"],
-                    )
-
-    counts = texts.select("text", "y").mapInArrow(words, "word binary, prior binary, y long")
-    counts = counts.groupBy("word", F.xxhash64("prior"), "y").agg(F.lit(1).alias("one")).groupBy("word").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean"))
+                prior = np.where(np.arange(len(word)) > bounds[:-1][text], np.roll(word, 1), np.uint64(0))
+                # a word counts once for each word before it: copies of a text add nothing
+                place, at = np.unique(X.mix(X.mix(word) + prior) ^ X.mix(y[first:last][text].astype(np.uint64) + np.uint64(1)), return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(word[at].view(np.int64)), pa.array(place.view(np.int64)), pa.array(y[first:last][text[at]])], ["word", "place", "y"])
+
+    counts = texts.mapInArrow(places, "word long, place long, y int").groupBy("word", "place", "y").agg(F.lit(1).alias("one")).groupBy("word").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean"))
     counts = work.cut(counts, "counts")
     share = texts.agg(F.avg("y")).first()[0] or 0.0
     support = int(np.ceil(np.log(5e-5) / np.log(min(0.5, max(share, 0.01)))))  # places that by chance are all in toxic rows for 1 word in 20,000
@@ -252,7 +245,22 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rest = clean.where(F.col("clean") < least)
     rate = (NEGATIVE - n) / max(1, rest.count())  # of the rarer ones a share by hash, about as many as are wanted
     negative = clean.where(F.col("clean") >= least).unionByName(rest.where(F.pmod(F.xxhash64("word", F.lit(5)), F.lit(1 << 30)) < rate * (1 << 30)))
-    chosen_words = work.cut(positive.unionByName(negative.select("word", F.lit(False).alias("positive"), F.sqrt("clean").alias("weight"))), "words")
+    chosen = positive.unionByName(negative.select("word", F.lit(False).alias("positive"), F.sqrt("clean").alias("weight"))).toArrow()  # about POSITIVE + NEGATIVE fingerprints
+    fingerprints = np.sort(chosen.column("word").to_numpy().view(np.uint64))
+
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in X.pieces(batch.column("text")):
+                data = X.lower_ascii(data)
+                starts, ends, _ = X.word_spans(data, offsets)
+                word, at = np.unique(X.span_hashes(data, starts, ends), return_index=True)
+                hit = np.isin(word, fingerprints, assume_unique=True)
+                raw = data.tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array(word[hit].view(np.int64)), pa.array([raw[starts[i] : ends[i]] for i in at[hit]], pa.binary())], ["word", "spelling"])
+
+    spellings = texts.select("text").mapInArrow(spelled, "word long, spelling binary").groupBy("word").agg(F.min("spelling").alias("spelling"))
+    known = docs.sparkSession.createDataFrame(chosen) if chosen.num_rows else positive
+    chosen_words = spellings.join(F.broadcast(known), "word").select(F.col("spelling").alias("word"), "positive", "weight")
     table = np.zeros(_CELLS, dtype=np.float32)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,6 +279,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if not fitted.num_rows:
         return Model(table, 0.0, float(np.log((share + 1e-9) / (1 - share + 1e-9))), share)
     table[fitted.column("cell").to_numpy()] = fitted.column("weight").to_numpy()
+    work.drop_table(counts)
     sent = docs.sparkSession.sparkContext.broadcast(table)
 
     def highest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,6 +293,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     x, y = seen.column("x").to_numpy(), seen.column("y").to_numpy().astype(float)
     weight = np.where(y == 1, total.get(1, 1) / max(1, (y == 1).sum()), total.get(0, 1) / max(1, (y == 0).sum()))
     slope, shift = _logistic(x, y, weight / weight.mean())
+    work.drop()  # the model is all that is left
     return Model(table, slope, shift, float(share))
 
 
