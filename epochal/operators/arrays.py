@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from epochal.operators import ordered
+
 
 def weighted_demean(data: DataFrame, by: list[str], value: str = "value", weight: str | None = None) -> DataFrame:
     """Subtracts each series' (weighted) mean."""
@@ -60,7 +62,7 @@ def downsample(data: DataFrame, n: int, by: list[str], t: str = "t_idx") -> Data
 
 def bad_channels(data: DataFrame, share: float = 0.33, factor: float = 3.0) -> DataFrame:
     """Channels (t_idx) whose |value| exceeds ``factor`` times the median |value| in more than ``share`` of trials."""
-    centre = data.agg(F.expr("percentile(abs(value), 0.5)").alias("centre"))  # one row
+    centre = ordered.quantiles(data.select(F.abs("value").alias("_a")), [], "_a", {"centre": 0.5}).select("centre")  # one row
     own = data.join(F.broadcast(centre), how="cross").groupBy("t_idx").agg(F.avg((F.abs("value") > factor * F.col("centre")).cast("double")).alias("share"))
     return own.where(F.col("share") > share)
 

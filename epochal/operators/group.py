@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from epochal.operators import ordered
+
 
 def mean_se(data: DataFrame, by: list[str], value: str = "value") -> DataFrame:
     return data.groupBy(*by).agg(F.avg(value).alias("mean"), (F.stddev_samp(value) / F.sqrt(F.count(value))).alias("se"), F.count(value).alias("n"))
@@ -38,14 +40,19 @@ def two_sample_t(data: DataFrame, by: list[str], group: str, first: str, second:
 
 
 def fdr(p_values: DataFrame, family: list[str], q: float = 0.05, dependent: bool = True, key: str = "key") -> DataFrame:
-    """Step-up false discovery: adds rank, crit (per family) and h; ``dependent`` divides by the harmonic sum."""
-    order = Window.partitionBy(*family).orderBy("p", key)
-    own = Window.partitionBy(*family)
-    ranked = p_values.withColumn("rank", F.row_number().over(order)).withColumn("m", F.count(F.lit(1)).over(own))
-    harmonic = F.sum(1.0 / F.col("rank")).over(own) if dependent else F.lit(1.0)
-    ranked = ranked.withColumn("bound", F.col("rank") * F.lit(q) / (F.col("m") * harmonic))
-    crit = F.max(F.when(F.col("p") <= F.col("bound"), F.col("p"))).over(own)
-    return ranked.withColumn("crit", crit).withColumn("h", F.coalesce(F.col("p") <= F.col("crit"), F.lit(False))).drop("m", "bound")
+    """Step-up false discovery: adds rank, crit (per family) and h; ``dependent`` divides by the harmonic sum.
+
+    p values are counted by value, and of equal ones the last place decides; ranks among equal ones follow ``key``.
+    """
+    place = ordered.placed(p_values, family, "p")
+    harmonic = F.aggregate(F.sequence(F.lit(1), F.col("n_all").cast("int")), F.lit(0.0), lambda s, k: s + 1.0 / k) if dependent else F.lit(1.0)
+    sums = p_values.groupBy(*family).agg(F.count("p").alias("n_all")).select(*family, harmonic.alias("_c")) if dependent else None  # once a family
+    own = place.join(sums, family) if dependent else place.withColumn("_c", F.lit(1.0))
+    bound = (F.col("n_before") + F.col("n")) * F.lit(q) / (F.col("n_all") * F.col("_c"))
+    crit = own.groupBy(*family).agg(F.max(F.when(F.col("p") <= bound, F.col("p"))).alias("crit"))
+    same = p_values.join(place.select(*family, F.col("p"), "n_before"), [*family, "p"]).join(crit, family)
+    within = Window.partitionBy(*family, "p").orderBy(key)
+    return same.withColumn("rank", F.col("n_before") + F.row_number().over(within)).withColumn("h", F.coalesce(F.col("p") <= F.col("crit"), F.lit(False))).drop("n_before")
 
 
 def runs_over(data: DataFrame, by: list[str], t: str, value: str, threshold: float) -> DataFrame:
@@ -146,9 +153,7 @@ def jackknife(curves: DataFrame, subject: str = "subject") -> DataFrame:
 def correlate(pairs: DataFrame, by: list[str], x: str, y: str, kind: str = "pearson") -> DataFrame:
     """(by, r, fisher_z) of Pearson's or Spearman's correlation."""
     if kind == "spearman":
-        from epochal.operators.metrics import average_rank
-
-        pairs = pairs.withColumn("_x", average_rank(x, by)).withColumn("_y", average_rank(y, by))
+        pairs = ordered.with_average_rank(ordered.with_average_rank(pairs, by, x, "_x"), by, y, "_y")
         x, y = "_x", "_y"
     return pairs.groupBy(*by).agg(F.corr(x, y).alias("r")).withColumn("fisher_z", F.when(F.abs("r") < 1, 0.5 * F.log((1 + F.col("r")) / (1 - F.col("r")))))
 

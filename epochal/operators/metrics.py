@@ -2,25 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def average_rank(score: str, by: list[str]) -> Column:
-    """Tied ranks: the mean of the places that equal scores take."""
-    place = F.rank().over(Window.partitionBy(*by).orderBy(score))
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*by, score))
-    return place + (ties - 1) / F.lit(2.0)
+from epochal.operators import ordered
 
 
 def auc(scores: DataFrame, by: list[str], label: str = "label", score: str = "score", positive: int = 1) -> DataFrame:
-    """Area under the curve per group from tied ranks; null where a group has one class only."""
-    ranked = scores.withColumn("r", average_rank(score, by))
-    is_p = F.col(label) == positive
-    n_p, n_n = F.sum(is_p.cast("double")), F.sum((~is_p).cast("double"))
-    return ranked.groupBy(*by).agg(n_p.alias("n_pos"), n_n.alias("n_neg"), F.sum(F.when(is_p, F.col("r")).otherwise(0.0)).alias("s")).select(
-        *by, F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), (F.col("s") - F.col("n_pos") * (F.col("n_pos") + 1) / 2.0) / (F.col("n_pos") * F.col("n_neg"))).alias("auc")
-    )
+    """Area under the curve per group; null where a group has one class only.
+
+    Scores are counted by value and class, so ties share their places and no group is sorted in one task: the area
+    is, summed over values, the positives there times the negatives below and half of those level with them.
+    """
+    is_p = (F.col(label) == positive).cast("double")
+    counts = scores.where(F.col(score).isNotNull()).groupBy(*by, score).agg(F.sum(is_p).alias("pos"), F.sum(1 - is_p).alias("neg"))
+    placed = ordered.running(counts, by, score, ["neg"])
+    sums = placed.groupBy(*by).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)).alias("s"))
+    return sums.select(*by, F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("s") / (F.col("p") * F.col("n"))).alias("auc"))
 
 
 def auc_multiclass(scores: DataFrame, classes: list[int], by: list[str]) -> DataFrame:

@@ -5,32 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from epochal.operators import ordered
+
 
 def mad_rule(data: DataFrame, by: list[str], value: str = "value", factor: float = 2.2414) -> DataFrame:
     """Adds median, mad (unscaled) and outlier: |x - median| / (mad / .6745) beyond ``factor``."""
-    med = data.groupBy(*by).agg(F.expr(f"percentile({value}, 0.5)").alias("median"))
+    med = F.broadcast(ordered.quantiles(data, by, value, {"median": 0.5}).drop("n"))  # a row for each group
     dev = data.join(med, by).withColumn("dev", F.abs(F.col(value) - F.col("median")))
-    mad = dev.groupBy(*by).agg(F.expr("percentile(dev, 0.5)").alias("mad"))
+    mad = F.broadcast(ordered.quantiles(dev, by, "dev", {"mad": 0.5}).drop("n"))  # a row for each group
     return dev.join(mad, by).withColumn("outlier", F.col("dev") * 0.6745 > factor * F.col("mad")).drop("dev")
 
 
 def ideal_fourths(data: DataFrame, by: list[str], value: str = "value") -> DataFrame:
     """(by, low, high): ideal fourths, interpolated between order statistics."""
-    order = Window.partitionBy(*by).orderBy(value)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    place = F.col("_n") / 4 + 5 / 12.0
-    r = data.withColumn("_i", F.row_number().over(order)).withColumn("_n", n).withColumn("_j", F.floor(place)).withColumn("_g", place - F.floor(place))
-    at = lambda k: F.max(F.when(F.col("_i") == k, F.col(value)))
-    g, m = F.max("_g"), F.col("_n") - F.col("_j") + 1
-    return r.groupBy(*by).agg(((1 - g) * at(F.col("_j")) + g * at(F.col("_j") + 1)).alias("low"), ((1 - g) * at(m) + g * at(m - 1)).alias("high"))
+    place = F.col("n_all") / 4 + 5 / 12.0
+    j, back = F.floor(place), F.col("n_all") - F.floor(place) + 1
+    at = ordered.at_places(data, by, value, {"l0": j, "l1": j + 1, "h0": back, "h1": back - 1})
+    g = F.col("n") / 4 + 5 / 12.0 - F.floor(F.col("n") / 4 + 5 / 12.0)
+    return at.select(*by, ((1 - g) * F.col("l0") + g * F.col("l1")).alias("low"), ((1 - g) * F.col("h0") + g * F.col("h1")).alias("high"))
 
 
 def carling(data: DataFrame, by: list[str], value: str = "value") -> DataFrame:
     """Adds outlier by Carling's modified box plot on ideal fourths."""
-    n = data.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.expr(f"percentile({value}, 0.5)").alias("median"))
+    n = ordered.quantiles(data, by, value, {"median": 0.5})
     k = (17.63 * F.col("n") - 23.64) / (7.74 * F.col("n") - 3.71)
     limits = n.join(ideal_fourths(data, by, value), by).withColumn("reach", k * (F.col("high") - F.col("low")))
-    return data.join(limits, by).withColumn("outlier", F.abs(F.col(value) - F.col("median")) > F.col("reach")).drop("n", "reach", "low", "high")
+    return data.join(F.broadcast(limits), by).withColumn("outlier", F.abs(F.col(value) - F.col("median")) > F.col("reach")).drop("n", "reach", "low", "high")  # a row for each group
 
 
 def bend_correlation(pairs: DataFrame, by: list[str], x: str, y: str, beta: float = 0.2) -> DataFrame:

@@ -253,11 +253,11 @@ def _(spark, d):
 
 @entry(
     "tuning_gaussian",
-    f"""WITH c AS (SELECT c_custkey AS k, list_transform(range(1, 8), lambda i: exp(-(i - 4 - (c_custkey % 5) / 10.0) ** 2 / (2 * (1 + (c_custkey % 7) / 5.0) ** 2)) * (1 + c_nationkey / 10.0) * (1 + ((c_custkey * i) % 3) / 100.0)) AS x FROM customer),
+    f"""WITH c AS (SELECT c_custkey AS k, list_transform(range(1, 8), lambda i: exp(0 - (i - 4 - (c_custkey % 5) / 10.0) ** 2 / (2 * (1 + (c_custkey % 7) / 5.0) ** 2)) * (1 + c_nationkey / 10.0) * (1 + ((c_custkey * i) % 3) / 100.0)) AS x FROM customer),
 p AS (SELECT k, i AS u, ln(x[i]) AS y FROM c, generate_series(1, 7) AS g(i) WHERE x[i] > 0.3 * list_max(x)),
-m AS (SELECT k, count(*) AS s0, sum(u) AS s1, sum(u ** 2) AS s2, sum(u ** 3) AS s3, sum(u ** 4) AS s4, sum(y) AS t0, sum(y * u) AS t1, sum(y * u * u) AS t2 FROM p GROUP BY 1 HAVING count(*) >= 3),
-e AS (SELECT k, s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2) AS d, t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2) AS a, s0 * (t1 * s4 - s3 * t2) - t0 * (s1 * s4 - s3 * s2) + s2 * (s1 * t2 - t1 * s2) AS b, s0 * (s2 * t2 - t1 * s3) - s1 * (s1 * t2 - t1 * s2) + t0 * (s1 * s3 - s2 * s2) AS g FROM m),
-f AS (SELECT k, a / d AS c0, b / d AS c1, g / d AS c2 FROM e WHERE abs(d) > 1e-9), w AS (SELECT k, c0, c1, CASE WHEN c2 < 0 THEN -1 / (2 * c2) END AS v FROM f) SELECT k, {_R('sqrt(v)', 'sigma')}, {_R('c1 * v', 'mu')}, {_R('exp(c0 + c1 * v * c1 / 2)', 'height')} FROM w""",
+m AS (SELECT k, count(*) AS s0, sum(u) AS s1, sum(u ** 2) AS s2, sum(u ** 3) AS s3, sum(u ** 4) AS s4, sum(y) AS t0, sum(y * u) AS t1, sum(y * u * u) AS t2 FROM p GROUP BY 1),
+e AS (SELECT k, s0, s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2) AS d, t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2) AS a, s0 * (t1 * s4 - s3 * t2) - t0 * (s1 * s4 - s3 * s2) + s2 * (s1 * t2 - t1 * s2) AS b, s0 * (s2 * t2 - t1 * s3) - s1 * (s1 * t2 - t1 * s2) + t0 * (s1 * s3 - s2 * s2) AS g FROM m),
+f AS (SELECT k, a / z AS c0, b / z AS c1, g / z AS c2 FROM (SELECT *, CASE WHEN s0 >= 3 AND abs(d) > 1e-9 THEN d END AS z FROM e)), w AS (SELECT k, c0, c1, CASE WHEN c2 < 0 THEN -1 / (2 * c2) END AS v FROM f) SELECT k, {_R('sqrt(v)', 'sigma')}, {_R('c1 * v', 'mu')}, {_R('exp(c0 + c1 * v * c1 / 2)', 'height')} FROM w""",
 )
 def _(spark, d):
     k = F.col("c_custkey")
