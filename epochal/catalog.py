@@ -878,7 +878,7 @@ def _matrix_query(name: str, f: Query) -> None:
 
 _matrix_query("lda_linear", lambda spark, d: metrics.auc(decode.decode_folds(_two_classes(spark, d)).where("class = 1"), ["fold"]))
 _matrix_query("lda_whitened", lambda spark, d: metrics.auc(decode.decode_folds(_two_classes(spark, d), "diaglinear", True).where("class = 1"), ["fold"]))
-_matrix_query("lda_quadratic", lambda spark, d: metrics.auc(decode.decode_folds(_two_classes(spark, d), "diagquadratic").where("class = 1"), ["fold"]))
+_matrix_query("lda_quadratic", lambda spark, d: metrics.auc(decode.decode_folds(_two_classes(spark, d), "quadratic").where("class = 1"), ["fold"]))
 _matrix_query("weights_and_patterns", lambda spark, d: decode.weights_and_patterns(_two_classes(spark, d).withColumn("subject", F.lit("s1"))))
 _matrix_query("forward_model", lambda spark, d: decode.forward_model(design.folds(epochs(spark, d).where("event_code < 10").withColumn("class", F.col("event_code")), 5), 10))
 _matrix_query("oversample_adasyn", lambda spark, d: decode.oversample(epochs(spark, d).where("event_code < 3").withColumn("class", F.col("event_code")).withColumn("subject", F.lit("s1"))).groupBy("class").agg(F.count(F.lit(1)).alias("n")))
@@ -888,4 +888,4 @@ _matrix_query("principal_components", lambda spark, d: arrays.apply_filters(epoc
 _matrix_query("grid_clusters", lambda spark, d: group.grid_clusters(_matrix(spark, d).withColumn("value", F.col("value") - 0.05).withColumn("cond", F.lit("discount")), 0.0005))
 
 
-from epochal.queries import angles, arrays_more, design_more, statistics  # noqa: E402, F401  (they register themselves)
+from epochal.queries import angles, arrays_more, decoding, design_more  # noqa: E402, F401  (they register themselves)

@@ -1,11 +1,17 @@
-"""Decoders and encoders over trials: diagonal discriminants natively, matrix models in grouped maps.
+"""Decoders and encoders over trials: models from sums by subject, fold and class, scores in parts of bounded size.
 
-The grouped maps get one (fold, train time) group each: its size is the trials of one subject, which a
-recording bounds; subjects, folds and times are what Spark deals out.
+Spark sums counts, means and cross products by (subject, fold, class); a fold's training part is a subject's total
+less the fold's own, so no trial is copied.  A subject's models are solved from these sums (channels squared
+numbers for each fold and class) and meet its test trials in chunks of about CHUNK.  Only what needs the trials
+themselves, whitening by a shrunk covariance and oversampling, gathers one subject's trials.
 """
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -41,25 +47,30 @@ def diagonal_auc(trials: DataFrame, folds: int) -> DataFrame:
 
 
 def shrink_covariance(x: np.ndarray) -> tuple[np.ndarray, float]:
-    """Ledoit-Wolf shrinkage towards constant correlation, normalised by the number of rows."""
-    t, n = x.shape
-    x = x - x.mean(axis=0)
-    sample = x.T @ x / t
-    sd = np.sqrt(np.diag(sample))
-    outer = np.outer(sd, sd)
-    r_bar = ((sample / outer).sum() - n) / (n * (n - 1)) if n > 1 else 0.0
-    prior = r_bar * outer
-    np.fill_diagonal(prior, np.diag(sample))
-    y = x**2
-    phi_mat = y.T @ y / t - sample**2
-    phi = phi_mat.sum()
-    theta = (x**3).T @ x / t - np.diag(sample)[:, None] * sample
-    np.fill_diagonal(theta, 0)
-    rho = np.trace(phi_mat) + r_bar * (np.outer(1 / sd, sd) * theta).sum()
-    gamma = ((sample - prior) ** 2).sum()
-    k = (phi - rho) / gamma if gamma > 0 else 0.0
-    shrink = float(min(1.0, max(0.0, k / t)))
-    return shrink * prior + (1 - shrink) * sample, shrink
+    """Shrinkage of the covariance (by the number of rows) towards equal correlations, and its intensity.
+
+    The intensity minimises the expected squared distance to the true covariance (Ledoit and Wolf, 2004): summed
+    over pairs, the variance of each entry less its covariance with the target's entry, over the squared distance
+    between the two, and over the number of rows.  Entries are taken channel by channel from the rows' products.
+    """
+    rows, channels = x.shape
+    centred = x - x.mean(axis=0)
+    deviation = np.sqrt((centred**2).mean(axis=0))
+    covariance = centred.T @ centred / rows
+    pairs = channels * (channels - 1)
+    mean_correlation = ((covariance / np.outer(deviation, deviation)).sum() - channels) / pairs if pairs else 0.0
+    target = np.where(np.eye(channels, dtype=bool), covariance, mean_correlation * np.outer(deviation, deviation))
+    gain = 0.0
+    for i in range(channels):
+        away = centred * centred[:, i : i + 1] - covariance[i]  # each row's product less its mean, with every channel
+        spread = (away**2).mean(axis=0)
+        with_own = (away * away[:, i : i + 1]).mean(axis=0)  # with the row's own variance of channel i
+        tied = mean_correlation * deviation / deviation[i] * with_own
+        others = np.arange(channels) != i
+        gain += spread[others].sum() - tied[others].sum()  # both halves of a pair's target meet in (i, j) and (j, i)
+    distance = ((covariance - target) ** 2).sum()
+    intensity = float(np.clip(gain / distance / rows, 0.0, 1.0)) if distance > 0 else 0.0
+    return intensity * target + (1 - intensity) * covariance, intensity
 
 
 def inverse_root(matrix: np.ndarray) -> np.ndarray:
@@ -73,64 +84,165 @@ def whitener(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return inverse_root(np.mean([shrink_covariance(x[y == c])[0] for c in np.unique(y)], axis=0))
 
 
-def discriminant(x: np.ndarray, y: np.ndarray, kind: str = "linear") -> dict:
-    """Class means, priors and (pseudo-)inverse covariances of linear, quadratic and diagonal discriminants."""
-    classes = np.unique(y)
-    means = np.array([x[y == c].mean(axis=0) for c in classes])
-    priors = np.array([(y == c).mean() for c in classes])
-    own = [x[y == c] - m for c, m in zip(classes, means, strict=True)]
-    pooled = sum(d.T @ d for d in own) / max(1, len(x) - len(classes))
-    covs = [pooled] * len(classes) if "quadratic" not in kind.lower() and kind != "mahalanobis" else [d.T @ d / max(1, len(d) - 1) for d in own]
+@dataclass(frozen=True)
+class Moments:
+    """Of one class: trials, sum and cross products."""
+
+    n: float
+    total: np.ndarray
+    products: np.ndarray
+
+    def __add__(self, other: Moments) -> Moments:
+        return Moments(self.n + other.n, self.total + other.total, self.products + other.products)
+
+    def __sub__(self, other: Moments) -> Moments:
+        return Moments(self.n - other.n, self.total - other.total, self.products - other.products)
+
+    @property
+    def mean(self) -> np.ndarray:
+        return self.total / self.n
+
+    @property
+    def scatter(self) -> np.ndarray:
+        return self.products - np.outer(self.total, self.total) / self.n
+
+
+def moments_of(x: np.ndarray, y: np.ndarray) -> dict[int, Moments]:
+    return {int(c): Moments(float((y == c).sum()), x[y == c].sum(axis=0), x[y == c].T @ x[y == c]) for c in np.unique(y)}
+
+
+def discriminant(parts: dict[int, Moments], kind: str = "linear") -> dict:
+    """Means, priors and (pseudo-)inverse covariances of ``linear``, ``quadratic``, ``diaglinear``, ``diagquadratic`` or ``mahalanobis``."""
+    kind = kind.lower()
+    parts = {c: m for c, m in sorted(parts.items()) if m.n > 0}
+    total = sum(m.n for m in parts.values())
+    pooled = sum(m.scatter for m in parts.values()) / max(1.0, total - len(parts))
+    own = "quadratic" in kind or kind == "mahalanobis"
+    covs = [m.scatter / max(1.0, m.n - 1) if own else pooled for m in parts.values()]
     if kind.startswith("diag"):
         covs = [np.diag(np.diag(c)) for c in covs]
-    inverse = [np.linalg.pinv(c, hermitian=True) for c in covs]
     log_det = [float(np.log(np.maximum(np.linalg.eigvalsh(c), 1e-300)).sum()) for c in covs]
-    return {"classes": classes, "means": means, "priors": priors, "inverse": inverse, "log_det": log_det, "kind": kind}
+    return {"classes": np.array(list(parts)), "means": np.array([m.mean for m in parts.values()]), "priors": np.array([m.n / total for m in parts.values()]), "inverse": [np.linalg.pinv(c, hermitian=True) for c in covs], "log_det": log_det, "kind": kind}
 
 
 def posterior(model: dict, x: np.ndarray) -> np.ndarray:
     own = []
     for k, mean in enumerate(model["means"]):
         d = x - mean
-        quad = -0.5 * np.einsum("ij,jk,ik->i", d, model["inverse"][k], d)
+        quad = -0.5 * ((d @ model["inverse"][k]) * d).sum(axis=1)
         if model["kind"] != "mahalanobis":
-            quad = quad + np.log(model["priors"][k]) - (0.5 * model["log_det"][k] if "quadratic" in model["kind"].lower() else 0.0)
+            quad = quad + np.log(model["priors"][k]) - (0.5 * model["log_det"][k] if "quadratic" in model["kind"] else 0.0)
         own.append(quad)
     s = np.array(own).T
     s = np.exp(s - s.max(axis=1, keepdims=True))
     return s / s.sum(axis=1, keepdims=True)
 
 
+CHUNK = 20_000
+"""About so many test trials of a subject and fold are scored in one task."""
+
+
+def _with_subject(trials: DataFrame) -> DataFrame:
+    return trials if "subject" in trials.columns else trials.withColumn("subject", F.lit("s1"))
+
+
+def class_moments(trials: DataFrame, by: list[str]) -> DataFrame:
+    """(by, class, n, total, products): sums over trials(by, class, x), made batch by batch and added entry by entry."""
+    kinds = {f.name: f.dataType.simpleString() for f in trials.schema}
+    keys = [*by, "class"]
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for own, rows in batch.groupby(keys, sort=False):
+                x = np.stack(rows["x"].to_numpy()).astype(float)
+                yield pd.DataFrame([(*own, float(len(x)), x.sum(axis=0).tolist() + (x.T @ x).ravel().tolist())], columns=[*keys, "n", "sums"])
+
+    parts = trials.select(*keys, "x").mapInPandas(partial, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", n double, sums array<double>")
+    each = parts.select(*keys, "n", F.posexplode("sums").alias("p", "v")).groupBy(*keys, "p").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
+    return each.groupBy(*keys).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("p", "v"))), lambda e: e["v"]).alias("sums"))  # channels squared entries
+
+
+def _moments_from(row_n: float, sums) -> Moments:
+    sums = np.asarray(sums, dtype=float)
+    c = int((np.sqrt(1 + 4 * len(sums)) - 1) / 2)
+    return Moments(float(row_n), sums[:c], sums[c:].reshape(c, c))
+
+
+def _left_out(sums: pd.DataFrame, key: str) -> dict[int, dict[int, Moments]]:
+    """For each fold the class moments of the others."""
+    held: dict[int, dict[int, Moments]] = {}
+    total: dict[int, Moments] = {}
+    for fold, c, n, s in zip(sums[key], sums["class"], sums["n"], sums["sums"], strict=True):
+        m = _moments_from(n, s)
+        held.setdefault(int(fold), {})[int(c)] = m
+        total[int(c)] = total[int(c)] + m if int(c) in total else m
+    return {f: {c: t - own[c] if c in own else t for c, t in total.items()} for f, own in held.items()}
+
+
+def _chunked(trials: DataFrame, models: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Trials and models by (by, chunk): each model goes to every chunk of its trials."""
+    sizes = trials.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    own = trials.join(sizes, by).withColumn("chunk", F.pmod(F.xxhash64("trial_id"), F.col("chunks")).cast("int")).drop("chunks")
+    return own, models.join(sizes, by).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+
+
 def decode_folds(trials: DataFrame, kind: str = "linear", whiten: bool = False) -> DataFrame:
-    """(fold, trial_id, label, class, score): posteriors of a discriminant trained on the other folds."""
-    n_folds = [r[0] for r in trials.select("fold").distinct().orderBy("fold").collect()]
-    dealt = trials.withColumn("test_fold", F.explode(F.array(*[F.lit(int(f)) for f in n_folds])))
+    """(subject, fold, trial_id, label, class, score): posteriors of a discriminant trained on a subject's other folds.
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        fold = int(group["test_fold"].iloc[0])
-        x, y = np.stack(group["x"].to_numpy()).astype(float), group["class"].to_numpy()
-        test = (group["fold"] == fold).to_numpy()
-        if whiten:
+    trials(trial_id, class, fold, x), and subject where there are several.
+    """
+    trials = _with_subject(trials)
+    schema = "subject string, fold int, trial_id long, label int, class int, score double"
+
+    def rows(subject: str, fold: int, model: dict, ids: np.ndarray, labels: np.ndarray, x: np.ndarray) -> pd.DataFrame:
+        p, k = posterior(model, x), len(model["classes"])
+        return pd.DataFrame({"subject": subject, "fold": fold, "trial_id": np.repeat(ids, k), "label": np.repeat(labels, k), "class": np.tile(model["classes"], len(ids)), "score": p.ravel()})
+
+    if whiten:
+        folds = [r[0] for r in trials.select("fold").distinct().orderBy("fold").collect()]  # the design's folds
+        dealt = trials.withColumn("test_fold", F.explode(F.array(*[F.lit(int(f)) for f in folds])))
+
+        def run(group: pd.DataFrame) -> pd.DataFrame:
+            fold = int(group["test_fold"].iloc[0])
+            x, y = np.stack(group["x"].to_numpy()).astype(float), group["class"].to_numpy()
+            test = (group["fold"] == fold).to_numpy()
             x = x @ whitener(x[~test], y[~test])
-        model = discriminant(x[~test], y[~test], kind)
-        p = posterior(model, x[test])
-        ids, labels, k = group["trial_id"].to_numpy()[test], y[test], len(model["classes"])
-        return pd.DataFrame({"fold": fold, "trial_id": np.repeat(ids, k), "label": np.repeat(labels, k), "class": np.tile(model["classes"], len(ids)), "score": p.ravel()})
+            return rows(group["subject"].iloc[0], fold, discriminant(moments_of(x[~test], y[~test]), kind), group["trial_id"].to_numpy()[test], y[test], x[test])
+
+        return dealt.groupBy("subject", "test_fold").applyInPandas(run, schema)  # one subject's trials
+
+    sums = class_moments(trials, ["subject", "fold"])
+
+    def solve(own: pd.DataFrame) -> pd.DataFrame:
+        out = [(own["subject"].iloc[0], f, pickle.dumps(discriminant(parts, kind))) for f, parts in _left_out(own, "fold").items()]
+        return pd.DataFrame(out, columns=["subject", "fold", "model"])
 
-    return dealt.groupBy("test_fold").applyInPandas(run, "fold int, trial_id long, label int, class int, score double")
+    models = sums.groupBy("subject").applyInPandas(solve, "subject string, fold int, model binary")
+
+    def score(own: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        if not len(own) or not len(model):
+            return pd.DataFrame(columns=["subject", "fold", "trial_id", "label", "class", "score"])
+        return rows(own["subject"].iloc[0], int(own["fold"].iloc[0]), pickle.loads(model["model"].iloc[0]), own["trial_id"].to_numpy(), own["class"].to_numpy(), np.stack(own["x"].to_numpy()).astype(float))
+
+    own, models = _chunked(trials.select("subject", "fold", "trial_id", "class", "x"), models, ["subject", "fold"])
+    key = ["subject", "fold", "chunk"]
+    return own.groupBy(*key).cogroup(models.groupBy(*key)).applyInPandas(score, schema)
 
 
 def weights_and_patterns(trials: DataFrame) -> DataFrame:
     """Per subject (subject, chan, weight, cov_pattern, cor_pattern): mean pairwise linear coefficients and their activation patterns."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        x, y = np.stack(group["x"].to_numpy()).astype(float), group["class"].to_numpy()
-        m = discriminant(x, y)
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        parts = {int(c): _moments_from(n, s) for c, n, s in zip(own["class"], own["n"], own["sums"], strict=True)}
+        m = discriminant(parts)
+        whole = sum(parts.values(), Moments(0.0, 0.0, 0.0))
+        covariance = whole.scatter / max(1.0, whole.n - 1)
+        scale = np.sqrt(np.diag(covariance))
         pairs = [m["inverse"][0] @ (m["means"][a] - m["means"][b]) for a in range(len(m["means"])) for b in range(a + 1, len(m["means"]))]
         w = np.mean(pairs, axis=0)
-        return pd.DataFrame({"subject": group["subject"].iloc[0], "chan": np.arange(1, len(w) + 1), "weight": w, "cov_pattern": np.cov(x.T) @ w, "cor_pattern": np.corrcoef(x.T) @ w})
+        return pd.DataFrame({"subject": own["subject"].iloc[0], "chan": np.arange(1, len(w) + 1), "weight": w, "cov_pattern": covariance @ w, "cor_pattern": (covariance / np.outer(scale, scale)) @ w})
 
-    return trials.groupBy("subject").applyInPandas(run, "subject string, chan int, weight double, cov_pattern double, cor_pattern double")
+    return class_moments(_with_subject(trials), ["subject"]).groupBy("subject").applyInPandas(run, "subject string, chan int, weight double, cov_pattern double, cor_pattern double")
 
 
 def basis(n: int, sigma: float) -> np.ndarray:
@@ -144,21 +256,28 @@ def basis(n: int, sigma: float) -> np.ndarray:
 
 
 def forward_model(trials: DataFrame, n_classes: int, sigma: float = 0.0) -> DataFrame:
-    """(fold, resp, value): mean channel response over test trials, aligned on the true class, averaged over classes."""
-    n_folds = [r[0] for r in trials.select("fold").distinct().orderBy("fold").collect()]
-    dealt = trials.withColumn("test_fold", F.explode(F.array(*[F.lit(int(f)) for f in n_folds])))
+    """(subject, fold, resp, value): mean channel response over test trials, aligned on the true class, averaged over classes.
+
+    Training weights and the mean response of a class are linear in the class sums, so sums are all that is needed.
+    """
     expected = basis(n_classes, sigma)
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        fold = int(group["test_fold"].iloc[0])
-        x, y = np.stack(group["x"].to_numpy()).astype(float), group["class"].to_numpy()
-        test = (group["fold"] == fold).to_numpy()
-        w = np.linalg.lstsq(expected[y[~test]], x[~test], rcond=None)[0].T
-        c2 = np.linalg.lstsq(w, x[test].T, rcond=None)[0]
-        aligned = [np.roll(c2[:, y[test] == c].mean(axis=1), n_classes // 2 - c) for c in range(n_classes) if (y[test] == c).any()]
-        return pd.DataFrame({"fold": fold, "resp": np.arange(1, n_classes + 1), "value": np.mean(aligned, axis=0)})
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        held: dict[int, dict[int, Moments]] = {}
+        for fold, c, n, s in zip(own["fold"], own["class"], own["n"], own["sums"], strict=True):
+            held.setdefault(int(fold), {})[int(c)] = _moments_from(n, s)
+        out = []
+        for fold, training in _left_out(own, "fold").items():
+            present = [c for c, m in training.items() if m.n > 0]
+            design = sum(training[c].n * np.outer(expected[c], expected[c]) for c in present)
+            response = sum(np.outer(expected[c], training[c].total) for c in present)
+            w = (np.linalg.pinv(design, hermitian=True) @ response).T
+            back = np.linalg.pinv(w)
+            aligned = [np.roll(back @ m.mean, n_classes // 2 - c) for c, m in held[fold].items() if m.n > 0]
+            out += [(own["subject"].iloc[0], fold, k + 1, float(v)) for k, v in enumerate(np.mean(aligned, axis=0))]
+        return pd.DataFrame(out, columns=["subject", "fold", "resp", "value"])
 
-    return dealt.groupBy("test_fold").applyInPandas(run, "fold int, resp int, value double")
+    return class_moments(_with_subject(trials), ["subject", "fold"]).groupBy("subject").applyInPandas(run, "subject string, fold int, resp int, value double")
 
 
 def tuning_slope(curve: list[float]) -> float:
@@ -171,25 +290,37 @@ def tuning_slope(curve: list[float]) -> float:
     return float(np.polyfit(np.arange(1, len(half) + 1), half, 1)[0])
 
 
-def generalise(trials: DataFrame, times: int) -> DataFrame:
-    """(train_t, test_t, auc): a two-class linear discriminant at every pair of times; trials(class 0/1, fold, t_idx, x)."""
+def generalise(trials: DataFrame, n_folds: int) -> DataFrame:
+    """(train_t, test_t, auc): a two-class linear discriminant trained at each time, tested at every time.
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        from epochal.functions.dist import rank_auc
+    trials(trial_id, class 0/1, fold, t_idx, x), x the channels at that time.  Models come from sums by (time, fold,
+    class); each is a weight for each channel, so scores are native sums over a trial's channels, and areas are
+    means over folds.
+    """
+    sums = class_moments(trials, ["t_idx", "fold"])
 
+    def solve(own: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for t, own in group.groupby("train_t"):
-            at = own["t_idx"] == t
-            x, y = np.stack(own["x"].to_numpy()).astype(float), own["class"].to_numpy()
-            test = (own["fold"] == 1).to_numpy()
-            m = discriminant(x[(at & ~test).to_numpy()], y[(at & ~test).to_numpy()])
-            for u in sorted(own["t_idx"].unique()):
-                rows = (own["t_idx"] == u).to_numpy() & test
-                out.append((int(t), int(u), rank_auc(y[rows], posterior(m, x[rows])[:, 1])))
-        return pd.DataFrame(out, columns=["train_t", "test_t", "auc"])
+        for fold, parts in _left_out(own, "fold").items():
+            m = discriminant(parts)
+            w = m["inverse"][0] @ (m["means"][1] - m["means"][0])
+            level = float(np.log(m["priors"][1] / m["priors"][0]) - w @ (m["means"][0] + m["means"][1]) / 2)
+            out.append((int(own["t_idx"].iloc[0]), fold, w.tolist(), level))
+        return pd.DataFrame(out, columns=["train_t", "fold", "w", "level"])
+
+    models = F.broadcast(sums.groupBy("t_idx").applyInPandas(solve, "train_t int, fold int, w array<double>, level double"))  # a row of channels for each time and fold
+    score = F.aggregate(F.zip_with("x", "w", lambda a, b: a * b), F.col("level"), lambda s, v: s + v)
+    scores = trials.join(models, "fold").select("train_t", F.col("t_idx").alias("test_t"), "fold", F.col("class").alias("label"), F.round(score, 9).alias("score"))
+    return metrics.auc(scores, ["train_t", "test_t", "fold"]).groupBy("train_t", "test_t").agg(F.avg("auc").alias("auc"))
+
 
-    dealt = trials.withColumn("train_t", F.explode(F.sequence(F.lit(1), F.lit(times))))
-    return dealt.groupBy("train_t").applyInPandas(run, "train_t int, test_t int, auc double")
+def _nearest(queries: np.ndarray, points: np.ndarray, k: int, block: int = 256) -> np.ndarray:
+    """The k points nearest to each query after itself, a block of queries at a time."""
+    square, out = (points**2).sum(axis=1), []
+    for lo in range(0, len(queries), block):
+        d = square - 2 * queries[lo : lo + block] @ points.T
+        out.append(np.argsort(d, axis=1, kind="stable")[:, 1 : k + 1])
+    return np.concatenate(out)
 
 
 def oversample(trials: DataFrame, neighbours: int = 5) -> DataFrame:
@@ -209,13 +340,12 @@ def oversample(trials: DataFrame, neighbours: int = 5) -> DataFrame:
             own = np.flatnonzero(y == c)
             if not need or n < 2:
                 continue
-            d = ((z[own][:, None] - z[None]) ** 2).sum(axis=2)
-            near = np.argsort(d, axis=1, kind="stable")[:, 1 : neighbours + 1]
+            near = _nearest(z[own], z, neighbours)
             gamma = (y[near] != c).mean(axis=1)
             gamma = gamma / gamma.sum() if gamma.sum() else np.full(n, 1 / n)
             share = np.floor(gamma * need).astype(int)
             share[np.argsort(-(gamma * need - share), kind="stable")[: need - share.sum()]] += 1
-            mine = np.argsort(((z[own][:, None] - z[own][None]) ** 2).sum(axis=2), axis=1, kind="stable")[:, 1 : neighbours + 1]
+            mine = _nearest(z[own], z[own], neighbours)
             for i, k in enumerate(share):
                 for _ in range(k):
                     j = mine[i][random.integers(mine.shape[1])]

@@ -52,11 +52,28 @@ def test_whitening_gives_identity():
     assert np.allclose(w @ pooled @ w, np.eye(6), atol=1e-8)
 
 
+def test_shrinkage_follows_its_definition():
+    """Entry by entry: variances and covariances of the sample covariance's entries over the rows."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 5)) @ rng.normal(size=(5, 5))
+    z = x - x.mean(axis=0)
+    t, n = z.shape
+    s = z.T @ z / t
+    sd = np.sqrt(np.diag(s))
+    r = (s / np.outer(sd, sd))[~np.eye(n, dtype=bool)].mean()
+    f = np.where(np.eye(n, dtype=bool), s, r * np.outer(sd, sd))
+    cov = lambda i, j, k, m: np.mean((z[:, i] * z[:, j] - s[i, j]) * (z[:, k] * z[:, m] - s[k, m]))
+    top = sum(cov(i, j, i, j) - r / 2 * (sd[j] / sd[i] * cov(i, i, i, j) + sd[i] / sd[j] * cov(j, j, i, j)) for i in range(n) for j in range(n) if i != j)
+    expected = min(1.0, max(0.0, top / ((f - s) ** 2).sum() / t))
+    got, intensity = decode.shrink_covariance(x)
+    assert intensity == pytest.approx(expected) and np.allclose(got, expected * f + (1 - expected) * s)
+
+
 def test_discriminant_separates_and_priors_sum():
     rng = np.random.default_rng(2)
     y = np.repeat([0, 1, 2], 50)
     x = rng.normal(size=(150, 4)) + y[:, None] * 4
-    p = decode.posterior(decode.discriminant(x, y), x)
+    p = decode.posterior(decode.discriminant(decode.moments_of(x, y)), x)
     assert np.allclose(p.sum(axis=1), 1) and (p.argmax(axis=1) == y).mean() > 0.95
 
 
