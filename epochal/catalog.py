@@ -191,7 +191,7 @@ def _(spark, d):
     return prep.subtract_evoked(samples(spark, d))
 
 
-@_entry("subtract_conditions", f"WITH {_S}, k AS (SELECT vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings WHERE label IN (0, 1)), j AS (SELECT s.*, k FROM s JOIN k ON s.trial_id = k.vec_id) SELECT a.k, a.t_idx, {_R('a.value - b.value', 'value')} FROM j a JOIN j b ON a.k = b.k AND a.t_idx = b.t_idx WHERE a.event_code = 0 AND b.event_code = 1")
+@_entry("subtract_conditions", f"WITH k AS (SELECT label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings WHERE label IN (0, 1)), j AS (SELECT a.k, a.embedding AS x, b.embedding AS y FROM k a JOIN k b ON a.k = b.k AND a.label = 0 AND b.label = 1) SELECT k, i AS t_idx, {_R('CAST(x[i] AS DOUBLE) - CAST(y[i] AS DOUBLE)', 'value')} FROM j, generate_series(1, 64) AS g(i)")
 def _(spark, d):
     return prep.subtract_pairs(samples(spark, d), 0, 1)
 
@@ -750,7 +750,7 @@ def _(spark, d):
 
 @_entry(
     "signal_resample",
-    f"WITH {_S}, j AS (SELECT j, CAST(floor(j * 0.75) AS BIGINT) AS i, j * 0.75 - floor(j * 0.75) AS f FROM generate_series(0, 84) AS g(j)) SELECT a.trial_id, j, {_R('a.value + f * coalesce(b.value - a.value, 0)', 'value')} FROM j JOIN s a ON a.t_idx = i + 1 LEFT JOIN s b ON b.trial_id = a.trial_id AND b.t_idx = i + 2",
+    f"WITH j AS (SELECT j, CAST(floor(j * 0.75) AS BIGINT) AS i, j * 0.75 - floor(j * 0.75) AS f FROM generate_series(0, 84) AS g(j)), v AS (SELECT vec_id, j, f, CAST(embedding[i + 1] AS DOUBLE) AS a, CAST(embedding[i + 2] AS DOUBLE) AS b FROM embeddings, j WHERE i < 64) SELECT vec_id AS trial_id, j, {_R('a + f * coalesce(b - a, 0)', 'value')} FROM v",
 )
 def _(spark, d):
     return signals.resample_linear(samples(spark, d), 0.75, ["trial_id"])
