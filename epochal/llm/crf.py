@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epochal.llm.blocks import features, leaf_blocks
+from epochal.llm.work import small_batches
 
 PAGES, STEPS, SEED = 1200, 250, 3
 
@@ -212,6 +213,7 @@ def main_text(html: str | None, weights: dict[str, float], pair: np.ndarray) ->
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars for every page."""
+    small_batches(pages.sparkSession)
     sent = pages.sparkSession.sparkContext.broadcast(train())  # a weight for each feature of the labelled pages
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

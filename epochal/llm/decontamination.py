@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epochal.llm import textops as X
+from epochal.llm.work import small_batches
 
 EDITS = 0.2
 SAMPLED, REPEATS, SEED = 2, 96, 5
@@ -221,6 +222,7 @@ def _keyed(benchmark: DataFrame) -> DataFrame:
 
 def _blocks(benchmark: DataFrame, edits: float) -> Iterator[Items]:
     """Blocks of items of different texts; their number follows the benchmark's size, a block's size does not."""
+    small_batches(benchmark.sparkSession)
     items = _keyed(benchmark).select("item_key", "text").distinct()
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-int(chars) // (5 * BLOCK)))

@@ -158,12 +158,15 @@ def _measure(docs: DataFrame, columns: list[str], paths: tuple[str, ...], rules:
     kinds += "".join(f", {name}{k} double" for k in range(len(paths)) for name in FLOORS)
     names = [kind.split()[0] for kind in kinds.split(", ")]
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    given = docs.select(*columns, F.struct(F.col("text").cast("string").alias("text"), lang.alias("lang")).alias("_f"))
+    given_text = "text" in columns and docs.schema["text"].dataType.simpleString() == "string"  # then it travels once
+    text = F.lit(None).cast("string") if given_text else F.col("text").cast("string")
+    given = docs.select(*columns, F.struct(text.alias("text"), lang.alias("lang")).alias("_f"))
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns) + ", _f struct<" + ", ".join(kind.replace(" ", ": ") for kind in kinds.split(", ")) + ">"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text, lang = batch.column("_f").flatten()
+            text = batch.column("text") if given_text else text
             for first, last, base, failed, scripts, measured, kept in _judge(text, paths, rules):
                 n = last - first
                 arrays = [*(pa.array(v) for v in base.values()), pa.array(failed), pa.array([SCRIPTS[k] for k in scripts], pa.string()), lang.slice(first, n), pa.array(kept), *(pa.array(m, from_pandas=True) for own in measured for m in own[1:])]

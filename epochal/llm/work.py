@@ -20,6 +20,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+BATCH_ROWS = "2000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts travel to the workers 2000 at a time, unless the session asks for another number than Spark's own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, BATCH_ROWS)
+
+
 class Work:
     """Names, writes and removes the tables of one operator call.
 
@@ -29,6 +39,7 @@ class Work:
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
+        small_batches(spark)
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(self.drop)
         self._n = 0
