@@ -11,6 +11,7 @@ gives a rare word its cell's probability in this context; times the word's share
 documents, that is a probability of the word's own.  Shares of the HELD most frequent rare words are broadcast,
 those of all others come by a join with the counts.
 
+Texts are read twice, for the counts and to write them out as word numbers; training and scores read the numbers.
 Training is spread over the corpus: each task runs Adagrad over its documents' positions, every ROUNDS-th a
 round so that each position is a target once, starting from common weights; the tasks' weights are averaged,
 in levels of at most FAN rows a group, and the next round starts from the average.  So weights depend on how
@@ -36,9 +37,9 @@ from epochal.llm import textops as X
 from epochal.llm.work import Work
 
 SIDE, WIDTH, RARE, ENDING = 2, 24, 256, 3
-LEAST, MOST = 100, 3840
+LEAST, MOST = 100, 2880
 ROUNDS, BATCH, RATE = 2, 16384, 0.15
-BLOCK, FAN, HELD = 4096, 256, 1 << 18
+BLOCK, FAN, HELD, STEEP = 4096, 256, 1 << 18, 60.0
 
 Weights = dict[str, np.ndarray]
 
@@ -81,8 +82,9 @@ class Network:
 
 def fingerprints(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Of words: 56 bits of the whole word, and in the lowest 8 its cell, by its ending."""
-    cell = X.span_hashes(data, np.maximum(starts, ends - ENDING), ends) % np.uint64(RARE)
-    return (X.span_hashes(data, starts, ends) & ~np.uint64(RARE - 1)) | cell
+    sums = X.byte_sums(data)
+    cell = X.span_hashes(data, np.maximum(starts, ends - ENDING), ends, sums) % np.uint64(RARE)
+    return (X.span_hashes(data, starts, ends, sums) & ~np.uint64(RARE - 1)) | cell
 
 
 def words_of(texts: pa.Array, known: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -119,16 +121,15 @@ def _hidden(w: Weights, context: np.ndarray) -> np.ndarray:
 
 
 def _log_of_chosen(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Log-probability of one entry of each row of a softmax."""
-    most = x.max(axis=1)
-    own = x[np.arange(len(x)), chosen] - most
-    x -= most[:, None]
+    """Log-probability of one entry of each row of a softmax (of numbers within STEEP of 0)."""
+    np.clip(x, -STEEP, STEEP, out=x)
+    own = x[np.arange(len(x)), chosen]
     return own - np.log(np.exp(x, out=x).sum(axis=1))
 
 
 def _error(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     """Softmax less one at the chosen entry of each row."""
-    x -= x.max(axis=1, keepdims=True)
+    np.clip(x, -STEEP, STEEP, out=x)
     np.exp(x, out=x)
     x /= x.sum(axis=1, keepdims=True)
     x[np.arange(len(x)), chosen] -= 1
@@ -240,24 +241,67 @@ def shares(counts: DataFrame, known: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.log(cells), held[order], np.log(own.column("n").to_numpy().astype(float))[order], others.where("n > 1").select("word", F.log("n").alias("log_n"))
 
 
-def train(docs: DataFrame, known: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights averaged over the tasks, ``rounds`` times."""
-    spark, network = docs.sparkSession, Network(len(known))
+def numbered(docs: DataFrame, counts: DataFrame, known: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """Every document as word numbers: (row, doc_id, n_tokens, numbers, shares, rare), and the log counts of words not held.
+
+    ``numbers`` are 16-bit numbers, ``shares`` the summed log shares of the rare words whose counts are held, less the
+    cells' of the others, and ``rare`` the fingerprints of these.
+    """
+    cells, held, logs, others = shares(counts, known)
+    sent = docs.sparkSession.sparkContext.broadcast((known, cells, held, logs))  # the network's and HELD words
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, cells, held, logs = sent.value
+        row = TaskContext.get().partitionId() << 36
+        for batch in batches:
+            for first, last, numbers, bounds, words in words_of(batch.column("text"), known):
+                rare = np.flatnonzero(numbers >= len(known))
+                value = np.zeros(len(numbers))
+                value[rare] = -cells[numbers[rare] - len(known)]
+                if len(held):
+                    at = np.minimum(np.searchsorted(held, words[rare]), len(held) - 1)
+                    found = held[at] == words[rare]
+                    value[rare[found]] += logs[at[found]]
+                    rare = rare[~found]
+                run = np.concatenate([[0.0], np.cumsum(value)])
+                lists = pa.LargeListArray.from_arrays(pa.array(np.searchsorted(rare, bounds)), pa.array(words[rare].view(np.int64))).cast(pa.list_(pa.int64()))
+                raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), last - first, [None, pa.py_buffer(np.ascontiguousarray(2 * bounds, dtype=np.int64)), pa.py_buffer(numbers.astype("<u2"))]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(row, row + last - first)), batch.column("doc_id").slice(first, last - first), pa.array(np.diff(bounds), pa.int64()), raw, pa.array(run[bounds[1:]] - run[bounds[:-1]]), lists],
+                    ["row", "doc_id", "n_tokens", "numbers", "shares", "rare"],
+                )
+                row += last - first
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "row long, doc_id long, n_tokens long, numbers binary, shares double, rare array<long>")
+    return Work(docs.sparkSession, "numbers").cut(rows, "numbers"), others
+
+
+def _numbers_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Word numbers of a batch and where each document's begin."""
+    _, where, what = column.buffers()
+    offsets = np.frombuffer(where, dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    data = np.frombuffer(what, dtype="<u2") if what is not None and what.size else np.zeros(0, "<u2")
+    return data[offsets[0] // 2 : offsets[-1] // 2].astype(np.int64), (offsets - offsets[0]) // 2
+
+
+def train(numbers: DataFrame, known: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights averaged over the tasks, ``rounds`` times; a document's every ``rounds``-th position is a target in a round."""
+    spark, network = numbers.sparkSession, Network(len(known))
     flat = network.start()
     work = Work(spark, "language-model")
-    texts = docs.select(F.col("text").cast("string"))
     blocks = -(-network.size // BLOCK)
     for turn in range(rounds):
-        sent = spark.sparkContext.broadcast((flat, known))  # one set of weights and the known words
+        sent = spark.sparkContext.broadcast(flat)  # one set of weights
 
         def learn(batches: Iterator[pa.RecordBatch], sent=sent, turn=turn) -> Iterator[pa.RecordBatch]:
-            begin, words = sent.value
-            own, kept = Trainer(network, begin), []
+            own, kept = Trainer(network, sent.value), []
             for batch in batches:
-                for _, _, numbers, bounds, _ in words_of(batch.column("text"), words):
-                    at = np.arange(turn, len(numbers), rounds)
-                    if len(at):
-                        kept.append((_contexts(numbers, bounds, at, network.words), numbers[at]))
+                words, bounds = _numbers_of(batch.column("numbers"))
+                first = np.repeat(bounds[:-1] - batch.column("row").to_numpy(), np.diff(bounds))
+                at = np.flatnonzero((np.arange(len(words)) - first) % rounds == turn)
+                for lo in range(0, len(at), BATCH):
+                    some = at[lo : lo + BATCH]
+                    kept.append((_contexts(words, bounds, some, network.words), words[some]))
                     if sum(len(t) for _, t in kept) >= BATCH:
                         own.learn(*(np.concatenate(x) for x in zip(*kept, strict=True)))
                         kept = []
@@ -272,7 +316,7 @@ def train(docs: DataFrame, known: np.ndarray, rounds: int = ROUNDS) -> np.ndarra
                 )
 
         schema = "block int, part int, seen long, sums binary"
-        parts = work.cut(texts.mapInArrow(learn, schema), "weights")
+        parts = work.cut(numbers.select("row", "numbers").mapInArrow(learn, schema), "weights")
         most = parts.agg(F.max("part")).first()[0]
         while most:  # level after level, FAN rows of a block at a time
             parts = parts.withColumn("part", F.expr(f"part div {FAN}").cast("int")).groupBy("block", "part").applyInArrow(_added, schema)
@@ -289,34 +333,26 @@ def _added(group: pa.Table) -> pa.Table:
     return pa.table({"block": first.column("block"), "part": first.column("part"), "seen": pa.array([sum(group.column("seen").to_pylist())]), "sums": pa.array([total.tobytes()], pa.binary())})
 
 
-def score(docs: DataFrame, counts: DataFrame, known: np.ndarray, flat: np.ndarray) -> DataFrame:
-    """doc_id, n_tokens, log_likelihood and mean_log_likelihood for every document."""
-    cells, held, logs, others = shares(counts, known)
-    sent = docs.sparkSession.sparkContext.broadcast((flat, known, cells, held, logs))  # the model and HELD words
+def score(numbers: DataFrame, others: DataFrame, known: np.ndarray, flat: np.ndarray) -> DataFrame:
+    """doc_id, n_tokens, log_likelihood and mean_log_likelihood for every document of ``numbered``."""
+    network = Network(len(known))
+    sent = numbers.sparkSession.sparkContext.broadcast(flat)  # one set of weights
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, known, cells, held, logs = sent.value
-        network = Network(len(known))
-        weights, row = network.unpack(flat), TaskContext.get().partitionId() << 36
+        weights = network.unpack(sent.value)
         for batch in batches:
-            ids = batch.column("doc_id")
-            for first, last, numbers, bounds, words in words_of(batch.column("text"), known):
-                value = log_probabilities(weights, _contexts(numbers, bounds, np.arange(len(numbers)), network.words), numbers)
-                rare = np.flatnonzero(numbers >= len(known))
-                value[rare] -= cells[numbers[rare] - len(known)]
-                if len(held):
-                    at = np.minimum(np.searchsorted(held, words[rare]), len(held) - 1)
-                    found = held[at] == words[rare]
-                    value[rare[found]] += logs[at[found]]
-                    rare = rare[~found]
-                run, n = np.concatenate([[0.0], np.cumsum(value)]), np.diff(bounds)
-                lists = pa.LargeListArray.from_arrays(pa.array(np.searchsorted(rare, bounds)), pa.array(words[rare].view(np.int64))).cast(pa.list_(pa.int64()))
-                own = np.arange(row, row + last - first)
-                row += last - first
-                yield pa.RecordBatch.from_arrays([pa.array(own), ids.slice(first, last - first), pa.array(n, pa.int64()), pa.array(run[bounds[1:]] - run[bounds[:-1]]), lists], ["row", "doc_id", "n_tokens", "cells", "rare"])
-
-    scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "row long, doc_id long, n_tokens long, cells double, rare array<long>")
-    scored = Work(docs.sparkSession, "scores").cut(scored, "cells")
+            words, bounds = _numbers_of(batch.column("numbers"))
+            value = np.empty(len(words) + 1)
+            value[0] = 0
+            for lo in range(0, len(words), 4 * BATCH):
+                some = np.arange(lo, min(lo + 4 * BATCH, len(words)))
+                value[some + 1] = log_probabilities(weights, _contexts(words, bounds, some, network.words), words[some])
+            run = np.cumsum(value)
+            total = run[bounds[1:]] - run[bounds[:-1]] + batch.column("shares").to_numpy()
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "doc_id", "n_tokens")), pa.array(total), batch.column("rare")], ["row", "doc_id", "n_tokens", "cells", "rare"])
+
+    scored = numbers.mapInArrow(work, "row long, doc_id long, n_tokens long, cells double, rare array<long>")
+    scored = Work(numbers.sparkSession, "scores").cut(scored, "cells")
     extra = scored.select("row", F.explode("rare").alias("word")).join(others, "word").groupBy("row").agg(F.sum("log_n").alias("extra"))
     total = (F.col("cells") + F.coalesce("extra", F.lit(0.0))).alias("log_likelihood")
     return scored.drop("rare").join(extra, "row", "left").select("doc_id", "n_tokens", total).withColumn("mean_log_likelihood", F.try_divide("log_likelihood", "n_tokens"))
@@ -325,4 +361,5 @@ def score(docs: DataFrame, counts: DataFrame, known: np.ndarray, flat: np.ndarra
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     counts = word_counts(docs)
     known = vocabulary(counts)
-    return score(docs, counts, known, train(docs, known))
+    numbers, others = numbered(docs, counts, known)
+    return score(numbers, others, known, train(numbers, known))

@@ -93,10 +93,16 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit fingerprints of byte spans, equal for equal spans wherever they stand."""
+def byte_sums(data: np.ndarray) -> np.ndarray:
+    """Running sums from which the fingerprint of any span follows; for several ``span_hashes`` of one piece."""
     total = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_BYTE_CODES[data] * _power("up", _BASE, len(data)), out=total[1:])
+    return total
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
+    """64-bit fingerprints of byte spans, equal for equal spans wherever they stand."""
+    total = byte_sums(data) if sums is None else sums
     plain = (total[ends] - total[starts]) * _power("down", _BASE_INVERSE, len(data) + 1)[starts]
     return mix(plain + (ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
 

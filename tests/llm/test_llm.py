@@ -516,10 +516,11 @@ def test_scores_recomputed_word_by_word(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     counts = pseudo_likelihood.word_counts(docs)
     known = pseudo_likelihood.vocabulary(counts)
-    flat = pseudo_likelihood.train(docs, known)
+    numbers, others = pseudo_likelihood.numbered(docs, counts, known)
+    flat = pseudo_likelihood.train(numbers, known)
     network = pseudo_likelihood.Network(len(known))
     w = {k: v.astype(np.float64) for k, v in network.unpack(flat).items()}
-    got = {r.doc_id: r for r in pseudo_likelihood.score(docs, counts, known, flat).collect()}
+    got = {r.doc_id: r for r in pseudo_likelihood.score(numbers, others, known, flat).collect()}
 
     def mark(word):
         data, _ = X.buffers(pa.array([word]))
