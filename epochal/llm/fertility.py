@@ -152,46 +152,55 @@ def verdicts(texts: pa.Array, paths: tuple[str, ...], bands: dict = BANDS) -> np
     return np.concatenate([np.zeros(0, dtype=bool), *(piece[-1] for piece in _judge(texts, paths, bands))])
 
 
-def _measure(docs: DataFrame, columns: list[str], paths: tuple[str, ...], rules: dict) -> DataFrame:
-    """The given columns of every document, and its measures in ``_f``."""
+def _own_names(columns: list[str]) -> tuple[str, str, str]:
+    """Names for measures, fences and verdict that no column has (whatever its case)."""
+    taken, end = {c.lower() for c in columns}, ""
+    while taken & {f"{x}{end}" for x in ("_f", "_q", "_kept")}:
+        end += "_"
+    return f"_f{end}", f"_q{end}", f"_kept{end}"
+
+
+def _measure(docs: DataFrame, columns: list[str], paths: tuple[str, ...], rules: dict, name: str = "_f") -> DataFrame:
+    """The given columns of every document, and its measures under the given name."""
     kinds = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, script string, lang string, banded boolean"
     kinds += "".join(f", {name}{k} double" for k in range(len(paths)) for name in FLOORS)
-    names = [kind.split()[0] for kind in kinds.split(", ")]
+    fields = [kind.split()[0] for kind in kinds.split(", ")]
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     given_text = "text" in columns and docs.schema["text"].dataType.simpleString() == "string"  # then it travels once
     text = F.lit(None).cast("string") if given_text else F.col("text").cast("string")
-    given = docs.select(*columns, F.struct(text.alias("text"), lang.alias("lang")).alias("_f"))
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns) + ", _f struct<" + ", ".join(kind.replace(" ", ": ") for kind in kinds.split(", ")) + ">"
+    given = docs.select(*columns, F.struct(text.alias("text"), lang.alias("lang")).alias(name))
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns) + f", {name} struct<" + ", ".join(kind.replace(" ", ": ") for kind in kinds.split(", ")) + ">"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, lang = batch.column("_f").flatten()
+            text, lang = batch.column(name).flatten()
             text = batch.column("text") if given_text else text
             for first, last, base, failed, scripts, measured, kept in _judge(text, paths, rules):
                 n = last - first
                 arrays = [*(pa.array(v) for v in base.values()), pa.array(failed), pa.array([SCRIPTS[k] for k in scripts], pa.string()), lang.slice(first, n), pa.array(kept), *(pa.array(m, from_pandas=True) for own in measured for m in own[1:])]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, n) for c in columns), pa.StructArray.from_arrays(arrays, names)], [*columns, "_f"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, n) for c in columns), pa.StructArray.from_arrays(arrays, fields)], [*columns, name])
 
     return given.mapInArrow(work, schema)
 
 
-def _fenced(measured: DataFrame, n_vocabularies: int) -> DataFrame:
-    """Adds ``_kept``: inside the bands, and no outlier of its script and language under any vocabulary."""
+def _fenced(measured: DataFrame, n_vocabularies: int, own_names: tuple[str, str, str] = ("_f", "_q", "_kept")) -> DataFrame:
+    """Adds the verdict (the third name): inside the bands, and no outlier of its script and language under any vocabulary."""
+    f, q, kept = own_names
     names = [f"{name}{k}" for k in range(n_vocabularies) for name in FLOORS]
-    quartiles = [F.percentile(F.round(F.col(f"_f.{x}"), GRID), F.array(F.lit(0.25), F.lit(0.75))).alias(x) for x in names]
-    own = measured.where("not _f.base_failed").groupBy(F.col("_f.script").alias("script"), F.col("_f.lang").alias("lang")).agg(F.count(F.lit(1)).alias("n"), *quartiles)
-    fences = own.where(F.col("n") >= LEAST).select(F.struct("script", "lang", *names).alias("_q"))
+    quartiles = [F.percentile(F.round(F.col(f"{f}.{x}"), GRID), F.array(F.lit(0.25), F.lit(0.75))).alias(x) for x in names]
+    own = measured.where(f"not {f}.base_failed").groupBy(F.col(f"{f}.script").alias("script"), F.col(f"{f}.lang").alias("lang")).agg(F.count(F.lit(1)).alias("n"), *quartiles)
+    fences = own.where(F.col("n") >= LEAST).select(F.struct("script", "lang", *names).alias(q))
     good = F.lit(True)
     for x in names:
-        value, low, high = F.round(F.col(f"_f.{x}"), GRID), F.col(f"_q.{x}")[0], F.col(f"_q.{x}")[1]
+        value, low, high = F.round(F.col(f"{f}.{x}"), GRID), F.col(f"{q}.{x}")[0], F.col(f"{q}.{x}")[1]
         reach = FENCE * F.greatest(high - low, F.lit(FLOORS[x.rstrip("0123456789")]))
         if not x.startswith("fallback"):  # few pieces of characters are no fault
             good = good & (value >= low - reach)
         if not x.startswith("entropy"):
             good = good & (value <= high + reach)
-    same = (F.col("_f.script") == F.col("_q.script")) & F.col("_f.lang").eqNullSafe(F.col("_q.lang"))
+    same = (F.col(f"{f}.script") == F.col(f"{q}.script")) & F.col(f"{f}.lang").eqNullSafe(F.col(f"{q}.lang"))
     out = measured.join(F.broadcast(fences), same, "left")  # a row for each script and language
-    return out.withColumn("_kept", F.col("_f.banded") & (F.col("_q").isNull() | good)).drop("_q")
+    return out.withColumn(kept, F.col(f"{f}.banded") & (F.col(q).isNull() | good)).drop(q)
 
 
 def quality(docs: DataFrame, vocabularies: tuple[str, ...] | None = None, bands: dict | None = None) -> DataFrame:
@@ -206,5 +215,6 @@ def quality(docs: DataFrame, vocabularies: tuple[str, ...] | None = None, bands:
 def keep(docs: DataFrame) -> DataFrame:
     """The documents, with all their columns, that ``quality`` keeps."""
     paths = default_paths()
-    measured = Work(docs.sparkSession, "fertility").cut(_measure(docs, docs.columns, paths, BANDS), "measures")
-    return _fenced(measured, len(paths)).where("_kept").select(*docs.columns)
+    own = _own_names(docs.columns)
+    measured = Work(docs.sparkSession, "fertility").cut(_measure(docs, docs.columns, paths, BANDS, own[0]), "measures")
+    return _fenced(measured, len(paths), own).where(own[2]).select(*docs.columns)

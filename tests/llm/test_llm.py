@@ -122,6 +122,17 @@ def test_near_duplicates_odd(odd, empty):
     assert minhash.near_duplicates(empty, 2).count() == 0
 
 
+def test_rows_with_one_id_are_told_apart(spark):
+    a, b, c = prose(1, 60), prose(2, 60), prose(3, 60)
+    rows = [(1, a), (1, b), (2, a), (2, b + " tail"), (3, c), (3, c), (4, None), (4, None)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, text_key string").repartition(4)
+    got = minhash.near_duplicates(docs, 2)
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got.collect()) == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (2, 1, False), (3, 3, True), (3, 3, True), (4, 4, True), (4, 4, True)])
+    import corpus_pipeline
+
+    assert sorted((r.doc_id, r.text) for r in corpus_pipeline.drop_copies(spark, docs, "").where("text is not null").collect()) == sorted([(1, a), (1, b), (3, c)])
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 130)] + [(7, 7), (3, 2)]
     found = dict(components.components(spark.createDataFrame(edges, "u long, v long"), Work(spark, "test")).collect())
@@ -417,6 +428,24 @@ def test_sharding_odd(odd, empty):
     assert sharding.shard(empty).count() == 0
 
 
+@pytest.mark.parametrize(("slack", "most"), [(0.0, 0.35), (0.25, 0.25)])
+def test_bounded_loads_move_little(slack, most):
+    """One more shard, with the capacities that go with it: the share of documents that change their shard."""
+    places = np.sort(np.random.default_rng(1).integers(0, 1 << 31, 40_000))
+
+    def shards(n):
+        at, owners = sharding.ring(n)
+        sizes = np.bincount(np.searchsorted(at, places), minlength=len(at) + 1)
+        plan = sharding.assign(sizes, np.append(owners, owners[0]), sharding.capacities(len(places), n, slack))
+        out = np.empty(len(places), dtype=int)
+        for first, last, shard, _ in plan:
+            out[first:last] = shard
+        return out
+
+    before, after = shards(16), shards(17)
+    assert np.bincount(after, minlength=17).max() <= np.ceil(len(places) * (1 + slack) / 17) and (before != after).mean() < most
+
+
 def test_ring_moves_little():
     r = np.random.default_rng(0)
     places = r.integers(0, 1 << 31, 20000)
@@ -463,6 +492,22 @@ def test_crf_on_unseen_layouts():
     assert right / n > 0.97
 
 
+def test_no_text_is_lost_before_the_field():
+    """Every word outside comments, scripts, styles and the title is in a block, whatever element it stands in."""
+    r = np.random.default_rng(8)
+    tags = "p div span svg-icon title-card math svg noscript textarea iframe object canvas template b custom-x li td h2".split()
+    for _ in range(60):
+        words, html = [], ""
+        for k in range(30):
+            tag, word = str(r.choice(tags)), f"w{k}x"
+            if r.random() < 0.15:
+                html += str(r.choice([f"<script>{word}</script>", f"<style>{word}</style>", f"<!-- {word} -->", f"<title>{word}</title>"]))
+            else:
+                words.append(word)
+                html += f"<{tag}>{word}" + (f"</{tag}>" if r.random() < 0.7 else " ")
+        assert " ".join(b[0] for b in crf.leaf_blocks(html)).split() == words or sorted(" ".join(b[0] for b in crf.leaf_blocks(html)).replace("x", "x ").split()) == sorted(words)
+
+
 def test_crf_text(spark):
     html = """<html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav>
 <div class="cookie-notice">We use cookies.</div><article><h1>A &amp; B</h1><p>First  line<br>goes on &eacute;&#33; with enough words to read.<p>Second <b>paragraph has
@@ -605,6 +650,24 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()} == left[3]
 
 
+def test_pipeline_on_odd_tables(spark, odd, empty, tmp_path):
+    """No rows, repeated ids, nulls everywhere and columns with the stages' own names: each stage keeps the columns."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, prose(77, 30)), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(1, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, docs in (("odd", odd), ("empty", empty)):
+        docs = docs.withColumns({"_f": F.lit(1), "_i": F.lit("i"), "_T": F.lit(2), "first": F.lit(True), "text_key": F.lit(0)})
+        now = docs
+        for stage, f in corpus_pipeline.STAGES[:-1]:
+            out = f(spark, now, str(tmp_path))
+            assert out.columns == docs.columns
+            out.write.parquet(str(tmp_path / name / stage))
+            now = spark.read.parquet(str(tmp_path / name / stage))
+        assert corpus_pipeline.pack(spark, now, str(tmp_path)).count() >= now.count()
+        assert name == "odd" or now.count() == 0
+
+
 def test_tokenizer_paths_are_parameters(spark):
     docs = spark.createDataFrame([(1, prose(1, 80))], "doc_id long, text string")
     path = fertility.default_paths()[0]
