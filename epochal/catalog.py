@@ -888,4 +888,4 @@ _matrix_query("principal_components", lambda spark, d: arrays.apply_filters(epoc
 _matrix_query("grid_clusters", lambda spark, d: group.grid_clusters(_matrix(spark, d).withColumn("value", F.col("value") - 0.05).withColumn("cond", F.lit("discount")), 0.0005))
 
 
-from epochal.queries import angles, arrays_more, decoding, design_more  # noqa: E402, F401  (they register themselves)
+from epochal.queries import angles, arrays_more, decoding, design_more, statistics  # noqa: E402, F401  (they register themselves)

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from epochal.functions.dist import normal_quantile, t_two_sided
 from epochal.operators import ordered
 
 
@@ -158,6 +159,14 @@ def correlate(pairs: DataFrame, by: list[str], x: str, y: str, kind: str = "pear
     return pairs.groupBy(*by).agg(F.corr(x, y).alias("r")).withColumn("fisher_z", F.when(F.abs("r") < 1, 0.5 * F.log((1 + F.col("r")) / (1 - F.col("r")))))
 
 
+def correlation_test(pairs: DataFrame, by: list[str], x: str, y: str, kind: str = "pearson", level: float = 0.05) -> DataFrame:
+    """(by, r, df, t, p, low, high): a correlation, its t test and the confidence interval by Fisher's z."""
+    r = correlate(pairs, by, x, y, kind).drop("fisher_z").join(pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by).agg((F.count(F.lit(1)) - 2).alias("df")), by)
+    r = r.withColumn("t", F.col("r") * F.sqrt(F.col("df") / (1 - F.col("r") * F.col("r"))))
+    reach = float(normal_quantile(np.array([1 - level / 2]))[0]) / F.sqrt(F.col("df") - 1)
+    return r.withColumns({"p": t_two_sided("t", F.col("df").cast("double")), "low": F.tanh(F.atanh("r") - reach), "high": F.tanh(F.atanh("r") + reach)})
+
+
 def snap_limits(data: DataFrame, low: float, high: float, t: str = "t") -> DataFrame:
     """Both ends move to the nearest value of the axis, then count as inside."""
     near = lambda x: F.min_by(t, F.struct(F.abs(F.col(t) - x), F.col(t)))
