@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from epochal.functions import text as T
 from epochal.functions.dist import t_two_sided, z_of
-from epochal.operators import arrays, behavior, circ, decode, design, group, metrics, prep, robust, signals
+from epochal.operators import arrays, behavior, circ, decode, design, files, group, linear, metrics, prep, robust, signals
 from epochal.registry import ANGLES, HOURS, KEY, MATRIX, ORACLES, QUERIES, SAMPLES, Query, entry, f_upper_sql, normal_sql, rounded, t_two_sided_sql
 from epochal.plans.levels import FirstLevel, GroupLevel, first_level, group_level
 from epochal.sources.adapters import behaviour, epochs, samples, table
+from epochal.streaming import events
 
 FLAGSHIP = "diag_lda_auc"
 _entry, _R, _S, _KEY = entry, rounded, SAMPLES, KEY
@@ -211,9 +212,9 @@ def _(spark, d):
     return prep.detrend(samples(spark, d)).select("trial_id", "t_idx", F.round("value", 5).alias("value"))
 
 
-@_entry("smooth_boxcar", f"WITH {_S} SELECT trial_id, event_code, t_idx, {_R('avg(value) OVER (PARTITION BY trial_id ORDER BY t_idx ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)', 'value')} FROM s")
+@_entry("smooth_boxcar", f"WITH {_S}, l AS (SELECT *, avg(value) FILTER (t_idx <= 6) OVER (PARTITION BY trial_id) AS l FROM s) SELECT trial_id, event_code, t_idx, {_R('l + sum(value - l) OVER (PARTITION BY trial_id ORDER BY t_idx ROWS 4 PRECEDING) / 5', 'value')} FROM l")
 def _(spark, d):
-    return prep.smooth(samples(spark, d), 5, ["trial_id"])
+    return linear.boxcar(samples(spark, d), 5, ["trial_id"]).select("trial_id", "event_code", "t_idx", "value")
 
 
 @_entry("nearest_sample", "WITH a AS (SELECT DISTINCT p_size AS t FROM part), q(target) AS (VALUES (7.5), (0.0), (1000.0), (12.2)) SELECT CAST(target AS DOUBLE) AS target, (SELECT arg_min(t, (abs(t - target), t)) FROM a) AS nearest FROM q")
@@ -276,9 +277,9 @@ def _(spark, d):
     return behavior.join_adjacent(behaviour(spark, d), "subject", ["time_ms", "event_id"])
 
 
-@_entry("duration_to_next", f"WITH {_B} SELECT event_id, lead(time_ms) OVER (PARTITION BY subject ORDER BY time_ms, event_id) - time_ms AS duration_ms FROM e")
+@_entry("duration_to_next", f"WITH {_B} SELECT event_id, COALESCE(lead(time_ms) OVER (PARTITION BY subject ORDER BY time_ms, event_id) - time_ms, CAST(ROUND(value) AS BIGINT)) AS duration_ms FROM e")
 def _(spark, d):
-    return behavior.duration_to_next(behaviour(spark, d), "subject", ["time_ms", "event_id"]).select("event_id", "duration_ms")
+    return behavior.duration_to_next(behaviour(spark, d).withColumn("duration_ms", F.round("value").cast("long")), "subject", ["time_ms", "event_id"]).select("event_id", "duration_ms")
 
 
 @_entry("role_runs", "WITH n AS (SELECT *, COALESCE(CAST(role <> lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS INT), 1) AS new FROM conversations), r AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS run FROM n) SELECT conv_id, CAST(run AS BIGINT) AS run, min(role) AS event, min(turn) AS first, count(*) AS n FROM r GROUP BY conv_id, run")
@@ -373,7 +374,13 @@ def _(spark, d):
     return group.permutation_masses(_by_hour(spark, d).withColumn("value", F.col("value") - 50), 50, 1.0)
 
 
-@_entry("permutation_p")
+@_entry(
+    "permutation_p",
+    f"""WITH {_HOURS}, f AS (SELECT rep, subject, sample, CASE WHEN rep = 0 OR floor((((rep * 7919 + subject * 104729) * 1103515245 + 12345) % 2147483648) / 65536.0) % 2 = 0 THEN 1.0 ELSE -1.0 END * (value - 50) AS value FROM h, generate_series(0, 50) AS g(rep)),
+ts AS (SELECT rep, sample, CASE WHEN count(*) > 1 AND stddev_samp(value) > 0 THEN avg(value) / (stddev_samp(value) / sqrt(count(*))) END AS t FROM f GROUP BY 1, 2), {_RUNS.format(th=1.0, by='rep, ')},
+c AS (SELECT rep, sum(abs(t)) AS mass FROM i GROUP BY rep, sign, g), m AS (SELECT rep, COALESCE(max(mass), 0.0) AS mass FROM generate_series(0, 50) AS g(rep) LEFT JOIN c USING (rep) GROUP BY rep)
+SELECT {_R('avg(CASE WHEN mass > (SELECT mass FROM m WHERE rep = 0) THEN 1.0 ELSE 0.0 END)', 'p')}, count(*) AS n FROM m WHERE rep > 0""",
+)
 def _(spark, d):
     return group.permutation_p(group.permutation_masses(_by_hour(spark, d).withColumn("value", F.col("value") - 50), 50, 1.0))
 
@@ -512,7 +519,14 @@ def _(spark, d):
     return robust.ideal_fourths(table(spark, d, "lineitem").select(F.col("l_returnflag").alias("g"), F.col("l_extendedprice").alias("value")), ["g"])
 
 
-@_entry("robust_bendcorr")
+def _bent(c: str) -> str:
+    return f"""m{c} AS (SELECT g, median({c}) AS m, count(*) AS n FROM b GROUP BY 1), d{c} AS (SELECT b.g, k, {c} AS v, m, n, abs({c} - m) AS d FROM b JOIN m{c} ON b.g = m{c}.g),
+w{c} AS (SELECT g, max(CASE WHEN i = floor(0.8 * n + 1e-9) THEN d END) AS w FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY d) AS i FROM d{c}) GROUP BY 1),
+l{c} AS (SELECT d.g, (sum(CASE WHEN abs((v - m) / w) <= 1 THEN v ELSE 0 END) + max(w) * (count(*) FILTER ((v - m) / w > 1) - count(*) FILTER ((v - m) / w < -1))) / (count(*) FILTER (abs((v - m) / w) <= 1)) AS l, max(w) AS w FROM d{c} d JOIN w{c} ON d.g = w{c}.g GROUP BY 1),
+"b{c}" AS (SELECT d.g, k, least(greatest((v - l) / w, -1), 1) AS e FROM d{c} d JOIN l{c} ON d.g = l{c}.g)"""
+
+
+@_entry("robust_bendcorr", f"WITH b AS (SELECT n_regionkey AS g, s_suppkey AS k, s_acctbal AS x, CAST(s_suppkey AS DOUBLE) AS y FROM supplier JOIN nation ON s_nationkey = n_nationkey), {_bent('x')}, {_bent('y')}, r AS (SELECT p.g, sum(p.e * q.e) / sqrt(sum(p.e * p.e) * sum(q.e * q.e)) AS r, count(*) - 2 AS df FROM bx p JOIN \"by\" q ON p.g = q.g AND p.k = q.k GROUP BY 1) SELECT g AS n_regionkey, {_R('r', 'r')}, df, {_R('r * sqrt(df / (1 - r * r))', 't')} FROM r WHERE df > 5")
 def _(spark, d):
     return robust.bend_correlation(table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("n_regionkey", F.col("s_acctbal").alias("x"), F.col("s_suppkey").cast("double").alias("y")), ["n_regionkey"], "x", "y").where("df > 5")
 
@@ -608,13 +622,13 @@ def _(spark, d):
 @_entry("quality_windows", "WITH w AS (SELECT time_bucket(INTERVAL 20 MINUTES, ts, TIMESTAMP '1970-01-01') - k * INTERVAL 20 MINUTES AS start, event_type FROM events, generate_series(0, 2) AS g(k)) SELECT epoch_us(start) // 1000000 AS start, event_type, count(*) AS n FROM w GROUP BY 1, 2")
 def _(spark, d):
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return e.groupBy(F.window("ts", "1 hour", "20 minutes"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.unix_timestamp("window.start").alias("start"), "event_type", "n")
+    return events.quality_windows(e).select(F.unix_timestamp("window.start").alias("start"), "event_type", "n")
 
 
 @_entry("event_sessions", "WITH g AS (SELECT user_id, ts, COALESCE(CAST(ts - lag(ts) OVER w >= INTERVAL 6 HOURS AS INT), 1) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, epoch_us(min(ts)) AS start, count(*) AS n FROM r GROUP BY user_id, k")
 def _(spark, d):
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return e.groupBy(F.session_window("ts", "6 hours"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.unix_micros("session_window.start").alias("start"), "n")
+    return events.sessions(e).select("user_id", F.unix_micros("session_window.start").alias("start"), "n")
 
 
 @_entry("circ_moment", f"WITH {_ANG}, p AS (SELECT g, count(*) AS n, sum(cos(2 * alpha)) AS c, sum(sin(2 * alpha)) AS s FROM a GROUP BY 1) SELECT g, {_R('sqrt(c * c + s * s) / n', 'rho')}, {_R('atan2(s, c)', 'mu')} FROM p")
@@ -638,28 +652,63 @@ def _(spark, d):
     return circ.angular_correlation(pairs)
 
 
-@_entry("robust_carling")
+@_entry(
+    "robust_carling",
+    f"""WITH r AS (SELECT l_returnflag AS flag, l_extendedprice AS v, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) AS i, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem), j AS (SELECT *, floor(n / 4.0 + 5 / 12.0) AS j, n / 4.0 + 5 / 12.0 - floor(n / 4.0 + 5 / 12.0) AS f FROM r),
+q AS (SELECT flag, (1 - max(f)) * max(CASE WHEN i = j THEN v END) + max(f) * max(CASE WHEN i = j + 1 THEN v END) AS lo, (1 - max(f)) * max(CASE WHEN i = n - j + 1 THEN v END) + max(f) * max(CASE WHEN i = n - j THEN v END) AS hi, median(v) AS m, (17.63 * max(n) - 23.64) / (7.74 * max(n) - 3.71) AS k FROM j GROUP BY 1)
+SELECT flag, count(*) FILTER (abs(l_extendedprice - m) > k * (hi - lo)) AS n_out FROM lineitem JOIN q ON l_returnflag = flag GROUP BY 1""",
+)
 def _(spark, d):
     out = robust.carling(table(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_extendedprice").alias("value")), ["flag"])
     return out.groupBy("flag").agg(F.sum(F.col("outlier").cast("long")).alias("n_out"))
 
 
-@_entry("rank_statistics")
+@_entry(
+    "rank_statistics",
+    f"""WITH e AS (SELECT user_id AS subject, value AS x, CAST(hour(ts) AS DOUBLE) AS y, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+p AS (SELECT a.subject, a.n, sign(a.x - b.x) AS dx, sign(a.y - b.y) AS dy, abs(a.x - b.x) AS gap, (a.x + b.x) / 2 AS walsh FROM e a JOIN e b ON a.subject = b.subject AND a.i < b.i),
+t AS (SELECT subject, sum(dx * dy) AS s, sqrt(CAST(count(*) FILTER (dx <> 0) AS DOUBLE) * count(*) FILTER (dy <> 0)) AS scale FROM p GROUP BY 1),
+w AS (SELECT subject, median(walsh) AS location FROM (SELECT subject, walsh FROM p UNION ALL SELECT subject, x FROM e) GROUP BY 1),
+g AS (SELECT subject, n, gap, row_number() OVER (PARTITION BY subject ORDER BY gap) AS r FROM p),
+q AS (SELECT subject, 2.2219 * gap * CASE WHEN n <= 9 THEN [0.399, 0.994, 0.512, 0.844, 0.611, 0.857, 0.669, 0.872][n - 1] WHEN n % 2 = 1 THEN n / (n + 1.4) ELSE n / (n + 3.8) END AS qn FROM g WHERE r = (n // 2 + 1) * (n // 2) // 2)
+SELECT w.subject, {_R('CASE WHEN scale > 0 THEN s / scale END', 'tau')}, {_R('location', 'location')}, {_R('qn', 'qn')} FROM w LEFT JOIN t ON w.subject = t.subject LEFT JOIN q ON w.subject = q.subject""",
+)
 def _(spark, d):
     return group.rank_statistics(table(spark, d, "events").select(F.col("user_id").alias("subject"), "value", F.hour(F.col("ts").cast("timestamp")).cast("double").alias("hour")), ["subject"], "value", "hour")
 
 
-@_entry("first_level_plan")
+@_entry(
+    "first_level_plan",
+    f"""WITH b AS (SELECT vec_id, label // 2 AS label, embedding, row_number() OVER (PARTITION BY label // 2 ORDER BY {_KEY}) AS r FROM embeddings WHERE label < 4), m AS (SELECT min(c) AS n FROM (SELECT count(*) AS c FROM b GROUP BY label)),
+f AS (SELECT b.vec_id, b.label, b.embedding, CAST((SELECT min(k) FROM generate_series(1, 5) AS g(k) WHERE b.r <= ROUND(CAST(k * m.n AS DOUBLE) / 5)) AS BIGINT) AS fold FROM b, m WHERE b.r <= m.n),
+x AS (SELECT vec_id, label, fold, i AS chan, CAST(embedding[i] AS DOUBLE) AS v FROM f, generate_series(1, 64) AS g(i)),
+t AS (SELECT k AS fold, chan, avg(v) FILTER (label = 0) AS m0, avg(v) FILTER (label = 1) AS m1, (var_pop(v) FILTER (label = 0) * count(*) FILTER (label = 0) + var_pop(v) FILTER (label = 1) * count(*) FILTER (label = 1)) / (count(*) - 2) AS s FROM x, generate_series(1, 5) AS g(k) WHERE x.fold <> k GROUP BY k, chan),
+sc AS (SELECT x.fold, x.vec_id, x.label, ROUND(sum((m1 - m0) / s * (v - (m0 + m1) / 2.0)), 7) AS score FROM x JOIN t ON x.fold = t.fold AND x.chan = t.chan GROUP BY ALL),
+rk AS (SELECT *, rank() OVER (PARTITION BY fold ORDER BY score) + (count(*) OVER (PARTITION BY fold, score) - 1) / 2.0 AS r FROM sc)
+SELECT fold, ROUND((sum(r) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2.0) / (count(*) FILTER (label = 1) * count(*) FILTER (label = 0)), 6) + 0.0 AS auc FROM rk GROUP BY fold""",
+)
 def _(spark, d):
     return first_level(epochs(spark, d), FirstLevel({1: [0, 1], 2: [2, 3]}, folds=5, method="diagLinear"))
 
 
-@_entry("group_level_plan")
+@_entry(
+    "group_level_plan",
+    f"""WITH {_HOURS}, g AS (SELECT sample, avg(value) AS mean, count(*) - 1 AS df, (avg(value) - 50.0) / (stddev_samp(value) / sqrt(count(*))) AS t FROM h GROUP BY 1 HAVING count(*) > 1 AND stddev_samp(value) > 0), p AS (SELECT *, {t_two_sided_sql('t', 'df')} AS p FROM g),
+r AS (SELECT *, row_number() OVER (ORDER BY p, sample) AS rank, count(*) OVER () AS m FROM p), c AS (SELECT max(p) AS crit FROM r WHERE p <= rank * 0.05 / m)
+SELECT sample, {_R('mean', 'mean')}, df, {_R('t', 't')}, {_R('p', 'p')}, 'all' AS family, rank, {_R('crit', 'crit')}, COALESCE(p <= crit, false) AS h FROM r, c""",
+)
 def _(spark, d):
     return group_level(_by_hour(spark, d), GroupLevel(chance=50.0, correction="fdr_bh"))
 
 
-@_entry("group_cluster_plan")
+@_entry(
+    "group_cluster_plan",
+    f"""WITH {_HOURS}, f AS (SELECT rep, subject, sample, CASE WHEN rep = 0 OR floor((((rep * 7919 + subject * 104729) * 1103515245 + 12345) % 2147483648) / 65536.0) % 2 = 0 THEN 1.0 ELSE -1.0 END * (value - 50) AS value FROM h, generate_series(0, 100) AS g(rep)),
+ts AS (SELECT rep, sample, CASE WHEN count(*) > 1 AND stddev_samp(value) > 0 THEN avg(value) / (stddev_samp(value) / sqrt(count(*))) END AS t FROM f GROUP BY 1, 2), {_RUNS.format(th=0.5, by='rep, ')},
+c AS (SELECT rep, sum(abs(t)) AS mass FROM i GROUP BY rep, sign, g), m AS (SELECT rep, COALESCE(max(mass), 0.0) AS mass FROM generate_series(0, 100) AS g(rep) LEFT JOIN c USING (rep) GROUP BY rep),
+o AS (SELECT sign, min(sample) AS first, max(sample) AS last, count(*) AS size, sum(abs(t)) AS mass, arg_max(sample, (abs(ROUND(t, 9)), -sample)) AS peak_t FROM i WHERE rep = 0 GROUP BY sign, g)
+SELECT sign, first, last, size, {_R('o.mass', 'mass')}, peak_t, {_R('(SELECT avg(CASE WHEN m.mass > o.mass THEN 1.0 ELSE 0.0 END) FROM m WHERE rep > 0)', 'p')} FROM o""",
+)
 def _(spark, d):
     return group_level(_by_hour(spark, d), GroupLevel(chance=50.0, correction="cluster", threshold=0.5, replicates=100))
 
@@ -885,7 +934,14 @@ _matrix_query("oversample_adasyn", lambda spark, d: decode.oversample(epochs(spa
 _matrix_query("tfr_hann_power", lambda spark, d: arrays.spectral_power(epochs(spark, d), 64.0, [4.0, 8.0, 16.0]))
 _matrix_query("robust_detrend", lambda spark, d: arrays.robust_detrend(epochs(spark, d), 1).select("trial_id", F.posexplode("x").alias("t_idx", "value")))
 _matrix_query("principal_components", lambda spark, d: arrays.apply_filters(epochs(spark, d), arrays.principal(arrays.covariance(epochs(spark, d))[0])[1][:, :3]).select("trial_id", F.posexplode("x").alias("component", "value")))
-_matrix_query("grid_clusters", lambda spark, d: group.grid_clusters(_matrix(spark, d).withColumn("value", F.col("value") - 0.05).withColumn("cond", F.lit("discount")), 0.0005))
+def _islands(sign: int) -> str:
+    n = "p" if sign > 0 else "n"
+    return f"""k{n} AS (SELECT "row" AS r, col AS c, value - 0.05 AS value, col * 1000 + "row" AS id FROM m WHERE {sign} * (value - 0.05) > 0.0005),
+z{n}(id, r, c, top) AS (SELECT id, r, c, id FROM k{n} UNION SELECT k.id, k.r, k.c, z.top FROM z{n} z JOIN k{n} k ON abs(k.r - z.r) <= 1 AND abs(k.c - z.c) <= 1),
+t{n} AS (SELECT id, min(top) AS top FROM z{n} GROUP BY 1), c{n} AS (SELECT {sign} AS sign, dense_rank() OVER (ORDER BY top) AS cluster, value FROM t{n} JOIN k{n} USING (id))"""
+
+
+_entry("grid_clusters", f"WITH RECURSIVE {_MATRIX}, {_islands(1)}, {_islands(-1)} SELECT 'discount' AS cond, sign, cluster, count(*) AS size, {_R('sum(abs(value))', 'mass')} FROM (SELECT * FROM cp UNION ALL SELECT * FROM cn) GROUP BY sign, cluster")(lambda spark, d: group.grid_clusters(_matrix(spark, d).withColumn("value", F.col("value") - 0.05).withColumn("cond", F.lit("discount")), 0.0005))
 
 
 from epochal.queries import angles, arrays_more, decoding, design_more, statistics  # noqa: E402, F401  (they register themselves)

@@ -17,8 +17,8 @@ def add_responses(stimuli: DataFrame, responses: DataFrame, start: int = 200, st
     own = responses.select("subject", F.col("time_ms").alias("response_ms"), F.col("event_id").alias("response_id")).withColumn("bucket", F.expr(f"response_ms div {bucket}"))
     hits = wide.join(own, ["subject", "bucket"]).where(F.col("response_ms").between(F.col("time_ms") + start, F.col("time_ms") + stop))
     pick = (F.max_by if last else F.min_by)(F.struct("response_ms", "response_id"), F.struct("response_ms", "response_id"))
-    best = hits.groupBy("event_id").agg(pick.alias("r")).select("event_id", F.col("r.response_ms").alias("response_ms"), F.col("r.response_id").alias("response_id"))
-    return stimuli.join(best, "event_id", "left").withColumn("rt_ms", F.col("response_ms") - F.col("time_ms"))
+    best = hits.groupBy("subject", "event_id").agg(pick.alias("r")).select("subject", "event_id", F.col("r.response_ms").alias("response_ms"), F.col("r.response_id").alias("response_id"))
+    return stimuli.join(best, ["subject", "event_id"], "left").withColumn("rt_ms", F.col("response_ms") - F.col("time_ms"))
 
 
 def join_adjacent(events: DataFrame, by: str, order: list[str], event: str = "event") -> DataFrame:
@@ -29,7 +29,8 @@ def join_adjacent(events: DataFrame, by: str, order: list[str], event: str = "ev
     return runs.groupBy(by, "run").agg(F.first(event).alias("event"), F.min(order[0]).alias("first"), F.count(F.lit(1)).alias("n"))
 
 
-def duration_to_next(events: DataFrame, by: str, order: list[str]) -> DataFrame:
-    """Adds the time to the subject's next event; null for the last."""
+def duration_to_next(events: DataFrame, by: str, order: list[str], own: str = "duration_ms") -> DataFrame:
+    """The time to the subject's next event as ``duration_ms``; the last event keeps its own duration (null if it has none)."""
     w = Window.partitionBy(by).orderBy(*order)
-    return events.withColumn("duration_ms", F.lead(order[0]).over(w) - F.col(order[0]))
+    kept = F.col(own) if own in events.columns else F.lit(None).cast("long")
+    return events.withColumn("duration_ms", F.coalesce(F.lead(order[0]).over(w) - F.col(order[0]), kept))

@@ -199,6 +199,10 @@ def randomisation_p(values: DataFrame, by: list[str]) -> DataFrame:
     return values.where("rep > 0").join(observed, by).groupBy(*by).agg(F.avg((F.col("value") >= F.col("observed")).cast("double")).alias("p"))
 
 
+# fixed values: factors of the Qn scale in samples of 2 to 9
+SMALL_QN = {2: 0.399, 3: 0.994, 4: 0.512, 5: 0.844, 6: 0.611, 7: 0.857, 8: 0.669, 9: 0.872}
+
+
 def rank_statistics(pairs: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """Per group Kendall's tau-b, the Hodges-Lehmann location and Qn scale of x; a group is one subject's trials."""
 
@@ -210,7 +214,8 @@ def rank_statistics(pairs: DataFrame, by: list[str], x: str, y: str) -> DataFram
         h = len(a) // 2 + 1
         gaps = np.sort(np.abs(a[i] - a[j]))
         n = len(a)
-        qn = 2.2219 * gaps[h * (h - 1) // 2 - 1] * (n / (n + 1.4) if n % 2 else n / (n + 3.8)) if n > 9 else float("nan")
+        factor = SMALL_QN.get(n, n / (n + 1.4) if n % 2 else n / (n + 3.8))
+        qn = 2.2219 * gaps[h * (h - 1) // 2 - 1] * factor if n > 1 else float("nan")
         walsh = np.concatenate([(a[i] + a[j]) / 2, a])
         return own[by].iloc[:1].assign(tau=float((dx * dy).sum() / scale) if scale else None, location=float(np.median(walsh)), qn=None if np.isnan(qn) else qn)
 

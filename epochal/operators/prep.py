@@ -29,17 +29,17 @@ def select_time(data: DataFrame, low: float, high: float, t: str = "t_idx") -> D
 
 
 def select_trials(data: DataFrame, index: DataFrame) -> DataFrame:
-    """The trials of index(place, trial_id), in its order, repeats included."""
+    """The trials of index(place, trial_id), repeats included; ``place`` is what to order them by."""
     return data.join(index, "trial_id")
 
 
 def nearest(axis: DataFrame, targets: DataFrame, at: str = "t") -> DataFrame:
     """For every target(target) the axis value nearest to it; the lower of ties; beyond the ends the end.
 
-    ``axis`` is a time or frequency axis (a row for each sample of one recording), not data.
+    Targets are a stated list: it is broadcast, and each task keeps one candidate for each target.
     """
     best = F.min_by(at, F.struct(F.abs(F.col(at) - F.col("target")), F.col(at)))
-    return targets.join(axis.select(F.collect_set(at).alias("all")), how="cross").select("target", F.explode("all").alias(at)).groupBy("target").agg(best.alias("nearest"))
+    return axis.select(at).join(F.broadcast(targets.select("target").distinct()), how="cross").groupBy("target").agg(best.alias("nearest"))
 
 
 _METHODS = ("absolute", "relative", "relchange", "vssum", "db")
@@ -87,12 +87,6 @@ def detrend(data: DataFrame, by: list[str] = ["trial_id"]) -> DataFrame:  # noqa
     return data.withColumn("slope", slope).withColumn("level", (sv - F.col("slope") * st) / n).withColumn("value", F.col("value") - F.col("level") - F.col("slope") * F.col("t_idx")).drop("slope", "level")
 
 
-def smooth(data: DataFrame, width: int, by: list[str]) -> DataFrame:
-    """Causal boxcar: the mean of a sample and the width - 1 before it."""
-    frame = Window.partitionBy(*by).orderBy("t_idx").rowsBetween(-(width - 1), 0)
-    return data.withColumn("value", F.avg("value").over(frame))
-
-
 def flatlines(data: DataFrame, by: list[str], least: int, jitter: float) -> DataFrame:
     """Runs of at least ``least`` steps in which neighbours differ by less than ``jitter``: (by, first, last, steps)."""
     w = Window.partitionBy(*by).orderBy("t_idx")

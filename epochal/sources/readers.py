@@ -6,20 +6,22 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from epochal.functions import text as T
+from epochal.operators.results import next_run
 
-LOG_COLUMNS = ["subject", "trial", "event_type", "code", "time", "ttime"]
+LOG_COLUMNS = ["subject", "trial", "event_type", "code", "time", "ttime", "uncertainty", "duration", "req_time", "req_dur"]
+TIMES = ["time", "ttime", "uncertainty", "duration", "req_time", "req_dur"]
 
 
 def presentation_log(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of tab-separated experiment logs (file, subject, trial, event_type, code, time_ms, ttime_ms).
+    """Rows of tab-separated experiment logs: file, subject, trial, event_type, code and the six times in milliseconds.
 
     Header and blank lines have no numeric time and go; spaces in names become underscores; ticks of a tenth
     of a millisecond are rounded to milliseconds; short rows keep the fields that they have.
     """
     parts = F.split("value", "\t")
     rows = spark.read.text(path).select(F.input_file_name().alias("file"), *[F.try_element_at(parts, F.lit(i + 1)).alias(c) for i, c in enumerate(LOG_COLUMNS)])
-    number = lambda c: F.round(F.col(c).try_cast("double") / 10).cast("long")
-    return rows.where(F.col("time").try_cast("double").isNotNull()).select("file", "subject", F.col("trial").try_cast("int").alias("trial"), T.underscored("event_type").alias("event_type"), "code", number("time").alias("time_ms"), number("ttime").alias("ttime_ms"))
+    times = [F.round(F.col(c).try_cast("double") / 10).cast("long").alias(f"{c}_ms") for c in TIMES]
+    return rows.where(F.col("time").try_cast("double").isNotNull()).select("file", "subject", F.col("trial").try_cast("int").alias("trial"), T.underscored("event_type").alias("event_type"), "code", *times)
 
 
 def psychopy_logs(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -37,9 +39,20 @@ def electrodes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.size(parts) >= 4).select(parts[0].alias("label"), *[parts[i + 1].cast("double").alias(c) for i, c in enumerate("xyz")])
 
 
-def write_results(results: DataFrame, path: str, by: list[str]) -> None:
-    """Result tables by condition, channel set or frequency; a later run adds its own iteration."""
-    results.write.mode("append").partitionBy(*by).parquet(path)
+def write_results(results: DataFrame, path: str, by: list[str], iteration: int | None = None) -> int:
+    """Result tables by condition, channel set or frequency, and by run: returns the run's number.
+
+    Without a number a run takes the smallest that is free; with one it replaces what that run wrote before, so
+    a repeated run doubles nothing.
+    """
+    spark = results.sparkSession
+    if iteration is None:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+        iteration = next_run(spark.read.parquet(path)).first()[0] if there else 1
+    numbered = results.withColumn("iteration", F.lit(iteration))
+    numbered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("iteration", *by).parquet(path)
+    return iteration
 
 
 def write_clusters(clusters: DataFrame, path: str) -> None:

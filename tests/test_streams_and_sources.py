@@ -47,9 +47,9 @@ def test_sessions(spark, stream):
 
 
 def test_presentation_log(spark, tmp_path):
-    (tmp_path / "a.log").write_text("Scenario\tx\nLog\ty\n\nSubject\tTrial\tEvent Type\tCode\tTime\tTTime\n\nS1\t1\tPicture One\t12\t10004\t5\nS1\t2\tResponse\t1\t10016\nS1\tx\n")
+    (tmp_path / "a.log").write_text("Scenario\tx\nLog\ty\n\nSubject\tTrial\tEvent Type\tCode\tTime\tTTime\n\nS1\t1\tPicture One\t12\t10004\t5\t1\t2500\t0\tnext\nS1\t2\tResponse\t1\t10016\nS1\tx\n")
     rows = readers.presentation_log(spark, str(tmp_path / "a.log")).orderBy("time_ms").collect()
-    assert [(r.event_type, r.code, r.time_ms, r.ttime_ms) for r in rows] == [("Picture_One", "12", 1000, 1), ("Response", "1", 1002, None)]
+    assert [(r.event_type, r.code, r.time_ms, r.ttime_ms, r.duration_ms, r.req_dur_ms) for r in rows] == [("Picture_One", "12", 1000, 1, 250, None), ("Response", "1", 1002, None, None, None)]
 
 
 def test_psychopy_and_electrodes(spark, tmp_path):
@@ -61,7 +61,9 @@ def test_psychopy_and_electrodes(spark, tmp_path):
 
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1, 0.5), ("b", 2, None)], "cond string, cluster int, p double")
-    readers.write_results(rows, str(tmp_path / "r"), ["cond"])
-    assert spark.read.parquet(str(tmp_path / "r")).count() == 2
+    place = str(tmp_path / "r")
+    assert [readers.write_results(rows, place, ["cond"]) for _ in range(3)] == [1, 2, 3]
+    assert readers.write_results(rows, place, ["cond"], iteration=2) == 2  # again: nothing is doubled
+    assert [(r.iteration, r["count"]) for r in spark.read.parquet(place).groupBy("iteration").count().orderBy("iteration").collect()] == [(1, 2), (2, 2), (3, 2)]
     readers.write_clusters(rows, str(tmp_path / "c"))
     assert "cluster: 2" in "\n".join(r[0] for r in spark.read.text(str(tmp_path / "c")).collect())
