@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from epochal.functions import text as T
 from epochal.functions.dist import t_two_sided, z_of
-from epochal.operators import arrays, behavior, circ, decode, design, files, group, linear, metrics, prep, robust, signals
+from epochal.operators import arrays, behavior, circ, decode, design, files, group, linear, metrics, prep, results, robust, signals
 from epochal.registry import ANGLES, HOURS, KEY, MATRIX, ORACLES, QUERIES, SAMPLES, Query, entry, f_upper_sql, normal_sql, rounded, t_two_sided_sql
 from epochal.plans.levels import FirstLevel, GroupLevel, first_level, group_level
 from epochal.sources.adapters import behaviour, epochs, samples, table
@@ -131,25 +131,25 @@ def _(spark, d):
 
 
 _CENTROIDS = f"""{_S}, c AS (SELECT event_code AS class, t_idx, avg(value) AS m FROM s GROUP BY 1, 2),
-sc AS (SELECT s.trial_id, s.event_code AS label, c.class, ROUND(-sum((value - m) * (value - m)), 7) AS score FROM s JOIN c USING (t_idx) WHERE s.event_code < 4 AND c.class < 4 GROUP BY 1, 2, 3)"""
+sc AS (SELECT s.trial_id, s.event_code AS label, c.class, ROUND(-sum((value - m) * (value - m)), 7) AS score FROM s JOIN c USING (t_idx) GROUP BY 1, 2, 3)"""
 
 
 def _centroid_scores(spark: SparkSession, d: str) -> DataFrame:
     s = samples(spark, d)
     c = s.groupBy(F.col("event_code").alias("class"), "t_idx").agg(F.avg("value").alias("m"))
-    joined = s.where("event_code < 4").join(F.broadcast(c.where("class < 4")), "t_idx")  # four classes' means
+    joined = s.join(F.broadcast(c), "t_idx")  # each class's mean at each sample
     return joined.groupBy("trial_id", F.col("event_code").alias("label"), "class").agg(F.round(-F.sum((F.col("value") - F.col("m")) * (F.col("value") - F.col("m"))), 7).alias("score"))
 
 
 @_entry(
     "auc_multiclass",
-    f"""WITH {_CENTROIDS}, p AS (SELECT sc.*, o AS other FROM sc, generate_series(0, 3) AS g(o) WHERE o <> class AND (label = class OR label = o)),
+    f"""WITH {_CENTROIDS}, p AS (SELECT sc.*, o AS other FROM sc, generate_series(0, 9) AS g(o) WHERE o <> class AND (label = class OR label = o)),
 r AS (SELECT *, rank() OVER (PARTITION BY class, other ORDER BY score) + (count(*) OVER (PARTITION BY class, other, score) - 1) / 2.0 AS r FROM p),
 a AS (SELECT class, other, CAST(count(*) FILTER (label = class) AS DOUBLE) AS p, CAST(count(*) FILTER (label <> class) AS DOUBLE) AS n, sum(r) FILTER (label = class) AS s FROM r GROUP BY 1, 2)
 SELECT 'all' AS set, {_R('avg((s - p * (p + 1) / 2.0) / (p * n))', 'auc')}, count(*) AS n_pairs FROM a""",
 )
 def _(spark, d):
-    return metrics.auc_multiclass(_centroid_scores(spark, d).withColumn("set", F.lit("all")), [0, 1, 2, 3], ["set"])
+    return metrics.auc_multiclass(_centroid_scores(spark, d).withColumn("set", F.lit("all")), list(range(10)), ["set"])
 
 
 _ASSIGNED = f"{_CENTROIDS}, a AS (SELECT trial_id, label, arg_min(class, (-score, class)) AS assigned FROM sc GROUP BY 1, 2)"
@@ -536,13 +536,13 @@ def _(spark, d):
 
 @_entry("grouptrain_pairs", "SELECT a.n_name AS train, b.n_name AS test FROM nation a, nation b WHERE a.n_nationkey <> b.n_nationkey")
 def _(spark, d):
-    n = table(spark, d, "nation")  # a dimension of 25 rows
-    return n.select(F.col("n_nationkey").alias("a"), F.col("n_name").alias("train")).join(F.broadcast(n.select(F.col("n_nationkey").alias("b"), F.col("n_name").alias("test"))), F.col("a") != F.col("b")).select("train", "test")
+    return files.train_test_pairs(table(spark, d, "nation"), "n_name")
 
 
 @_entry("missing_results", "SELECT n_name FROM nation WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 9000)")
 def _(spark, d):
-    return table(spark, d, "nation").join(table(spark, d, "supplier").where("s_acctbal > 9000"), F.col("n_nationkey") == F.col("s_nationkey"), "left_anti").select("n_name")
+    there = table(spark, d, "supplier").where("s_acctbal > 9000").withColumnRenamed("s_nationkey", "n_nationkey")
+    return files.missing(table(spark, d, "nation"), there, ["n_nationkey"]).select("n_name")
 
 
 @_entry("underscored_names", "SELECT p_partkey, replace(p_type, ' ', '_') AS name, (p_size - 1) % 24 + 1 AS slot FROM part")
@@ -578,7 +578,7 @@ def _(spark, d):
 
 @_entry("average_stats", f"WITH {_SUPP} SELECT subject, {_R('avg(value)', 'value')} FROM q GROUP BY 1")
 def _(spark, d):
-    return _by_supplier(spark, d).groupBy("subject").agg(F.avg("value").alias("value"))
+    return results.average(_by_supplier(spark, d), ["cond"]).drop("n")
 
 
 @_entry("randomisation_p", "WITH v AS (SELECT l_suppkey AS subject, l_linenumber - 1 AS rep, avg(l_tax) AS value FROM lineitem GROUP BY 1, 2) SELECT a.subject, ROUND(avg(CASE WHEN a.value >= b.value THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS p FROM v a JOIN v b ON a.subject = b.subject AND b.rep = 0 WHERE a.rep > 0 GROUP BY 1")
@@ -589,8 +589,7 @@ def _(spark, d):
 
 @_entry("job_expansion", "SELECT r_name, n_name, f AS fold FROM region, nation, generate_series(1, 3) AS g(f)")
 def _(spark, d):
-    jobs = table(spark, d, "region").select("r_name").join(F.broadcast(table(spark, d, "nation").select("n_name")), how="cross")  # dimensions of 5 and 25 rows
-    return jobs.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(3))))
+    return files.job_arguments([table(spark, d, "region").select("r_name"), table(spark, d, "nation").select("n_name"), spark.range(1, 4).withColumnRenamed("id", "fold")])
 
 
 @_entry("weighted_mean", f"SELECT l_returnflag, {_R('sum(l_extendedprice * l_quantity) / nullif(sum(l_quantity), 0)', 'value')} FROM lineitem GROUP BY 1")
@@ -603,15 +602,15 @@ def _(spark, d):
     return arrays.grow_mask(samples(spark, d).withColumn("mask", F.abs("value") > 0.25), 2, ["trial_id"]).select("trial_id", "t_idx", "mask")
 
 
-@_entry("array_xcov", f"WITH {_S} SELECT a.t_idx AS i, b.t_idx AS j, {_R('sum(a.value * b.value)', 'sum')} FROM s a JOIN s b ON a.trial_id = b.trial_id WHERE a.t_idx <= 8 AND b.t_idx > 56 GROUP BY 1, 2")
+@_entry("array_xcov", f"WITH {_S} SELECT a.t_idx AS i, b.t_idx AS j, {_R('sum(a.value * b.value)', 'sum')} FROM s a JOIN s b ON a.trial_id = b.trial_id WHERE a.t_idx <= 32 AND b.t_idx > 32 GROUP BY 1, 2")
 def _(spark, d):
     s = samples(spark, d)
-    return arrays.cross_covariance(s.where("t_idx <= 8"), s.where("t_idx > 56"), "trial_id")
+    return arrays.cross_covariance(s.where("t_idx <= 32"), s.where("t_idx > 32"), "trial_id")
 
 
-@_entry("array_unfold", f"WITH {_S} SELECT trial_id, len(list(value ORDER BY t_idx)) AS n, {_R('list(value ORDER BY t_idx)[5]', 'fifth')} FROM s WHERE t_idx % 2 = 1 GROUP BY 1")
+@_entry("array_unfold", f"WITH {_S} SELECT trial_id, len(list(value ORDER BY t_idx)) AS n, {_R('list(value ORDER BY t_idx)[5]', 'fifth')} FROM s GROUP BY 1")
 def _(spark, d):
-    return arrays.unfold(samples(spark, d).where("t_idx % 2 = 1"), ["trial_id"]).select("trial_id", F.size("x").alias("n"), F.col("x")[4].alias("fifth"))
+    return arrays.unfold(samples(spark, d), ["trial_id"]).select("trial_id", F.size("x").alias("n"), F.col("x")[4].alias("fifth"))
 
 
 @_entry("smooth_grid", f"WITH {_MATRIX} SELECT a.\"row\", a.col, {_R('avg(b.value)', 'value')} FROM m a JOIN m b ON abs(a.\"row\" - b.\"row\") <= 1 AND abs(a.col - b.col) <= 1 GROUP BY 1, 2")
@@ -743,13 +742,13 @@ def _(spark, d):
 @_entry("codes_in_both", "SELECT p_brand FROM part WHERE p_size < 10 INTERSECT SELECT p_brand FROM part WHERE p_size > 40")
 def _(spark, d):
     p = table(spark, d, "part")
-    return p.where("p_size < 10").select("p_brand").intersect(p.where("p_size > 40").select("p_brand"))
+    return files.in_both(p.where("p_size < 10").select("p_brand"), p.where("p_size > 40").select("p_brand"))
 
 
 @_entry("codes_in_one", "SELECT p_type FROM part WHERE p_size < 10 EXCEPT SELECT p_type FROM part WHERE p_size > 48")
 def _(spark, d):
     p = table(spark, d, "part")
-    return p.where("p_size < 10").select("p_type").subtract(p.where("p_size > 48").select("p_type"))
+    return files.only_in_first(p.where("p_size < 10").select("p_type"), p.where("p_size > 48").select("p_type"))
 
 
 @_entry("text_to_number", "SELECT c_custkey, CAST(regexp_extract(c_name, '([0-9]+)$', 1) AS DOUBLE) AS number, c_mktsegment || '_' || c_nationkey AS code FROM customer")
@@ -930,7 +929,7 @@ _matrix_query("lda_whitened", lambda spark, d: metrics.auc(decode.decode_folds(_
 _matrix_query("lda_quadratic", lambda spark, d: metrics.auc(decode.decode_folds(_two_classes(spark, d), "quadratic").where("class = 1"), ["fold"]))
 _matrix_query("weights_and_patterns", lambda spark, d: decode.weights_and_patterns(_two_classes(spark, d).withColumn("subject", F.lit("s1"))))
 _matrix_query("forward_model", lambda spark, d: decode.forward_model(design.folds(epochs(spark, d).where("event_code < 10").withColumn("class", F.col("event_code")), 5), 10))
-_matrix_query("oversample_adasyn", lambda spark, d: decode.oversample(epochs(spark, d).where("event_code < 3").withColumn("class", F.col("event_code")).withColumn("subject", F.lit("s1"))).groupBy("class").agg(F.count(F.lit(1)).alias("n")))
+_matrix_query("oversample_adasyn", lambda spark, d: decode.oversample(epochs(spark, d).withColumn("class", F.col("event_code")).withColumn("subject", F.lit("s1"))).groupBy("class").agg(F.count(F.lit(1)).alias("n")))
 _matrix_query("tfr_hann_power", lambda spark, d: arrays.spectral_power(epochs(spark, d), 64.0, [4.0, 8.0, 16.0]))
 _matrix_query("robust_detrend", lambda spark, d: arrays.robust_detrend(epochs(spark, d), 1).select("trial_id", F.posexplode("x").alias("t_idx", "value")))
 _matrix_query("principal_components", lambda spark, d: arrays.apply_filters(epochs(spark, d), arrays.principal(arrays.covariance(epochs(spark, d))[0])[1][:, :3]).select("trial_id", F.posexplode("x").alias("component", "value")))

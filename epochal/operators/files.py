@@ -50,3 +50,13 @@ def job_arguments(lists: list[DataFrame], together: bool = False) -> DataFrame:
 def delimited(table: DataFrame, delimiter: str = ",") -> DataFrame:
     """Rows as text for a text sink; null cells are empty."""
     return table.select(F.concat_ws(delimiter, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in table.columns]).alias("value"))
+
+
+def in_both(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Distinct rows that both lists have."""
+    return a.intersect(b)
+
+
+def only_in_first(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Distinct rows of the first list that the second has not."""
+    return a.subtract(b)
