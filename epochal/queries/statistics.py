@@ -31,9 +31,9 @@ def _(spark, d):
     return scale.median_deviation(_values(spark, d), ["g"])
 
 
-@entry("median_deviation_small", f"WITH v AS (SELECT l_orderkey AS g, l_extendedprice AS value FROM lineitem), m AS (SELECT g, median(value) AS m, count(*) AS n FROM v GROUP BY 1), d AS (SELECT v.*, m, n, abs(value - m) AS d FROM v JOIN m ON v.g = m.g) SELECT g, {_R('max(m)', 'location')}, {_R(f'CASE WHEN median(d) = 0 THEN max(m) ELSE {_MADC} END', 'scale')} FROM d GROUP BY g, n")
+@entry("median_deviation_small", f"WITH v AS (SELECT l_orderkey AS g, l_extendedprice AS value FROM lineitem), m AS (SELECT g, median(value) AS m, count(*) AS n FROM v GROUP BY 1), d AS (SELECT v.*, m, n, abs(value - m) AS d FROM v JOIN m ON v.g = m.g) SELECT g, {_R('max(m)', 'location')}, ROUND(CASE WHEN median(d) = 0 THEN max(m) ELSE {_MADC} END, 3) + 0.0 AS scale FROM d GROUP BY g, n")
 def _(spark, d):
-    return scale.median_deviation(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("g"), F.col("l_extendedprice").alias("value")), ["g"])
+    return scale.median_deviation(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("g"), F.col("l_extendedprice").alias("value")), ["g"]).withColumn("scale", F.round("scale", 3))
 
 
 @entry("robust_scores", f"WITH {_MED}, k AS (SELECT g, {_MADC} AS s FROM d GROUP BY g, n) SELECT d.g, {_R('(value - m) / s', 'value')} FROM d JOIN k ON d.g = k.g")
