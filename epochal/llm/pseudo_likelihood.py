@@ -279,7 +279,7 @@ def numbered(docs: DataFrame, counts: DataFrame, known: np.ndarray) -> tuple[Dat
 def _numbers_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Word numbers of a batch and where each document's begin."""
     _, where, what = column.buffers()
-    offsets = np.frombuffer(where, dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    offsets = np.frombuffer(where, dtype=np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
     data = np.frombuffer(what, dtype="<u2") if what is not None and what.size else np.zeros(0, "<u2")
     return data[offsets[0] // 2 : offsets[-1] // 2].astype(np.int64), (offsets - offsets[0]) // 2
 
