@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from epochal.llm import crf, decontamination, fertility, language, minhash, packing, pseudo_likelihood, sharding, toxicity, warc
+from epochal.llm import collocations, crf, decontamination, fertility, language, minhash, packing, pseudo_likelihood, sharding, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,7 +14,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=2)
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=2).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op10_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op1_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudo_likelihood.pseudo_likelihood(_table(spark, sf_dir, "documents"))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op9_tokeniser_fertility": op9_tokeniser_fertility,
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_crf_main_text": op3_crf_main_text,
     "op1_masked_pseudo_likelihood": op1_masked_pseudo_likelihood,
     "op10_string_kernel_toxicity": op10_string_kernel_toxicity,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -87,5 +92,19 @@ e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
 r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, e.v FROM r JOIN e ON r.y = e.u),
 c AS (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY 1)
 SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, c.doc_id = component_id AS kept FROM c LEFT JOIN n ON n.doc_id = c.doc_id""",
+    "op13_phrase_collocations": f"""
+WITH p AS (SELECT lang, row_number() OVER () AS piece, regexp_extract_all(t, '[^\\x20\\x09]+') AS w FROM (SELECT coalesce(lang, 'und') AS lang,
+  unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS t FROM documents)),
+i AS (SELECT lang, w, unnest(generate_series(1, len(w))) AS i FROM p WHERE len(w) > 0),
+g AS (SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase FROM i, generate_series(1, 5) AS lengths(m) WHERE i + m - 1 <= len(w)),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY 1, 2, 3),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY 1),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND f >= 100),
+k AS (SELECT lang, m, phrase, a, w, unnest(generate_series(1, m - 1)) AS k FROM c),
+s AS (SELECT k.lang, k.phrase, k.a, k, x.f AS l, y.f AS r, n.n, CAST(1000::HUGEINT * a * n.n // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM k JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(k.w[1 : k.k], ' ') JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(k.w[k.k + 1 : k.m], ' ') JOIN n ON n.lang = k.lang),
+b AS (SELECT lang, phrase, any_value(a) AS a, arg_min(l, (score, k)) AS l, arg_min(r, (score, k)) AS r, any_value(n) AS n, min(score) AS score FROM s GROUP BY 1, 2),
+kept AS (SELECT b.* FROM b WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = b.lang AND c.phrase <> b.phrase AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' ') AND 100 * c.a >= 100 * b.a))
+SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score FROM kept) WHERE rank <= 2000""",
 }
 """Where SQL can say the result and is fast enough on whole tables; the others have brute-force tests in tests/llm."""
