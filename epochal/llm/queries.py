@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from epochal.llm import collocations, crf, decontamination, fertility, language, minhash, packing, pseudo_likelihood, sharding, toxicity, warc, whitening
+from epochal.llm import collocations, crf, decontamination, fertility, language, minhash, packing, pseudo_likelihood, sharding, simhash, toxicity, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op1_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudo_likelihood.pseudo_likelihood(_table(spark, sf_dir, "documents"))
 
 
+def op11_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op12_tsqr_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_crf_main_text": op3_crf_main_text,
     "op1_masked_pseudo_likelihood": op1_masked_pseudo_likelihood,
     "op10_string_kernel_toxicity": op10_string_kernel_toxicity,
+    "op11_gray_simhash": op11_gray_simhash,
     "op12_tsqr_whitening": op12_tsqr_whitening,
     "op13_phrase_collocations": op13_phrase_collocations,
 }
