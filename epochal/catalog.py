@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from epochal.functions import text as T
 from epochal.functions.dist import t_two_sided, z_of
-from epochal.operators import arrays, behavior, circ, decode, design, files, group, linear, metrics, prep, results, robust, signals
+from epochal.operators import arrays, behavior, circ, clusters, decode, design, files, group, linear, metrics, prep, results, robust, signals
 from epochal.registry import ANGLES, HOURS, KEY, MATRIX, ORACLES, QUERIES, SAMPLES, Query, entry, f_upper_sql, normal_sql, rounded, t_two_sided_sql
 from epochal.plans.levels import FirstLevel, GroupLevel, first_level, group_level
 from epochal.sources.adapters import behaviour, epochs, samples, table
@@ -940,7 +940,7 @@ z{n}(id, r, c, top) AS (SELECT id, r, c, id FROM k{n} UNION SELECT k.id, k.r, k.
 t{n} AS (SELECT id, min(top) AS top FROM z{n} GROUP BY 1), c{n} AS (SELECT {sign} AS sign, dense_rank() OVER (ORDER BY top) AS cluster, value FROM t{n} JOIN k{n} USING (id))"""
 
 
-_entry("grid_clusters", f"WITH RECURSIVE {_MATRIX}, {_islands(1)}, {_islands(-1)} SELECT 'discount' AS cond, sign, cluster, count(*) AS size, {_R('sum(abs(value))', 'mass')} FROM (SELECT * FROM cp UNION ALL SELECT * FROM cn) GROUP BY sign, cluster")(lambda spark, d: group.grid_clusters(_matrix(spark, d).withColumn("value", F.col("value") - 0.05).withColumn("cond", F.lit("discount")), 0.0005))
+_entry("grid_clusters", f"WITH RECURSIVE {_MATRIX}, {_islands(1)}, {_islands(-1)} SELECT 'discount' AS cond, sign, cluster, count(*) AS size, {_R('sum(abs(value))', 'mass')} FROM (SELECT * FROM cp UNION ALL SELECT * FROM cn) GROUP BY sign, cluster")(lambda spark, d: clusters.grid_clusters(_matrix(spark, d).withColumn("value", F.col("value") - 0.05).withColumn("cond", F.lit("discount")), 0.0005))
 
 
-from epochal.queries import angles, arrays_more, decoding, design_more, recordings, statistics  # noqa: E402, F401  (they register themselves)
+from epochal.queries import angles, arrays_more, decoding, design_more, permutation, recordings, statistics  # noqa: E402, F401  (they register themselves)

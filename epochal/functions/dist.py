@@ -150,7 +150,23 @@ def binomial_lower(k: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series(np.where(k < 0, 0.0, np.where(k >= n, 1.0, out)))
 
 
-REGISTRY = {"normal_lower": normal_lower, "binomial_lower": binomial_lower, "t_two_sided": t_two_sided, "f_upper": f_upper, "chi2_upper": chi2_upper, "z_of": z_of}
+def _one_tailed(tail: str):
+    @F.pandas_udf(DoubleType())
+    def p_of(t: pd.Series, df: pd.Series) -> pd.Series:
+        return pd.Series(t_p(t.to_numpy(float), df.to_numpy(float), tail))
+
+    return p_of
+
+
+t_upper, t_lower = _one_tailed("right"), _one_tailed("left")
+
+
+def t_p_of(tail: str):
+    """The UDF of (t, df) for ``both`` tails, the ``right`` or the ``left`` one."""
+    return {"both": t_two_sided, "right": t_upper, "left": t_lower}[tail]
+
+
+REGISTRY = {"normal_lower": normal_lower, "binomial_lower": binomial_lower, "t_two_sided": t_two_sided, "t_upper": t_upper, "t_lower": t_lower, "f_upper": f_upper, "chi2_upper": chi2_upper, "z_of": z_of}
 """The library's scalar UDFs by name."""
 
 

@@ -111,20 +111,6 @@ def label_grid(mask: np.ndarray) -> np.ndarray:
     return out
 
 
-def grid_clusters(maps: DataFrame, threshold: float) -> DataFrame:
-    """(cond, sign, cluster, size, mass) of cond-wise maps(cond, row, col, value)."""
-
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        grid = own.pivot(index="row", columns="col", values="value").sort_index().sort_index(axis=1).to_numpy()
-        rows = []
-        for sign in (1, -1):
-            labels = label_grid(sign * grid > threshold)
-            rows += [(own["cond"].iloc[0], sign, k, int((labels == k).sum()), float(np.abs(grid[labels == k]).sum())) for k in range(1, labels.max() + 1)]
-        return pd.DataFrame(rows, columns=["cond", "sign", "cluster", "size", "mass"])
-
-    return maps.groupBy("cond").applyInPandas(run, "cond string, sign int, cluster int, size int, mass double")
-
-
 def symmetrise(matrix: DataFrame, by: list[str]) -> DataFrame:
     """Mean of (i, j) and (j, i); matrix(by, row, col, value)."""
     other = matrix.select(*by, F.col("col").alias("row"), F.col("row").alias("col"), F.col("value").alias("other"))
