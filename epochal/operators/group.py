@@ -40,15 +40,20 @@ def two_sample_t(data: DataFrame, by: list[str], group: str, first: str, second:
     return s.select(*by, F.try_divide(F.col("m1") - F.col("m2"), se).alias("t"), df.alias("df"))
 
 
+def harmonic(n: Column) -> Column:
+    """1 + 1/2 + .. + 1/n: summed up to 64 terms, beyond them by the asymptotic series (exact in double precision)."""
+    few = F.aggregate(F.sequence(F.lit(1).cast("long"), F.least(n.cast("long"), F.lit(64).cast("long"))), F.lit(0.0), lambda s, k: s + 1.0 / k)
+    x = n.cast("double")
+    return F.when(n <= 64, few).otherwise(F.log(x) + 0.5772156649015329 + 1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * x * x * x * x))
+
+
 def fdr(p_values: DataFrame, family: list[str], q: float = 0.05, dependent: bool = True, key: str = "key") -> DataFrame:
     """Step-up false discovery: adds rank, crit (per family) and h; ``dependent`` divides by the harmonic sum.
 
     p values are counted by value, and of equal ones the last place decides; ranks among equal ones follow ``key``.
     """
     place = ordered.placed(p_values, family, "p")
-    harmonic = F.aggregate(F.sequence(F.lit(1), F.col("n_all").cast("int")), F.lit(0.0), lambda s, k: s + 1.0 / k) if dependent else F.lit(1.0)
-    sums = p_values.groupBy(*family).agg(F.count("p").alias("n_all")).select(*family, harmonic.alias("_c")) if dependent else None  # once a family
-    own = place.join(sums, family) if dependent else place.withColumn("_c", F.lit(1.0))
+    own = place.withColumn("_c", harmonic(F.col("n_all")) if dependent else F.lit(1.0))
     bound = (F.col("n_before") + F.col("n")) * F.lit(q) / (F.col("n_all") * F.col("_c"))
     crit = own.groupBy(*family).agg(F.max(F.when(F.col("p") <= bound, F.col("p"))).alias("crit"))
     same = p_values.join(place.select(*family, F.col("p"), "n_before"), [*family, "p"]).join(crit, family)

@@ -1,8 +1,8 @@
 """Ranks, quantiles and running counts without sorting a group in one task.
 
-Rows are first counted by value (combined before the shuffle).  Each group's distinct values are then cut
-into BUCKETS equal ranges; sums before a value are those of the lower ranges plus those within its own, so a
-window holds one range, or one row for each range.
+Rows are first counted by value (combined before the shuffle).  Each group's values are then cut into BUCKETS ranges
+of about as many distinct values each, at approximate quantiles, so far outliers leave no range full; sums before a
+value are those of the lower ranges plus those within its own, so a window holds one range, or one row for each range.
 """
 
 from __future__ import annotations
@@ -10,28 +10,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 256
+BUCKETS, ACCURACY = 256, 2000
+"""Ranges of a group (a power of two), and the precision of their ends: of 2000 distinct values they miss by one."""
 
 
-def running(counts: DataFrame, by: list[str], value: str, columns: list[str]) -> DataFrame:
-    """Adds to counts(by, value, columns) the sums ``<column>_before`` over smaller values and ``<column>_all`` over the group."""
-    ends = counts.groupBy(*by).agg(F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"))
+def _cut(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Adds ``_bucket``, the range of the row's value, found by bisection of the group's ends."""
+    ends = F.percentile_approx(F.col(value).cast("double"), [k / BUCKETS for k in range(1, BUCKETS)], ACCURACY).alias("_ends")
     if by:
-        ends = ends.select(*[F.col(b).alias(f"_g{k}") for k, b in enumerate(by)], "_lo", "_hi")
-        own = counts.join(ends, [F.col(b).eqNullSafe(F.col(f"_g{k}")) for k, b in enumerate(by)], "left").drop(*[f"_g{k}" for k in range(len(by))])
+        cuts = rows.groupBy(*[F.col(b).alias(f"_g{k}") for k, b in enumerate(by)]).agg(ends)
+        own = rows.join(cuts, [F.col(b).eqNullSafe(F.col(f"_g{k}")) for k, b in enumerate(by)], "left").drop(*[f"_g{k}" for k in range(len(by))])
     else:
-        own = counts.join(F.broadcast(ends), how="cross")  # one row
-    share = F.try_divide(F.col(value).cast("double") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    own = own.withColumn("_bucket", F.least(F.floor(F.coalesce(share, F.lit(0.0)) * BUCKETS), F.lit(BUCKETS - 1)).cast("int")).drop("_lo", "_hi")
-    before = Window.unboundedPreceding, -1
+        own = rows.join(F.broadcast(rows.agg(ends)), how="cross")  # one row
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(BUCKETS.bit_length() - 1))])
+    below = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get("_ends", at + step - 1) < F.col(value).cast("double"), step).otherwise(0))
+    return own.withColumn("_bucket", below).drop("_ends")
+
+
+def _with_lower(own: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """Adds ``_<column>``, the sums over lower ranges, and ``<column>_all``; the group's ranges are a window of BUCKETS rows at most."""
     totals = own.groupBy(*by, "_bucket").agg(*[F.sum(c).alias(f"_{c}") for c in columns])
-    lower = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_bucket").rowsBetween(*before)  # a row for each range
-    totals = totals.select(*[F.col(b).alias(f"_g{k}") for k, b in enumerate(by)], F.col("_bucket").alias("_b"), *[F.coalesce(F.sum(f"_{c}").over(lower), F.lit(0)).alias(f"_{c}") for c in columns], *[F.sum(f"_{c}").over(Window.partitionBy(*(by or [F.lit(0)]))).alias(f"{c}_all") for c in columns])
-    within = Window.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(*before)
-    own = own.withColumns({f"{c}_before": F.coalesce(F.sum(c).over(within), F.lit(0)) for c in columns})
+    group = by or [F.lit(0)]
+    lower = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    names = [F.col(b).alias(f"_g{k}") for k, b in enumerate(by)]
+    totals = totals.select(*names, F.col("_bucket").alias("_b"), *[F.coalesce(F.sum(f"_{c}").over(lower), F.lit(0)).alias(f"_{c}") for c in columns], *[F.sum(f"_{c}").over(Window.partitionBy(*group)).alias(f"{c}_all") for c in columns])
     match = [F.col(b).eqNullSafe(F.col(f"_g{k}")) for k, b in enumerate(by)] + [F.col("_bucket") == F.col("_b")]
-    own = own.join(totals, match, "left")
-    return own.withColumns({f"{c}_before": F.col(f"{c}_before") + F.col(f"_{c}") for c in columns}).drop("_bucket", "_b", *[f"_g{k}" for k in range(len(by))], *[f"_{c}" for c in columns])
+    return own.join(totals, match, "left").drop("_bucket", "_b", *[f"_g{k}" for k in range(len(by))])
+
+
+def running(counts: DataFrame, by: list[str], value: str, columns: list[str]) -> DataFrame:
+    """Adds to counts(by, value, columns), a row for each value, the sums ``<column>_before`` over smaller values and ``<column>_all`` over the group."""
+    within = Window.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    own = _cut(counts, by, value)
+    own = _with_lower(own.withColumns({f"{c}_before": F.coalesce(F.sum(c).over(within), F.lit(0)) for c in columns}), by, columns)
+    return own.withColumns({f"{c}_before": F.col(f"{c}_before") + F.col(f"_{c}") for c in columns}).drop(*[f"_{c}" for c in columns])
+
+
+def up_to(rows: DataFrame, by: list[str], value: str, columns: list[str]) -> DataFrame:
+    """Adds ``<column>_upto``, the sums over values no larger than the row's own; values may repeat."""
+    within = Window.partitionBy(*by, "_bucket").orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    own = _cut(rows, by, value)
+    own = _with_lower(own.withColumns({f"{c}_upto": F.sum(c).over(within) for c in columns}), by, columns)
+    return own.withColumns({f"{c}_upto": F.col(f"{c}_upto") + F.col(f"_{c}") for c in columns}).drop(*[x for c in columns for x in (f"_{c}", f"{c}_all")])
 
 
 def placed(data: DataFrame, by: list[str], value: str) -> DataFrame:
