@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from epochal.functions import text as T
 from epochal.functions.dist import t_two_sided, z_of
-from epochal.operators import arrays, behavior, circ, clusters, decode, design, files, group, linear, metrics, prep, results, robust, signals
+from epochal.operators import arrays, behavior, circ, clusters, decode, design, files, group, linear, metrics, pairs, prep, results, robust, signals
 from epochal.registry import ANGLES, HOURS, KEY, MATRIX, ORACLES, QUERIES, SAMPLES, Query, entry, f_upper_sql, normal_sql, rounded, t_two_sided_sql
 from epochal.plans.levels import FirstLevel, GroupLevel, first_level, group_level
 from epochal.sources.adapters import behaviour, epochs, samples, table
@@ -673,7 +673,7 @@ q AS (SELECT subject, 2.2219 * gap * CASE WHEN n <= 9 THEN [0.399, 0.994, 0.512,
 SELECT w.subject, {_R('CASE WHEN scale > 0 THEN s / scale END', 'tau')}, {_R('location', 'location')}, {_R('qn', 'qn')} FROM w LEFT JOIN t ON w.subject = t.subject LEFT JOIN q ON w.subject = q.subject""",
 )
 def _(spark, d):
-    return group.rank_statistics(table(spark, d, "events").select(F.col("user_id").alias("subject"), "value", F.hour(F.col("ts").cast("timestamp")).cast("double").alias("hour")), ["subject"], "value", "hour")
+    return pairs.rank_statistics(table(spark, d, "events").select(F.col("user_id").alias("subject"), "value", F.hour(F.col("ts").cast("timestamp")).cast("double").alias("hour")), ["subject"], "value", "hour")
 
 
 @_entry(
@@ -943,4 +943,4 @@ t{n} AS (SELECT id, min(top) AS top FROM z{n} GROUP BY 1), c{n} AS (SELECT {sign
 _entry("grid_clusters", f"WITH RECURSIVE {_MATRIX}, {_islands(1)}, {_islands(-1)} SELECT 'discount' AS cond, sign, cluster, count(*) AS size, {_R('sum(abs(value))', 'mass')} FROM (SELECT * FROM cp UNION ALL SELECT * FROM cn) GROUP BY sign, cluster")(lambda spark, d: clusters.grid_clusters(_matrix(spark, d).withColumn("value", F.col("value") - 0.05).withColumn("cond", F.lit("discount")), 0.0005))
 
 
-from epochal.queries import angles, arrays_more, decoding, design_more, permutation, recordings, statistics  # noqa: E402, F401  (they register themselves)
+from epochal.queries import angles, arrays_more, decoding, design_more, permutation, rank_pairs, recordings, statistics  # noqa: E402, F401  (they register themselves)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -190,30 +189,6 @@ def randomisation_p(values: DataFrame, by: list[str]) -> DataFrame:
     return values.where("rep > 0").join(observed, by).groupBy(*by).agg(F.avg((F.col("value") >= F.col("observed")).cast("double")).alias("p"))
 
 
-# fixed values: factors of the Qn scale in samples of 2 to 9
-SMALL_QN = {2: 0.399, 3: 0.994, 4: 0.512, 5: 0.844, 6: 0.611, 7: 0.857, 8: 0.669, 9: 0.872}
-
-
-def rank_statistics(pairs: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """Per group Kendall's tau-b, the Hodges-Lehmann location and Qn scale of x; a group is one subject's trials."""
-
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        a, b = own[x].to_numpy(float), own[y].to_numpy(float)
-        i, j = np.triu_indices(len(a), 1)
-        dx, dy = np.sign(a[i] - a[j]), np.sign(b[i] - b[j])
-        scale = np.sqrt((dx != 0).sum() * (dy != 0).sum())
-        h = len(a) // 2 + 1
-        gaps = np.sort(np.abs(a[i] - a[j]))
-        n = len(a)
-        factor = SMALL_QN.get(n, n / (n + 1.4) if n % 2 else n / (n + 3.8))
-        qn = 2.2219 * gaps[h * (h - 1) // 2 - 1] * factor if n > 1 else float("nan")
-        walsh = np.concatenate([(a[i] + a[j]) / 2, a])
-        return own[by].iloc[:1].assign(tau=float((dx * dy).sum() / scale) if scale else None, location=float(np.median(walsh)), qn=None if np.isnan(qn) else qn)
-
-    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
-    return pairs.groupBy(*by).applyInPandas(run, ", ".join(f"{b} {kinds[b]}" for b in by) + ", tau double, location double, qn double")
-
-
 def first_peak(matrix: DataFrame, by: list[str]) -> DataFrame:
     """(by, row, col, value) of the largest cell; of ties the first in column order."""
     best = F.max_by(F.struct("row", "col", "value"), F.struct(F.round("value", 9), -F.col("col"), -F.col("row")))
