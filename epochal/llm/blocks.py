@@ -92,7 +92,7 @@ def leaf_blocks(html: str) -> list[tuple[str, tuple[str, ...], int, int, str]]:
 def features(blocks: list[tuple[str, tuple[str, ...], int, int, str]]) -> list[list[str]]:
     """Names of each block's features."""
     out = []
-    for k, (text, ancestors, linked, size, tag) in enumerate(blocks):
+    for text, ancestors, linked, size, tag in blocks:
         words = text.count(" ") + 1
         share = linked / size if size else 0.0
         own = [
@@ -101,10 +101,6 @@ def features(blocks: list[tuple[str, tuple[str, ...], int, int, str]]) -> list[l
         ]
         if "©" in text:
             own.append("copyright")
-        if k == 0:
-            own.append("first")
-        if k == len(blocks) - 1:
-            own.append("last")
         own += [f"in={a}" for a in dict.fromkeys(ancestors)]
         out.append(own)
     return out

@@ -10,7 +10,8 @@ PAGES of them, a documented bound.  Training takes a few seconds on the driver,
 
 Defined results: a null or empty html, and a page without main text, has the text ``''``; white space in a
 block is one space, <br> included; main blocks are joined by one line feed; null and repeated page_ids
-are carried through row by row.
+are carried through row by row; an empty table gives an empty table; a page of any length is one sequence,
+decoded in time and memory in proportion to it; other columns of the input, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from epochal.llm.blocks import features, leaf_blocks
 from epochal.llm.work import small_batches
 
-PAGES, STEPS, SEED = 1200, 250, 3
+PAGES, STEPS, SEED = 1800, 250, 3
 
 
 # labelled pages ------------------------------------------------------------------------------------
@@ -93,8 +94,9 @@ def labelled_page(random: np.random.Generator) -> tuple[str, list[str]]:
         if kind == "footer":
             return named(tag, name, random.choice(["&copy; ", "", "(c) "]) + _words(random, 2) + " &middot; " + text(False, 8))
         if kind == "comments":
-            one = lambda: named(str(random.choice(["div", "li", "article"])), "comment", f"<p>{text(False, 20)}</p>")
-            return named(tag, name, f"<h3>{_words(random, 1)}</h3>" + "".join(one() for _ in range(int(random.integers(1, 5)))))
+            bare = random.random() < 0.4
+            one = lambda: f"<p>{text(False, 20)}</p>" if bare else named(str(random.choice(["div", "li", "article"])), "comment", f"<p>{text(False, 20)}</p>")
+            return named(tag, name, (f"<h3>{_words(random, 1)}</h3>" if random.random() < 0.6 else "") + "".join(one() for _ in range(int(random.integers(1, 5)))))
         if kind == "side":
             return named(tag, name, f"<h3>{_words(random, 2)}</h3>" + (links(4) if random.random() < 0.5 else f"<p>{text(False, 12)}</p>"))
         if kind == "header":
@@ -126,10 +128,16 @@ def labelled_page(random: np.random.Generator) -> tuple[str, list[str]]:
             inner = f"<div>{inner}</div>"
         if random.random() < 0.15:
             inner += other("comments")
-        return named(tag, name, inner)
-
-    before = [other(k) for k in ("header", "menu", "notice", "advert", "form", "side", "menu") if random.random() < 0.5]
-    after = [other(k) for k in ("comments", "side", "advert", "notice", "form", "menu", "footer") if random.random() < 0.5]
+        place = random.random()
+        return inner if place < 0.12 else f"<div>{inner}</div>" if place < 0.2 else named(tag, name, inner)
+
+    # anything may stand before and after the article, or nothing; some pages are a text without any element around it
+    around = lambda kinds: [other(k) for k in kinds if random.random() < share] if (share := float(random.choice([0.0, 0.15, 0.5, 0.5]))) else []
+    before = around(("header", "menu", "notice", "advert", "form", "side", "menu"))
+    after = around(("comments", "side", "advert", "notice", "form", "menu", "footer"))
+    if random.random() < 0.06:
+        plain = text(True, 25)
+        return random.choice([plain, f"<body>{plain}</body>", f"<html><head><title>{_words(random, 2)}</title></head><body>{plain}"]), marks
     return f"<!DOCTYPE html><html><head><title>{_words(random, 3)}</title></head><body>{''.join(before)}{main()}{''.join(after)}</body></html>", marks
 
 

@@ -480,7 +480,7 @@ def test_url_keys():
 # 3: HTML ---------------------------------------------------------------------------------------------------
 
 
-def test_crf_on_unseen_layouts():
+def test_crf_on_pages_it_was_not_trained_on():
     weights, pair = crf.train()
     r, right, n = np.random.default_rng(77), 0, 0
     for _ in range(150):
@@ -492,6 +492,28 @@ def test_crf_on_unseen_layouts():
     assert right / n > 0.97
 
 
+READS = "The quick brown fox jumps over the lazy dog while it rains outside."
+MENU, FOOT = "<nav><ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li></ul></nav>", "<footer>&copy; 2020 Corp</footer>"
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 10, 200])
+@pytest.mark.parametrize("around", [("<article>", "</article>"), ("<main>", "</main>"), ("", ""), ("<div>", "</div>"), ('<div class="content">', "</div>"), ("<header>Site name</header><article>", "</article>"), (f"{MENU}<article>", f"</article>{FOOT}"), (MENU, "")])
+def test_articles_of_any_shape_are_kept_whole(n, around):
+    html = f"<html><body>{around[0]}{f'<p>{READS}</p>' * n}{around[1]}</body></html>"
+    assert crf.main_text(html, *crf.train()).split("\n") == [READS] * n
+
+
+def test_pages_written_by_hand():
+    text = lambda html: crf.main_text(html, *crf.train())
+    for whole in ("plain words", "one", READS):
+        assert text(whole) == text(f"<article><p>{whole}</p></article>") == text(f"<p>{whole}") == whole
+    comments = '<section class="comments"><h3>Comments</h3><div class="comment"><p>I agree with it all, well said.</p></div></section>'
+    assert text(f"<article><h1>Title</h1><p>{READS}</p></article>{comments}") == f"Title\n{READS}"
+    assert text(f'<article><p>{READS}</p></article><div id="comments"><p>{READS}</p></div>') == READS
+    assert text(f'<p>{READS}</p><div class="ad">Buy now!</div><p>{READS}</p>') == f"{READS}\n{READS}"
+    assert text(MENU) == text(FOOT) == text(f"{MENU}{FOOT}") == ""
+
+
 def test_no_text_is_lost_before_the_field():
     """Every word outside comments, scripts, styles and the title is in a block, whatever element it stands in."""
     r = np.random.default_rng(8)
