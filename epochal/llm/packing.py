@@ -30,7 +30,7 @@ from epochal.llm import textops as X
 from epochal.llm import tokens
 from epochal.llm.work import Work
 
-WINDOW, SHARD = 1024, 2048
+WINDOW, SHARD = 1024, 4096
 VOCABULARY, SPECIAL = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 K1, B = 1.2, 0.75
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
