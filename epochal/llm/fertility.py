@@ -8,7 +8,8 @@ letters.  A text is rejected
 * when one measure under one vocabulary is an outlier among the documents of its script and language (``lang``,
   where the table has it): more than FENCE quartile distances beyond the quartiles.  Quartiles are Spark
   aggregates over all documents that pass the base, exact on values rounded to GRID decimals, so what an
-  aggregate holds is bounded by the grid.  A script and language of fewer than LEAST documents has no fences.
+  aggregate holds is bounded by the grid.  The fewer documents
+  a script and language has, the wider its fences.
 
 Base measures (whole text, words ``[^\\x20\\x09-\\x0D]+``): n_words, word_chars, n_symbols, n_dup_lines,
 n_repeat_words; base_failed when n_words < 50 or 100 * n_repeat_words > 50 * n_words.  The vocabularies
@@ -16,7 +17,7 @@ read every text, once; the measures wait in a table of the shared folder for the
 
 Defined results: a null text counts as empty (0 words, measures 0, base_failed, not kept); null and repeated
 doc_ids are carried through row by row; a very long text is read whole, alone in its piece; an empty table
-gives an empty table.
+gives an empty table; other columns of the input, whatever their names, are ignored (``keep`` carries them through).
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ BANDS = {  # least and most characters per token, most byte fallback, least bits
     "east_asian": (0.2, 6.0, 1.0, 2.0),
     "none": (1.0, 14.0, 0.60, 2.0),
 }
-FENCE, LEAST, GRID = 2.5, 100, 3
+FENCE, FEW, GRID = 2.5, 20, 3  # fences are 1 + FEW / n times as wide where n documents set them
 FLOORS = {"per_token": 0.05, "fallback": 0.01, "entropy": 0.1}  # least quartile distances: equal texts make no outliers
 
 _OF_BYTE = np.full(256, 6, dtype=np.int64)  # by the byte that opens a letter
@@ -189,11 +190,11 @@ def _fenced(measured: DataFrame, n_vocabularies: int, own_names: tuple[str, str,
     names = [f"{name}{k}" for k in range(n_vocabularies) for name in FLOORS]
     quartiles = [F.percentile(F.round(F.col(f"{f}.{x}"), GRID), F.array(F.lit(0.25), F.lit(0.75))).alias(x) for x in names]
     own = measured.where(f"not {f}.base_failed").groupBy(F.col(f"{f}.script").alias("script"), F.col(f"{f}.lang").alias("lang")).agg(F.count(F.lit(1)).alias("n"), *quartiles)
-    fences = own.where(F.col("n") >= LEAST).select(F.struct("script", "lang", *names).alias(q))
+    fences = own.select(F.struct("script", "lang", "n", *names).alias(q))
     good = F.lit(True)
     for x in names:
         value, low, high = F.round(F.col(f"{f}.{x}"), GRID), F.col(f"{q}.{x}")[0], F.col(f"{q}.{x}")[1]
-        reach = FENCE * F.greatest(high - low, F.lit(FLOORS[x.rstrip("0123456789")]))
+        reach = FENCE * (1 + FEW / F.col(f"{q}.n")) * F.greatest(high - low, F.lit(FLOORS[x.rstrip("0123456789")]))
         if not x.startswith("fallback"):  # few pieces of characters are no fault
             good = good & (value >= low - reach)
         if not x.startswith("entropy"):

@@ -39,6 +39,8 @@ from pyspark.sql import functions as F
 from epochal.llm.work import Work
 
 REVISIT, LINES, LEVEL, READ = 1000, 1000, 4, 4 << 20
+MOST_TASKS = 20_000
+"""Tasks that read records back, READ bytes each; beyond that many, each reads more."""
 _LEAST = -(1 << 63)
 _DATE = "2024-01-01T00:00:00Z"
 _CDX = "url_key string, page_id long, file string, offset long, length long"
@@ -239,4 +241,4 @@ def round_trip(pages: DataFrame) -> DataFrame:
     work = Work(pages.sparkSession, "warc")
     captures = write(pages, work)
     stored = captures.agg(F.sum("length")).first()[0] or 0
-    return lookup(pages, index(captures, work), max(1, -(-stored // READ)))
+    return lookup(pages, index(captures, work), max(1, min(MOST_TASKS, -(-stored // READ))))
