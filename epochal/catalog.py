@@ -943,4 +943,4 @@ t{n} AS (SELECT id, min(top) AS top FROM z{n} GROUP BY 1), c{n} AS (SELECT {sign
 _entry("grid_clusters", f"WITH RECURSIVE {_MATRIX}, {_islands(1)}, {_islands(-1)} SELECT 'discount' AS cond, sign, cluster, count(*) AS size, {_R('sum(abs(value))', 'mass')} FROM (SELECT * FROM cp UNION ALL SELECT * FROM cn) GROUP BY sign, cluster")(lambda spark, d: clusters.grid_clusters(_matrix(spark, d).withColumn("value", F.col("value") - 0.05).withColumn("cond", F.lit("discount")), 0.0005))
 
 
-from epochal.queries import angles, arrays_more, components, decoding, design_more, permutation, rank_pairs, recordings, statistics, trimmed_fits  # noqa: E402, F401  (they register themselves)
+from epochal.queries import angles, arrays_more, components, decoding, design_more, matched, permutation, rank_pairs, recordings, statistics, trimmed_fits  # noqa: E402, F401  (they register themselves)

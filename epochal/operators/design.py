@@ -99,6 +99,37 @@ def folds(trials: DataFrame, k: int, by: str = "class") -> DataFrame:
     return ranked.withColumn("fold", fold.cast("int")).drop("r", "n")
 
 
+def fold_roles(trials: DataFrame, train: dict[int, list[int]], test: dict[int, list[int]], k: int) -> DataFrame:
+    """(trial_id, class, fold, role): which trials train and which test each fold, for classes of event codes that may differ between the two.
+
+    Codes of both sides, of training only and of testing only are dealt into k folds apart, so that their shares stay the
+    same in each.  A trial tests its own fold if its code tests, and trains all others if its code trains.  k is
+    lowered to the smallest of these parts; a class without trials on either side stops the job.  Without folds (k = 1) all
+    trials take both roles.
+    """
+    sides = lambda c: (set(train.get(c, [])), set(test.get(c, [])))
+    parts = [(c, part, codes) for c in sorted({*train, *test}) for a, b in [sides(c)] for part, codes in (("common", a & b), ("train", a - b), ("test", b - a)) if codes]
+    own = F.explode(F.filter(F.array(*[F.when(F.col("event_code").isin(sorted(codes)), F.struct(F.lit(c).alias("class"), F.lit(part).alias("part"))) for c, part, codes in parts]), lambda x: x.isNotNull())).alias("p")
+    dealt = trials.select("trial_id", own).select("trial_id", "p.class", "p.part")
+    sizes = dealt.groupBy("class", "part").agg(F.count(F.lit(1)).alias("n"))
+    counts = {(r["class"], r["part"]): r["n"] for r in sizes.collect()}  # three rows a class at most
+    for c in {*train, *test}:
+        for side in ("train", "test"):
+            if not any(counts.get((c, part)) for part in ("common", side)):
+                raise ValueError(f"no trials to {side} class {c}")
+    k = min([k, *counts.values()]) if k > 1 else 1
+    if k == 1:
+        roles = F.when(F.col("part") == "common", F.array(F.lit("train"), F.lit("test"))).otherwise(F.array("part"))
+        return dealt.select("trial_id", "class", F.lit(1).alias("fold"), F.explode(roles).alias("role"))
+    group = Window.partitionBy("class", "part")
+    placed = dealt.withColumns({"r": F.row_number().over(group.orderBy(shuffle_key(), "trial_id")), "n": F.count(F.lit(1)).over(group)})
+    borders = F.array(*[F.round(F.lit(float(f)) * F.col("n") / k) for f in range(1, k + 1)])
+    placed = placed.withColumn("own", (F.size(F.filter(borders, lambda b: b < F.col("r"))) + 1).cast("int"))
+    roles = placed.select("trial_id", "class", "part", "own", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("fold"))
+    role = F.when(F.col("fold") == F.col("own"), F.when(F.col("part") != "train", "test")).when(F.col("part") != "test", "train")
+    return roles.select("trial_id", "class", "fold", role.alias("role")).where("role is not null")
+
+
 def smallest_subset(trials: DataFrame, train: list[int], test: list[int], k: int) -> DataFrame:
     """One row: k lowered to the smallest non-empty one of the common, train-only and test-only subsets."""
     both = sorted(set(train) & set(test))

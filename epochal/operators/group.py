@@ -157,6 +157,20 @@ def correlation_test(pairs: DataFrame, by: list[str], x: str, y: str, kind: str
     return r.withColumns({"p": t_two_sided("t", F.col("df").cast("double")), "low": F.tanh(F.atanh("r") - reach), "high": F.tanh(F.atanh("r") + reach)})
 
 
+def matched_correlation(first: DataFrame, second: DataFrame, by: list[str], least: float = 0.8, kind: str = "pearson") -> DataFrame:
+    """(by, r, fisher_z, n, few): correlation over the trials that both score tables(by, trial_id, event_code, score) have.
+
+    ``few`` marks a group with less than ``least`` of the first table's trials.  Event codes that disagree stop the job: the
+    tables are not of the same trials.
+    """
+    keys = [*by, "trial_id"]
+    both = first.join(second.select(*keys, F.col("event_code").alias("_code"), F.col("score").alias("_y")), keys)
+    same = F.when(F.col("event_code") == F.col("_code"), F.col("score")).otherwise(F.raise_error(F.lit("the event codes of the trials don't match")).cast("double"))
+    pairs = both.select(*by, same.alias("_x"), "_y")
+    sizes = first.groupBy(*by).agg(F.count(F.lit(1)).alias("_total")).join(pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("n")), by)
+    return correlate(pairs, by, "_x", "_y", kind).join(sizes, by).select(*by, "r", "fisher_z", "n", (F.col("n") < F.col("_total") * least).alias("few"))
+
+
 def snap_limits(data: DataFrame, low: float, high: float, t: str = "t") -> DataFrame:
     """Both ends move to the nearest value of the axis, then count as inside."""
     near = lambda x: F.min_by(t, F.struct(F.abs(F.col(t) - x), F.col(t)))

@@ -62,6 +62,8 @@ def write_clusters(clusters: DataFrame, path: str) -> None:
 
 
 def first_at_zero(events: DataFrame, by: str = "epoch") -> DataFrame:
-    """The first code at latency exactly 0 of each epoch."""
-    w = Window.partitionBy(by).orderBy("place")
-    return events.where("latency_ms = 0").withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
+    """The first code at latency exactly 0 of each epoch; an epoch without one stops the job."""
+    w = Window.partitionBy(by).orderBy(F.when(F.col("latency_ms") == 0, 0).otherwise(1), "place")
+    firsts = events.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
+    found = F.when(F.col("latency_ms") == 0, F.col("latency_ms")).otherwise(F.raise_error(F.lit("an epoch has no event code at latency 0")).cast(events.schema["latency_ms"].dataType))
+    return firsts.withColumn("latency_ms", found)

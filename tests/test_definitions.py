@@ -8,7 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from epochal.functions import dist, text
-from epochal.operators import channels, circ, decode, files, linear, ordered, results, scale
+from epochal.operators import channels, circ, decode, design, files, group, linear, ordered, results, scale
 
 ALPHA = np.deg2rad([13, 15, 21, 26, 28, 30, 35, 36, 41, 60, 92, 103, 165, 199, 210, 250, 301, 320, 343, 359])
 BETA = np.deg2rad([1, 13, 41, 56, 67, 71, 81, 85, 99, 110, 119, 131, 145, 177, 199, 220, 291, 320, 340, 355])
@@ -125,3 +125,30 @@ def test_small_tables(spark):
     assert scale.median_deviation(none, ["g"]).count() == 0 and linear.two_clusters(none, ["g"]).count() == 0
     assert results.next_run(spark.createDataFrame([], "iteration int")).first()[0] == 1
     assert results.next_run(spark.createDataFrame([(1,), (2,), (4,)], "iteration int")).first()[0] == 3
+
+
+def test_epochs_without_a_code_at_zero_stop_the_job(spark):
+    from epochal.sources.readers import first_at_zero
+
+    events = spark.createDataFrame([(1, 1, 0.0, 11), (1, 2, 0.0, 12), (2, 1, -5.0, 20), (2, 2, 0.0, 21)], "epoch int, place int, latency_ms double, code int")
+    assert sorted(r.code for r in first_at_zero(events).collect()) == [11, 21]
+    with pytest.raises(Exception, match="no event code at latency 0"):
+        first_at_zero(events.where("code <> 21")).collect()
+
+
+def test_fold_roles_without_trials_or_folds(spark):
+    trials = spark.createDataFrame([(k, k % 3) for k in range(9)], "trial_id long, event_code int")
+    with pytest.raises(ValueError, match="no trials to test class 2"):
+        design.fold_roles(trials, {1: [0], 2: [1]}, {1: [0], 2: [7]}, 3)
+    once = design.fold_roles(trials, {1: [0], 2: [1]}, {1: [0], 2: [2]}, 1).collect()
+    assert sorted((r["class"], r.role) for r in once) == [(1, "test")] * 3 + [(1, "train")] * 3 + [(2, "test")] * 3 + [(2, "train")] * 3
+    lowered = design.fold_roles(trials, {1: [0], 2: [1]}, {1: [0], 2: [2]}, 10)
+    assert lowered.agg(F.max("fold")).first()[0] == 3
+
+
+def test_matched_scores_with_other_codes_stop_the_job(spark):
+    a = spark.createDataFrame([("s", k, k % 2, float(k)) for k in range(10)], "subject string, trial_id long, event_code int, score double")
+    b = a.withColumn("score", F.col("score") * 2 + 1)
+    assert group.matched_correlation(a, b.where("trial_id < 7"), ["subject"]).select("r", "n", "few").first() == (1.0, 7, True)
+    with pytest.raises(Exception, match="don't match"):
+        group.matched_correlation(a, b.withColumn("event_code", F.lit(5)), ["subject"]).collect()

@@ -50,8 +50,7 @@ def continued(x, n):
     return np.concatenate([2 * x[0] - x[np.arange(n, 0, -1) % t], x, 2 * x[-1] - x[(t - 1 - np.arange(1, n + 1)) % t]])
 
 
-@pytest.mark.parametrize("size", [16, 64, 4096])
-@pytest.mark.parametrize("order", [4, 50])
+@pytest.mark.parametrize(("size", "order"), [(16, 50), (64, 4), (4096, 50)])
 def test_fir(recording, signals, size, order):
     taps = filters.fir(order, [0, 0.2, 0.3, 1], [1, 1, 0, 0])
     same(back(recordings.fir(recording, taps, ["rec", "chan"], size)), signals, lambda x: np.convolve(x, taps)[: len(x)])
@@ -65,8 +64,7 @@ def test_fir(recording, signals, size, order):
     same(back(recordings.fir_zero_phase(recording, taps, ["rec", "chan"], size)), signals, both_ways)
 
 
-@pytest.mark.parametrize(("size", "fan"), [(8, 3), (50, 256), (4096, 2)])
-@pytest.mark.parametrize("edges", [(0.1, 0.3), (None, 0.2), (0.4, None)])
+@pytest.mark.parametrize(("size", "fan", "edges"), [(8, 3, (0.1, 0.3)), (50, 256, (None, 0.2)), (4096, 2, (0.4, None))])
 def test_iir(recording, signals, size, fan, edges):
     b, a = filters.butterworth(3, *edges)
     same(back(recordings.iir(recording, b, a, ["rec", "chan"], size, fan=fan)), signals, lambda x: loop(b, a, x))

@@ -16,7 +16,7 @@ def cloud(n, share, seed):
 
 @pytest.fixture(scope="module")
 def clouds():
-    return {"small": cloud(60, 0.2, 1), "large": cloud(2500, 0.22, 2), "clean": cloud(200, 0.0, 3)}
+    return {"small": cloud(60, 0.2, 1), "large": cloud(1500, 0.22, 2), "clean": cloud(200, 0.0, 3)}
 
 
 def best_determinant(x, h, tries=300):
@@ -57,7 +57,7 @@ def test_minimum_covariance(spark, clouds):
 def test_trimmed_squares(spark):
     r = np.random.default_rng(7)
     data, rows = {}, []
-    for g, n in (("small", 50), ("large", 3000)):
+    for g, n in (("small", 50), ("large", 1500)):
         x = r.normal(size=(n, 2))
         y = 4 + x @ [2.0, -1.0] + 0.1 * r.normal(size=n)
         bad = r.random(n) < 0.2
