@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from epochal.functions import text as T
 from epochal.functions.dist import t_two_sided, z_of
 from epochal.operators import arrays, behavior, circ, clusters, decode, design, files, group, linear, metrics, pairs, prep, results, robust, signals
-from epochal.registry import ANGLES, HOURS, KEY, MATRIX, ORACLES, QUERIES, SAMPLES, Query, entry, f_upper_sql, normal_sql, rounded, t_two_sided_sql
+from epochal.registry import ANGLES, HOURS, KEY, MATRIX, ORACLES, QUERIES, SAMPLES, Query, entry, f_upper_sql, normal_quantile_sql, normal_sql, rounded, t_two_sided_sql
 from epochal.plans.levels import FirstLevel, GroupLevel, first_level, group_level
 from epochal.sources.adapters import behaviour, epochs, samples, table
 from epochal.streaming import events
@@ -179,7 +179,13 @@ def _(spark, d):
     return metrics.detection(_detected(spark, d), ["lang"]).select("lang", "hr", "far", "mr", "cr", "hr_far")
 
 
-@_entry("d_prime")
+@_entry(
+    "d_prime",
+    f"""WITH x AS (SELECT lang, quality AS label, CASE WHEN n_chars > 800 THEN 1 ELSE 2 END AS y FROM documents JOIN labels USING (doc_id)),
+n AS (SELECT lang, CAST(count(*) FILTER (label = 1 AND y = 1) AS DOUBLE) AS h, CAST(count(*) FILTER (label = 1 AND y <> 1) AS DOUBLE) AS m, CAST(count(*) FILTER (label <> 1 AND y = 1) AS DOUBLE) AS f, CAST(count(*) FILTER (label <> 1 AND y <> 1) AS DOUBLE) AS r FROM x GROUP BY 1),
+e AS (SELECT *, CASE WHEN least(h, m, f, r) = 0 THEN 0.5 ELSE 0.0 END AS k FROM n), c AS (SELECT lang, (h + k) / nullif(h + m + 2 * k, 0) AS h, (f + k) / nullif(f + r + 2 * k, 0) AS f FROM e)
+SELECT lang, {_R(normal_quantile_sql('h') + ' - ' + normal_quantile_sql('f'), 'd_prime')} FROM c""",
+)
 def _(spark, d):
     return metrics.detection(_detected(spark, d), ["lang"]).select("lang", (z_of("hr_corrected") - z_of("far_corrected")).alias("d_prime"))
 

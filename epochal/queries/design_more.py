@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from epochal.functions import text as T
 from epochal.functions.dist import z_of
 from epochal.operators import channels, files, group, results
-from epochal.registry import HOURS, KEY, MATRIX, SAMPLES, entry, rounded
+from epochal.registry import HOURS, KEY, MATRIX, SAMPLES, entry, normal_quantile_sql, rounded
 from epochal.sources.adapters import behaviour, epochs, samples, table
 
 _R, _S = rounded, SAMPLES
@@ -318,7 +318,9 @@ def _sdt_query(method: str, hit: str, fa: str) -> None:
     def _(spark, d):
         return results.corrected_rates(_rates(spark, d), method).select("subject", "p_hit", "p_fa")
 
-    @entry(f"d_prime_{method}")
+    z = f"{normal_quantile_sql('h')} - {normal_quantile_sql('f')}"
+
+    @entry(f"d_prime_{method}", f"WITH {_RATES}, c AS (SELECT subject, CAST({hit} AS DOUBLE) AS h, CAST({fa} AS DOUBLE) AS f FROM r) SELECT subject, {_R(z, 'd_prime')} FROM c")
     def _(spark, d):
         return results.corrected_rates(_rates(spark, d), method).select("subject", (z_of("p_hit") - z_of("p_fa")).alias("d_prime"))
 
