@@ -926,8 +926,22 @@ def _(spark, d):
 # matrix models (tested against numpy) ---------------------------------------------------------------------
 
 
-def _matrix_query(name: str, f: Query) -> None:
-    _entry(name)(f)
+def _matrix_query(name: str, f: Query, sql: str | None = None) -> None:
+    _entry(name, sql)(f)
+
+
+_HANN = f"""WITH {_S}, w AS (SELECT *, 0.5 - 0.5 * cos(2 * pi() * t_idx / 65) AS h FROM s), c AS (SELECT trial_id, freq, value * h / sqrt((SELECT sum(h * h) FROM (SELECT DISTINCT t_idx, h FROM w))) AS v, 2 * pi() * freq * (t_idx - 1) / 64.0 AS a FROM w, (VALUES (4.0), (8.0), (16.0)) AS f(freq))
+SELECT trial_id, CAST(freq AS DOUBLE) AS freq, {_R('pow(sum(v * cos(a)), 2) + pow(sum(v * sin(a)), 2)', 'power')} FROM c GROUP BY 1, 2"""
+
+
+def _detrend_sql(rounds: int = 4) -> str:
+    """Lines fitted to the samples that are left, which are those within three deviations of the line before."""
+    out = f"WITH {_S}, r0 AS (SELECT trial_id, t_idx, value AS x, -1 + 2.0 * (t_idx - 1) / 63 AS u, true AS w FROM s)"
+    for k in range(1, rounds + 1):
+        out += f""", f{k} AS (SELECT trial_id, regr_slope(x, u) FILTER (w) AS b, regr_intercept(x, u) FILTER (w) AS a FROM r{k - 1} GROUP BY 1),
+d{k} AS (SELECT r.trial_id, t_idx, x, u, w, x - a - b * u AS d FROM r{k - 1} r JOIN f{k} f ON f.trial_id = r.trial_id),
+r{k} AS (SELECT trial_id, t_idx, x, u, d, w AND abs(d) <= 3 * stddev_pop(CASE WHEN w THEN d ELSE 0 END) OVER (PARTITION BY trial_id) AS w FROM d{k})"""
+    return out + f" SELECT trial_id, t_idx - 1 AS t_idx, {_R('d', 'value')} FROM r{rounds}"
 
 
 _matrix_query("lda_linear", lambda spark, d: metrics.auc(decode.decode_folds(_two_classes(spark, d)).where("class = 1"), ["fold"]))
@@ -936,8 +950,8 @@ _matrix_query("lda_quadratic", lambda spark, d: metrics.auc(decode.decode_folds(
 _matrix_query("weights_and_patterns", lambda spark, d: decode.weights_and_patterns(_two_classes(spark, d).withColumn("subject", F.lit("s1"))))
 _matrix_query("forward_model", lambda spark, d: decode.forward_model(design.folds(epochs(spark, d).where("event_code < 10").withColumn("class", F.col("event_code")), 5), 10))
 _matrix_query("oversample_adasyn", lambda spark, d: decode.oversample(epochs(spark, d).withColumn("class", F.col("event_code")).withColumn("subject", F.lit("s1"))).groupBy("class").agg(F.count(F.lit(1)).alias("n")))
-_matrix_query("tfr_hann_power", lambda spark, d: arrays.spectral_power(epochs(spark, d), 64.0, [4.0, 8.0, 16.0]))
-_matrix_query("robust_detrend", lambda spark, d: arrays.robust_detrend(epochs(spark, d), 1).select("trial_id", F.posexplode("x").alias("t_idx", "value")))
+_matrix_query("tfr_hann_power", lambda spark, d: arrays.spectral_power(epochs(spark, d), 64.0, [4.0, 8.0, 16.0]), _HANN)
+_matrix_query("robust_detrend", lambda spark, d: arrays.robust_detrend(epochs(spark, d), 1).select("trial_id", F.posexplode("x").alias("t_idx", "value")), _detrend_sql())
 _matrix_query("principal_components", lambda spark, d: arrays.apply_filters(epochs(spark, d), arrays.principal(arrays.covariance(epochs(spark, d))[0])[1][:, :3]).select("trial_id", F.posexplode("x").alias("component", "value")))
 def _islands(sign: int) -> str:
     n = "p" if sign > 0 else "n"
