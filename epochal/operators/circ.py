@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from epochal.functions.dist import binomial_lower, chi2_upper, f_upper, normal_lower, normal_quantile
+from epochal.operators import pairs
+from epochal.sources.shared import written
 
 
 def moments(angles: DataFrame, by: list[str], a: str = "alpha", weight: str | None = None) -> DataFrame:
@@ -95,18 +97,28 @@ def sample_cdf(angles: DataFrame, by: list[str], n: int, a: str = "alpha") -> Da
     return grid.join(own, [*by, "bin"], "left").withColumn("cdf", F.sum(F.coalesce("k", F.lit(0))).over(w) / F.sum(F.coalesce("k", F.lit(0))).over(Window.partitionBy(*by))).select(*by, "bin", "cdf")
 
 
-def omnibus(angles: DataFrame, by: list[str], a: str = "alpha") -> DataFrame:
-    """(by, n, m, p): least count in a half circle (arcs begin at the angles) and its chance for large n.
+def _half_circles(angles: DataFrame, by: list[str], a: str) -> DataFrame:
+    """(g, v, k, n, ahead, opposite): for each distinct angle, how many lie in the open half circle after it, and how many opposite to it.
 
-    Angles are first counted by value, so the arcs are made over distinct values only.
+    Angles are counted by value, and the counts at the ends of the half circles come from running sums; no pairs are made.
+    Angles that differ by less than 1e-8 count as equal.
     """
-    value = angles.groupBy(*by, F.round(F.pmod(F.col(a), 2 * F.pi()), 9).alias("v")).agg(F.count(F.lit(1)).alias("k"))
-    other = value.select(*by, F.col("v").alias("w"), F.col("k").alias("j"))
-    after = F.pmod(F.col("w") - F.col("v"), 2 * F.pi())
-    half = value.join(other, by).groupBy(*by, "v").agg(F.sum(F.when((after > 1e-8) & (after < F.pi() - 1e-8), F.col("j")).otherwise(0)).alias("inside"), F.sum("j").alias("n"))
-    least = half.groupBy(*by).agg(F.max("n").alias("n"), F.min(F.least("inside", F.col("n") - F.col("inside"))).alias("m"))
+    turn, near = 2 * F.pi(), 1e-8
+    value = written(angles.where(F.col(a).isNotNull()).groupBy(F.struct(*by).alias("g"), F.round(F.pmod(F.col(a), turn), 9).alias("v")).agg(F.count(F.lit(1)).alias("c")), "angles")
+    ends = F.array(*[F.struct(F.lit(i).alias("i"), (F.col("v") + x).alias("x")) for i, x in enumerate((F.lit(near), F.pi() - near, F.pi() + near))])
+    asked = value.select("g", "v", "c", F.explode(ends).alias("e")).select("g", "v", "c", "e.i", F.pmod("e.x", turn).alias("at"), (F.col("e.x") >= turn).alias("past"))
+    sizes = value.groupBy("g").agg(F.sum("c").alias("size"))
+    found = pairs.reached(value, asked, ["v", "c", "i", "past"]).join(sizes, "g")
+    at = lambda i: F.sum(F.when(F.col("i") == i, F.col("n") + F.when(F.col("past"), F.col("size")).otherwise(0)))
+    return found.groupBy("g", "v", F.col("c").alias("k")).agg(F.max("size").alias("n"), (at(1) - at(0)).alias("ahead"), (at(2) - at(1)).alias("opposite"))
+
+
+def omnibus(angles: DataFrame, by: list[str], a: str = "alpha") -> DataFrame:
+    """(by, n, m, p): least count in a half circle (arcs begin at the angles) and its chance for large n."""
+    half = _half_circles(angles, by, a)
+    least = half.groupBy("g").agg(F.max("n").alias("n"), F.min(F.least("ahead", F.col("n") - F.col("ahead"))).alias("m"))
     big = F.pi() * F.sqrt("n") / (2.0 * (F.col("n") - 2 * F.col("m")))
-    return least.withColumn("p", F.sqrt(2 * F.pi()) / big * F.exp(-F.pi() * F.pi() / (8 * big * big)))
+    return least.select("g.*", "n", "m").withColumn("p", F.sqrt(2 * F.pi()) / big * F.exp(-F.pi() * F.pi() / (8 * big * big)))
 
 
 def axial_mean(angles: DataFrame, by: list[str], m: int, a: str = "alpha") -> DataFrame:
@@ -206,15 +218,12 @@ def median(angles: DataFrame, by: list[str], a: str = "alpha") -> DataFrame:
     """(by, median): the angle that halves the sample, of two such (an even count) their mean direction.
 
     Candidates are the angles themselves (smaller first); of a candidate and its antipode the one nearer to the
-    mean direction is taken.  Angles are counted by value first, so a group's join is over distinct values.
+    mean direction is taken.
     """
     turn = 2 * F.pi()
-    value = angles.groupBy(*by, F.round(F.pmod(F.col(a), turn), 9).alias("v")).agg(F.count(F.lit(1)).alias("k"))
-    other = value.select(*by, F.col("v").alias("w"), F.col("k").alias("j"))
-    ahead = F.pmod(F.col("w") - F.col("v"), turn)
-    side = F.when((ahead < 1e-8) | (F.abs(ahead - F.pi()) < 1e-8), 0).when(ahead < F.pi(), 1).otherwise(-1)
-    uneven = value.join(other, by).groupBy(*by, "v", "k").agg(F.abs(F.sum(side * F.col("j"))).alias("uneven"), F.sum("j").alias("n"))
-    least = uneven.withColumn("least", F.min("uneven").over(Window.partitionBy(*by))).where("uneven = least")
+    half = _half_circles(angles, by, a)
+    uneven = written(half.select("g", "v", "k", "n", F.abs(2 * F.col("ahead") + F.col("opposite") + F.col("k") - F.col("n")).alias("uneven")), "uneven")
+    least = uneven.join(uneven.groupBy("g").agg(F.min("uneven").alias("uneven")), ["g", "uneven"]).select("g.*", "v", "k", "n")
     place = least.withColumn("before", F.sum("k").over(Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)))
     wanted = F.when(F.col("n") % 2 == 1, 1).otherwise(2)
     taken = place.withColumn("take", F.least(F.col("k"), wanted - F.coalesce("before", F.lit(0)))).where("take > 0")

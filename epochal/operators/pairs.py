@@ -53,7 +53,7 @@ def _values(data: DataFrame, by: list[str], value: str) -> DataFrame:
     return data.where(F.col(value).isNotNull()).groupBy(F.struct(*by).alias("g"), F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
 
 
-def _reached(values: DataFrame, probes: DataFrame, own: list[str]) -> DataFrame:
+def reached(values: DataFrame, probes: DataFrame, own: list[str]) -> DataFrame:
     """probes(g, at, own) with ``n``, the values no larger than ``at``, and ``d``, the distinct ones."""
     blank = [F.lit(None).cast(probes.schema[c].dataType).alias(c) for c in own]
     rows = values.select("g", F.col("v").alias("at"), F.col("c").alias("n"), F.lit(1).cast("long").alias("d"), F.lit(False).alias("asks"), *blank)
@@ -81,7 +81,7 @@ def select(
         asked = askers.join(going.select("g", "lo", "hi"), "g").select("g", "v", "c", "lo", "hi", steps)
         t = F.when(F.col("i") == THRESHOLDS, F.col("hi")).otherwise(F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / THRESHOLDS)
         asked = asked.withColumn("t", t).select("g", "c", "t", probe(F.col("v"), F.col("t")).alias("at"))
-        under = _reached(values, asked, ["c", "t"]).groupBy("g", "t").agg(F.sum(F.col("c").cast("double") * F.col("n")).alias("n"), F.sum("d").alias("d")).join(going, "g")
+        under = reached(values, asked, ["c", "t"]).groupBy("g", "t").agg(F.sum(F.col("c").cast("double") * F.col("n")).alias("n"), F.sum("d").alias("d")).join(going, "g")
         under = under.withColumn("n", F.col("n") + more(F.col("t")))
         found = under.groupBy("g").agg(
             F.max(F.when(F.col("n") < F.col("k1"), F.struct("t", "n", "d"))).alias("a"), F.min(F.when(F.col("n") >= F.col("k2"), F.struct("t", "d"))).alias("b"))
@@ -93,7 +93,7 @@ def select(
         state = written(state, "brackets")
     ends = askers.join(state.select("g", "lo", "hi"), "g")
     ends = ends.select("g", "v", "c", F.explode(F.array(F.struct(F.lit(0).alias("side"), probe(F.col("v"), F.col("lo")).alias("at")), F.struct(F.lit(1).alias("side"), probe(F.col("v"), F.col("hi")).alias("at")))).alias("e"))
-    spans = _reached(values, ends.select("g", "v", "c", "e.side", "e.at"), ["v", "c", "side"]).groupBy("g", "v", "c").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first < last")
+    spans = reached(values, ends.select("g", "v", "c", "e.side", "e.at"), ["v", "c", "side"]).groupBy("g", "v", "c").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first < last")
     index = ordered.running(values.withColumn("one", F.lit(1).cast("long")), ["g"], "v", ["one"]).select("g", F.col("v").alias("w"), F.col("c").alias("cw"), (F.col("one_before") + 1).alias("i"))
     formed = spans.select("g", "v", "c", F.explode(F.sequence(F.col("first") + 1, F.col("last"))).alias("i")).join(index, ["g", "i"])
     formed = formed.select("g", kernel(F.col("v"), F.col("w")).alias("r"), (F.col("c").cast("double") * F.col("cw")).alias("c"))
