@@ -256,7 +256,7 @@ def edited(words, kinds, n, r):
     return w
 
 
-@pytest.mark.parametrize("share", [0.05, 0.1, 0.15])
+@pytest.mark.parametrize("share", [0.05, 0.1, 0.15, 0.2])
 @pytest.mark.parametrize("kinds", [["change"], ["insert"], ["leave out"], ["change", "insert", "leave out"]])
 def test_recall_of_leaks_against_brute_force(share, kinds):
     """What all pairs by the textbook recurrence give, and at least 0.9 of it by the sketch, for every kind of edit."""
@@ -527,7 +527,7 @@ def test_no_text_is_lost_before_the_field():
             else:
                 words.append(word)
                 html += f"<{tag}>{word}" + (f"</{tag}>" if r.random() < 0.7 else " ")
-        assert " ".join(b[0] for b in crf.leaf_blocks(html)).split() == words or sorted(" ".join(b[0] for b in crf.leaf_blocks(html)).replace("x", "x ").split()) == sorted(words)
+        assert "".join(b[0] for b in crf.leaf_blocks(html)).replace(" ", "") == "".join(words)
 
 
 def test_crf_text(spark):
@@ -652,9 +652,10 @@ def test_words_of_a_cell_have_their_own_probability(spark, monkeypatch, held):
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
-    clean = [(i, " ".join(f"w{i}x{k} {prose(i * 100 + k, 3)}" for k in range(40))) for i in range(40)]
+    written = lambda i: " ".join(f"w{i}x{k} {prose(i * 100 + k, 3)}" for k in range(40))
+    clean = [(i, written(i)) for i in range(40)]
     item = prose(5555, 30)
-    texts = dict(clean) | {100: clean[3][1], 101: clean[4][1] + " tail", 102: clean[5][1] + " " + item, 103: "too short", 104: None}
+    texts = dict(clean) | {100: clean[3][1], 101: clean[4][1] + " tail", 102: written(99) + " " + item, 103: "too short", 104: None}
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts.items()] + [(None, clean[7][1] + " odd one", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
@@ -668,7 +669,7 @@ def test_pipeline_stages(spark, tmp_path):
         out.write.parquet(str(tmp_path / name))
         now = spark.read.parquet(str(tmp_path / name))
         left.append({r.doc_id for r in now.collect()})
-    assert left[0] == set(texts) | {None} and left[1] == left[0] - {103, 104} and left[2] == left[1] - {100, 101} - ({102} if 102 not in left[2] else set()) and left[3] == left[2] - {102}
+    assert left[0] == set(texts) | {None} and left[1] == left[0] - {103, 104} and left[2] == left[1] - {100, 101} and left[3] == left[2] - {102}
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()} == left[3]
 
 
