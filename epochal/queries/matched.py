@@ -25,7 +25,7 @@ def _(spark, d):
 @entry(
     "confidence_matched",
     f"""WITH l AS (SELECT o_orderpriority AS cond, o_custkey % 40 AS subject, CAST(o_totalprice AS DOUBLE) AS x, CAST(dayofyear(o_orderdate) AS DOUBLE) AS y, dayofweek(o_orderdate) AS code FROM orders)
-SELECT cond, subject, {rounded('corr(x, y) FILTER (code <= 4)', 'r')}, count(*) FILTER (code <= 4) AS n, count(*) FILTER (code <= 4) < 0.8 * count(*) AS few FROM l GROUP BY 1, 2 HAVING count(*) FILTER (code <= 4) > 0""",
+SELECT cond, subject, {rounded('CASE WHEN NOT isnan(corr(x, y) FILTER (code <= 4)) THEN corr(x, y) FILTER (code <= 4) END', 'r')}, count(*) FILTER (code <= 4) AS n, count(*) FILTER (code <= 4) < 0.8 * count(*) AS few FROM l GROUP BY 1, 2 HAVING count(*) FILTER (code <= 4) > 0""",
 )
 def _(spark, d):
     at = F.col("o_orderdate")
