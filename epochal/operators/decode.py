@@ -140,6 +140,7 @@ def posterior(model: dict, x: np.ndarray) -> np.ndarray:
 
 CHUNK = 20_000
 """About so many test trials of a subject and fold are scored in one task."""
+KEPT_KEYS = 512
 
 
 def _with_subject(trials: DataFrame) -> DataFrame:
@@ -147,15 +148,30 @@ def _with_subject(trials: DataFrame) -> DataFrame:
 
 
 def class_moments(trials: DataFrame, by: list[str]) -> DataFrame:
-    """(by, class, n, total, products): sums over trials(by, class, x), made batch by batch and added entry by entry."""
+    """(by, class, n, total, products): sums over trials(by, class, x), added up in each task and then entry by entry.
+
+    A task holds the sums of KEPT_KEYS keys at most; more are handed on as they come.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in trials.schema}
     keys = [*by, "class"]
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, list] = {}
+
+        def out() -> pd.DataFrame:
+            rows = [(*own, n, sums.tolist()) for own, (n, sums) in held.items()]
+            held.clear()
+            return pd.DataFrame(rows, columns=[*keys, "n", "sums"])
+
         for batch in batches:
             for own, rows in batch.groupby(keys, sort=False):
                 x = np.stack(rows["x"].to_numpy()).astype(float)
-                yield pd.DataFrame([(*own, float(len(x)), x.sum(axis=0).tolist() + (x.T @ x).ravel().tolist())], columns=[*keys, "n", "sums"])
+                n, sums = held.get(own, (0.0, 0.0))
+                held[own] = [n + len(x), sums + np.concatenate([x.sum(axis=0), (x.T @ x).ravel()])]
+                if len(held) >= KEPT_KEYS:
+                    yield out()
+        if held:
+            yield out()
 
     parts = trials.select(*keys, "x").mapInPandas(partial, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", n double, sums array<double>")
     each = parts.select(*keys, "n", F.posexplode("sums").alias("p", "v")).groupBy(*keys, "p").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
