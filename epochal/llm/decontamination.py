@@ -172,7 +172,8 @@ def leaks(texts: pa.Array, items: Items) -> tuple[np.ndarray, np.ndarray, np.nda
     text, item, start, edits = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.lexsort((start, edits, item, text))
     text, item, start, edits = text[order], item[order], start[order], edits[order]
-    best = np.concatenate([[True], (text[1:] != text[:-1]) | (item[1:] != item[:-1])])
+    best = np.ones(len(text), dtype=bool)  # candidates that all fail leave nothing
+    best[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1])
     return text[best], item[best], start[best], edits[best]
 
 

@@ -271,6 +271,13 @@ def test_recall_of_leaks_against_brute_force(share, kinds):
     assert len(found) >= 0.9 * len(expected)
 
 
+def test_candidates_that_all_fail(monkeypatch):
+    none = (np.zeros(0, dtype=np.int64),) * 4
+    monkeypatch.setattr(decontamination, "_matches", lambda *_: [none])
+    item = prose(1, 20)
+    assert [x.tolist() for x in decontamination.leaks(pa.array([f"a b {item} c"]), decontamination.Items([0], [item]))] == [[], [], [], []]
+
+
 def test_leaks(spark, odd, empty):
     items = [(i, prose(1000 + i, 20 + i)) for i in range(25)] + [(None, None), (77, ""), (78, "one two three four five six"), (None, prose(1003, 23)), (3, prose(1003, 23))]
     benchmark = spark.createDataFrame([(*i, "x") for i in items], "item_id long, text string, item_key string")
