@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from epochal.operators import arrays
+from epochal.operators.group import replicate_hash
 
 
 def with_vector(data: DataFrame, vector: DataFrame, on: list[str], how: str = "add") -> DataFrame:
@@ -114,8 +115,7 @@ def shifted_products(data: DataFrame, shifts: list[int], by: list[str], x: str =
 
 def drawn(replicate: Column, k: Column, n: Column) -> Column:
     """The k-th draw (from 0) of a replicate among n places, from a fixed arithmetic sequence: 1..n."""
-    h = ((replicate * 7919 + k * 104729) * 1103515245 + 12345) % 2147483648
-    return F.floor(h / 65536).cast("long") % n + 1
+    return F.floor(replicate_hash(replicate, k) / 65536).cast("long") % n + 1
 
 
 def bootstrap(data: DataFrame, statistic: str, replicates: int = 100, by: list[str] = ["t_idx"], trial: str = "trial_id") -> DataFrame:  # noqa: B006

@@ -71,3 +71,15 @@ def test_shuffles_keep_the_groups_sizes(planted):
 
 def test_nothing_passes(planted):
     assert clusters.permutation_test(planted, clusters.grid_edges(planted), 5, p_cell=1e-30).count() == 0
+
+
+def test_large_subject_numbers_do_not_overflow(spark):
+    subjects = [0, 7, 79_766, 90_000, 2**31 + 5, 2**62, -3]
+    rows = [(r, s) for r in (0, 1, 40) for s in subjects]
+    h = {(r, s): ((r * 7919 + s * 104729) * 1103515245 + 12345) % 2**31 for r, s in rows}
+    got = spark.createDataFrame(rows, "r long, s long").select("r", "s", group.replicate_sign(F.col("r"), F.col("s")).alias("sign"), group.replicate_hash(F.col("r"), F.col("s")).alias("h")).collect()
+    assert all(x.h == h[x.r, x.s] and x.sign == (1.0 if x.r == 0 or h[x.r, x.s] // 65536 % 2 == 0 else -1.0) for x in got) and len(got) == len(rows)
+    data = spark.createDataFrame([(s, 1, float(k), s % 2 == 0) for k, s in enumerate(subjects)], "subject long, cell long, value double, first boolean")
+    order = lambda r: sorted(subjects, key=lambda s: (h[r, s] ** 2 % (2**31 - 1), s))
+    dealt = {(x.rep, x.subject): x.first for x in clusters._shuffled(data, 40).where("rep in (1, 40)").collect()}
+    assert dealt == {(r, s): k < sum(s % 2 == 0 for s in subjects) for r in (1, 40) for k, s in enumerate(order(r))}
