@@ -10,9 +10,9 @@ from epochal.operators import ordered
 
 def mad_rule(data: DataFrame, by: list[str], value: str = "value", factor: float = 2.2414) -> DataFrame:
     """Adds median, mad (unscaled) and outlier: |x - median| / (mad / .6745) beyond ``factor``."""
-    med = F.broadcast(ordered.quantiles(data, by, value, {"median": 0.5}).drop("n"))  # a row for each group
+    med = ordered.quantiles(data, by, value, {"median": 0.5}).drop("n")
     dev = data.join(med, by).withColumn("dev", F.abs(F.col(value) - F.col("median")))
-    mad = F.broadcast(ordered.quantiles(dev, by, "dev", {"mad": 0.5}).drop("n"))  # a row for each group
+    mad = ordered.quantiles(dev, by, "dev", {"mad": 0.5}).drop("n")
     return dev.join(mad, by).withColumn("outlier", F.col("dev") * 0.6745 > factor * F.col("mad")).drop("dev")
 
 
@@ -30,7 +30,7 @@ def carling(data: DataFrame, by: list[str], value: str = "value") -> DataFrame:
     n = ordered.quantiles(data, by, value, {"median": 0.5})
     k = (17.63 * F.col("n") - 23.64) / (7.74 * F.col("n") - 3.71)
     limits = n.join(ideal_fourths(data, by, value), by).withColumn("reach", k * (F.col("high") - F.col("low")))
-    return data.join(F.broadcast(limits), by).withColumn("outlier", F.abs(F.col(value) - F.col("median")) > F.col("reach")).drop("n", "reach", "low", "high")  # a row for each group
+    return data.join(limits, by).withColumn("outlier", F.abs(F.col(value) - F.col("median")) > F.col("reach")).drop("n", "reach", "low", "high")
 
 
 def bend_correlation(pairs: DataFrame, by: list[str], x: str, y: str, beta: float = 0.2) -> DataFrame:
