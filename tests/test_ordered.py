@@ -1,4 +1,4 @@
-"""Running counts of small groups in one window and of large ones in ranges; no broadcast with a row for each group."""
+"""Running counts of small groups in one window and of large ones in ranges, no broadcast with a row for each group, pairs dealt to many tasks."""
 
 import numpy as np
 import pytest
@@ -30,3 +30,11 @@ def test_no_broadcast_of_a_row_for_each_group(groups):
         plan = df._jdf.queryExecution().analyzed().toString().splitlines()
         hints = [k for k, line in enumerate(plan) if "strategy=broadcast" in line]
         assert hints and all("_size" in "".join(plan[k + 1 : k + 3]) for k in hints)
+
+
+def test_points_from_one_file_are_dealt_to_many_tasks(spark, tmp_path):
+    spark.range(500).selectExpr("id", "id * 1.5D as x", "id % 3 as c").coalesce(1).write.parquet(str(tmp_path / "p"))
+    points = spark.read.parquet(str(tmp_path / "p"))
+    got = scale.dissimilarities(points, points.where("id % 100 = 0"), "id", ["x"], ["c"])
+    assert got.rdd.getNumPartitions() > 100 and got.count() == 5 * 499
+    assert all(r.value == pytest.approx((abs(r.i - r.j) / 499 + (r.i % 3 != r.j % 3)) / 2) for r in got.where("j < 20").collect())
