@@ -2,9 +2,9 @@
 
 Both keep the h rows of a group that fit best, refit, and repeat.  Good starts come from a bounded sample of each group
 (SAMPLE rows, chosen by a hash of their values; smaller groups whole), where many small subsets are concentrated in one
-task.  From there every step runs over all rows for all starts at once: the h-th smallest score of each start is found
-by running counts, and of the rows under it only sums of products travel.  A step never raises the objective, so the
-steps end.  Rows that tie with the h-th are kept too.  Rows with a null take no part; groups with fewer rows than h
+task.  From there every step runs over all rows for all starts at once: rows are counted, and their products summed, by
+ranges of the score (PARTS to a doubling), so only these sums travel; the rows of the one range that holds the h-th
+smallest score are then ordered.  A step never raises the objective, so the steps end.  Rows that tie with the h-th are kept too.  Rows with a null take no part; groups with fewer rows than h
 needs, or whose best rows lie in a plane, get no row.
 """
 
@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from epochal.functions.dist import chi2_cdf, gamma_cdf, normal_quantile, t_cdf
@@ -28,6 +28,9 @@ SAMPLE, STARTS, KEPT, STEPS = 600, 500, 4, 200
 FIRST, CLOSE = 1, 5e-4
 """Steps over all rows before the best start goes on alone, and the gain (in the log determinant, or as a share of the squares) at which they end; samples are concentrated to the end."""
 
+PARTS = 64
+"""Ranges of the score to a doubling: one holds about a hundredth of the rows."""
+
 
 def least_h(n: int, p: int, share: float) -> int:
     """Rows to keep of n in p dimensions, between half of them (share 0.5) and all (1)."""
@@ -62,13 +65,20 @@ class Location:
         scale = np.sqrt(np.diag(cov))
         if n <= self.p or not (scale > 0).all() or np.linalg.slogdet(cov / np.outer(scale, scale))[1] < np.log(1e-12) * self.p:
             return None
-        return np.concatenate([centre, np.linalg.inv(cov).ravel()]), float(np.linalg.slogdet(cov)[1])
+        try:
+            return np.concatenate([centre, np.linalg.inv(cov).ravel()]), float(np.linalg.slogdet(cov)[1])
+        except np.linalg.LinAlgError:  # the check above is by rounded correlations
+            return None
 
     def scores(self, v: np.ndarray, models: np.ndarray) -> np.ndarray:
         """rows x starts; models are (rows or 1) x starts x numbers."""
         z = v[:, None, 1:] - models[..., : self.p]
         return np.einsum("nsi,nsij,nsj->ns", z, np.broadcast_to(models[..., self.p :].reshape(*models.shape[:2], self.p, self.p), (*z.shape, self.p)), z)
 
+    def score(self, v: Column, model: Column) -> Column:
+        z = [v[i + 1] - model[i] for i in range(self.p)]
+        return sum((z[i] * z[j] * model[self.p + i * self.p + j] for i in range(self.p) for j in range(self.p)), F.lit(0.0))
+
     def subset(self) -> int:
         return self.p + 1
 
@@ -84,12 +94,19 @@ class Regression:
         scale = np.sqrt(np.diag(x))
         if not (scale > 0).all() or np.linalg.slogdet(x / np.outer(scale, scale))[1] < np.log(1e-13) * self.p:
             return None
-        b = np.linalg.solve(x / np.outer(scale, scale), xy / scale) / scale
+        try:
+            b = np.linalg.solve(x / np.outer(scale, scale), xy / scale) / scale
+        except np.linalg.LinAlgError:
+            return None
         return b, float(max(0.0, m[-1, -1] - b @ xy) / m[0, 0])
 
     def scores(self, v: np.ndarray, models: np.ndarray) -> np.ndarray:
         return (v[:, None, -1] - np.einsum("ni,nsi->ns", v[:, :-1], np.broadcast_to(models, (len(v), *models.shape[1:])))) ** 2
 
+    def score(self, v: Column, model: Column) -> Column:
+        gap = v[self.p] - sum((v[i] * model[i] for i in range(self.p)), F.lit(0.0))
+        return gap * gap
+
     def subset(self) -> int:
         return self.p
 
@@ -148,10 +165,7 @@ def _fit(rows: DataFrame, kind: Location | Regression, share: float) -> DataFram
     cells = [(i, j) for i in range(width) for j in range(i, width)]
     state = models.withColumn("limit", F.lit(None).cast("double")).withColumn("going", F.lit(True))
     for step in range(STEPS):
-        scored = written(scores(rows, state.where("going"), kind), "scored")
-        limits = ordered.at_places(scored.join(sizes.select("k", "h"), "k"), ["k", "start", "h"], "score", {"limit": F.col("h")}).select("k", "start", "limit")
-        kept = scored.join(limits, ["k", "start"]).where("score <= limit").groupBy("k", "start", "limit")
-        sums = kept.agg(*[F.sum(F.col("v")[i] * F.col("v")[j]).alias(f"s{i}_{j}") for i, j in cells])
+        sums = _least_sums(rows, state.where("going"), sizes, kind, cells)
 
         def refit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -181,23 +195,26 @@ def _fit(rows: DataFrame, kind: Location | Regression, share: float) -> DataFram
 
 def scores(rows: DataFrame, models: DataFrame, kind) -> DataFrame:
     """(k, v, start, score): every row's score under each of its group's models(k, start, model)."""
-    own = models.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("start", "model"))).alias("m")).select("k", F.col("m.start").alias("starts"), F.col("m.model").alias("models"))
-    key = rows.schema["k"].dataType.simpleString()
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            v = batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1)
-            count = np.diff(batch.column("starts").offsets.to_numpy())
-            flat = batch.column("models").flatten().flatten().to_numpy()
-            starts_of = batch.column("starts").flatten()
-            row = np.repeat(np.arange(len(v)), count)
-            found = kind.scores(v[row], flat.reshape(len(row), 1, -1))[:, 0]
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column("k").take(at), batch.column("v").take(at), starts_of, pa.array(found)], ["k", "v", "start", "score"])
-
-    return rows.join(own, "k").mapInArrow(work, f"k {key}, v array<double>, start int, score double")
+    return rows.join(models.select("k", "start", "model"), "k").select("k", "v", "start", kind.score(F.col("v"), F.col("model")).alias("score"))
+
+
+def _least_sums(rows: DataFrame, models: DataFrame, sizes: DataFrame, kind, cells: list[tuple[int, int]]) -> DataFrame:
+    """(k, start, limit, s<i>_<j>): the h-th smallest score under each model, and sums of products of the rows up to it."""
+    score = F.col("score")
+    inside = (score > 0) & (score < float("inf"))
+    part = F.when(inside, F.floor(F.log2(score) * PARTS)).when(score <= 0, F.lit(-(1 << 31))).otherwise(F.lit(1 << 31))
+    scored = scores(rows, models, kind).withColumn("part", part)
+    names = [f"s{i}_{j}" for i, j in cells]
+    products = [F.sum(F.col("v")[i] * F.col("v")[j]).alias(name) for (i, j), name in zip(cells, names, strict=True)]
+    parts = written(scored.groupBy("k", "start", "part").agg(F.count(F.lit(1)).alias("c"), *products), "parts")
+    lower = Window.partitionBy("k", "start").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    zero = lambda x: F.coalesce(x, F.lit(0))
+    placed = parts.withColumns({"before": zero(F.sum("c").over(lower))} | {f"b{n}": zero(F.sum(n).over(lower)) for n in names}).join(sizes.select("k", "h"), "k")
+    chosen = written(placed.where((F.col("before") < F.col("h")) & (F.col("h") <= F.col("before") + F.col("c"))).select("k", "start", "part", (F.col("h") - F.col("before")).alias("place"), *[f"b{n}" for n in names]), "chosen")
+    near = written(scored.join(chosen.select("k", "start", "part", "place"), ["k", "start", "part"]).drop("part"), "near")
+    limits = ordered.at_places(near, ["k", "start", "place"], "score", {"limit": F.col("place")}).select("k", "start", "limit")
+    last = near.join(limits, ["k", "start"]).where("score <= limit").groupBy("k", "start", "limit").agg(*products)
+    return last.join(chosen, ["k", "start"]).select("k", "start", "limit", *[(F.col(n) + F.col(f"b{n}")).alias(n) for n in names])
 
 
 def _rows(data: DataFrame, by: list[str], columns: list[str]) -> DataFrame:

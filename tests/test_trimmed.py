@@ -86,3 +86,33 @@ def test_constants():
 def test_empty(spark):
     none = spark.createDataFrame([], "g string, a double, b double")
     assert trimmed.minimum_covariance(none, ["g"], ["a", "b"]).count() == 0 and trimmed.trimmed_squares(none, ["g"], ["a"], "b").count() == 0
+
+
+def test_steps_order_one_range_of_scores_only(spark, monkeypatch):
+    """Limits and sums equal those of all rows in order, and few rows are written for ordering; equal and zero scores count."""
+    r = np.random.default_rng(5)
+    v = np.hstack([np.ones((20_000, 1)), r.normal(size=(20_000, 2))])
+    v[:3000] = [1.0, 0.0, 0.0]  # copies at a distance of 0
+    kind, h = trimmed.Location(2), {0: 15_000, 1: 2_000}
+    model = np.array([0.0, 0.0, 1.0, 0.2, 0.2, 2.0])
+    rows = spark.createDataFrame([(g, row.tolist()) for g in h for row in v], "k long, v array<double>")
+    models = spark.createDataFrame([(g, 0, model.tolist()) for g in h], "k long, start int, model array<double>")
+    sizes = spark.createDataFrame([(g, len(v), n) for g, n in h.items()], "k long, n long, h long")
+    seen, cells = {}, [(i, j) for i in range(3) for j in range(i, 3)]
+
+    def written(df, name):
+        seen[name] = df.localCheckpoint()
+        return seen[name]
+
+    monkeypatch.setattr(trimmed, "written", written)
+    score = kind.scores(v, model[None, None])[:, 0]
+    for x in trimmed._least_sums(rows, models, sizes, kind, cells).collect():
+        limit = np.sort(score)[h[x.k] - 1]
+        own = v[score <= limit * (1 + 1e-12)]
+        assert x.limit == pytest.approx(limit, abs=1e-12) and all(x[f"s{i}_{j}"] == pytest.approx((own[:, i] * own[:, j]).sum(), abs=1e-6) for i, j in cells)
+    assert seen["near"].where("k = 0").count() < 1000 and seen["near"].where("k = 1").count() == 3000
+
+
+def test_a_start_from_copies_is_no_start():
+    singular = np.array([[4.0, 0.4, 0.12], [0.4, 0.04000000000000001, 0.012], [0.12, 0.012, 0.0036]])
+    assert trimmed.Location(2).model(singular) is None or np.isfinite(trimmed.Location(2).model(singular)[1])
