@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from epochal.operators import ordered, robust, scale
+from epochal.operators import arrays, ordered, robust, scale
 
 
 @pytest.fixture(scope="module")
@@ -38,3 +38,13 @@ def test_points_from_one_file_are_dealt_to_many_tasks(spark, tmp_path):
     got = scale.dissimilarities(points, points.where("id % 100 = 0"), "id", ["x"], ["c"])
     assert got.rdd.getNumPartitions() > 100 and got.count() == 5 * 499
     assert all(r.value == pytest.approx((abs(r.i - r.j) / 499 + (r.i % 3 != r.j % 3)) / 2) for r in got.where("j < 20").collect())
+
+
+def test_neighbours_by_blocks_with_ties(spark, monkeypatch):
+    monkeypatch.setattr(arrays, "POINT_BLOCK", 40)
+    monkeypatch.setattr(arrays, "QUERY_BLOCK", 7)
+    x = np.random.default_rng(6).integers(0, 3, size=(200, 4)).astype(float)  # many equal distances
+    points = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "trial_id long, x array<double>")
+    got = sorted((r.query_id, r["rank"], r.trial_id, r.distance) for r in arrays.neighbours(points, points.where("trial_id % 10 = 0"), 5).collect())
+    want = [(i, n + 1, j, d) for i in range(0, 200, 10) for n, (d, j) in enumerate(sorted((float(((x[j] - x[i]) ** 2).sum()), j) for j in range(200) if j != i)[:5])]
+    assert got == want
