@@ -152,3 +152,39 @@ def test_matched_scores_with_other_codes_stop_the_job(spark):
     assert group.matched_correlation(a, b.where("trial_id < 7"), ["subject"]).select("r", "n", "few").first() == (1.0, 7, True)
     with pytest.raises(Exception, match="don't match"):
         group.matched_correlation(a, b.withColumn("event_code", F.lit(5)), ["subject"]).collect()
+
+
+def test_oversampling_compares_blocks_and_never_a_trial_with_itself(spark, monkeypatch):
+    monkeypatch.setattr(decode, "LEAST", 20)  # eight blocks of each subject
+    monkeypatch.setattr(decode, "COMPARED", 8)
+    r, rows = np.random.default_rng(4), []
+    for subject, sizes in (("a", (70, 31, 50, 1)), ("b", (30, 90))):
+        x = np.concatenate([r.normal(size=(n, 3)) * [1, 9, 0] + [0.8 * c, 0, 5] for c, n in enumerate(sizes)])
+        y = np.repeat(np.arange(len(sizes)), sizes)
+        x[y == 1] = x[: sizes[1]] if sizes[1] < sizes[0] else x[y == 1]  # each is a copy of a trial of class 0, which has the lower number
+        rows += [(subject, int(c), k * 37, v.tolist()) for k, (c, v) in enumerate(zip(y, x))]
+    want = []
+    for subject in "ab":
+        own = [(c, i, np.array(v)) for s, c, i, v in rows if s == subject]
+        y, x, ids = np.array([c for c, _, _ in own]), np.array([v for _, _, v in own]), [i for _, i, _ in own]
+        z = x / np.maximum(x.std(axis=0, ddof=1), 1e-12)
+        d = ((z[:, None] - z[None]) ** 2).sum(axis=2)
+        np.fill_diagonal(d, np.inf)
+        for c in np.unique(y):
+            at, need = np.flatnonzero(y == c), max(np.bincount(y)) - (y == c).sum()
+            if need and len(at) > 1:
+                others = [int((y[np.argsort(d[i], kind="stable")[:5]] != c).sum()) for i in at]
+                shares = [w * need // sum(others) for w in others]
+                for i in sorted(range(len(at)), key=lambda i: (-(others[i] * need % sum(others)), i))[: need - sum(shares)]:
+                    shares[i] += 1
+                mine = [at[np.argsort(d[i][at], kind="stable")[:5]] for i in at]
+                want += [(subject, int(c), x[i], x[m]) for i, k, m in zip(at, shares, mine) for _ in range(k)]
+    runs = []
+    for parts in (3, 7):
+        df = spark.createDataFrame(rows, "subject string, class int, trial_id long, x array<double>").repartition(parts)
+        runs.append(decode.oversample(df).orderBy("subject", "k").collect())
+    assert len(runs[0]) == len(want) and [(v.subject, v["class"]) for v in runs[0]] == [(s, c) for s, c, _, _ in want]
+    assert [v.k for v in runs[0] if v.subject == "a"] == list(range(sum(s == "a" for s, *_ in want)))
+    between = lambda v, a, b: abs(np.linalg.norm(v - a) + np.linalg.norm(b - v) - np.linalg.norm(b - a)) < 1e-9
+    assert all(any(between(np.array(v.x), x, other) for other in mine) for v, (_, _, x, mine) in zip(runs[0], want))
+    assert np.allclose([v.x for v in runs[0]], [v.x for v in runs[1]])
