@@ -79,11 +79,23 @@ def two_clusters(data: DataFrame, by: list[str]) -> DataFrame:
     return cut.groupBy(*by).agg(best.alias("b")).select(*by, "b.*")
 
 
+PLACES = 62
+"""Samples whose presence one number holds."""
+
+
 def padded_trials(data: DataFrame, most: int, by: list[str]) -> DataFrame:
-    """Every trial on the samples 1..most: missing ones are 0 with weight 0, later ones go."""
-    grid = data.select(*by).distinct().withColumn("t_idx", F.explode(F.sequence(F.lit(1), F.lit(most))))
-    own = data.select(*by, F.col("t_idx").cast("int").alias("t_idx"), "value").withColumn("weight", F.lit(1))
-    return grid.join(own, [*by, "t_idx"], "left").select(*by, "t_idx", F.coalesce("value", F.lit(0.0)).alias("value"), F.coalesce("weight", F.lit(0)).alias("weight"))
+    """Every trial on the samples 1..most: missing ones are 0 with weight 0, later ones go.
+
+    What a trial has is kept as bits, a number for PLACES samples, so samples themselves are neither shuffled nor joined.
+    """
+    at = F.col("t_idx")
+    own = data.select(*by, at.cast("int").alias("t_idx"), "value", F.lit(1).alias("weight"))
+    inside = F.coalesce(at.between(1, most), F.lit(False)) & ~F.array_contains(F.array(*[F.col(b).isNull() for b in by]), True)
+    held = own.select(*by, F.when(inside, F.floor((at - 1) / PLACES)).otherwise(-1).cast("int").alias("_word"), F.when(inside, F.expr(f"shiftleft(1L, pmod(t_idx - 1, {PLACES}))")).otherwise(0).alias("_bits"))
+    words = held.groupBy(*by, "_word").agg(F.bit_or("_bits").alias("_bits")).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_word", "_bits"))).alias("_held"))
+    gaps = F.expr(f"filter(sequence(1, {int(most)}), t -> shiftright(coalesce(_held[cast(floor((t - 1) / {PLACES}) as int)], 0L), (t - 1) % {PLACES}) % 2 = 0)")
+    missing = words.select(*by, F.explode(gaps).alias("t_idx"), F.lit(0.0).alias("value"), F.lit(0).alias("weight"))
+    return own.where(inside).withColumn("value", F.coalesce("value", F.lit(0.0))).unionByName(missing)
 
 
 def weighted_trials(padded: DataFrame) -> DataFrame:

@@ -188,3 +188,19 @@ def test_oversampling_compares_blocks_and_never_a_trial_with_itself(spark, monke
     between = lambda v, a, b: abs(np.linalg.norm(v - a) + np.linalg.norm(b - v) - np.linalg.norm(b - a)) < 1e-9
     assert all(any(between(np.array(v.x), x, other) for other in mine) for v, (_, _, x, mine) in zip(runs[0], want))
     assert np.allclose([v.x for v in runs[0]], [v.x for v in runs[1]])
+
+
+def test_padded_trials_without_joins(spark):
+    rows = [(k, t, None if t == 3 else float(t)) for k in (1, 2) for t in range(1, 120 + 50 * k, k)] + [(3, 500, 1.0), (3, None, 1.0), (None, 5, 1.0), (4, 7, 1.0), (4, 7, 2.0)]
+    df = spark.createDataFrame(rows, "trial_id long, t_idx long, value double").repartition(5)
+    padded = linear.padded_trials(df, 140, ["trial_id"])
+    want = []
+    for trial in (1, 2, 3, 4, None):
+        for t in range(1, 141):
+            own = [v or 0.0 for k, at, v in rows if trial is not None and k == trial and at == t]
+            want += [(trial, t, v, 1) for v in own] or [(trial, t, 0.0, 0)]
+    order = lambda v: (v[0] or 0, *v[1:])
+    assert sorted(map(tuple, padded.collect()), key=order) == sorted(want, key=order)
+    kept = linear.weighted_trials(padded)
+    assert sorted(map(tuple, kept.collect())) == sorted(v[:3] for v in want if v[3])
+    assert "Join" not in padded._jdf.queryExecution().optimizedPlan().toString() and "hashpartitioning" not in kept._jdf.queryExecution().executedPlan().toString()
