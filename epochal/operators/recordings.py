@@ -74,7 +74,7 @@ def over_windows(recording: DataFrame, by: list[str], size: int, before: int, af
     return table.mapInArrow(run, ", ".join([*(f"`{b}` {kinds[b]}" for b in by), columns]))
 
 
-def _convolved(x: np.ndarray, kernel: np.ndarray) -> np.ndarray:
+def convolved(x: np.ndarray, kernel: np.ndarray) -> np.ndarray:
     n = 1 << int(np.ceil(np.log2(len(x) + len(kernel) - 1)))
     if np.iscomplexobj(kernel):
         return np.fft.ifft(np.fft.fft(x, n) * np.fft.fft(kernel, n))[: len(x) + len(kernel) - 1]
@@ -92,7 +92,7 @@ def fir(recording: DataFrame, taps: np.ndarray, by: list[str], size: int = SIZE,
     reach = len(taps) - 1
 
     def work(x: np.ndarray, first: int, lo: int, hi: int) -> dict[str, np.ndarray]:
-        return _own(_convolved(x, taps)[reach : reach + size], first + reach, lo, hi)
+        return _own(convolved(x, taps)[reach : reach + size], first + reach, lo, hi)
 
     return over_windows(recording, by, size, reach, 0, work, "t long, value double", t, value)
 
@@ -105,7 +105,7 @@ def fir_zero_phase(recording: DataFrame, taps: np.ndarray, by: list[str], size:
     reach, kernel = len(taps) - 1, np.convolve(taps, taps[::-1])
 
     def work(x: np.ndarray, first: int, lo: int, hi: int) -> dict[str, np.ndarray]:
-        return _own(_convolved(_reflected(x, first, lo, hi), kernel)[2 * reach : 2 * reach + size], first + reach, lo, hi)
+        return _own(convolved(_reflected(x, first, lo, hi), kernel)[2 * reach : 2 * reach + size], first + reach, lo, hi)
 
     return over_windows(recording, by, size, reach, reach, work, "t long, value double", t, value)
 
@@ -130,7 +130,7 @@ class Recursive:
 
     def rested(self, x: np.ndarray) -> np.ndarray:
         """The output of a chunk that begins at rest."""
-        return _convolved(x, self.impulse)[: self.size]
+        return convolved(x, self.impulse)[: self.size]
 
     def end(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """The state after a chunk, from its last inputs and outputs."""
@@ -275,7 +275,7 @@ def sliding_power(recording: DataFrame, by: list[str], rate: float, windows: dic
             place = place[(place - lo + 1 >= n / 2) & (place - lo + 1 < hi - lo + 1 - n / 2)]
             turn = np.exp(-2j * np.pi * f / rate * (np.arange(n) - (n - 1) / 2))
             begin = place - first - (n + 1) // 2 + 1
-            found = [np.abs(_convolved(x, (taper * turn)[::-1])[begin + n - 1]) ** 2 for taper in own]
+            found = [np.abs(convolved(x, (taper * turn)[::-1])[begin + n - 1]) ** 2 for taper in own]
             freq.append(np.full(len(place), f))
             at.append(place)
             power.append(np.mean(found, axis=0) * 2 / n)

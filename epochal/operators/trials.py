@@ -7,6 +7,7 @@ with each other (means and deviations of a channel, sums over channels, runs of
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from epochal.functions import filters
 from epochal.operators.group import runs_over
-from epochal.operators.recordings import Recursive
+from epochal.operators.recordings import Recursive, convolved
 
 
 def mapped(trials: DataFrame, change: Callable[[np.ndarray], np.ndarray], x: str = "x") -> DataFrame:
@@ -30,13 +31,18 @@ def mapped(trials: DataFrame, change: Callable[[np.ndarray], np.ndarray], x: str
     return trials.mapInArrow(work, schema)
 
 
+@lru_cache(maxsize=32)
+def _model(b: tuple[float, ...], a: tuple[float, ...], size: int) -> Recursive:
+    return Recursive(np.array(b), np.array(a), size)
+
+
 def zero_phase(x: np.ndarray, b: np.ndarray, a: np.ndarray) -> np.ndarray:
     """The recursive filter forwards and backwards, from steady states, over the array and its odd reflection."""
     n = min(3 * (len(a) - 1), len(x) - 1)
     y = np.concatenate([2 * x[0] - x[n:0:-1], x, 2 * x[-1] - x[-2 : -n - 2 : -1]]) if n > 0 else x
-    model = Recursive(b, a, len(y))
+    model = _model(tuple(b), tuple(a), 1 << (len(y) - 1).bit_length())  # one serves all arrays up to its size
     for _ in range(2):
-        y = (model.rested(y - y[0]) + y[0] * model.b.sum() / model.a.sum())[::-1]
+        y = (convolved(y - y[0], model.impulse[: len(y)])[: len(y)] + y[0] * model.b.sum() / model.a.sum())[::-1]
     return y[n : n + len(x)]
 
 
@@ -60,28 +66,34 @@ def moving_mean(x: np.ndarray, width: int) -> np.ndarray:
     return (sums / counts)[first : first + len(x)]
 
 
-def muscle_activity(trials: DataFrame, rate: float, low: float = 110.0, high: float = 140.0, order: int = 6, seconds: float = 0.2) -> DataFrame:
-    """(trial, t, z): band-passed envelopes, smoothed, as z scores of their channel, summed over channels by the root of their number.
-
-    Bands are cut at half the sampling rate; a band that lies beyond it is an error.  t counts from 0.
-    """
+def _activity(trials: DataFrame, rate: float, low: float = 110.0, high: float = 140.0, order: int = 6, seconds: float = 0.2) -> DataFrame:
+    """(trial, z): as ``muscle_activity``, an array for each trial; its channels meet as arrays, so no sample travels by itself."""
     if low >= rate / 2:
         raise ValueError("the sampling rate is too low for this band")
     b, a = filters.butterworth(order, 2 * low / rate, 2 * min(high, np.floor(rate / 2) - 1) / rate)
     width = int(round(seconds * rate))
     smooth = mapped(trials.select("trial", "chan", "x"), lambda x: moving_mean(envelope(zero_phase(x, b, a)), width))
-    long = smooth.select("trial", "chan", F.posexplode("x").alias("t", "v"))
-    facts = long.groupBy("chan").agg(F.avg("v").alias("m"), F.stddev_samp("v").alias("s"))  # a row for each channel
-    z = long.join(facts, "chan").withColumn("z", F.try_divide(F.col("v") - F.col("m"), F.col("s")))
-    return z.groupBy("trial", "t").agg((F.sum("z") / F.sqrt(F.count("z"))).alias("z"))
+    facts = smooth.select("chan", F.explode("x").alias("v")).groupBy("chan").agg(F.avg("v").alias("m"), F.stddev_samp("v").alias("s"))
+    z = smooth.join(F.broadcast(facts), "chan").select("trial", F.transform("x", lambda v: F.try_divide(v - F.col("m"), F.col("s"))).alias("z"))  # a row for each channel
+    none = F.array().cast("array<struct<s: double, n: bigint>>")
+    one = lambda v: F.struct(F.coalesce(v, F.lit(0.0)).alias("s"), F.when(v.isNull(), 0).otherwise(1).cast("bigint").alias("n"))
+    sums = lambda acc, v: F.zip_with(acc, v, lambda p, q: F.when(p.isNull(), one(q)).otherwise(F.struct((p["s"] + F.coalesce(q, F.lit(0.0))).alias("s"), (p["n"] + F.when(q.isNull(), 0).otherwise(1)).alias("n"))))
+    met = z.groupBy("trial").agg(F.collect_list("z").alias("z")).select("trial", F.aggregate("z", none, sums).alias("z"))
+    return met.select("trial", F.transform("z", lambda v: F.when(v["n"] > 0, v["s"] / F.sqrt(v["n"]))).alias("z"))
+
+
+def muscle_activity(trials: DataFrame, rate: float, low: float = 110.0, high: float = 140.0, order: int = 6, seconds: float = 0.2) -> DataFrame:
+    """(trial, t, z): band-passed envelopes, smoothed, as z scores of their channel, summed over channels by the root of their number.
+
+    Bands are cut at half the sampling rate; a band that lies beyond it is an error.  t counts from 0.
+    """
+    return _activity(trials, rate, low, high, order, seconds).select("trial", F.posexplode("z").alias("t", "z"))
 
 
 def muscle_artifacts(trials: DataFrame, rate: float, cutoff: float, padding: int = 0, **band: float) -> DataFrame:
     """(trial, first, last, peak_t): runs of samples whose summed z exceeds the cutoff, but for ``padding`` samples at either end of a trial."""
-    z = muscle_activity(trials, rate, **band)
-    if padding:
-        length = trials.select("trial", F.size("x").alias("_n")).groupBy("trial").agg(F.max("_n").alias("_n"))
-        z = z.join(length, "trial").where((F.col("t") >= padding) & (F.col("t") < F.col("_n") - padding)).drop("_n")
+    z = _activity(trials, rate, **band).select("trial", F.size("z").alias("_n"), F.posexplode("z").alias("t", "z"))
+    z = z.where((F.col("t") >= padding) & (F.col("t") < F.col("_n") - padding)).drop("_n")
     return runs_over(z, ["trial"], "t", "z", cutoff).where("sign > 0").select("trial", "first", "last", "peak_t")
 
 

@@ -74,6 +74,30 @@ def test_muscle_bursts_are_found(spark):
     assert np.allclose(got, want)
 
 
+def test_muscle_activity_of_uneven_trials(spark, monkeypatch):
+    from epochal.functions import filters
+
+    r, rate, lengths = np.random.default_rng(6), 500.0, {0: (300, 300, 280), 1: (260, 300, 300), 2: (300, 290, 300)}
+    rows = [(t, c, [0.0] * n if c == 2 else r.normal(size=n).tolist()) for t, sizes in lengths.items() for c, n in enumerate(sizes)]
+    rows[0] = (0, 0, None)
+    df = spark.createDataFrame(rows, "trial long, chan long, x array<double>").repartition(4)
+    b, a = filters.butterworth(6, 0.44, 0.56)
+    env = {(t, c): trials.moving_mean(trials.envelope(trials.zero_phase(np.array(x), b, a)), 100) for t, c, x in rows if x}
+    stats = {c: np.concatenate([v for (_, k), v in env.items() if k == c]) for c in range(3)}
+    got = {(q.trial, q.t): q.z for q in trials.muscle_activity(df, rate).collect()}
+    assert len(got) == 300 * 3
+    for (trial, t), z in got.items():
+        own = [(v[t] - stats[c].mean()) / stats[c].std(ddof=1) for (k, c), v in env.items() if k == trial and t < len(v) and c < 2]  # channel 2 has no deviation
+        assert np.isclose(z, sum(own) / len(own) ** 0.5)
+    # one filter serves arrays of many lengths, and samples do not travel one by one
+    made, model = [], trials.Recursive
+    monkeypatch.setattr(trials, "Recursive", lambda b, a, size: made.append(size) or model(b, a, size))
+    for n in range(300, 340):
+        trials.zero_phase(r.normal(size=n), b * 1.5, a)
+    assert len(made) == 1
+    assert "hashpartitioning(trial" in (plan := trials.muscle_activity(df, rate)._jdf.queryExecution().executedPlan().toString()) and ", t#" not in "".join(v for v in plan.splitlines() if "hashpartitioning" in v)
+
+
 def test_pieces_of_muscle_activity():
     from epochal.functions import filters
 
