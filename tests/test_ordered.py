@@ -40,6 +40,22 @@ def test_points_from_one_file_are_dealt_to_many_tasks(spark, tmp_path):
     assert all(r.value == pytest.approx((abs(r.i - r.j) / 499 + (r.i % 3 != r.j % 3)) / 2) for r in got.where("j < 20").collect())
 
 
+def test_pairs_of_copies_are_written_short(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scale, "PARTS", 8)
+    rows = spark.range(20000).selectExpr("id", "(id % 500 * 7919 % 1009) / 7 as x", "id % 3 as c")
+    rows = rows.unionByName(spark.sql("select null as id, 1.0D as x, 0L as c union all select 20001L, null, 0L union all select 20002L, 1.5D, null"))
+    scale.dissimilarities(rows, rows.where("id % 100 = 0"), "id", ["x"], ["c"]).write.parquet(str(tmp_path / "pairs"))
+    pairs = spark.read.parquet(str(tmp_path / "pairs"))
+    assert pairs.count() == pairs.select("i", "j").distinct().count() == 200 * 20001
+    own = {v.id: v for v in rows.where("id is not null").collect()}
+    known = [v.x for v in own.values() if v.x is not None]
+    r = max(known) - min(known)
+    for v in pairs.where("i = 300 and (j % 97 = 0 or j > 20000)").collect():
+        a, b = own[v.i], own[v.j]
+        assert v.value is None if b.c is None else v.value == pytest.approx(((0.0 if b.x is None else abs(a.x - b.x) / r) + (a.c != b.c)) / 2)
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < pairs.count() / 2
+
+
 def test_neighbours_by_blocks_with_ties(spark, monkeypatch):
     monkeypatch.setattr(arrays, "POINT_BLOCK", 40)
     monkeypatch.setattr(arrays, "QUERY_BLOCK", 7)
