@@ -4,15 +4,18 @@ Kendall's tau counts inversions level by level: two distinct ranks part at one b
 node of that bit, by a running count over the other variable.  Medians of pairwise means, small pairwise differences and
 the medcouple are found by narrowing a bracket: each round counts the pairs under sixteen thresholds of every group by
 running counts, until the bracket holds no more pairs of distinct values than a few times the values themselves;
-these are then formed and counted.  No group is gathered in one task.
+these are then formed and counted.  No group is gathered in one task, but for the three of ``rank_statistics`` those of up to SMALL
+rows, whose pairs numpy forms group by group: a round over many small groups would write far more than their rows.
 
 Null values take no part.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +27,9 @@ THRESHOLDS, ROUNDS = 16, 40
 FEW, LEAST = 4, 1 << 16
 """Pairs that are formed: this many for each distinct value, or so many in all."""
 
+SMALL = 512
+"""Rows of a group whose pairs are formed at once."""
+
 # fixed values: factors of the Qn scale in samples of 2 to 9
 SMALL_QN = {2: 0.399, 3: 0.994, 4: 0.512, 5: 0.844, 6: 0.611, 7: 0.857, 8: 0.669, 9: 0.872}
 
@@ -153,8 +159,49 @@ def medcouple(data: DataFrame, by: list[str], value: str) -> DataFrame:
     return at.select("g.*", ((F.col("at_k1") + F.col("at_k2")) / 2).alias("medcouple"))
 
 
+def _of_group(x: np.ndarray, y: np.ndarray, has_x: np.ndarray, has_y: np.ndarray) -> tuple[float | None, float | None, float | None]:
+    """(tau, location, qn) of one small group."""
+    a, b, v = x[has_x & has_y], y[has_x & has_y], np.sort(x[has_x])
+    n, h = len(v), len(v) // 2 + 1
+    dx, dy = np.sign(a[:, None] - a), np.sign(b[:, None] - b)
+    scale = np.sqrt(np.count_nonzero(dx) / 2) * np.sqrt(np.count_nonzero(dy) / 2)
+    i, j = np.triu_indices(n)
+    means, gaps = (v[i] + v[j]) / 2, (v[j] - v[i])[i < j]
+    middle = [(len(means) - 1) // 2, len(means) // 2]
+    factor = SMALL_QN.get(n, n / (n + 1.4) if n % 2 else n / (n + 3.8))
+    qn = 2.2219 * np.partition(gaps, h * (h - 1) // 2 - 1)[h * (h - 1) // 2 - 1] * factor if n > 1 else None
+    return (dx * dy).sum() / 2 / scale if scale else None, np.partition(means, middle)[middle].mean() if n else None, qn
+
+
+def _small_statistics(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, tau, location, qn) of groups of up to SMALL rows(g, x, y)."""
+    lists = rows.groupBy("g").agg(F.collect_list(F.struct("x", "y")).alias("own"))
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends, own = batch.column("own").offsets.to_numpy(), batch.column("own").values
+            sides = [pa.compute.struct_field(own, name) for name in ("x", "y")]
+            known = [side.is_valid().to_numpy(zero_copy_only=False) for side in sides]
+            x, y = (side.fill_null(0.0).to_numpy(zero_copy_only=False) for side in sides)
+            out = [_of_group(*(c[lo:hi] for c in (x, y, *known))) for lo, hi in zip(ends, ends[1:])]
+            columns = [pa.array([None if r[k] is None else float(r[k]) for r in out], pa.float64()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column("g"), *columns], ["g", "tau", "location", "qn"])
+
+    key = rows.schema["g"].dataType.simpleString()
+    return lists.mapInArrow(found, f"g {key}, tau double, location double, qn double").where("location is not null").select("g.*", "tau", "location", "qn")
+
+
 def rank_statistics(pairs: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """(by, tau, location, qn): Kendall's tau-b of x and y, the Hodges-Lehmann location and the Qn scale of x."""
+    rows = pairs.select(F.struct(*by).alias("g"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    finite = lambda c: F.coalesce(F.col(c) - F.col(c), F.lit(0.0)) == 0
+    apart = rows.groupBy(F.col("g").alias("_g")).agg(F.count(F.lit(1)).alias("_size"), F.min(finite("x") & finite("y")).alias("_finite"))
+    apart = written(apart.where((F.col("_size") > SMALL) | ~F.col("_finite")).select("_g"), "apart")
+    if apart.isEmpty():
+        return _small_statistics(rows, by)
+    small = _small_statistics(rows.join(apart, F.col("g").eqNullSafe(F.col("_g")), "left_anti"), by)
+    pairs = pairs.join(apart, F.struct(*by).eqNullSafe(F.col("_g")), "left_semi")
     tau = kendall(pairs, by, x, y).select(F.struct(*by).alias("k"), "tau")
     scale = qn(pairs, by, x).select(F.struct(*by).alias("k"), "qn")
-    return hodges_lehmann(pairs, by, x).withColumn("k", F.struct(*by)).join(tau, "k", "left").join(scale, "k", "left").select(*by, "tau", "location", "qn")
+    large = hodges_lehmann(pairs, by, x).withColumn("k", F.struct(*by)).join(tau, "k", "left").join(scale, "k", "left").select(*by, "tau", "location", "qn")
+    return small.unionByName(large)

@@ -91,3 +91,18 @@ def test_larger_groups_narrow_their_brackets(spark, monkeypatch):
 def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert pairs.rank_statistics(none, ["g"], "x", "y").count() == 0 and pairs.medcouple(none, ["g"], "x").count() == 0
+
+
+def test_small_groups_write_no_rounds(spark, data, monkeypatch):
+    written, names = pairs.written, []
+    monkeypatch.setattr(pairs, "written", lambda df, name: names.append(name) or written(df, name))
+    plain = lambda df: sorted((str(r.g), *(None if v is None else round(v, 9) for v in (r.tau, r.location, r.qn))) for r in df.collect())
+    rows = data.unionByName(spark.createDataFrame([("nulls", None, 1.0), ("gap", 1.0, None), ("gap", 4.0, 2.0), ("gap", 2.0, 3.0)], SCHEMA))
+    small = plain(pairs.rank_statistics(rows, ["g"], "x", "y"))
+    assert len(names) <= 1
+    monkeypatch.setattr(pairs, "SMALL", 3)
+    mixed = rows.unionByName(spark.createDataFrame([("far", 1.0, 1.0), ("far", 2.0, float("inf"))], SCHEMA))
+    both = plain(pairs.rank_statistics(mixed, ["g"], "x", "y"))
+    assert len(names) > 10 and [r for r in both if r[0] != "far"] == small and ("far", 1.0, 1.5, round(2.2219 * 0.399, 9)) in both
+    gap = next(r for r in small if r[0] == "gap")
+    assert gap[1:3] == (-1.0, 2.25) and "nulls" not in [r[0] for r in small]
