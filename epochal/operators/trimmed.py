@@ -42,8 +42,7 @@ def _inverse(cdf, p: float) -> float:
     lo, hi = 0.0, 1.0
     while cdf(hi) < p:
         hi *= 2
-    for _ in range(200):
-        mid = (lo + hi) / 2
+    while lo < (mid := (lo + hi) / 2) < hi:
         lo, hi = (mid, hi) if cdf(mid) < p else (lo, mid)
     return (lo + hi) / 2
 
@@ -203,7 +202,8 @@ def _least_sums(rows: DataFrame, models: DataFrame, sizes: DataFrame, kind, cell
     score = F.col("score")
     inside = (score > 0) & (score < float("inf"))
     part = F.when(inside, F.floor(F.log2(score) * PARTS)).when(score <= 0, F.lit(-(1 << 31))).otherwise(F.lit(1 << 31))
-    scored = scores(rows, models, kind).withColumn("part", part)
+    # a part is never null, else the joins below would test that where rows meet models, in an expression too long to be compiled
+    scored = scores(rows, models, kind).withColumn("part", F.coalesce(part, F.lit(1 << 31)))
     names = [f"s{i}_{j}" for i, j in cells]
     products = [F.sum(F.col("v")[i] * F.col("v")[j]).alias(name) for (i, j), name in zip(cells, names, strict=True)]
     parts = written(scored.groupBy("k", "start", "part").agg(F.count(F.lit(1)).alias("c"), *products), "parts")

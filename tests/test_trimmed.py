@@ -116,3 +116,12 @@ def test_steps_order_one_range_of_scores_only(spark, monkeypatch):
 def test_a_start_from_copies_is_no_start():
     singular = np.array([[4.0, 0.4, 0.12], [0.4, 0.04000000000000001, 0.012], [0.12, 0.012, 0.0036]])
     assert trimmed.Location(2).model(singular) is None or np.isfinite(trimmed.Location(2).model(singular)[1])
+
+
+def test_scores_are_computed_once_a_pass(spark, clouds, monkeypatch):
+    rows = [(g, float(a), float(b)) for g, (x, _) in clouds.items() for a, b in x]
+    written, plans = trimmed.written, []
+    monkeypatch.setattr(trimmed, "written", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) if name == "near" and not plans else written(df, name))
+    with pytest.raises(AttributeError):  # stops at the first pass that looks for the last score kept
+        trimmed.minimum_covariance(spark.createDataFrame(rows, "g string, a double, b double"), ["g"], ["a", "b"])
+    assert plans[0].count("LOG2(") == 1
