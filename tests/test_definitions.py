@@ -1,12 +1,14 @@
 """Operators against their definitions, one value at a time, on the examples that come with them."""
 
 import math
+import os
 
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from epochal import catalog
 from epochal.functions import dist, text
 from epochal.operators import channels, circ, decode, design, files, group, linear, ordered, results, scale
 
@@ -190,6 +192,26 @@ def test_oversampling_compares_blocks_and_never_a_trial_with_itself(spark, monke
     assert np.allclose([v.x for v in runs[0]], [v.x for v in runs[1]])
 
 
+def test_oversample_query_returns_its_trials(spark):
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no test tables")
+    trials = [(r.label, np.array(r.embedding, float)) for r in spark.read.parquet(f"{data}/embeddings.parquet").orderBy("vec_id").collect()]
+    y, x = np.array([c for c, _ in trials]), np.array([v for _, v in trials])
+    made = {}
+    for r in catalog.queries()["oversample_adasyn"](spark, data).orderBy("k", "t_idx").collect():
+        made.setdefault((r["class"], r.k), []).append(r.value)
+    sizes = np.bincount(y)
+    assert sorted(c for c, _ in made) == [c for c, n in enumerate(sizes) if n > 1 for _ in range(max(sizes) - n)]
+    z = x / np.maximum(x.std(axis=0, ddof=1), 1e-12)
+    for (c, _), v in made.items():
+        own = np.flatnonzero(y == c)
+        near = np.argsort(((z[own][:, None] - z[own]) ** 2).sum(axis=2), axis=1, kind="stable")[:, 1:6]
+        a, b = np.repeat(x[own], near.shape[1], axis=0), x[own][near].reshape(-1, x.shape[1])
+        excess = np.linalg.norm(np.array(v) - a, axis=1) + np.linalg.norm(b - v, axis=1) - np.linalg.norm(b - a, axis=1)
+        assert len(v) == x.shape[1] and excess.min() < 1e-4  # on the way from a trial to one of its class's nearest; values have six places
+
+
 def test_padded_trials_without_joins(spark):
     rows = [(k, t, None if t == 3 else float(t)) for k in (1, 2) for t in range(1, 120 + 50 * k, k)] + [(3, 500, 1.0), (3, None, 1.0), (None, 5, 1.0), (4, 7, 1.0), (4, 7, 2.0)]
     df = spark.createDataFrame(rows, "trial_id long, t_idx long, value double").repartition(5)
