@@ -198,8 +198,9 @@ def test_oversample_query_returns_its_trials(spark):
         pytest.skip("no test tables")
     trials = [(r.label, np.array(r.embedding, float)) for r in spark.read.parquet(f"{data}/embeddings.parquet").orderBy("vec_id").collect()]
     y, x = np.array([c for c, _ in trials]), np.array([v for _, v in trials])
-    made = {}
-    for r in catalog.queries()["oversample_adasyn"](spark, data).orderBy("k", "t_idx").collect():
+    made, query = {}, catalog.queries()["oversample_adasyn"](spark, data)
+    assert query._jdf.queryExecution().optimizedPlan().toString().count("\n") < 500
+    for r in query.orderBy("k", "t_idx").collect():
         made.setdefault((r["class"], r.k), []).append(r.value)
     sizes = np.bincount(y)
     assert sorted(c for c, _ in made) == [c for c, n in enumerate(sizes) if n > 1 for _ in range(max(sizes) - n)]
